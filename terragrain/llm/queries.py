@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontaminate import find_leaks
+from .mixing import mix
+from .ngram_join import ngram_components
 from .substring_dedup import substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,3 +26,48 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op1_substring_dedup"] = op1_substring_dedup
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "item_id", F.col("m").alias("n_item_shingles"), F.col("shared").alias("n_shared"))
+
+
+QUERIES["op2_decontamination"] = op2_decontamination
+ORACLES["op2_decontamination"] = r"""
+WITH d AS (SELECT DISTINCT doc_id, text, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
+b AS (SELECT DISTINCT item_id, text, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark WHERE text IS NOT NULL),
+bs AS (SELECT item_id, least(len(w), 5) AS k, unnest(list_distinct(list_transform(range(0, len(w) - least(len(w), 5) + 1), lambda i: array_to_string(w[i + 1 : i + least(len(w), 5)], ' ')))) AS s FROM b WHERE len(w) > 0),
+m AS (SELECT item_id, CAST(count(*) AS BIGINT) AS m FROM bs GROUP BY item_id),
+ds AS (SELECT DISTINCT doc_id, unnest(list_transform(range(0, len(w) - 4), lambda i: array_to_string(w[i + 1 : i + 5], ' '))) AS s FROM d WHERE len(w) >= 5)
+SELECT doc_id, item_id, m AS n_item_shingles, CAST(count(*) AS BIGINT) AS n_shared
+FROM ds JOIN bs USING (s) JOIN m USING (item_id)
+GROUP BY doc_id, item_id, m HAVING 100 * count(*) >= 75 * m
+"""
+
+
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+QUERIES["op3_ngram_jaccard"] = op3_ngram_jaccard
+ORACLES["op3_ngram_jaccard"] = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(0, len(w) - 4), lambda i: array_to_string(w[i + 1 : i + 5], ' ')) END)) AS s FROM w WHERE len(w) > 0),
+n AS (SELECT doc_id, CAST(count(*) AS BIGINT) AS n FROM s GROUP BY doc_id),
+often AS (SELECT s FROM s GROUP BY s HAVING count(*) > 1),
+o AS (SELECT s.doc_id, s.s FROM s JOIN often USING (s)),
+may AS (SELECT o.doc_id FROM o JOIN n USING (doc_id) GROUP BY o.doc_id, n HAVING 100 * count(*) >= 75 * n),
+p AS (SELECT o.doc_id, o.s FROM o JOIN may USING (doc_id)),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM p a JOIN p b ON a.s = b.s AND a.doc_id <> b.doc_id JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING 100 * count(*) >= 75 * (na.n + nb.n - count(*))),
+reach AS (SELECT DISTINCT a AS doc_id, a AS r FROM links UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.r)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.c, d.doc_id) AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(r) AS c FROM reach GROUP BY doc_id) c USING (doc_id)
+"""
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES["op5_mixing"] = op5_mixing
