@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .replies import home_of
 from .session import checkpointed, partitions, row_key
 from .textnp import U64, Words, blocks, grouped, mix, shingles, string_buffer
 
@@ -90,16 +91,27 @@ def _wide(sent: bytes) -> np.ndarray:
     return out.reshape(-1).view(U64)
 
 
-def _count_shared():
-    schema = pa.schema([("rid", pa.int64()), ("n", pa.int64()), ("shared", pa.int64()), ("rows", pa.int64())])
+_COUNTS = pa.schema([("home", pa.int32()), ("rids", pa.binary()), ("counts", pa.binary())])
 
+
+def _to_homes(rids: np.ndarray, counts: np.ndarray, homes: int) -> pa.RecordBatch:
+    """(n, shared, rows) of each row key, packed for the slices of row keys."""
+    home = home_of(rids, homes)
+    order = np.argsort(home, kind="stable")
+    cut = np.searchsorted(home[order], np.arange(homes + 1))
+    rows = [(int(k), rids[order[cut[k] : cut[k + 1]]].tobytes(), counts[order[cut[k] : cut[k + 1]]].tobytes()) for k in np.flatnonzero(np.diff(cut))]
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _COUNTS.types, strict=True)], schema=_COUNTS)
+
+
+def _count_shared(homes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: dict[int, list[tuple[bytes, bytes, bytes]]] = {}
         for batch in batches:
             own = batch.column("rid").is_valid()
             here = batch.filter(own)
             if here.num_rows:
-                yield pa.RecordBatch.from_arrays([here.column("rid"), here.column("n"), here.column("shared"), pa.array(np.ones(here.num_rows, dtype=np.int64))], schema=schema)
+                counts = [here.column("n").to_numpy(), here.column("shared").to_numpy(), np.ones(here.num_rows, dtype=np.int64)]
+                yield _to_homes(here.column("rid").to_numpy(), np.stack(counts, axis=1), homes)
             for r in batch.filter(pa.compute.invert(own)).select(["shard", "ids", "counts", "hashes"]).to_pylist():
                 sent.setdefault(r["shard"], []).append((r["ids"], r["counts"], r["hashes"]))
         for parts in sent.values():
@@ -109,19 +121,38 @@ def _count_shared():
             del s
             if not len(twice):
                 continue
-            for ids, counts, hashes in parts:
-                own = grouped(np.frombuffer(counts, dtype=np.uint32))
+            rids, counts = [], []
+            for ids, sizes, hashes in parts:
+                own = grouped(np.frombuffer(sizes, dtype=np.uint32))
                 h = _wide(hashes)[: own[-1]]
                 hit = twice[np.minimum(np.searchsorted(twice, h), len(twice) - 1)] == h
                 shared = np.diff(grouped(hit)[own])
                 found = np.flatnonzero(shared)
-                if len(found):
-                    zero = pa.array(np.zeros(len(found), dtype=np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(ids, dtype=np.int64)[found]), zero, pa.array(shared[found]), zero], schema=schema)
+                rids.append(np.frombuffer(ids, dtype=np.int64)[found])
+                counts.append(shared[found])
+            rid, shared = np.concatenate(rids), np.concatenate(counts)
+            if len(rid):
+                zero = np.zeros(len(rid), dtype=np.int64)
+                yield _to_homes(rid, np.stack([zero, shared, zero], axis=1), homes)
 
     return run
 
 
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rid, n, shared, rows) of each row key of a home."""
+    rids, counts = [], []
+    for batch in batches:
+        for r in batch.to_pylist():
+            rids.append(np.frombuffer(r["rids"], dtype=np.int64))
+            counts.append(np.frombuffer(r["counts"], dtype=np.int64).reshape(-1, 3))
+    if rids:
+        rid, at = np.unique(np.concatenate(rids), return_inverse=True)
+        total = np.zeros((len(rid), 3), dtype=np.int64)
+        for c in range(3):
+            total[:, c] = np.bincount(at, weights=np.concatenate([x[:, c] for x in counts]), minlength=len(rid))
+        yield pa.RecordBatch.from_arrays([pa.array(rid), *(pa.array(total[:, c]) for c in range(3))], ["rid", "n", "shared", "rows"])
+
+
 def _sets(n: int):
     schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("grams", pa.list_(pa.int64()))])
 
@@ -161,8 +192,8 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 75, den: int = 100)
     shards = partitions(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("rid", row_key("doc_id", "text"))
     sent = rows.select("rid", "text").mapInArrow(_columns(n, shards), "shard int, rid long, n long, shared long, ids binary, counts binary, hashes binary")
-    told = sent.repartitionById(shards, "shard").mapInArrow(_count_shared(), "rid long, n long, shared long, rows long")
-    sizes = told.groupBy("rid").agg(F.sum("n").alias("n"), F.sum("shared").alias("shared"), F.sum("rows").alias("rows"))
+    told = sent.repartitionById(shards, "shard").mapInArrow(_count_shared(shards), "home int, rids binary, counts binary")
+    sizes = told.repartitionById(shards, "home").mapInArrow(_totals, "rid long, n long, shared long, rows long")
     sizes = checkpointed(sizes.select("rid", (F.col("n") / F.col("rows")).cast("long").alias("n"), (F.lit(den) * F.col("shared") >= F.lit(num) * F.col("n")).alias("may"), "rows"))
 
     some = rows.join(sizes.where("may and n > 0").select("rid"), "rid", "left_semi")
