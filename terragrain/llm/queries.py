@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import language_id, quality_knn, toxicity
 from .decontaminate import find_leaks
+from .features import fold_of
 from .mixing import mix
 from .ngram_join import ngram_components
+from .quality_rules import quality_rules
 from .substring_dedup import substring_dedup
 from .warc import round_trip
 
@@ -87,3 +90,46 @@ m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) A
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id IS NOT DISTINCT FROM last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id IS DISTINCT FROM last THEN last END AS refers_to
 FROM m
 """
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_rules(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+QUERIES["op8_quality_rules"] = op8_quality_rules
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", fold_of(F.col("doc_id"), 3) == 1)
+    model = language_id.fit(docs.where("not held_out"))
+    return language_id.identify(docs, model, ["doc_id", "held_out"])
+
+
+QUERIES["op4_language_id"] = op4_language_id
+
+
+def _labelled(spark: SparkSession, sf_dir: str, label: str) -> tuple[DataFrame, DataFrame]:
+    """Documents with their fold, and the labelled rows that may be learned from."""
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", fold_of(F.col("doc_id"), 4) == 2)
+    labels = _table(spark, sf_dir, "labels").select("doc_id", F.col(label).cast("int").alias("label")).where("label is not null")
+    labels = labels.where(fold_of(F.col("doc_id"), 4) != 2)
+    return docs, docs.where("not held_out").join(labels, "doc_id").select("label", "text")
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, train = _labelled(spark, sf_dir, "quality")
+    out = quality_knn.score_quality(docs, quality_knn.fit(train), ["doc_id", "held_out"])
+    return out.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+QUERIES["op6_quality_classifier"] = op6_quality_classifier
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, train = _labelled(spark, sf_dir, "toxic")
+    out = toxicity.score_toxicity(docs, toxicity.fit(train, toxicity.char_model(docs)), ["doc_id", "held_out"])
+    return out.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+QUERIES["op10_toxicity"] = op10_toxicity

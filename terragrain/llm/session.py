@@ -29,9 +29,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def partitions(spark: SparkSession) -> int:
-    """Partitions of a shuffle, as the session has them."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def partitions(spark: SparkSession, least: int = 1) -> int:
+    """Partitions of a shuffle, as the session has them, ``least`` or more."""
+    return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def row_key(*columns: str):
