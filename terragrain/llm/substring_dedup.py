@@ -11,7 +11,8 @@ How it runs, for texts of any total size:
    one block of documents is settled there and sent once for the whole block,
    so a passage that stands in a third of all documents never fills a shard.
 2. *Confirmed passages.*  A shard sorts its hashes, and answers each document
-   with one bit for each window it sent: does that window recur?
+   with one bit for each window it sent: does that window recur?  Answers
+   travel packed, one record for each pair of shard and slice of row keys.
 3. *Automata.*  The answers meet the texts by row key.  Maximal runs of
    recurring windows are the confirmed passages; block by block they are
    compiled into Aho-Corasick automata (sharded by ``shard_words``), with one
@@ -38,6 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .replies import ANSWERS_DDL, PACKED_DDL, packed, unpacked
 from .session import partitions, row_key
 from .textnp import Words, binary_slices, blocks, grams, grouped, mix, pack_bits, string_buffer, u64_to_i64, within
 
@@ -98,16 +100,14 @@ def _send(window: int, shards: int):
     return run
 
 
-def _confirm():
-    schema = pa.schema([("rid", pa.int64()), ("shard", pa.int32()), ("bits", pa.binary())])
-
+def _confirm(homes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: dict[int, list[tuple[bytes, bytes, bytes]]] = {}
         for batch in batches:
             local = batch.column("rid").is_valid()
             here = batch.filter(local)
             if here.num_rows:
-                yield pa.RecordBatch.from_arrays([here.column("rid"), pa.array(np.full(here.num_rows, -1, dtype=np.int32)), here.column("bits")], schema=schema)
+                yield from packed(-1, here.column("rid").to_numpy(), here.column("bits"), homes)
             for r in batch.filter(pa.compute.invert(local)).select(["shard", "ids", "counts", "hashes"]).to_pylist():
                 sent.setdefault(r["shard"], []).append((r["ids"], r["counts"], r["hashes"]))
         for shard, parts in sent.items():
@@ -119,17 +119,16 @@ def _confirm():
             del s, again
             if not len(twice):
                 continue
+            rids, replies = [], []
             for ids, counts, hashes in parts:
-                n = np.frombuffer(counts, dtype=np.uint32).astype(np.int64)
-                own = grouped(n)
+                own = grouped(np.frombuffer(counts, dtype=np.uint32))
                 h = np.frombuffer(hashes, dtype=np.uint64)[: own[-1]]
                 hit = twice[np.minimum(np.searchsorted(twice, h), len(twice) - 1)] == h
-                if not hit.any():
-                    continue
-                found = np.flatnonzero(np.add.reduceat(hit, own[:-1])) if len(n) else []
+                found = np.flatnonzero(np.diff(grouped(hit)[own]))
                 bits, bounds = pack_bits(hit, own)
-                rid = np.frombuffer(ids, dtype=np.int64)[found]
-                yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(np.full(len(rid), shard, dtype=np.int32)), binary_slices(bits, bounds).take(pa.array(found))], schema=schema)
+                rids.append(np.frombuffer(ids, dtype=np.int64)[found])
+                replies.append(binary_slices(bits, bounds).take(pa.array(found)))
+            yield from packed(shard, np.concatenate(rids), pa.concat_arrays(replies), homes)
 
     return run
 
@@ -237,6 +236,6 @@ def substring_dedup(docs: DataFrame, window: int = 35, shard_words: int = 1_000_
     shards = partitions(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("rid", row_key("doc_id", "text"))
     sent = rows.select("rid", "text").mapInArrow(_send(window, shards), _SENT)
-    said = sent.repartitionById(shards, "shard").mapInArrow(_confirm(), "rid long, shard int, bits binary")
-    by_row = said.groupBy("rid").agg(F.collect_list(F.struct("shard", "bits")).alias("answers"))
+    said = sent.repartitionById(shards, "shard").mapInArrow(_confirm(shards), PACKED_DDL)
+    by_row = said.repartitionById(shards, "home").mapInArrow(unpacked, ANSWERS_DDL)
     return rows.join(by_row, "rid", "left").select("doc_id", "text", "answers").mapInArrow(_remove(window, shards, shard_words), "doc_id long, n_words long, n_removed long, text string")
