@@ -74,13 +74,13 @@ def fold_of(doc_id: Column, parts: int) -> Column:
 def bounded_sample(rows: DataFrame, label: str, per_label: int, max_labels: int) -> DataFrame:
     """Rows of the ``max_labels`` most frequent labels, about ``per_label`` of each.
 
-    Chosen by the hash of the text, so reruns and repeated texts agree.  The
-    result never exceeds ``per_label * max_labels`` rows.
+    Chosen by the hash of the text, so reruns agree; equal texts of one label
+    count once.  The result never exceeds ``per_label * max_labels`` rows.
     """
     sizes = rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(max_labels).collect()
     out = None
     for r in sizes:
         part = rows.where(F.col(label) == F.lit(r[label])).where(F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, 1.5 * per_label / r["count"] + 1e-9) + 1)))
-        part = part.orderBy(F.xxhash64("text", F.lit(11)), "text").limit(per_label)
+        part = part.dropDuplicates([label, "text"]).orderBy(F.xxhash64("text", F.lit(11)), "text").limit(per_label)
         out = part if out is None else out.union(part)
     return rows.limit(0) if out is None else out
