@@ -207,3 +207,9 @@ def quality_rules(docs: DataFrame, **options) -> DataFrame:
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     out = stats.select("key", *COUNTS).join(ids.select("key", "doc_id"), "key").join(verdict, "key")
     return out.select("doc_id", "key", *COUNTS, failed.alias("base_failed"), "d2", (~failed & ~F.col("rejected")).alias("kept"))
+
+
+def passing(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` without the rows that the rules reject; all columns stay."""
+    kept = quality_rules(docs, **options).where("kept").select(F.col("key").alias("__key")).distinct()
+    return docs.withColumn("__key", row_key("doc_id", "text", "lang", "source")).join(kept, "__key", "left_semi").drop("__key")
