@@ -5,9 +5,11 @@ at least ``revisit_bytes`` bytes the row with the largest page_id is a
 ``response``, the others are ``revisit`` records that name it.  Records are
 built as strings and written by Spark's text writer with the record
 terminator as line separator, so archives can go to any store Spark writes
-to.  Pages are dealt to files by row key, about ``file_bytes`` each.
+to.  Pages are dealt to files by row key, about ``file_bytes`` of records
+each, and a file is one gzip member.
 
-*Reading.*  A task takes whole archives.  It lists every line that starts
+*Reading.*  A task takes whole archives, plain or gzip of any members;
+offsets count in the plain bytes.  It lists every line that starts
 like a record as a candidate with the offset of its successor, from the
 candidate's Content-Length; then pointer jumping from the start of the file
 marks the candidates that the chain of records reaches, doubling the
@@ -25,6 +27,7 @@ are not read.  An empty table gives an empty archive folder.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import uuid
@@ -89,7 +92,7 @@ def write_warc(pages: DataFrame, path: str, revisit_bytes: int = 0, file_bytes:
         F.lit("\r\n"),
         block,
     )
-    full.select(record.alias("value")).write.option("lineSep", END.decode()).text(path)
+    full.select(record.alias("value")).write.option("lineSep", END.decode()).option("compression", "gzip").text(path)
 
 
 _FIELD = re.compile(rb"([^:\r\n]+):[ \t]*([^\r\n]*)")
@@ -152,6 +155,8 @@ def _read(strict: bool, payloads: bool):
         for batch in batches:
             for path, content in zip(batch.column(0), batch.column(1), strict=True):
                 data = content.as_py()
+                if data[:2] == b"\x1f\x8b":
+                    data = gzip.decompress(data)
                 at, to, heads = candidates(data)
                 mark, whole = reachable(at, to, len(data))
                 if strict and not whole:
