@@ -6,8 +6,9 @@ import struct
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, StructField, StructType
 
-RINGS = "array<array<struct<x:double,y:double>>>"
+RINGS = ArrayType(ArrayType(StructType([StructField("x", DoubleType()), StructField("y", DoubleType())])))
 
 
 def encode_polygon(rings) -> bytes:
@@ -32,7 +33,7 @@ def decode_polygon(wkb: bytes) -> list[list[dict]]:
     return rings
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def polygon_to_wkb(rings: pd.Series) -> pd.Series:
     return rings.map(lambda r: None if r is None else encode_polygon(r))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
 
 #: Year 20xx, then a month and a day that it has (February to 28).
 DATE = r"(20[0-9]{2}(((0[13578]|1[02])(0[1-9]|[12][0-9]|3[01]))|((0[469]|11)(0[1-9]|[12][0-9]|30))|(02(0[1-9]|1[0-9]|2[0-8]))))"
@@ -83,13 +84,13 @@ def sorted_rasters(images: DataFrame, comparator=preferred) -> DataFrame:
     return images.select("path", "reso", "date").groupBy(F.lit(0)).applyInPandas(order, "ord int, path string")
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def to_gbk(text: pd.Series) -> pd.Series:
     """Text as bytes of code page GBK."""
     return text.map(lambda t: None if t is None else t.encode("gbk", "replace"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def from_gbk(raw: pd.Series) -> pd.Series:
     return raw.map(lambda b: None if b is None else b.decode("gbk", "replace"))
 
