@@ -132,25 +132,29 @@ def order_of(doc_id: Column) -> Column:
     return F.coalesce(doc_id.cast("long"), F.lit(_LAST))
 
 
-def line_dedup(docs: DataFrame, keep: list[str], min_lines: int = 3) -> DataFrame:
-    """``keep`` columns, n_lines, n_removed, n_runs and kept, for each row of ``docs``.
-
-    ``n_lines`` counts lines with a word, ``n_runs`` the maximal runs that
-    were deleted, and ``kept`` is the text without them.
-    """
+def _cleaned(docs: DataFrame, keep: list[str], min_lines: int) -> DataFrame:
+    """Columns c0.. for ``keep``, then n_lines, n_removed, n_runs and kept."""
     rid, order = row_key("doc_id", "text"), order_of(F.col("doc_id"))
     rows = docs.select(*[F.col(c).alias(f"c{k}") for k, c in enumerate(keep)], F.col("text").alias("__text"), rid.alias("__rid"))
     starts = later_copies(docs.select(rid.alias("rid"), order.alias("ord"), "text"), min_lines)
     starts = starts.groupBy(F.col("rid").alias("__rid")).agg(F.collect_set("i").alias("__at"))
     met = rows.join(starts, "__rid", "left").drop("__rid").select(*[f"c{k}" for k in range(len(keep))], "__text", "__at")
     ddl = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in met.schema.fields[:-2]] + ["n_lines long", "n_removed long", "n_runs long", "kept string"])
-    out = met.mapInArrow(_delete(min_lines, len(keep)), ddl)
+    return met.mapInArrow(_delete(min_lines, len(keep)), ddl)
+
+
+def line_dedup(docs: DataFrame, keep: list[str], min_lines: int = 3) -> DataFrame:
+    """``keep`` columns, n_lines, n_removed, n_runs and kept, for each row of ``docs``.
+
+    ``n_lines`` counts lines with a word, ``n_runs`` the maximal runs that
+    were deleted, and ``kept`` is the text without them.
+    """
+    out = _cleaned(docs, keep, min_lines)
     return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(keep)], "n_lines", "n_removed", "n_runs", "kept")
 
 
 def deduplicated(docs: DataFrame, min_lines: int = 3) -> DataFrame:
     """``docs`` with all its columns, its texts without later copies."""
     others = [c for c in docs.columns if c not in ("text", "n_chars")]
-    out = line_dedup(docs, others, min_lines)
-    made = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
-    return out.select(*[made[c].alias(c) if c in made else F.col(c) for c in docs.columns])
+    made = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")} | {c: F.col(f"c{k}") for k, c in enumerate(others)}
+    return _cleaned(docs, others, min_lines).select(*[made[c].alias(c) for c in docs.columns])
