@@ -11,17 +11,22 @@ by block of columns and only where it can matter:
    leaves.  Columns that recur within one block of documents are settled
    there and sent once, so a column of a third of all documents stays small.
 2. *Classes.*  Equal rows are one class; the rest works on one row for each.
-3. *Leaders.*  Of a row's columns in ascending order of hash the first
-   n - ceil(t*n) + 1 must hold one that it shares with any partner.  Each
-   class is compared with the least class that it shares most of those
-   columns with; verified links make first components.
-4. *Accumulated overlaps.*  Columns that still hold different components
-   give the remaining pairs.  Their overlaps are accumulated over the columns,
-   and a pair is discarded where the count so far and all columns not yet
-   seen stay below the least overlap that the two sizes allow.
-5. What is left is verified by its whole rows.  Pairs inside one component
-   are never formed, so a group of thousands of near copies costs one
-   comparison for each, not all pairs; no link between components is lost.
+   Column counts are taken again over classes, from blocks of rows that send
+   each of their columns once, and the same bound prunes again.
+3. *Leaders.*  Of a row's columns, rarest first, the first n - ceil(t*n) + 1
+   must hold one that it shares with any partner.  Each class is compared
+   with the leader of most of those columns, the class whose columns are the
+   most common, which is the middle of its group; verified links make first
+   components.
+4. *Size-derived bounds.*  Columns that still hold different components give
+   the remaining pairs.  Two rows of a and b columns need an overlap of
+   o = ceil(t/(1+t) * (a+b)), so their first shared column stands among the
+   first a - o + 1 of one and b - o + 1 of the other; entries of the product
+   that stand later are discarded before they are formed.
+5. What is left is verified: whole rows are multiplied and their overlap is
+   counted.  Pairs inside one component are never formed, so a group of
+   thousands of near copies costs a few comparisons for each, not all pairs;
+   no link between components is lost.
 
 Defined results: a null or wordless text has no n-grams and no links; fewer
 than n words count as one n-gram; repeated rows share a class; a null id is
@@ -35,13 +40,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .replies import home_of
+from .replies import ANSWERS_DDL, PACKED_DDL, home_of, packed, unpacked
 from .session import checkpointed, partitions, row_key
-from .textnp import U64, Words, blocks, grouped, mix, shingles, string_buffer
+from .textnp import U64, Words, binary_slices, blocks, grouped, mix, shingles, string_buffer
 
 LOCAL_BYTES = 4 << 20
 #: Bytes of a column's hash that are sent to its block, beside the block's number.
@@ -52,8 +57,19 @@ def _block_of(h: np.ndarray, shards: int) -> np.ndarray:
     return (mix(h, 5) % U64(shards)).astype(np.int32)
 
 
+def _class_of(h: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """A 64-bit name for each set: equal sets, and only they, have one name."""
+    total = np.zeros(len(h) + 1, dtype=U64)
+    np.cumsum(mix(h, 11), out=total[1:])
+    return mix(total[own[1:]] - total[own[:-1]] + mix(np.diff(own).astype(U64), 13), 17).view(np.int64)
+
+
+def _cut(sent: np.ndarray) -> bytes:
+    return np.ascontiguousarray(sent.view(np.uint8).reshape(-1, 8)[:, :SENT]).tobytes()
+
+
 def _columns(n: int, shards: int):
-    schema = pa.schema([("shard", pa.int32()), ("rid", pa.int64()), ("n", pa.int64()), ("shared", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary())])
+    schema = pa.schema([("shard", pa.int32()), ("rid", pa.int64()), ("n", pa.int64()), ("shared", pa.int64()), ("cls", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -67,7 +83,7 @@ def _columns(n: int, shards: int):
                 size = np.diff(own)
                 shared = np.diff(grouped(local)[own])
                 none = pa.nulls(j - i, pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(_block_of(rids[i:j].view(U64), shards)), pa.array(rids[i:j]), pa.array(size), pa.array(shared), none, none, none], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(_block_of(rids[i:j].view(U64), shards)), pa.array(rids[i:j]), pa.array(size), pa.array(shared), pa.array(_class_of(h, own)), none, none, none], schema=schema)
                 doc = np.repeat(np.arange(j - i), size)[~local]
                 mine = h[~local]
                 shard, wide = _block_of(mine, shards), _block_of(twice, shards)
@@ -78,7 +94,7 @@ def _columns(n: int, shards: int):
                 for k in np.unique(np.concatenate([shard, wide])):
                     d, c = np.unique(doc[cut[k] : cut[k + 1]], return_counts=True)
                     sent = np.concatenate([mine[cut[k] : cut[k + 1]], twice[wide == k]])
-                    rows.append((int(k), None, None, None, rids[i:j][d].tobytes(), c.astype(np.uint32).tobytes(), np.ascontiguousarray(sent.view(np.uint8).reshape(-1, 8)[:, :SENT]).tobytes()))
+                    rows.append((int(k), None, None, None, None, rids[i:j][d].tobytes(), c.astype(np.uint32).tobytes(), _cut(sent)))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
@@ -95,7 +111,7 @@ _COUNTS = pa.schema([("home", pa.int32()), ("rids", pa.binary()), ("counts", pa.
 
 
 def _to_homes(rids: np.ndarray, counts: np.ndarray, homes: int) -> pa.RecordBatch:
-    """(n, shared, rows) of each row key, packed for the slices of row keys."""
+    """(n, shared, rows, cls) of each row key, packed for the slices of row keys."""
     home = home_of(rids, homes)
     order = np.argsort(home, kind="stable")
     cut = np.searchsorted(home[order], np.arange(homes + 1))
@@ -110,7 +126,7 @@ def _count_shared(homes: int):
             own = batch.column("rid").is_valid()
             here = batch.filter(own)
             if here.num_rows:
-                counts = [here.column("n").to_numpy(), here.column("shared").to_numpy(), np.ones(here.num_rows, dtype=np.int64)]
+                counts = [here.column("n").to_numpy(), here.column("shared").to_numpy(), np.ones(here.num_rows, dtype=np.int64), here.column("cls").to_numpy()]
                 yield _to_homes(here.column("rid").to_numpy(), np.stack(counts, axis=1), homes)
             for r in batch.filter(pa.compute.invert(own)).select(["shard", "ids", "counts", "hashes"]).to_pylist():
                 sent.setdefault(r["shard"], []).append((r["ids"], r["counts"], r["hashes"]))
@@ -133,39 +149,116 @@ def _count_shared(homes: int):
             rid, shared = np.concatenate(rids), np.concatenate(counts)
             if len(rid):
                 zero = np.zeros(len(rid), dtype=np.int64)
-                yield _to_homes(rid, np.stack([zero, shared, zero], axis=1), homes)
+                yield _to_homes(rid, np.stack([zero, shared, zero, zero], axis=1), homes)
 
     return run
 
 
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rid, n, shared, rows) of each row key of a home."""
+    """(rid, n, shared, rows, cls) of each row key of a home."""
     rids, counts = [], []
     for batch in batches:
         for r in batch.to_pylist():
             rids.append(np.frombuffer(r["rids"], dtype=np.int64))
-            counts.append(np.frombuffer(r["counts"], dtype=np.int64).reshape(-1, 3))
+            counts.append(np.frombuffer(r["counts"], dtype=np.int64).reshape(-1, 4))
     if rids:
         rid, at = np.unique(np.concatenate(rids), return_inverse=True)
-        total = np.zeros((len(rid), 3), dtype=np.int64)
-        for c in range(3):
-            total[:, c] = np.bincount(at, weights=np.concatenate([x[:, c] for x in counts]), minlength=len(rid))
-        yield pa.RecordBatch.from_arrays([pa.array(rid), *(pa.array(total[:, c]) for c in range(3))], ["rid", "n", "shared", "rows"])
+        each = np.concatenate(counts)
+        total = [np.bincount(at, weights=each[:, c], minlength=len(rid)).astype(np.int64) for c in range(3)]
+        cls = np.zeros(len(rid), dtype=np.int64)
+        own = each[:, 2] > 0
+        cls[at[own]] = each[own, 3]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (rid, *total, cls)], ["rid", "n", "shared", "rows", "cls"])
+
 
+_PACKS = "block long, cls binary, sizes binary, grams binary"
 
-def _sets(n: int):
-    schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("grams", pa.list_(pa.int64()))])
+
+def _packs(n: int):
+    """Rows of (cls, text) as blocks of sets; a block is named by its classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            buf, offsets = string_buffer(batch.column(2))
+            cls = batch.column(0).to_numpy().astype(np.int64)
+            buf, offsets = string_buffer(batch.column(1))
             for i, j in blocks(offsets):
                 h, own = shingles(Words(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), n)
-                total = np.zeros(len(h) + 1, dtype=U64)
-                np.cumsum(mix(h, 11), out=total[1:])
-                size = np.diff(own)
-                cls = mix(total[own[1:]] - total[own[:-1]] + mix(size.astype(U64), 13), 17)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(cls.view(np.int64)), pa.array(size), pa.ListArray.from_arrays(pa.array(own.astype(np.int32)), pa.array(h.view(np.int64)))], schema=schema)
+                name = mix(np.array([np.sum(mix(cls[i:j].view(U64), 19))], dtype=U64), 23).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(name), *(pa.array([x.tobytes()], pa.binary()) for x in (cls[i:j], np.diff(own).astype(np.int64), h))], ["block", "cls", "sizes", "grams"])
+
+    return run
+
+
+def _unpack(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.frombuffer(r["cls"], dtype=np.int64), np.frombuffer(r["sizes"], dtype=np.int64), np.frombuffer(r["grams"], dtype=U64)
+
+
+def _send_columns(shards: int):
+    names = ["shard", "block", "hashes", "counts"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                u, c = np.unique(_unpack(r)[2], return_counts=True)
+                shard = _block_of(u, shards)
+                rows = [(int(k), r["block"], _cut(u[shard == k]), c[shard == k].astype(np.uint32).tobytes()) for k in np.unique(shard)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names)
+
+    return run
+
+
+def _count_columns(homes: int):
+    """For each block, a class of frequency for each column that it sent: 0 if no other set has it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: dict[int, list[dict]] = {}
+        for batch in batches:
+            for r in batch.to_pylist():
+                sent.setdefault(r["shard"], []).append(r)
+        for shard, rows in sent.items():
+            u, at = np.unique(np.concatenate([_wide(r["hashes"]) for r in rows]), return_inverse=True)
+            df = np.bincount(at, weights=np.concatenate([np.frombuffer(r["counts"], dtype=np.uint32) for r in rows]), minlength=len(u))
+            rank = np.where(df > 1, np.minimum(1 + np.floor(4 * np.log2(np.maximum(df, 1))), 255), 0).astype(np.uint8)[at]
+            own = grouped(np.array([len(r["counts"]) // 4 for r in rows]))
+            yield from packed(shard, np.array([r["block"] for r in rows], dtype=np.int64), binary_slices(rank, own), homes)
+
+    return run
+
+
+_SETS = "cls long, n long, middle long, single long, prefix array<long>, grams array<long>"
+
+
+def _rare_first(shards: int, num: int, den: int):
+    """Sets that may still link, with the columns that must hold a shared one.
+
+    A column's key is its class of frequency, then its hash.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                cls, sizes, h = _unpack(r)
+                own = grouped(sizes)
+                u, at = np.unique(h, return_inverse=True)
+                shard, rank = _block_of(u, shards), np.zeros(len(u), dtype=np.uint8)
+                for a in r["answers"] or ():
+                    rank[np.flatnonzero(shard == a["shard"])] = np.frombuffer(a["bits"], dtype=np.uint8)
+                key = (rank.astype(U64) << U64(52) | u)[at].view(np.int64)
+                out = {k: [] for k in ("cls", "n", "middle", "single", "prefix", "grams")}
+                for k in range(len(cls)):
+                    mine = np.sort(key[own[k] : own[k + 1]])
+                    n, single = len(mine), int(np.searchsorted(mine, 1 << 52))
+                    first = n - -(-num * n // den) + 1
+                    if n and single < first:
+                        out["cls"].append(cls[k])
+                        out["n"].append(n)
+                        out["middle"].append(int(1000 * (mine >> 52).mean()))
+                        out["single"].append(single)
+                        out["prefix"].append(mine[single:first])
+                        out["grams"].append(h[own[k] : own[k + 1]].view(np.int64))
+                if out["cls"]:
+                    lists = [pa.ListArray.from_arrays(pa.array(grouped(np.array([len(x) for x in out[c]])).astype(np.int32)), pa.array(np.concatenate(out[c]))) for c in ("prefix", "grams")]
+                    yield pa.RecordBatch.from_arrays([*(pa.array(np.array(out[c], dtype=np.int64)) for c in ("cls", "n", "middle", "single")), *lists], list(out))
 
     return run
 
@@ -187,42 +280,57 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 75, den: int = 100)
     """Links of ``docs(doc_id, text)`` with den*|A∩B| >= num*|A∪B|, as components.
 
     Returns one row for each input row: doc_id, rid (its row key), n_shingles,
-    component_id and component_size.
+    component_id, component_size, and first, which is true for the row key of
+    least doc_id in its component.
     """
     shards = partitions(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("rid", row_key("doc_id", "text"))
-    sent = rows.select("rid", "text").mapInArrow(_columns(n, shards), "shard int, rid long, n long, shared long, ids binary, counts binary, hashes binary")
+    sent = rows.select("rid", "text").mapInArrow(_columns(n, shards), "shard int, rid long, n long, shared long, cls long, ids binary, counts binary, hashes binary")
     told = sent.repartitionById(shards, "shard").mapInArrow(_count_shared(shards), "home int, rids binary, counts binary")
-    sizes = told.repartitionById(shards, "home").mapInArrow(_totals, "rid long, n long, shared long, rows long")
-    sizes = checkpointed(sizes.select("rid", (F.col("n") / F.col("rows")).cast("long").alias("n"), (F.lit(den) * F.col("shared") >= F.lit(num) * F.col("n")).alias("may"), "rows"))
-
-    some = rows.join(sizes.where("may and n > 0").select("rid"), "rid", "left_semi")
-    sets = checkpointed(some.select("rid", "doc_id", "text").mapInArrow(_sets(n), "rid long, doc_id long, cls long, n long, grams array<long>"))
-    reps = checkpointed(sets.groupBy("cls").agg(F.first("n").alias("n"), F.first("grams").alias("grams")))
-
-    cut = F.col("n") - F.ceil(F.lit(num) * F.col("n") / F.lit(den)) + 1
-    prefix = reps.select("cls", "n", F.slice("grams", F.lit(1), cut.cast("int")).alias("p"))
-    postings = prefix.select("cls", "n", F.element_at("p", -1).alias("last"), F.explode("p").alias("h"))
-    lead = postings.groupBy("h").agg(F.min("cls").alias("a"), F.count("*").alias("df")).where("df > 1").drop("df")
-    postings = checkpointed(postings.join(lead, "h"))
-
-    votes = postings.where("cls <> a").groupBy(F.col("cls").alias("b"), "a").count()
-    best = votes.groupBy("b").agg(F.max(F.struct("count", -F.col("a"))).alias("x")).select("b", (-F.col("x.col2")).alias("a"))
-    first = connected_components(_verified(best, reps, num, den))
-
-    named = postings.join(first.withColumnRenamed("node", "cls"), "cls", "left").select("h", "cls", "n", "last", F.coalesce("label", "cls").alias("label"))
-    open_ = named.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("h")
-    named = checkpointed(named.join(open_, "h", "left_semi"))
-    x, y = (named.select("h", *[F.col(c).alias(f"{c}{s}") for c in ("cls", "n", "last", "label")]) for s in "ab")
-    pairs = x.join(y, "h").where((F.col("na") < F.col("nb")) | (F.col("na") == F.col("nb")) & (F.col("clsa") < F.col("clsb")))
-    pairs = pairs.where((F.col("labela") != F.col("labelb")) & (F.lit(den) * F.col("na") >= F.lit(num) * F.col("nb")))
-    pairs = pairs.groupBy(F.col("clsa").alias("a"), F.col("clsb").alias("b"), "na", "nb", "lasta", "lastb").agg(F.count("*").alias("seen"))
-    unseen = F.ceil(F.lit(num) * F.when(F.col("lasta") <= F.col("lastb"), F.col("na")).otherwise(F.col("nb")) / F.lit(den)) - 1
-    pairs = pairs.where(F.col("seen") + unseen >= _least_overlap(num, den)).select("a", "b")
-    labels = connected_components(_verified(pairs, reps, num, den), first)
-
-    member = sets.select("rid", "doc_id", "cls").dropDuplicates(["rid"]).join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("rid", "doc_id", F.coalesce("label", "cls").alias("label"))
-    least = member.groupBy("label").agg(F.min("doc_id").alias("least"), F.count("*").alias("component_size"))
-    member = member.join(least, "label").select("rid", "least", "component_size")
-    out = rows.select("rid", "doc_id").join(sizes.select("rid", "n"), "rid").join(member, "rid", "left")
-    return out.select("doc_id", "rid", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), F.coalesce("component_size", F.lit(1)).cast("long").alias("component_size"))
+    sizes = told.repartitionById(shards, "home").mapInArrow(_totals, "rid long, n long, shared long, rows long, cls long")
+    sizes = checkpointed(sizes.select("rid", (F.col("n") / F.col("rows")).cast("long").alias("n"), (F.lit(den) * F.col("shared") >= F.lit(num) * F.col("n")).alias("may"), "cls"))
+
+    one = sizes.where("may and n > 0").groupBy("cls").agg(F.min("rid").alias("rid"))
+    some = rows.select("rid", "text").join(one, "rid").select("cls", "text")
+    packs = checkpointed(some.mapInArrow(_packs(n), _PACKS))
+    counted = packs.select("block", "cls", "sizes", "grams").mapInArrow(_send_columns(shards), "shard int, block long, hashes binary, counts binary")
+    ranks = counted.repartitionById(shards, "shard").mapInArrow(_count_columns(shards), PACKED_DDL).repartitionById(shards, "home").mapInArrow(unpacked, ANSWERS_DDL)
+    sets = packs.join(ranks.withColumnRenamed("rid", "block"), "block", "left").mapInArrow(_rare_first(shards, num, den), _SETS)
+    sets = checkpointed(sets.dropDuplicates(["cls"]))
+    reps = sets.select("cls", "n", "grams")
+    postings = sets.select("cls", "n", "middle", "single", F.posexplode("prefix").alias("pos", "h")).withColumn("pos", F.col("single") + F.col("pos")).drop("single")
+    shared = postings.groupBy("h").count().where("count > 1").select("h")
+    postings = checkpointed(postings.join(shared, "h"))
+
+    lead = postings.groupBy("h").agg(F.max_by("cls", F.struct("middle", "cls")).alias("a"))
+    votes = postings.join(lead, "h").where("cls <> a").groupBy(F.col("cls").alias("b"), "a").count()
+    best = votes.groupBy("b").agg(F.max(F.struct("count", "a")).alias("x")).select("b", F.col("x.a").alias("a"))
+    labels = connected_components(_verified(best, reps, num, den))
+
+    named = postings.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("h", "cls", "n", "pos", F.coalesce("label", "cls").alias("label"))
+    several = named.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("h")
+    named = checkpointed(named.join(several, "h", "left_semi"))
+    x, y = (named.select("h", *[F.col(c).alias(f"{c}{s}") for c in ("cls", "n", "pos", "label")]) for s in "ab")
+    least = _least_overlap(num, den)
+    early = (F.col("posa") <= F.col("na") - least) & (F.col("posb") <= F.col("nb") - least)
+    pairs = x.join(y, "h").where((F.col("labela") != F.col("labelb")) & (F.col("clsa") < F.col("clsb")) & early)
+    pairs = pairs.select(F.col("clsa").alias("a"), F.col("clsb").alias("b")).distinct()
+    labels = connected_components(_verified(pairs, reps, num, den), labels)
+
+    out = rows.select("rid", "doc_id").join(sizes, "rid")
+    grouped_ = out.where("n > 0 and may").select("cls", "doc_id", "rid").join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "doc_id", "rid", F.coalesce("label", "cls").alias("label"))
+    grouped_ = grouped_.withColumn("ord", F.coalesce("doc_id", F.lit((1 << 63) - 1)))
+    by_class = grouped_.groupBy("cls", "label").agg(F.min("doc_id").alias("least"), F.min(F.struct("ord", "rid")).alias("top"), F.count("*").alias("rows"))
+    least = by_class.groupBy("label").agg(F.min("least").alias("least"), F.min("top").alias("top"), F.sum("rows").alias("component_size"))
+    least = by_class.select("cls", "label").join(least, "label").select("cls", "least", F.col("top.rid").alias("top"), "component_size")
+    out = out.withColumn("cls", F.when(F.col("may") & (F.col("n") > 0), F.col("cls"))).join(least, "cls", "left")
+    first = F.coalesce(F.col("top") == F.col("rid"), F.lit(True)).alias("first")
+    return out.select("doc_id", "rid", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), F.coalesce("component_size", F.lit(1)).cast("long").alias("component_size"), first)
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with one row of each component, that of least doc_id; all columns stay."""
+    rows = docs.withColumn("__rid", row_key("doc_id", "text"))
+    first = ngram_components(docs, **options).where("first").select(F.col("rid").alias("__rid")).distinct()
+    nth = F.row_number().over(Window.partitionBy("__rid").orderBy("__rid"))
+    return rows.join(first, "__rid", "left_semi").withColumn("__nth", nth).where("__nth = 1").drop("__rid", "__nth")
