@@ -47,7 +47,7 @@ def s04(spark, d):
 def s05(spark, d):
     """The overview that fits an output resolution of 6 from a source of 1."""
     level = stencils.overview_level(6.0, 1.0, 3) + 1
-    return stencils.pyramid(px(spark, d), 3).where(F.col("level") == level + 1).select("row_i", "col_i", "b1")
+    return stencils.pyramid(px(spark, d), 3).where(F.col("level") == level).select("row_i", "col_i", "b1")
 
 
 @register("p01_band_permutation", _PX + " SELECT pid, b3 AS r, b2 AS g, b1 AS b FROM px")
@@ -331,3 +331,27 @@ def a17(spark, d):
 def c03(spark, d):
     r = rasters(spark, d)
     return color.apply(r, color.fit(r, BANDS, 10), ["raster_id", "row_i", "col_i"])
+
+
+_HALF = """, p AS (SELECT pid AS id, col_i / CAST(2.0 AS DOUBLE) + 0.25 - 0.5 AS x, row_i / CAST(2.0 AS DOUBLE) + 0.25 - 0.5 AS y FROM px WHERE row_i < 10),
+k AS (SELECT * FROM (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS k(r, c)),
+s AS (SELECT id, (CASE WHEN r = 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END) * (CASE WHEN c = 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END) AS w, b1 FROM p JOIN k ON true LEFT JOIN px ON px.row_i = CAST(floor(y) AS BIGINT) + r AND px.col_i = CAST(floor(x) AS BIGINT) + c AND b1 > 0)
+SELECT id, round(CASE WHEN sum(CASE WHEN b1 IS NOT NULL THEN w END) > 0 THEN sum(w * b1) / sum(CASE WHEN b1 IS NOT NULL THEN w END) ELSE 0 END, 6) AS v FROM s GROUP BY id"""
+
+
+@register("j10_coregistration", _PX + _HALF)
+def j10(spark, d):
+    """A coarse band on a grid twice as fine, by the geotransform between them."""
+    grid = px(spark, d).where("row_i < 10").select(F.col("pid").alias("id"), "row_i", "col_i")
+    return stencils.resample(px(spark, d), "b1", grid, (0.0, 0.5, 0.0, 0.0, 0.0, 0.5)).select("id", F.round("v", 6).alias("v"))
+
+
+@register("j14_balanced_overlay")
+def j14(spark, d):
+    """Rasters balanced, then laid over each other."""
+    from .operators import mosaic
+
+    r = rasters(spark, d)
+    even = color.apply(r, color.fit(r, ["b1"], 10), ["raster_id", "row_i", "col_i"])
+    whole = r.select(F.col("raster_id").cast("long").alias("geom_id"), "row_i", "col_i")
+    return mosaic.overlay_raster(even, whole, ["b1"])

@@ -37,6 +37,12 @@ def t02(spark, d):
     return inc.streamed_mosaic(view(spark, d, "cells"), batches=3, restart=True)
 
 
+@register("t04_snapshots", ctes("cells") + " SELECT row_i, col_i, max(geom_id) AS owner FROM cells GROUP BY row_i, col_i")
+def t04(spark, d):
+    """The state is exported every second batch."""
+    return inc.streamed_mosaic(view(spark, d, "cells"), batches=4, snapshot=2)
+
+
 @register("ext_tumbling_window", "SELECT CAST(epoch(time_bucket(INTERVAL 1 HOUR, CAST(ts AS TIMESTAMP))) AS BIGINT) AS hour, event_type, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1, 2")
 def tumbling(spark, d):
     """Extension: event-time windows over the events stream."""

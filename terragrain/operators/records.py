@@ -81,7 +81,7 @@ def sorted_rasters(images: DataFrame, comparator=preferred) -> DataFrame:
             done.insert(at, x)
         return pd.DataFrame({"ord": range(len(done)), "path": [x.path for x in done]})
 
-    return images.select("path", "reso", "date").groupBy(F.lit(0)).applyInPandas(order, "ord int, path string")
+    return images.select("path", "reso", "date", F.lit(0).alias("one")).groupBy("one").applyInPandas(order, "ord int, path string")
 
 
 @F.pandas_udf(BinaryType())
