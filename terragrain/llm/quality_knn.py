@@ -76,7 +76,7 @@ class QualityModel:
         return np.where(empty, self.mean, np.clip(score, 0, 1))
 
 
-def fit(train: DataFrame, per_label: int = 1500, rank: int = 64, neighbours: int = 15) -> QualityModel | None:
+def fit(train: DataFrame, per_label: int = 800, rank: int = 64, neighbours: int = 15) -> QualityModel | None:
     """A model from ``train(label, text)`` of labels 0 and 1."""
     some = bounded_sample(train.where("label is not null").select("label", F.coalesce("text", F.lit("")).alias("text")), "label", per_label, 2)
     rows = some.mapInArrow(_features_of, "label int, x binary").collect()
@@ -86,16 +86,16 @@ def fit(train: DataFrame, per_label: int = 1500, rank: int = 64, neighbours: int
     x = np.frombuffer(b"".join(bytes(r["x"]) for r in rows), dtype=np.float16).reshape(len(rows), -1).astype(np.float32)
     labels = np.array([r["label"] for r in rows], dtype=np.float64)
     idf = np.log1p(len(x) / (1 + (x > 0).sum(axis=0))).astype(np.float32)
-    weighted = x * idf
-    gram = (weighted @ weighted.T).astype(np.float64)
-    values, vectors = np.linalg.eigh(gram)
+    x *= idf
+    values, vectors = np.linalg.eigh(x @ x.T)
     top = np.argsort(-values)[:rank]
-    top = top[values[top] > 1e-9]
-    directions = (weighted.T @ vectors[:, top] / np.sqrt(values[top])).astype(np.float32)
+    top = top[values[top] > 1e-6 * max(values.max(), 1e-9)]
     if not len(top):
         return None
+    directions = (x.T @ vectors[:, top] / np.sqrt(values[top])).astype(np.float32)
     model = QualityModel(idf, directions, np.zeros(0), labels, neighbours)
-    model.vectors = model.latent(x)
+    z = x @ directions
+    model.vectors = z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
     return model
 
 
