@@ -409,7 +409,7 @@ def w07(spark, d):
 @register("c12_road_deformation")
 def c12(spark, d):
     angle, shift = roads.light_angle(0.6, 0.8)
-    return roads.deformation(_segments(spark, d), view(spark, d, "dem"), angle, shift, 0.5, 2).select("seg_id", "i", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), F.round("nbr", 4).alias("nbr"))
+    return roads.deformation(_segments(spark, d), view(spark, d, "dem"), angle, shift, 0.05, 2).select("seg_id", "i", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), F.round("nbr", 4).alias("nbr"))
 
 
 @register("f09_light_angle", "SELECT round(atan2(CAST(0.8 AS DOUBLE), CAST(0.6 AS DOUBLE)), 9) AS angle, CAST(1.0 AS DOUBLE) AS shift")
