@@ -205,10 +205,10 @@ c AS (SELECT n AS pid, min(m) AS part FROM r GROUP BY n)"""
 
 def _sparse(spark, d):
     """A sparse set of pixels, of many small parts."""
-    return view(spark, d, "px").where("row_i < 12 and b1 % 3 = 1").select(F.lit(1).alias("geom_id"), *CELL, "pid")
+    return view(spark, d, "px").where("b1 % 3 = 1").select(F.lit(1).alias("geom_id"), *CELL, "pid")
 
 
-_SPARSE = _PX.replace("WITH ", "WITH RECURSIVE ", 1) + ", v AS (SELECT pid, row_i, col_i FROM px WHERE row_i < 12 AND b1 % 3 = 1)" + _PARTS
+_SPARSE = _PX.replace("WITH ", "WITH RECURSIVE ", 1) + ", v AS (SELECT pid, row_i, col_i FROM px WHERE b1 % 3 = 1)" + _PARTS
 
 
 @register("a14_connected_components", _SPARSE + " SELECT CAST(part AS BIGINT) AS part, CAST(count(*) AS BIGINT) AS n FROM c GROUP BY part")
@@ -229,7 +229,7 @@ def p11(spark, d):
 @register("a15_regions_by_value")
 def a15(spark, d):
     """Parts of equal value, as envelopes and areas."""
-    p = view(spark, d, "px").where("row_i < 12").select((F.col("b2") % 2).alias("value"), *CELL)
+    p = view(spark, d, "px").select((F.col("b2") % 2).alias("value"), *CELL)
     return g.components(p, ["value"]).groupBy("value", "part").agg(F.count("*").alias("area"), F.min("row_i").alias("r0"), F.max("row_i").alias("r1"), F.min("col_i").alias("c0"), F.max("col_i").alias("c1")).drop("part")
 
 
@@ -255,15 +255,15 @@ def a13(spark, d):
     return g.merge_touching(cells(spark, d)).select("area")
 
 
-@register("g04_voronoi_facets", _CELLS + ", s AS (SELECT geom_id, avg(row_i) AS r, avg(col_i) AS c FROM cells GROUP BY 1) SELECT row_i, col_i, arg_min(geom_id, [(row_i - r) * (row_i - r) + (col_i - c) * (col_i - c), CAST(geom_id AS DOUBLE)]) AS site FROM px, s WHERE row_i < 10 GROUP BY 1, 2")
+@register("g04_voronoi_facets", _CELLS + ", s AS (SELECT geom_id, avg(row_i) AS r, avg(col_i) AS c FROM cells GROUP BY 1) SELECT row_i, col_i, arg_min(geom_id, [(row_i - r) * (row_i - r) + (col_i - c) * (col_i - c), CAST(geom_id AS DOUBLE)]) AS site FROM px, s GROUP BY 1, 2")
 def g04(spark, d):
-    return g.nearest_site(view(spark, d, "px").where("row_i < 10"), g.centroid(cells(spark, d)))
+    return g.nearest_site(view(spark, d, "px"), g.centroid(cells(spark, d)))
 
 
 @register("j02_voronoi_neighbours")
 def j02(spark, d):
     """Symmetric pairs of sites whose facets touch."""
-    site = g.nearest_site(view(spark, d, "px").where("row_i < 30"), g.centroid(cells(spark, d)))
+    site = g.nearest_site(view(spark, d, "px"), g.centroid(cells(spark, d)))
     near = g.shifted(site, [(0, 1), (1, 0)], ["site"]).withColumnRenamed("site", "other").join(site, CELL).where("site <> other").select(F.col("site").alias("a"), F.col("other").alias("b"))
     return near.union(near.select("b", "a")).distinct()
 
@@ -299,11 +299,11 @@ def j17(spark, d):
 
 
 def _pair(spark, d):
-    r = view(spark, d, "rasters").where("row_i < 12 and col_i between 20 and 80")
+    r = view(spark, d, "rasters")
     return r.where("raster_id = 1"), r.where("raster_id = 2")
 
 
-@register("p13_site_classes", _R + ", o AS (SELECT row_i, col_i FROM rasters WHERE raster_id = 1 AND b1 > 0 AND row_i < 12 AND col_i BETWEEN 20 AND 80), n AS (SELECT row_i, col_i FROM rasters WHERE raster_id = 2 AND b1 > 0 AND row_i < 12 AND col_i BETWEEN 20 AND 80) SELECT coalesce(o.row_i, n.row_i) AS row_i, coalesce(o.col_i, n.col_i) AS col_i, CASE WHEN n.row_i IS NULL THEN 0 WHEN o.row_i IS NULL THEN 1 ELSE 2 END AS cls FROM o FULL JOIN n ON o.row_i = n.row_i AND o.col_i = n.col_i")
+@register("p13_site_classes", _R + ", o AS (SELECT row_i, col_i FROM rasters WHERE raster_id = 1 AND b1 > 0), n AS (SELECT row_i, col_i FROM rasters WHERE raster_id = 2 AND b1 > 0) SELECT coalesce(o.row_i, n.row_i) AS row_i, coalesce(o.col_i, n.col_i) AS col_i, CASE WHEN n.row_i IS NULL THEN 0 WHEN o.row_i IS NULL THEN 1 ELSE 2 END AS cls FROM o FULL JOIN n ON o.row_i = n.row_i AND o.col_i = n.col_i")
 def p13(spark, d):
     return seam.sites(*_pair(spark, d)).select("row_i", "col_i", "cls")
 
@@ -337,7 +337,7 @@ def c08(spark, d):
 
 @register("c06_serial_mosaic")
 def c06(spark, d):
-    r = view(spark, d, "rasters").where("row_i < 12")
+    r = view(spark, d, "rasters")
     return mosaic.serial(r, [1, 2], levels=2)
 
 
@@ -419,7 +419,7 @@ def f09(spark, d):
 
 @register("w11_join_pieces")
 def w11(spark, d):
-    e = view(spark, d, "events").where("user_id < 20")
+    e = view(spark, d, "events")
     k = (F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).alias("k")
     p = e.select(F.col("user_id").alias("line_id"), k, (F.col("event_id") % 3).alias("start"), ((F.col("event_id") + F.col("user_id")) % 3).alias("stop"))
     return roads.join_pieces(p)
