@@ -84,3 +84,19 @@ def bounded_sample(rows: DataFrame, label: str, per_label: int, max_labels: int)
         part = part.dropDuplicates([label, "text"]).orderBy(F.xxhash64("text", F.lit(11)), "text").limit(per_label)
         out = part if out is None else out.union(part)
     return rows.limit(0) if out is None else out
+
+
+def bounded_keys(labels: DataFrame, key: str, label: str, per_label: int, max_labels: int) -> DataFrame:
+    """At most ``per_label`` rows (key, label) of each frequent label, by the hash of the key.
+
+    Keys alone are read, so a join with texts can broadcast the result, whose
+    size the two bounds give.
+    """
+    rows = labels.select(key, label).where(F.col(key).isNotNull() & F.col(label).isNotNull()).distinct()
+    sizes = rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(max_labels).collect()
+    out = rows.limit(0)
+    for r in sizes:
+        share = int((1 << 30) * min(1.0, 1.5 * per_label / r["count"] + 1e-9) + 1)
+        part = rows.where(F.col(label) == F.lit(r[label])).where(F.pmod(F.xxhash64(key, F.lit(7)), F.lit(1 << 30)) < F.lit(share))
+        out = out.union(part.orderBy(F.xxhash64(key, F.lit(11)), key).limit(per_label))
+    return out

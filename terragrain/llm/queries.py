@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from . import language_id, quality_knn, toxicity
 from .decontaminate import find_leaks
-from .features import fold_of
+from .features import bounded_keys, fold_of
 from .line_dedup import line_dedup
 from .mixing import mix
 from .ngram_join import ngram_components
 from .quality_rules import quality_rules
+from .session import checkpointed
 from .substring_dedup import substring_dedup
 from .warc import round_trip
 
@@ -110,16 +111,20 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["op4_language_id"] = op4_language_id
 
 
-def _labelled(spark: SparkSession, sf_dir: str, label: str) -> tuple[DataFrame, DataFrame]:
-    """Documents with their fold, and the labelled rows that may be learned from."""
+def _labelled(spark: SparkSession, sf_dir: str, label: str, per_label: int) -> tuple[DataFrame, DataFrame]:
+    """Documents with their fold, and a bounded sample of the labelled rows that may be learned from.
+
+    Rows are drawn from the label table alone; their keys, 2 * per_label at
+    most, are broadcast to the texts.
+    """
     docs = _table(spark, sf_dir, "documents").withColumn("held_out", fold_of(F.col("doc_id"), 4) == 2)
-    labels = _table(spark, sf_dir, "labels").select("doc_id", F.col(label).cast("int").alias("label")).where("label is not null")
-    labels = labels.where(fold_of(F.col("doc_id"), 4) != 2)
-    return docs, docs.where("not held_out").join(labels, "doc_id").select("label", "text")
+    labels = _table(spark, sf_dir, "labels").select("doc_id", F.col(label).cast("int").alias("label"))
+    drawn = checkpointed(bounded_keys(labels.where(fold_of(F.col("doc_id"), 4) != 2), "doc_id", "label", per_label, 2))
+    return docs, checkpointed(docs.join(F.broadcast(drawn), "doc_id").select("label", "text"))
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, train = _labelled(spark, sf_dir, "quality")
+    docs, train = _labelled(spark, sf_dir, "quality", 1200)
     out = quality_knn.score_quality(docs, quality_knn.fit(train), ["doc_id", "held_out"])
     return out.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
@@ -128,7 +133,7 @@ QUERIES["op6_quality_classifier"] = op6_quality_classifier
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, train = _labelled(spark, sf_dir, "toxic")
+    docs, train = _labelled(spark, sf_dir, "toxic", 8000)
     out = toxicity.score_toxicity(docs, toxicity.fit(train, toxicity.char_model(docs)), ["doc_id", "held_out"])
     return out.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
