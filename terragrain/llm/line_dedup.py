@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .session import row_key
+from .session import checkpointed, row_key
 from .textnp import SPACE, blocks, grouped, spans, string_buffer
 
 _LAST = (1 << 63) - 1
@@ -85,11 +85,11 @@ def later_copies(docs: DataFrame, min_lines: int) -> DataFrame:
 
     ``docs(rid, ord, text)``; i counts lines with a word from 0.
     """
-    sequences = docs.mapInArrow(_ids, "rid long, ord long, ids array<long>")
-    suffixes = sequences.select("rid", "ord", F.posexplode("ids").alias("i", "c")).select("rid", "i", "ord", "c").dropDuplicates(["rid", "i"])
+    sequences = docs.mapInArrow(_ids, "rid long, ord long, ids array<long>").dropDuplicates(["rid"])
+    suffixes = sequences.select("rid", "ord", F.posexplode("ids").alias("i", "c")).select("rid", "i", "ord", "c")
     length = 1
     while length < min_lines:
-        recurring = _named(suffixes)[0].select("rid", "i", "ord", "c")
+        recurring = checkpointed(_named(suffixes)[0].select("rid", "i", "ord", "c"))
         step = min(length, min_lines - length)
         suffixes, length = _next(recurring, step), length + step
     named = _named(suffixes)[0]
