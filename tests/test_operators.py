@@ -21,7 +21,8 @@ def pixels(spark, grid, *names):
 
 def test_clip_points_on_exact_shares(spark):
     hist = spark.createDataFrame([("b", 0, 3), ("b", 1, 1), ("b", 2, 8), ("b", 9, 1)], "band string, dn long, cnt long")
-    assert stretch.clip_points(hist, 0.1, 0.1).first()[1:] == (2, 2)
+    assert stretch.clip_points(hist, 0.1, 0.1).first()[1:] == (1, 9)
+    assert stretch.clip_points(hist, 0.15, 0.15).first()[1:] == (2, 2)
     assert stretch.clip_points(hist, 0.05, 0.05).first()[1:] == (1, 9)
     assert stretch.clip_points(hist, 0.0, 0.0).first()[1:] == (0, 255)
     assert stretch.clip_points(hist.where("dn = 0"), 0.1, 0.1).count() == 0
