@@ -16,9 +16,10 @@
    the toxic texts than of the others hold them.  Terms are then taken
    greedily while each explains further toxic texts, so copies of one text
    or the words around a term add nothing; words that no other text holds
-   and an ``often`` share of the toxic ones do are added.  Near copies count
-   once in the sample, by the least hash of their words.  The score is the smoothed share
-   of toxic texts among sample texts with the most telling term found.
+   and an ``often`` share of the toxic ones do are added.  Near copies of one
+   label, as operator 3 finds them, count once in the sample.  The score is
+   the smoothed share of toxic texts among sample texts with the most telling
+   term found.
 
 Defined results: null and empty texts hold no term; they get the share of
 toxic texts among sample texts without a term, like any clean text; with
@@ -40,6 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .features import bounded_sample
+from .ngram_join import one_of_each
 from .session import checkpointed
 from .textnp import blocks, string_buffer
 
@@ -294,12 +296,17 @@ class ToxicModel:
         self.chars, self.terms, self.scores, self.base = chars, terms, scores, base
 
 
+def _without_near_copies(sample: DataFrame) -> DataFrame:
+    """``sample(label, text)`` with one text of each group of near copies within a label."""
+    rows = sample.withColumn("doc_id", F.xxhash64("text"))
+    one = [one_of_each(rows.where(F.col("label") == label)).select("label", "text") for label in (0, 1)]
+    return checkpointed(one[0].union(one[1]))
+
+
 def fit(train: DataFrame, chars: CharModel, per_label: int = 5000, candidates: int = 3000, least_gain: float = 0.002, least_score: float = 0.75, often: float = 0.05) -> ToxicModel | None:
     """A model from ``train(label, text)`` of labels 0 and 1."""
     some = bounded_sample(train.where("label is not null and text is not null"), "label", per_label, 2)
-    least = F.array_min(F.transform(F.split(F.lower("text"), r"\s+"), lambda x: F.xxhash64(x)))
-    some = some.groupBy("label", least.alias("near")).agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("x"))
-    some = checkpointed(some.select("label", F.col("x.text").alias("text")))
+    some = _without_near_copies(checkpointed(some.select("label", "text")))
     sizes = {r["label"]: r["count"] for r in some.groupBy("label").count().collect()}
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
     if not bad + good:

@@ -292,6 +292,16 @@ def test_toxicity(spark, empty):
     assert {r.score for r in toxicity.score_toxicity(df.selectExpr("1 as doc_id", "text"), None, ["doc_id"]).collect()} == {0.0}
 
 
+def test_toxic_sample_keeps_texts_that_share_words(spark):
+    rng = random.Random(6)
+    text = lambda: " ".join(["you", "are", "the"] + [f"w{rng.randrange(10_000)}" for _ in range(40)])
+    toxic, clean = [text() for _ in range(20)], [text() for _ in range(30)]
+    near = [toxic[0] + " tail", toxic[0] + " end"]
+    df = spark.createDataFrame([(1, t) for t in toxic + near] + [(0, t) for t in [*clean, toxic[1]]], "label int, text string")
+    got = {(r.label, r.text) for r in toxicity._without_near_copies(df).collect()}
+    assert len(got) == 51 and {(0, t) for t in [*clean, toxic[1]]} | {(1, t) for t in toxic[1:]} <= got
+
+
 def test_suspects():
     text = "x é" * 1000 + " 1d10t"
     import numpy as np
