@@ -8,7 +8,13 @@ LCP intervals of that depth in the suffix array.  A last round overlaps two
 names for a depth that is no power of two.  In an interval of depth
 ``min_lines`` the occurrence that comes first by (doc_id, line) is the
 original, all others are later copies.  Consecutive starts of later copies
-join to maximal repeated runs, whose lines are deleted.
+join to maximal repeated runs, whose lines are deleted.  Every run of
+``min_lines`` or more is a chain of intervals of that depth, so deeper ones
+would delete nothing further.
+
+With ``long_words`` shorter runs of more than so many words are deleted too.
+Rounds then add one line each, so that the intervals of every depth from one
+line up are met, and each start carries the words before and after its run.
 
 Suffixes of different intervals are never compared, so no global order is
 built; the rounds are joins by position and aggregations by name, both of
@@ -24,6 +30,7 @@ text.  Other columns are carried, ``n_chars`` is counted anew.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +62,15 @@ def worded(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return solid[end] > solid[start]
 
 
+def word_counts(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    solid = ~SPACE[buf]
+    begins = solid.copy()
+    begins[1:] &= ~solid[:-1]
+    begins[start[start < len(buf)]] = solid[start[start < len(buf)]]
+    counted = grouped(begins)
+    return counted[end] - counted[start]
+
+
 def _ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         buf, offsets = string_buffer(batch.column(2))
@@ -68,6 +84,22 @@ def _ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), ids], ["rid", "ord", "ids"])
 
 
+def _ids_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As ``_ids``, each line as (c, p, q): its ID and the words of its document before and after it."""
+    for batch in batches:
+        buf, offsets = string_buffer(batch.column(2))
+        for i, j in blocks(offsets):
+            b = buf[offsets[i] : offsets[j]]
+            start, end, doc = lines_of(b, offsets[i : j + 1] - offsets[i])
+            keep = worded(b, start, end)
+            start, end, doc = start[keep], end[keep], doc[keep]
+            bounds = np.searchsorted(doc, np.arange(j - i + 1)).astype(np.int32)
+            total = np.concatenate([[0], np.cumsum(word_counts(b, start, end))]).astype(np.int64)
+            total_of = total[bounds[doc]]
+            lines = pa.StructArray.from_arrays([pa.array(spans(b, start, end).view(np.int64)), pa.array(total[:-1] - total_of), pa.array(total[1:] - total_of)], ["c", "p", "q"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.ListArray.from_arrays(pa.array(bounds), lines)], ["rid", "ord", "ids"])
+
+
 def _named(suffixes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Suffixes (rid, i, ord, c) whose name recurs, and the first of each name."""
     first = suffixes.groupBy("c").agg(F.count("*").alias("copies"), F.min(F.struct("ord", "rid", "i")).alias("first")).where("copies > 1")
@@ -76,30 +108,49 @@ def _named(suffixes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _next(suffixes: DataFrame, step: int) -> DataFrame:
     """Names of twice the length, or of ``step`` more lines."""
-    after = suffixes.select("rid", (F.col("i") - step).alias("i"), F.col("c").alias("d")).where("i >= 0")
-    return suffixes.join(after, ["rid", "i"]).select("rid", "i", "ord", F.xxhash64("c", "d").alias("c"))
+    words = [c for c in ("p", "q") if c in suffixes.columns]
+    after = suffixes.select("rid", (F.col("i") - step).alias("i"), F.col("c").alias("d"), *[F.col(c).alias("e") for c in words[1:]]).where("i >= 0")
+    grown = [F.col("p"), F.col("e").alias("q")] if words else []
+    return suffixes.join(after, ["rid", "i"]).select("rid", "i", "ord", F.xxhash64("c", "d").alias("c"), *grown)
 
 
-def later_copies(docs: DataFrame, min_lines: int) -> DataFrame:
-    """(rid, i): starts of ``min_lines`` lines that stand earlier too.
+def _later(named: DataFrame, length: int) -> DataFrame:
+    """(rid, i, n): occurrences that are not the first of their name."""
+    later = named.where((F.col("rid") != F.col("first.rid")) | (F.col("i") != F.col("first.i")))
+    return later.select("rid", "i", F.lit(length).alias("n"))
 
-    ``docs(rid, ord, text)``; i counts lines with a word from 0.
+
+def later_copies(docs: DataFrame, min_lines: int, long_words: int | None = None) -> DataFrame:
+    """(rid, i, n): starts of n lines that stand earlier too.
+
+    n is ``min_lines``, or less where the lines have over ``long_words``
+    words.  ``docs(rid, ord, text)``; i counts lines with a word from 0.
     """
-    sequences = docs.mapInArrow(_ids, "rid long, ord long, ids array<long>").dropDuplicates(["rid"])
-    suffixes = sequences.select("rid", "ord", F.posexplode("ids").alias("i", "c")).select("rid", "i", "ord", "c")
-    length = 1
+    if long_words is None:
+        sequences = docs.mapInArrow(_ids, "rid long, ord long, ids array<long>").dropDuplicates(["rid"])
+        suffixes = sequences.select("rid", "ord", F.posexplode("ids").alias("i", "c")).select("rid", "i", "ord", "c")
+    else:
+        sequences = docs.mapInArrow(_ids_words, "rid long, ord long, ids array<struct<c: long, p: long, q: long>>").dropDuplicates(["rid"])
+        suffixes = sequences.select("rid", "ord", F.posexplode("ids").alias("i", "x")).select("rid", "i", "ord", "x.c", "x.p", "x.q")
+    length, found = 1, []
     while length < min_lines:
-        recurring = checkpointed(_named(suffixes)[0].select("rid", "i", "ord", "c"))
-        step = min(length, min_lines - length)
+        named = _named(suffixes)[0].select(*suffixes.columns, "first")
+        if long_words is None:
+            recurring = checkpointed(named.drop("first"))
+        else:
+            named = checkpointed(named)
+            found.append(_later(named.where(F.col("q") - F.col("p") > long_words), length))
+            recurring = named.drop("first")
+        step = min(length if long_words is None else 1, min_lines - length)
         suffixes, length = _next(recurring, step), length + step
-    named = _named(suffixes)[0]
-    return named.where((F.col("rid") != F.col("first.rid")) | (F.col("i") != F.col("first.i"))).select("rid", "i")
+    found.append(_later(_named(suffixes)[0], length))
+    return reduce(DataFrame.union, found)
 
 
 _ADDED = [("n_lines", pa.int64()), ("n_removed", pa.int64()), ("n_runs", pa.int64()), ("kept", pa.string())]
 
 
-def _delete(min_lines: int, carried: int):
+def _delete(carried: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(carried)
@@ -115,8 +166,9 @@ def _delete(min_lines: int, carried: int):
                     text = b[o[d] : o[d + 1]].tobytes()
                     if at:
                         step = np.zeros(n_lines[d] + 1, dtype=np.int64)
-                        np.add.at(step, np.array(at), 1)
-                        np.add.at(step, np.array(at) + min_lines, -1)
+                        begin, length = np.array([(x["i"], x["n"]) for x in at]).T
+                        np.add.at(step, begin, 1)
+                        np.add.at(step, begin + length, -1)
                         gone = np.cumsum(step[:-1]) > 0
                         out = set((solid[first[d] : first[d + 1]][gone] - np.searchsorted(doc, d)).tolist())
                         removed[d], runs[d] = gone.sum(), np.diff(np.concatenate([[0], gone.view(np.int8)])).clip(0).sum()
@@ -132,29 +184,32 @@ def order_of(doc_id: Column) -> Column:
     return F.coalesce(doc_id.cast("long"), F.lit(_LAST))
 
 
-def _cleaned(docs: DataFrame, keep: list[str], min_lines: int) -> DataFrame:
+def _cleaned(docs: DataFrame, keep: list[str], min_lines: int, long_words: int | None) -> DataFrame:
     """Columns c0.. for ``keep``, then n_lines, n_removed, n_runs and kept."""
     rid, order = row_key("doc_id", "text"), order_of(F.col("doc_id"))
     rows = docs.select(*[F.col(c).alias(f"c{k}") for k, c in enumerate(keep)], F.col("text").alias("__text"), rid.alias("__rid"))
-    starts = later_copies(docs.select(rid.alias("rid"), order.alias("ord"), "text"), min_lines)
-    starts = starts.groupBy(F.col("rid").alias("__rid")).agg(F.collect_set("i").alias("__at"))
+    starts = later_copies(docs.select(rid.alias("rid"), order.alias("ord"), "text"), min_lines, long_words)
+    starts = starts.groupBy(F.col("rid").alias("__rid")).agg(F.collect_set(F.struct("i", "n")).alias("__at"))
     met = rows.join(starts, "__rid", "left").drop("__rid").select(*[f"c{k}" for k in range(len(keep))], "__text", "__at")
     ddl = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in met.schema.fields[:-2]] + ["n_lines long", "n_removed long", "n_runs long", "kept string"])
-    return met.mapInArrow(_delete(min_lines, len(keep)), ddl)
+    return met.mapInArrow(_delete(len(keep)), ddl)
 
 
-def line_dedup(docs: DataFrame, keep: list[str], min_lines: int = 3) -> DataFrame:
+def line_dedup(docs: DataFrame, keep: list[str], min_lines: int = 3, long_words: int | None = None) -> DataFrame:
     """``keep`` columns, n_lines, n_removed, n_runs and kept, for each row of ``docs``.
 
     ``n_lines`` counts lines with a word, ``n_runs`` the maximal runs that
     were deleted, and ``kept`` is the text without them.
     """
-    out = _cleaned(docs, keep, min_lines)
+    out = _cleaned(docs, keep, min_lines, long_words)
     return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(keep)], "n_lines", "n_removed", "n_runs", "kept")
 
 
-def deduplicated(docs: DataFrame, min_lines: int = 3) -> DataFrame:
-    """``docs`` with all its columns, its texts without later copies."""
+def deduplicated(docs: DataFrame, min_lines: int = 3, long_words: int | None = 50) -> DataFrame:
+    """``docs`` with all its columns, its texts without later copies.
+
+    Runs of fewer lines go too if they have over ``long_words`` words.
+    """
     others = [c for c in docs.columns if c not in ("text", "n_chars")]
     made = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")} | {c: F.col(f"c{k}") for k, c in enumerate(others)}
-    return _cleaned(docs, others, min_lines).select(*[made[c].alias(c) for c in docs.columns])
+    return _cleaned(docs, others, min_lines, long_words).select(*[made[c].alias(c) for c in docs.columns])

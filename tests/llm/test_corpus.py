@@ -175,6 +175,31 @@ def test_line_dedup(docs, empty):
     assert line_dedup(empty, ["doc_id"]).count() == 0
 
 
+def test_line_dedup_of_long_lines(docs, spark):
+    """Runs of one and two lines go when they have over 50 words, against brute force."""
+    line = lambda k, n: " ".join(f"{k}{i}" for i in range(n))
+    a, b, c, d, e = line("a", 51), line("b", 30), line("c", 30), line("d", 50), line("e", 25)
+    texts = [f"{a}\n{b}\n{c}", a, f"x\n{a}\n\ny", f"{b}\n \n{c}\nz", b, f"{d}\n{e}\n{e}", d, f"{e}\n{e}", "p\nq\nr", "p\nq\nr", f"{a}\n{a}"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    rows += [(100 + r[0], r[1]) for r in DOCS if r[0] is not None and r[1]]
+    seen, want = set(), {}
+    for i, t in sorted(set(rows)):
+        parts = t.split("\n")
+        lines, out = [k for k, x in enumerate(parts) if words(x)], set()
+        for at in range(len(lines)):
+            for n in (1, 2, 3):
+                run = tuple(parts[k] for k in lines[at : at + n])
+                if len(run) == n and (n == 3 or sum(len(words(x)) for x in run) > 50):
+                    if run in seen:
+                        out |= set(lines[at : at + n])
+                    seen.add(run)
+        want[i] = "\n".join(x for k, x in enumerate(parts) if k not in out)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.text for r in deduplicated(df).collect()}
+    assert got == want
+    assert got[1] == "" and got[2] == "x\n\ny" and got[3] == " \nz" and got[4] == b and got[6] == d and got[10] == ""
+
+
 def test_mix(docs, empty):
     got = mix(docs).collect()
     assert sorted((str(r.doc_id), r.size) for r in got) == sorted((str(r[0]), len(words(r[1]))) for r in DOCS)
