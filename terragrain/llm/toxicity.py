@@ -5,12 +5,16 @@
    so what reaches the driver is bounded by the alphabet, not by the corpus.
 2. *Decoding.*  A suspect is a run of letters with digits or signs between
    them, of single letters parted by spaces or marks, or with a letter three
-   times or more in a row; ``LONGEST`` bounds it, as no word is longer, and
-   array operations over each whole text find the places where one may be.  Each of its signs spans a lattice column: letters
+   times or more in a row; array operations over each whole text find the
+   places where one may be.  Each of its signs spans a lattice column: letters
    stand for themselves, leetspeak signs for the letters they imitate,
    separators for nothing, and a repeated letter for itself or for nothing.
    Viterbi search finds the most likely path under channel costs and the
-   language model.  Decoded words are read beside the text as it stands.
+   language model.  Where marks or blanks part a suspect, it is read in two
+   more ways: each disguised piece between them by itself, and the whole with
+   separators that may end a word.  Places too long for the pattern are read
+   in these ways alone, so the time is linear in their length.  Decoded words
+   are read beside the text as it stands.
 3. *Scoring.*  From a bounded sample of labelled texts, restored like any
    other, candidate words and word beginnings are ranked by how much more of
    the toxic texts than of the others hold them.  Terms are then taken
@@ -69,8 +73,10 @@ SUSPECT = re.compile(
     rf"|{_SIGN}[^\W\d_](?:[^\W_]|{_SIGN}|{_MARK}(?=[^\W_]))*"
     r"|[^\W\d_]*([^\W\d_])\1\1+[^\W\d_]*"  # repeeeated
 )
-#: Signs of a suspect beyond which it cannot be a disguised word.
-LONGEST = 60
+_PARTED = re.compile(rf"(?:\s|{_MARK})+")
+_DISGUISED = re.compile(rf"{_SIGN}[^\W\d_]|[^\W\d_]{_SIGN}|([^\W\d_])\1\1")
+#: Signs of a place up to which the pattern, whose time is not linear, searches it.
+SEARCHED = 240
 
 _TABLE = 0x2100
 _IS_SIGN, _IS_MARK = np.zeros(_TABLE, dtype=bool), np.zeros(_TABLE, dtype=bool)
@@ -146,8 +152,8 @@ class CharModel:
         return -float(np.log(p3))
 
 
-def lattice(suspect: str) -> list[list[tuple[str, float]]]:
-    """For each sign, what it may stand for ('' for nothing) and the cost."""
+def lattice(suspect: str, parted: bool = False) -> list[list[tuple[str, float]]]:
+    """For each sign, what it may stand for ('' for nothing) and the cost; if ``parted``, separators may be blanks."""
     out, before = [], ""
     for ch in suspect.lower():
         if ch.isalpha():
@@ -157,26 +163,35 @@ def lattice(suspect: str) -> list[list[tuple[str, float]]]:
             ways = [(x, 1.0) for x in LEET.get(ch, "")]
             if ch in SEPARATORS or not ways:
                 ways.append(("", 0.3))
+                if parted:
+                    ways.append((" ", 0.3))
         out.append(ways)
     return out
 
 
-def decode(suspect: str, model: CharModel) -> str:
+def decode(suspect: str, model: CharModel, parted: bool = False) -> str:
     """The most likely letters behind a suspect, by Viterbi search."""
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for ways in lattice(suspect):
-        fresh: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (cost, text) in states.items():
+    # A path is its last letter and the path before, so a step costs the same at any length.
+    states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
+    for ways in lattice(suspect, parted):
+        fresh: dict[tuple[int, int], tuple[float, tuple]] = {}
+        for (a, b), (cost, path) in states.items():
             for letter, extra in ways:
-                if letter:
+                if letter == " ":
+                    key, value = (0, 0), (cost + extra + (model.cost(a, b, 0) if b else 0.0), (" ", path))
+                elif letter:
                     c = int(_LOWER[ord(letter)])
-                    key, value = (b, c), (cost + extra + model.cost(a, b, c), text + letter)
+                    key, value = (b, c), (cost + extra + model.cost(a, b, c), (letter, path))
                 else:
-                    key, value = (a, b), (cost + extra, text)
-                if key not in fresh or value < fresh[key]:
+                    key, value = (a, b), (cost + extra, path)
+                if key not in fresh or value[0] < fresh[key][0]:
                     fresh[key] = value
-        states = dict(sorted(fresh.items(), key=lambda x: x[1])[:64])
-    return min((cost + model.cost(a, b, 0), text) for (a, b), (cost, text) in states.items())[1]
+        states = dict(sorted(fresh.items(), key=lambda x: (x[1][0], x[0]))[:64])
+    path, out = min((cost + model.cost(a, b, 0), (a, b), path) for (a, b), (cost, path) in states.items())[2], []
+    while path:
+        letter, path = path
+        out.append(letter)
+    return "".join(reversed(out))
 
 
 def squeezed(suspect: str) -> str:
@@ -184,19 +199,28 @@ def squeezed(suspect: str) -> str:
     return re.sub(r"(.)\1+", r"\1", suspect)
 
 
+def readings(suspect: str, model: CharModel, joined: bool = True) -> str:
+    """Decoded words of a suspect: as one word if ``joined``, and where it is parted, cut at its separators and with words between them."""
+    pieces = [x for x in _PARTED.split(suspect) if x]
+    found = [decode(suspect, model)] if joined or len(pieces) == 1 else []
+    if len(pieces) > 1:
+        found += [decode(x, model) for x in pieces if _DISGUISED.search(x)]
+        found += decode(suspect, model, parted=True).split()
+    return " ".join(dict.fromkeys(y for x in found for y in (x, squeezed(x))))
+
+
 def restored(text: str, model: CharModel, known: dict[str, str]) -> str:
     """Letters of a text in lower case, words parted by blanks; decoded suspects follow."""
     more = []
     points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
     for a, b in suspect_ranges(points):
-        for m in SUSPECT.finditer(text[a:b]) if b - a <= 4 * LONGEST else ():
-            s = m.group(0)
-            if len(s) > LONGEST:
-                continue
+        searched = b - a <= SEARCHED
+        for s in (m.group(0) for m in SUSPECT.finditer(text[a:b])) if searched else (text[a:b],):
             got = known.get(s)
             if got is None:
-                got = decode(s, model)
-                got = known[s] = got if got == squeezed(got) else f"{got} {squeezed(got)}"
+                got = readings(s, model, searched)
+                if searched:
+                    known[s] = got
             more.append(got)
     if more:
         points = np.concatenate([points, np.frombuffer((" " + " ".join(more)).encode("utf-32-le"), dtype=np.uint32)])

@@ -327,6 +327,25 @@ def test_toxic_sample_keeps_texts_that_share_words(spark):
     assert len(got) == 51 and {(0, t) for t in [*clean, toxic[1]]} | {(1, t) for t in toxic[1:]} <= got
 
 
+def test_long_suspects():
+    prose = "you are a complete idiot and the moron of them all said so you are not the one that we all like and they are not here " * 40
+    codes = [toxicity._LOWER[ord(c)] for c in prose]
+    model = toxicity.CharModel(Counter((0 if not b else int(a)) << 16 | int(b) << 8 | int(c) for a, b, c in zip(codes, codes[1:], codes[2:])))
+    plain = [f"{a}{b}" for a in ("stone", "water", "green", "light") for b in ("wood", "field", "house", "side")]
+    cases = [
+        " ".join("you are a complete idiot and".replace(" ", "")),
+        " ".join("you are a complete idiot and the moron of them all".replace(" ", "")) * 5,
+        "foo,bar,1d10t,baz",
+        ",".join([*plain[:5], "1d10t", *plain[5:7]]),
+        "http://example.org/" + "/".join(plain[:4]) + "/1d10t/index",
+        ",".join([*plain, *plain, "1d10t", *plain]),
+        ",".join([*plain, *plain, "i.d.i.o.t", *plain]),
+        "x" * 100_000 + ",1d10t," + "y" * 1000,
+    ]
+    for case in cases:
+        assert " idiot " in toxicity.restored(f"so {case} then", model, {}), case[:80]
+
+
 def test_suspects():
     text = "x é" * 1000 + " 1d10t"
     import numpy as np
