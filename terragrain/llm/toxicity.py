@@ -1,7 +1,7 @@
 """Toxicity scores of deobfuscated text by a noisy channel.
 
 1. *Character language model.*  Trigram counts over the letters of all
-   documents; each task packs its counts, and packs are added up in a tree,
+   documents, those beyond Latin-1 as shared symbols; each task packs its counts, and packs are added up in a tree,
    so what reaches the driver is bounded by the alphabet, not by the corpus.
 2. *Decoding.*  A suspect is a run of letters with digits or signs between
    them, of single letters parted by spaces or marks, or with a letter three
@@ -37,6 +37,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from unicodedata import category
 
 import ahocorasick
 import numpy as np
@@ -49,14 +50,24 @@ from .ngram_join import one_of_each
 from .session import checkpointed
 from .textnp import blocks, string_buffer
 
-#: Latin-1 letters in lower case; 0: no letter.  Characters beyond are 1.
-ALPHABET = 256
-_LOWER = np.zeros(0x110000, dtype=np.uint8)
-_LOWER[0x100:] = 1
-for _c in range(256):
+#: Letters, and marks that belong to them, in lower case; 0: no letter.  All scripts lie below the table's end.
+_LOWER = np.zeros(0x33480, dtype=np.uint32)
+for _c in range(len(_LOWER) - 1):
     _l = chr(_c).lower()
-    if _l.isalpha() and len(_l) == 1:
-        _LOWER[_c] = ord(_l) if ord(_l) < 256 else 1
+    if _l[0].isalpha() or (_c > 0xFF and category(chr(_c))[0] == "M"):
+        _LOWER[_c] = ord(_l[0])
+#: Symbols of the character model: Latin-1 letters are their own, others share the numbers these leave free, so consecutive letters of a script differ.
+_LATIN = np.unique(_LOWER[:0x100][_LOWER[:0x100] < 0x100])
+_FREE = np.setdiff1d(np.arange(1, 256), _LATIN).astype(np.uint8)
+_SYMBOL = _FREE[np.arange(len(_LOWER)) % len(_FREE)]
+_SYMBOL[_LATIN] = _LATIN
+del _c, _l
+
+
+def letters_of(points: np.ndarray) -> np.ndarray:
+    """Code points as letters in lower case, 0 for all else."""
+    return _LOWER[np.minimum(points, len(_LOWER) - 1)]
+
 
 # Signs of leetspeak and the letters they imitate.
 LEET = {
@@ -98,7 +109,7 @@ def suspect_ranges(points: np.ndarray) -> list[tuple[int, int]]:
     if n < 3:
         return []
     code = np.minimum(points, _TABLE - 1)
-    low = _LOWER[points]
+    low = letters_of(points)
     letter, gap = low > 0, _IS_GAP[code]
     near = np.zeros(n, dtype=bool)
     near[1:] = letter[1:] & (_IS_SIGN[code] | _IS_MARK[code])[:-1]
@@ -180,7 +191,7 @@ def decode(suspect: str, model: CharModel, parted: bool = False) -> str:
                 if letter == " ":
                     key, value = (0, 0), (cost + extra + (model.cost(a, b, 0) if b else 0.0), (" ", path))
                 elif letter:
-                    c = int(_LOWER[ord(letter)])
+                    c = int(_SYMBOL[letters_of(ord(letter))])
                     key, value = (b, c), (cost + extra + model.cost(a, b, c), (letter, path))
                 else:
                     key, value = (a, b), (cost + extra, path)
@@ -224,9 +235,9 @@ def restored(text: str, model: CharModel, known: dict[str, str]) -> str:
             more.append(got)
     if more:
         points = np.concatenate([points, np.frombuffer((" " + " ".join(more)).encode("utf-32-le"), dtype=np.uint32)])
-    codes = _LOWER[points]
+    codes = letters_of(points)
     codes[codes == 0] = 32
-    return " " + codes.tobytes().decode("latin-1") + " "
+    return " " + codes.tobytes().decode("utf-32-le") + " "
 
 
 def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +246,7 @@ def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buf, offsets = string_buffer(batch.column(0))
         for i, j in blocks(offsets):
             text = buf[offsets[i] : offsets[j]].tobytes().decode("utf-8", "replace")
-            codes = _LOWER[np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)]
+            codes = _SYMBOL[letters_of(np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32))]
             keep = np.ones(len(codes), dtype=bool)
             keep[1:] = (codes[1:] != 0) | (codes[:-1] != 0)
             c = np.concatenate([[0, 0], codes[keep], [0]]).astype(np.uint32)

@@ -329,7 +329,7 @@ def test_toxic_sample_keeps_texts_that_share_words(spark):
 
 def test_long_suspects():
     prose = "you are a complete idiot and the moron of them all said so you are not the one that we all like and they are not here " * 40
-    codes = [toxicity._LOWER[ord(c)] for c in prose]
+    codes = [int(toxicity._LOWER[ord(c)]) for c in prose]
     model = toxicity.CharModel(Counter((0 if not b else int(a)) << 16 | int(b) << 8 | int(c) for a, b, c in zip(codes, codes[1:], codes[2:])))
     plain = [f"{a}{b}" for a in ("stone", "water", "green", "light") for b in ("wood", "field", "house", "side")]
     cases = [
@@ -346,6 +346,21 @@ def test_long_suspects():
         assert " idiot " in toxicity.restored(f"so {case} then", model, {}), case[:80]
 
 
+def test_letters_beyond_latin1(spark):
+    model = toxicity.CharModel(Counter())
+    assert " idiot " in toxicity.restored("you \u201cidiot\u201d\u2026", model, {}) and " idiot " in toxicity.restored("idiot\U0001f600", model, {})
+    got = toxicity.restored("Дурак ΛΌΓΟΣ 中文 हिन्दी 𠀀", model, {})
+    assert " дурак " in got and " λόγοσ " in got and " 中文 " in got and " हिन्दी " in got and " 𠀀 " in got
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("бвгджзклмнпрст") for _ in range(5))
+    text = lambda extra: " ".join([word() for _ in range(25)] + [extra])
+    df = spark.createDataFrame([(1, text("дурак")) for _ in range(40)] + [(0, text(word())) for _ in range(80)], "label int, text string")
+    fitted = toxicity.fit(df, toxicity.char_model(df))
+    test = spark.createDataFrame([(0, text(word())), (1, text("«дурак»")), (2, text("ДУРАК"))], "doc_id long, text string")
+    got = {r.doc_id: r.score >= 0.3 for r in toxicity.score_toxicity(test, fitted, ["doc_id"]).collect()}
+    assert got == {0: False, 1: True, 2: True}
+
+
 def test_suspects():
     text = "x é" * 1000 + " 1d10t"
     import numpy as np
