@@ -1,46 +1,47 @@
-"""Removal of repeated line runs, by prefix doubling over line-ID sequences.
+"""Removal of repeated line runs, by a suffix array over line-ID sequences.
 
 A document is the sequence of its ``\\n``-parted lines that hold a word; a
-line's ID is a 64-bit hash of its bytes.  Suffixes are named by their first
-line, and each round names twice the length from the names at i and i + 2^k,
-keeping only suffixes whose name stands elsewhere too: the classes are the
-LCP intervals of that depth in the suffix array.  A last round overlaps two
-names for a depth that is no power of two.  In an interval of depth
-``min_lines`` the occurrence that comes first by (doc_id, line) is the
-original, all others are later copies.  Consecutive starts of later copies
-join to maximal repeated runs, whose lines are deleted.  Every run of
-``min_lines`` or more is a chain of intervals of that depth, so deeper ones
-would delete nothing further.
-
-With ``long_words`` shorter runs of more than so many words are deleted too.
-Rounds then add one line each, so that the intervals of every depth from one
-line up are met, and each start carries the words before and after its run.
-
-Suffixes of different intervals are never compared, so no global order is
-built; the rounds are joins by position and aggregations by name, both of
-which split or combine hot keys.  Only names are shuffled in the rounds; each
-text is shuffled once, to meet its deletions.
+line's ID is a 64-bit hash of its bytes.  Documents with equal sequences (by
+128 bits) are one class; the first of a class, by (doc_id, row key), stands for
+it in the suffix array, and the others are later copies as a whole, so a group
+of thousands of copies adds one sequence.  ``suffixes`` ranks all suffixes by
+prefix doubling until none can be told apart further, and takes the longest
+common prefixes (LCP) of neighbours.  An LCP interval of depth d is a set of
+occurrences of one run of d lines: the one that comes first by (doc_id, line)
+is the original, all others are later copies.  Intervals of ``min_lines`` or
+more count; with ``long_words`` those of fewer lines too, where the run has
+more than so many words.  Starts of later copies join to maximal runs, whose
+lines are deleted.  A longer repeated run is a chain of intervals of
+``min_lines``, so deeper ones delete nothing further; ``repeated_runs`` gives
+them.
+
+Sequences are written once; the rounds shuffle ranks, and each text is
+shuffled once, to meet its deletions.
 
 Defined results: a null text stays null with no lines; lines without a word
-are never part of a run and stay; a null doc_id comes last; rows that repeat
-wholly are judged as one; a document all of whose lines go becomes the empty
-text.  Other columns are carried, ``n_chars`` is counted anew.
+are never part of a run and stay; a null doc_id comes last; rows of one doc_id
+and text are one document and are treated alike, but each row without a doc_id
+is its own, so of equal ones all but one are later copies; a document all of
+whose lines go becomes the empty text; a very long text is one sequence like
+any other; an empty table gives an empty result.  Other columns are carried,
+whatever their names, and ``n_chars`` is counted anew.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .session import checkpointed, row_key
+from .suffixes import later_copies, suffix_array
 from .textnp import SPACE, blocks, grouped, spans, string_buffer
 
-_LAST = (1 << 63) - 1
+_LAST, _ALL = (1 << 63) - 1, (1 << 31) - 1
 
 
 def lines_of(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -71,80 +72,64 @@ def word_counts(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return counted[end] - counted[start]
 
 
-def _ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        buf, offsets = string_buffer(batch.column(2))
-        for i, j in blocks(offsets):
-            b = buf[offsets[i] : offsets[j]]
-            start, end, doc = lines_of(b, offsets[i : j + 1] - offsets[i])
-            keep = worded(b, start, end)
-            start, end, doc = start[keep], end[keep], doc[keep]
-            bounds = np.searchsorted(doc, np.arange(j - i + 1)).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(bounds), pa.array(spans(b, start, end).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), ids], ["rid", "ord", "ids"])
-
-
-def _ids_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """As ``_ids``, each line as (c, p, q): its ID and the words of its document before and after it."""
-    for batch in batches:
-        buf, offsets = string_buffer(batch.column(2))
-        for i, j in blocks(offsets):
-            b = buf[offsets[i] : offsets[j]]
-            start, end, doc = lines_of(b, offsets[i : j + 1] - offsets[i])
-            keep = worded(b, start, end)
-            start, end, doc = start[keep], end[keep], doc[keep]
-            bounds = np.searchsorted(doc, np.arange(j - i + 1)).astype(np.int32)
-            total = np.concatenate([[0], np.cumsum(word_counts(b, start, end))]).astype(np.int64)
-            total_of = total[bounds[doc]]
-            lines = pa.StructArray.from_arrays([pa.array(spans(b, start, end).view(np.int64)), pa.array(total[:-1] - total_of), pa.array(total[1:] - total_of)], ["c", "p", "q"])
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.ListArray.from_arrays(pa.array(bounds), lines)], ["rid", "ord", "ids"])
-
-
-def _named(suffixes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Suffixes (rid, i, ord, c) whose name recurs, and the first of each name."""
-    first = suffixes.groupBy("c").agg(F.count("*").alias("copies"), F.min(F.struct("ord", "rid", "i")).alias("first")).where("copies > 1")
-    return suffixes.join(first, "c"), first
-
-
-def _next(suffixes: DataFrame, step: int) -> DataFrame:
-    """Names of twice the length, or of ``step`` more lines."""
-    words = [c for c in ("p", "q") if c in suffixes.columns]
-    after = suffixes.select("rid", (F.col("i") - step).alias("i"), F.col("c").alias("d"), *[F.col(c).alias("e") for c in words[1:]]).where("i >= 0")
-    grown = [F.col("p"), F.col("e").alias("q")] if words else []
-    return suffixes.join(after, ["rid", "i"]).select("rid", "i", "ord", F.xxhash64("c", "d").alias("c"), *grown)
-
-
-def _later(named: DataFrame, length: int) -> DataFrame:
-    """(rid, i, n): occurrences that are not the first of their name."""
-    later = named.where((F.col("rid") != F.col("first.rid")) | (F.col("i") != F.col("first.i")))
-    return later.select("rid", "i", F.lit(length).alias("n"))
-
-
-def later_copies(docs: DataFrame, min_lines: int, long_words: int | None = None) -> DataFrame:
-    """(rid, i, n): starts of n lines that stand earlier too.
-
-    n is ``min_lines``, or less where the lines have over ``long_words``
-    words.  ``docs(rid, ord, text)``; i counts lines with a word from 0.
+_SEQUENCES = "rid long, ord long, cls binary, ids array<long>, cut array<int>"
+
+
+def _sequences(min_lines: int, long_words: int | None):
+    """Each document's line IDs, their class, and for each line the least lines from there on that make a run."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, offsets = string_buffer(batch.column(2))
+            for i, j in blocks(offsets):
+                b = buf[offsets[i] : offsets[j]]
+                start, end, doc = lines_of(b, offsets[i : j + 1] - offsets[i])
+                keep = worded(b, start, end)
+                start, end, doc = start[keep], end[keep], doc[keep]
+                first = np.searchsorted(doc, np.arange(j - i + 1)).astype(np.int32)
+                least = np.full(len(start), min_lines, dtype=np.int32)
+                if long_words is not None:
+                    total = grouped(word_counts(b, start, end))
+                    for n in range(min_lines - 1, 0, -1):
+                        at = np.arange(max(len(start) - n + 1, 0))
+                        inside = first[doc[at] + 1] >= at + n
+                        least[at[inside & (total[at + n] - total[at] > long_words)]] = n
+                names = [hashlib.md5(b"\n".join(b[x:y].tobytes() for x, y in zip(start[p:q], end[p:q], strict=True))).digest() for p, q in zip(first[:-1], first[1:], strict=True)]
+                lists = [pa.ListArray.from_arrays(pa.array(first), pa.array(x)) for x in (spans(b, start, end).view(np.int64), least)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(names, pa.binary()), *lists], ["rid", "ord", "cls", "ids", "cut"])
+
+    return run
+
+
+def _firsts(docs: DataFrame, min_lines: int, long_words: int | None) -> tuple[DataFrame, DataFrame]:
+    """Sequences with lines, and of those the first document of each class."""
+    ddl = docs.select("rid", "ord", "text").mapInArrow(_sequences(min_lines, long_words), _SEQUENCES)
+    every = checkpointed(ddl.where("size(ids) > 0"))
+    first = every.groupBy("cls").agg(F.min(F.struct("ord", "rid")).alias("first")).select("first.rid").withColumn("first", F.lit(True))
+    every = every.join(first, "rid", "left")
+    return every, checkpointed(every.where("first").dropDuplicates(["rid"]).select("rid", "ord", "ids", "cut"))
+
+
+def later_runs(docs: DataFrame, min_lines: int, long_words: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rid, i, n): n lines from line i on that stand earlier too; and (rid) of null ids, of equal rows of which all but one go.
+
+    ``docs(rid, ord, text)``; i counts lines with a word from 0.
     """
-    if long_words is None:
-        sequences = docs.mapInArrow(_ids, "rid long, ord long, ids array<long>").dropDuplicates(["rid"])
-        suffixes = sequences.select("rid", "ord", F.posexplode("ids").alias("i", "c")).select("rid", "i", "ord", "c")
-    else:
-        sequences = docs.mapInArrow(_ids_words, "rid long, ord long, ids array<struct<c: long, p: long, q: long>>").dropDuplicates(["rid"])
-        suffixes = sequences.select("rid", "ord", F.posexplode("ids").alias("i", "x")).select("rid", "i", "ord", "x.c", "x.p", "x.q")
-    length, found = 1, []
-    while length < min_lines:
-        named = _named(suffixes)[0].select(*suffixes.columns, "first")
-        if long_words is None:
-            recurring = checkpointed(named.drop("first"))
-        else:
-            named = checkpointed(named)
-            found.append(_later(named.where(F.col("q") - F.col("p") > long_words), length))
-            recurring = named.drop("first")
-        step = min(length if long_words is None else 1, min_lines - length)
-        suffixes, length = _next(recurring, step), length + step
-    found.append(_later(_named(suffixes)[0], length))
-    return reduce(DataFrame.union, found)
+    every, sequences = _firsts(docs, min_lines, long_words)
+    found = later_copies(sequences.select("rid", "ord", "ids"), [min_lines] if long_words is None else list(range(1, min_lines + 1)))
+    need = sequences.select("rid", F.posexplode("cut").alias("i", "need")) if long_words is not None else None
+    runs = found if need is None else found.join(need, ["rid", "i"]).where("n >= need")
+    # a later copy as a whole is a run if any run starts in it, or if all its words make one
+    whole = F.exists(F.zip_with("cut", F.sequence(F.lit(0), F.size("cut") - 1), lambda c, k: c + k <= F.size("cut")), lambda x: x)
+    copies = every.where("first is null and size(ids) > 0").where(whole).select("rid", F.lit(0).alias("i"), F.size("ids").alias("n"))
+    again = every.where(F.col("ord") == _LAST).where(whole).groupBy("rid").count().where("count > 1").select("rid")
+    return runs.select("rid", "i", "n").union(copies), again
+
+
+def repeated_runs(docs: DataFrame) -> DataFrame:
+    """(place, rid, i, lcp) of every line that stands twice: the suffix array of the classes of ``docs(doc_id, text)``, with LCP."""
+    rows = docs.select(row_key("doc_id", "text").alias("rid"), order_of(F.col("doc_id")).alias("ord"), "text")
+    return suffix_array(_firsts(rows, 1, None)[1].select("rid", "ids"))
 
 
 _ADDED = [("n_lines", pa.int64()), ("n_removed", pa.int64()), ("n_runs", pa.int64()), ("kept", pa.string())]
@@ -168,7 +153,7 @@ def _delete(carried: int):
                         step = np.zeros(n_lines[d] + 1, dtype=np.int64)
                         begin, length = np.array([(x["i"], x["n"]) for x in at]).T
                         np.add.at(step, begin, 1)
-                        np.add.at(step, begin + length, -1)
+                        np.add.at(step, np.minimum(begin + length, n_lines[d]), -1)
                         gone = np.cumsum(step[:-1]) > 0
                         out = set((solid[first[d] : first[d + 1]][gone] - np.searchsorted(doc, d)).tolist())
                         removed[d], runs[d] = gone.sum(), np.diff(np.concatenate([[0], gone.view(np.int8)])).clip(0).sum()
@@ -187,10 +172,20 @@ def order_of(doc_id: Column) -> Column:
 def _cleaned(docs: DataFrame, keep: list[str], min_lines: int, long_words: int | None) -> DataFrame:
     """Columns c0.. for ``keep``, then n_lines, n_removed, n_runs and kept."""
     rid, order = row_key("doc_id", "text"), order_of(F.col("doc_id"))
-    rows = docs.select(*[F.col(c).alias(f"c{k}") for k, c in enumerate(keep)], F.col("text").alias("__text"), rid.alias("__rid"))
-    starts = later_copies(docs.select(rid.alias("rid"), order.alias("ord"), "text"), min_lines, long_words)
+    rows = docs.select(*[F.col(c).alias(f"c{k}") for k, c in enumerate(keep)], F.col("text").alias("__text"), rid.alias("__rid"), F.col("doc_id").isNull().alias("__null"))
+    starts, again = later_runs(docs.select(rid.alias("rid"), order.alias("ord"), "text"), min_lines, long_words)
     starts = starts.groupBy(F.col("rid").alias("__rid")).agg(F.collect_set(F.struct("i", "n")).alias("__at"))
-    met = rows.join(starts, "__rid", "left").drop("__rid").select(*[f"c{k}" for k in range(len(keep))], "__text", "__at")
+    again = checkpointed(again.select(F.col("rid").alias("__rid")))
+    carried = [f"c{k}" for k in range(len(keep))]
+    if again.isEmpty():
+        met = rows.join(starts, "__rid", "left").select(*carried, "__text", "__at")
+    else:
+        same = rows.where("__null").join(again, "__rid", "left_semi")
+        nth = F.row_number().over(Window.partitionBy("__rid").orderBy("__rid"))
+        all_lines = F.array(F.struct(F.lit(0).alias("i"), F.lit(_ALL).alias("n")))
+        same = same.withColumn("__nth", nth).join(starts, "__rid", "left").select(*carried, "__text", F.when(F.col("__nth") > 1, all_lines).otherwise(F.col("__at")).alias("__at"))
+        others = rows.where("not __null").union(rows.where("__null").join(again, "__rid", "left_anti").select(*rows.columns))
+        met = others.join(starts, "__rid", "left").select(*carried, "__text", "__at").union(same)
     ddl = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in met.schema.fields[:-2]] + ["n_lines long", "n_removed long", "n_runs long", "kept string"])
     return met.mapInArrow(_delete(len(keep)), ddl)
 

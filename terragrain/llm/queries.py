@@ -143,7 +143,7 @@ QUERIES["op10_toxicity"] = op10_toxicity
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    out = line_dedup(docs, ["doc_id"])
+    out = line_dedup(docs, ["doc_id"], long_words=50)
     return out.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
 
 
@@ -151,10 +151,10 @@ QUERIES["op7_line_dedup"] = op7_line_dedup
 ORACLES["op7_line_dedup"] = r"""
 WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE text IS NOT NULL),
 l AS (SELECT doc_id, i, s[i] AS line FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM s)),
-w AS (SELECT doc_id, i, line, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS j FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
-t AS (SELECT doc_id, i, j, line, lead(line, 1) OVER d AS l2, lead(line, 2) OVER d AS l3 FROM w WINDOW d AS (PARTITION BY doc_id ORDER BY j)),
-c AS (SELECT doc_id, i, j, l3 IS NOT NULL AND row_number() OVER (PARTITION BY line, l2, l3 ORDER BY doc_id, j) > 1 AS again FROM t),
-g AS (SELECT doc_id, i, j, bool_or(again) OVER (PARTITION BY doc_id ORDER BY j ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS gone FROM c),
+w AS (SELECT doc_id, i, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS j FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+t AS (SELECT doc_id, i, j, n, line, lead(n, 1) OVER d AS n2, lead(line, 1) OVER d AS l2, lead(line, 2) OVER d AS l3 FROM w WINDOW d AS (PARTITION BY doc_id ORDER BY j)),
+c AS (SELECT doc_id, i, j, n > 50 AND row_number() OVER (PARTITION BY line ORDER BY doc_id, j) > 1 AS one, coalesce(n + n2 > 50, false) AND row_number() OVER (PARTITION BY line, l2 ORDER BY doc_id, j) > 1 AS two, l3 IS NOT NULL AND row_number() OVER (PARTITION BY line, l2, l3 ORDER BY doc_id, j) > 1 AS three FROM t),
+g AS (SELECT doc_id, i, j, one OR bool_or(two) OVER (PARTITION BY doc_id ORDER BY j ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) OR bool_or(three) OVER (PARTITION BY doc_id ORDER BY j ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS gone FROM c),
 r AS (SELECT doc_id, i, gone, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY j), false) AS begins FROM g),
 k AS (SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.i) FILTER (WHERE NOT coalesce(gone, false)) AS kept, CAST(count(r.i) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_removed, CAST(count(*) FILTER (WHERE begins) AS BIGINT) AS n_runs FROM l LEFT JOIN r ON r.doc_id = l.doc_id AND r.i = l.i GROUP BY l.doc_id)
 SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_runs, 0) AS n_runs, sha256(coalesce(kept, '')) AS kept_sha256
