@@ -7,25 +7,36 @@ and windows are compared by 64-bit hash.  A text fails the base rules with
 fewer than ten words or over a fifth of its words in repeated windows.
 
 The statistics are then transformed (square roots of damped shares, log of
-mean word length) into vectors.  For each language and source a minimum
-covariance determinant estimate is fitted over all its rows: from medians and
-quartiles, concentration steps keep the ``support`` share of rows nearest by
-Mahalanobis distance and take their mean and covariance anew.  Distances are
-ranked by fine histograms, so every step is an aggregation and no group is
-held in a task.  A floor on the variances keeps a statistic that is constant
-in clean text from rejecting a trace of it.  A row is rejected when its squared
-distance exceeds ``cutoff``.
-
-Groups of fewer than ``min_rows`` rows are pooled by language, then all
-together; what is still smaller gets no robust verdict.
+mean word length) into vectors.  For each language and source the minimum
+covariance determinant estimate is sought over all its rows: the mean and
+covariance of the ``support`` share of rows whose covariance has the least
+determinant.  Three starts are made from medians and quartiles: the diagonal
+of the variances, the correlation of hyperbolic tangents, and that of spatial
+signs.  From each, concentration steps keep the nearest rows by Mahalanobis
+distance and estimate anew until no determinant falls further; the start with
+the least determinant stays.  The covariance is scaled to be consistent for
+normal data, and regularised by the square of ``floor``, the smallest standard
+deviation that is told apart, so that a statistic that is constant in clean
+text does not reject a trace of it.  A row is rejected when its squared distance exceeds
+the chi-square quantile of ``1 - tail``.
+
+Distances are ranked by fine histograms, so every step is an aggregation with
+partial sums and no group is held in a task; models, whose number is counted,
+are broadcast up to ``broadcast_models`` and joined beyond.  An estimate needs
+more than five rows for each dimension: a group with fewer takes the
+estimate of all rows of its language, and that of the whole table where the
+language has too few.  Every row gets a verdict.
 
 Defined results: a null or wordless text has zero counts and fails; null
-language or source is a value like any other; repeated rows count each;
-an empty table gives an empty result.  Extra columns are not read.
+language or source is a value like any other; repeated rows count each; equal
+distances fall on one side of a cut together; a very long text is counted
+whole; an empty table gives an empty result.  Extra columns are not read, and
+``passing`` carries them whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -34,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .session import checkpointed, row_key
+from .session import checkpointed, fresh, row_key
 from .textnp import SPACE, Words, blocks, grams, grouped, spans, string_buffer, within
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -102,12 +113,12 @@ def statistics(buf: np.ndarray, offsets: np.ndarray, window: int = 5) -> dict[st
     return out
 
 
-_STATS = [("key", pa.int64()), *((c, pa.int64()) for c in COUNTS), *((c, pa.float64()) for c in VECTOR)]
+_STATS = [("doc_id", None), ("key", pa.int64()), ("g0", pa.int64()), ("g1", pa.int64()), *((c, pa.int64()) for c in COUNTS), *((c, pa.float64()) for c in VECTOR)]
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        buf, offsets = string_buffer(batch.column(1))
+        buf, offsets = string_buffer(batch.column(4))
         for i, j in blocks(offsets):
             s = statistics(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             share = lambda a, b, damp: np.sqrt(s[a] / (s[b] + damp))  # noqa: E731, B023
@@ -119,40 +130,112 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 share("n_upper", "word_chars", 5 * DAMP),
                 share("n_digits", "word_chars", 5 * DAMP),
             ]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *(pa.array(s[c].astype(np.int64)) for c in COUNTS), *(pa.array(np.round(v, 9)) for v in vector)], schema=pa.schema(_STATS))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in range(4)), *(pa.array(s[c].astype(np.int64)) for c in COUNTS), *(pa.array(np.round(v, 9)) for v in vector)], [n for n, _ in _STATS])
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """(key, the counts, the vector) for each row of ``docs(doc_id, text)``; key is the row's."""
-    return docs.select(row_key("doc_id", "text", "lang", "source").alias("key"), "text").mapInArrow(_measure, ", ".join(f"{n} {'double' if t == pa.float64() else 'long'}" for n, t in _STATS))
+    """(doc_id, key, g0, g1, the counts, the vector) for each row of ``docs(doc_id, text, lang, source)``.
 
+    ``key`` is the row's, ``g0`` names its language and source, ``g1`` its language.
+    """
+    rows = docs.select("doc_id", row_key("doc_id", "text", "lang", "source").alias("key"), row_key("lang", "source").alias("g0"), row_key("lang").alias("g1"), "text")
+    ddl = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, key long, g0 long, g1 long, " + ", ".join([f"{c} long" for c in COUNTS] + [f"{c} double" for c in VECTOR])
+    return rows.mapInArrow(_measure, ddl)
 
-def _fit_from_moments(floor: np.ndarray, scale: float):
+
+def _gamma_share(a: float, x: float) -> float:
+    """The regularised lower incomplete gamma function, by its series."""
+    term = total = 1.0 / a
+    n = a
+    while abs(term) > 1e-17 * abs(total) and n < a + 10_000:
+        n += 1
+        term *= x / n
+        total += term
+    return 0.0 if x <= 0 else min(1.0, total * math.exp(a * math.log(x) - x - math.lgamma(a)))
+
+
+def chi_square_share(x: float, k: int) -> float:
+    """P(chi-square of k degrees <= x)."""
+    return _gamma_share(k / 2, x / 2)
+
+
+def chi_square_quantile(share: float, k: int) -> float:
+    low, high = 0.0, 1.0
+    while chi_square_share(high, k) < share:
+        high *= 2
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if chi_square_share(mid, k) < share else (low, mid)
+    return high
+
+
+def consistency(support: float, k: int) -> float:
+    """What the covariance of the nearest ``support`` share of normal rows is scaled by."""
+    return 1.0 if support >= 1 else support / chi_square_share(chi_square_quantile(support, k), k + 2)
+
+
+_MODEL = "g long, start int, mean array<double>, inv array<double>, logdet double"
+
+
+def _model_batch(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.int64(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64()]
+    return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(types)], ["g", "start", "mean", "inv", "logdet"])
+
+
+def _one(g: int, start: int, mean: np.ndarray, cov: np.ndarray) -> tuple:
+    return g, start, mean.tolist(), np.linalg.inv(cov).ravel().tolist(), float(np.linalg.slogdet(cov)[1])
+
+
+def _symmetric(r: dict, name: str, p: int) -> np.ndarray:
+    out = np.zeros((p, p))
+    for i in range(p):
+        for j in range(i, p):
+            out[i, j] = out[j, i] = r[f"{name}{i}_{j}"] or 0.0
+    return out
+
+
+def _from_moments(floor: np.ndarray, scale: float):
+    """Models of the rows that a concentration step kept."""
     p = len(floor)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = {"g": [], "mean": [], "inv": []}
+            out = []
             for r in batch.to_pylist():
-                n = max(r["n"], 1)
-                mean = np.array([r[f"s{i}"] for i in range(p)]) / n
-                cov = np.zeros((p, p))
-                for i in range(p):
-                    for j in range(i, p):
-                        cov[i, j] = cov[j, i] = r[f"c{i}_{j}"] / n - mean[i] * mean[j]
-                rows["g"].append(r["g"])
-                rows["mean"].append(mean.tolist())
-                rows["inv"].append(np.linalg.inv(scale * cov + np.diag(floor**2)).ravel().tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(rows["g"], pa.int64()), pa.array(rows["mean"], pa.list_(pa.float64())), pa.array(rows["inv"], pa.list_(pa.float64()))], ["g", "mean", "inv"])
+                mean = np.array([r[f"s{i}"] for i in range(p)]) / r["n"]
+                out.append(_one(r["g"], r["start"], mean, scale * (_symmetric(r, "c", p) / r["n"] - np.outer(mean, mean)) + np.diag(floor**2)))
+            yield _model_batch(out)
 
     return run
 
 
-_MODEL = "g long, mean array<double>, inv array<double>"
+def _from_scores(floor: np.ndarray):
+    """Three first models of each group: variances alone, correlation of tangents, correlation of spatial signs."""
+    p = len(floor)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                mean, dev, n = np.array(r["mid"]), np.array(r["dev"]), r["n"]
+                t = np.array([r[f"t{i}"] for i in range(p)]) / n
+                tangents = _symmetric(r, "tt", p) / n - np.outer(t, t) + 1e-6 * np.eye(p)
+                tangents /= np.sqrt(np.outer(np.diag(tangents), np.diag(tangents)))
+                signs = p * _symmetric(r, "uu", p) / n
+                for k, shape in enumerate((np.eye(p), tangents, signs)):
+                    out.append(_one(r["g"], k, mean, np.outer(dev, dev) * shape + np.diag(floor**2)))
+            yield _model_batch(out)
+
+    return run
+
+
+def _products(columns: list, name: str) -> list:
+    p = len(columns)
+    return [F.sum(columns[i] * columns[j]).alias(f"{name}{i}_{j}") for i in range(p) for j in range(i, p)]
 
 
-def _first_model(rows: DataFrame, floor: np.ndarray) -> DataFrame:
-    """Medians, and variances from quartiles, by histograms of 1/512."""
+def _middles(rows: DataFrame, floor: np.ndarray) -> DataFrame:
+    """(g, mid, dev): medians, and deviations from quartiles, by histograms of 1/512."""
     each = rows.select("g", F.posexplode(F.array(*VECTOR)).alias("i", "x"))
     bins = each.groupBy("g", "i", F.floor(F.col("x") * 512).alias("b")).count()
     line = Window.partitionBy("g", "i")
@@ -160,56 +243,87 @@ def _first_model(rows: DataFrame, floor: np.ndarray) -> DataFrame:
     at = lambda q: F.min(F.when(F.col("below") >= q * F.col("n"), F.col("b")))
     q = bins.groupBy("g", "i").agg(((at(0.5) + 0.5) / 512).alias("mid"), ((at(0.75) - at(0.25)) / 512 / 1.349).alias("dev"))
     q = q.withColumn("floor", F.element_at(F.array(*[F.lit(float(x)) for x in floor]), F.col("i") + 1))
-    q = q.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("i", "mid", (1 / (F.col("dev") * F.col("dev") + F.col("floor") * F.col("floor"))).alias("w")))).alias("all"))
+    q = q.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("i", "mid", F.hypot("dev", "floor").alias("dev")))).alias("all"))
+    return q.select("g", F.transform("all", lambda x: x["mid"]).alias("mid"), F.transform("all", lambda x: x["dev"]).alias("dev"))
+
+
+def _counted(df: DataFrame, rows: int) -> DataFrame:
+    """A written table, broadcast only if its counted rows stay within the bound."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def _first_models(rows: DataFrame, floor: np.ndarray, broadcast_models: int) -> DataFrame:
     p = len(floor)
-    inv = F.flatten(F.array(*[F.array(*[F.get("all", i)["w"] if i == j else F.lit(0.0) for j in range(p)]) for i in range(p)]))
-    return q.select("g", F.transform("all", lambda x: x["mid"]).alias("mean"), inv.alias("inv"))
+    middles = checkpointed(_middles(rows, floor))
+    z = rows.join(_counted(middles, broadcast_models), "g")
+    z = z.select("g", "mid", "dev", *[((F.col(VECTOR[i]) - F.get("mid", F.lit(i))) / F.get("dev", F.lit(i))).alias(f"z{i}") for i in range(p)])
+    size = F.sqrt(reduce(lambda a, b: a + b, [F.col(f"z{i}") * F.col(f"z{i}") for i in range(p)]))
+    z = z.withColumn("size", F.greatest(size, F.lit(1e-9)))
+    z = z.select("g", "mid", "dev", *[F.tanh(f"z{i}").alias(f"t{i}") for i in range(p)], *[(F.col(f"z{i}") / F.col("size")).alias(f"u{i}") for i in range(p)])
+    t, u = ([F.col(f"{c}{i}") for i in range(p)] for c in "tu")
+    sums = z.groupBy("g").agg(F.first("mid").alias("mid"), F.first("dev").alias("dev"), F.count("*").alias("n"), *[F.sum(f"t{i}").alias(f"t{i}") for i in range(p)], *_products(t, "tt"), *_products(u, "uu"))
+    return checkpointed(sums.mapInArrow(_from_scores(floor), _MODEL))
 
 
 def _distance(p: int):
     d = [F.col(VECTOR[i]) - F.get("mean", F.lit(i)) for i in range(p)]
     terms = [F.get("inv", F.lit(i * p + j)) * d[i] * d[j] * (1 if i == j else 2) for i in range(p) for j in range(i, p)]
-    return reduce(lambda a, b: a + b, terms)
+    return F.greatest(F.lit(0.0), reduce(lambda a, b: a + b, terms))
 
 
-def outliers(rows: DataFrame, support: float = 0.75, steps: int = 2, cutoff: float = 30.0, min_rows: int = 100, floor: np.ndarray = FLOOR) -> DataFrame:
-    """(key, d2, rejected) from rows of key, lang, source and the vector."""
+def covariance_determinants(rows: DataFrame, support: float = 0.75, floor: np.ndarray = FLOOR, steps: int = 50, broadcast_models: int = 50_000) -> DataFrame:
+    """(g, mean, inv, logdet): the estimate of each group of ``rows(g, the vector)`` with the least determinant.
+
+    Concentration goes on until no determinant falls by a ten-thousandth;
+    ``steps`` only ends a loop that rounding would keep alive.
+    """
     p = len(VECTOR)
-    name = lambda *c: row_key(*c)
-    rows = rows.withColumn("g0", name("lang", "source")).withColumn("g1", name("lang"))
-    small = rows.groupBy("g0", "g1").count().withColumn("n1", F.sum(F.when(F.col("count") < min_rows, F.col("count")).otherwise(0)).over(Window.partitionBy("g1")))
-    g = F.when(F.col("count") >= min_rows, F.col("g0")).when(F.col("n1") >= min_rows, F.col("g1")).otherwise(F.lit(0))
-    rows = checkpointed(rows.join(small.select(F.col("g0"), g.alias("g")), "g0").select("key", "g", *VECTOR))
-    model = checkpointed(_first_model(rows, floor))
-    for step in range(steps + 1):
-        near = rows.join(model, "g").withColumn("d2", F.greatest(F.lit(0.0), _distance(p))).withColumn("b", F.floor(F.log2(F.col("d2") + 1e-9) * 64).cast("long"))
-        bins = near.groupBy("g", "b").count()
-        line = Window.partitionBy("g")
+    model, scale = _first_models(rows, floor, broadcast_models), consistency(support, p)
+    for _ in range(steps):
+        near = rows.join(_counted(model, broadcast_models), "g").withColumn("d2", _distance(p)).withColumn("b", F.floor(F.log2(F.col("d2") + 1e-9) * 64).cast("long"))
+        bins = near.groupBy("g", "start", "b").count()
+        line = Window.partitionBy("g", "start")
         bins = bins.withColumn("below", F.sum("count").over(line.orderBy("b"))).withColumn("n", F.sum("count").over(line))
-        inner = F.min(F.when(F.col("below") >= support * F.col("n"), F.col("b")))
-        cut = bins.groupBy("g").agg(inner.alias("inner"), F.first("n").alias("rows"))
-        if step == steps:
+        cut = checkpointed(bins.groupBy("g", "start").agg(F.min(F.when(F.col("below") >= support * F.col("n"), F.col("b"))).alias("inner")))
+        core = near.join(_counted(cut, broadcast_models), ["g", "start"]).where(F.col("b") <= F.col("inner"))
+        moments = core.groupBy("g", "start").agg(F.count("*").alias("n"), *[F.sum(VECTOR[i]).alias(f"s{i}") for i in range(p)], *_products([F.col(v) for v in VECTOR], "c"))
+        fresh_ = checkpointed(moments.mapInArrow(_from_moments(floor, scale), _MODEL))
+        fell = fresh_.join(model.select("g", "start", F.col("logdet").alias("before")), ["g", "start"]).agg(F.max(F.col("before") - F.col("logdet"))).first()[0]
+        model = fresh_
+        if fell is None or fell < 1e-4:
             break
-        core = near.join(cut, "g").where(F.col("b") <= F.col("inner"))
-        sums = [F.sum(VECTOR[i]).alias(f"s{i}") for i in range(p)] + [F.sum(F.col(VECTOR[i]) * F.col(VECTOR[j])).alias(f"c{i}_{j}") for i in range(p) for j in range(i, p)]
-        moments = core.groupBy("g").agg(F.count("*").alias("n"), *sums)
-        model = checkpointed(moments.mapInArrow(_fit_from_moments(floor, 2.0), _MODEL))
-    enough = F.col("rows") >= min_rows
-    return near.join(cut, "g").select("key", "d2", (enough & (F.col("d2") > cutoff)).alias("rejected"))
+    return model.groupBy("g").agg(F.min_by(F.struct("mean", "inv", "logdet"), F.struct("logdet", "start")).alias("m")).select("g", "m.*")
+
+
+def outliers(rows: DataFrame, tail: float = 1e-3, min_rows: int = 5 * len(VECTOR) + 1, broadcast_models: int = 50_000, **options) -> DataFrame:
+    """``rows(g0, g1, the vector, ...)`` with d2 and rejected."""
+    p = len(VECTOR)
+    size = rows.groupBy("g0", "g1").count()
+    size = size.withColumn("n1", F.sum("count").over(Window.partitionBy("g1")))
+    level = F.when(F.col("count") >= min_rows, 0).when(F.col("n1") >= min_rows, 1).otherwise(2)
+    g = F.when(F.col("level") == 0, F.col("g0")).when(F.col("level") == 1, F.col("g1")).otherwise(F.lit(0))
+    pooled = F.max((F.col("level") == 1).cast("int")).over(Window.partitionBy("g1"))
+    groups = checkpointed(size.withColumn("level", level).select("g0", "level", g.alias("g"), pooled.alias("pooled")))
+    whole = not groups.where("level = 2").isEmpty()
+    placed = rows.join(_counted(groups, broadcast_models), "g0")
+    # a row is learned from in its own group, and in the pools that smaller groups take their estimate from
+    pools = F.array_compact(F.array(F.when(F.col("level") == 0, F.col("g0")), F.when(F.col("pooled") == 1, F.col("g1")), F.when(F.lit(whole), F.lit(0).cast("long"))))
+    learned = checkpointed(placed.select(F.explode(pools).alias("g"), *VECTOR))
+    model = checkpointed(covariance_determinants(learned, broadcast_models=broadcast_models, **options))
+    judged = placed.join(_counted(model.select("g", "mean", "inv"), broadcast_models), "g").withColumn("d2", _distance(p))
+    return judged.withColumn("rejected", F.col("d2") > chi_square_quantile(1 - tail, p)).drop("g", "level", "pooled", "mean", "inv")
 
 
 def quality_rules(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, key, the counts, base_failed, d2, kept) for ``docs(doc_id, text, lang, source)``."""
-    ids = docs.select("doc_id", "lang", "source", row_key("doc_id", "text", "lang", "source").alias("key")).dropDuplicates(["key"])
     stats = checkpointed(measured(docs))
-    once = stats.dropDuplicates(["key"]).join(ids, "key")
-    verdict = outliers(once.select("key", "lang", "source", *VECTOR), **options)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    out = stats.select("key", *COUNTS).join(ids.select("key", "doc_id"), "key").join(verdict, "key")
+    out = outliers(stats, **options)
     return out.select("doc_id", "key", *COUNTS, failed.alias("base_failed"), "d2", (~failed & ~F.col("rejected")).alias("kept"))
 
 
 def passing(docs: DataFrame, **options) -> DataFrame:
     """``docs`` without the rows that the rules reject; all columns stay."""
-    kept = quality_rules(docs, **options).where("kept").select(F.col("key").alias("__key")).distinct()
-    return docs.withColumn("__key", row_key("doc_id", "text", "lang", "source")).join(kept, "__key", "left_semi").drop("__key")
+    key = fresh(docs, "key")
+    kept = quality_rules(docs, **options).where("kept").select(F.col("key").alias(key)).distinct()
+    return docs.withColumn(key, row_key("doc_id", "text", "lang", "source")).join(kept, key, "left_semi").drop(key)

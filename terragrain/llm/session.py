@@ -11,13 +11,17 @@ from pyspark.sql import functions as F
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for written intermediates.
 
-    A cluster names it in ``spark.checkpoint.dir``.  Only where neither that
-    nor a context's own folder is set, as in local tests, one is made.
+    A cluster names it in ``spark.checkpoint.dir``.  Where neither that nor a
+    context's own folder is set, one is made for a local master, as in tests;
+    on a cluster a folder of the driver's disk would not be shared, so that is
+    an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     have = spark.sparkContext._jsc.sc().getCheckpointDir()
     if have.isDefined():
         return named or have.get()
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     made = named or tempfile.mkdtemp(prefix="terragrain-")
     spark.sparkContext.setCheckpointDir(made)
     return made
@@ -37,3 +41,11 @@ def partitions(spark: SparkSession, least: int = 1) -> int:
 def row_key(*columns: str):
     """A 64-bit key of a row's identity and content; null columns count too."""
     return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\u0000null")) for c in columns])
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    out = f"__{name}"
+    while out.lower() in {c.lower() for c in df.columns}:
+        out += "_"
+    return out
