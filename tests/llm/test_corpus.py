@@ -1,6 +1,7 @@
 """Corpus operators against brute force on small tables with odd rows."""
 
 import base64
+import gzip
 import hashlib
 import random
 import re
@@ -16,7 +17,7 @@ from terragrain.llm.mixing import mix
 from terragrain.llm.ngram_join import ngram_components, one_of_each
 from terragrain.llm.quality_rules import passing, quality_rules
 from terragrain.llm.substring_dedup import substring_dedup
-from terragrain.llm.warc import candidates, reachable, read_warc, round_trip, write_warc
+from terragrain.llm.warc import read_warc, round_trip, write_warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Extra columns named like the operators' own.
@@ -274,11 +275,50 @@ def test_warc_round_trip(spark, tmp_path):
     assert round_trip(pages.limit(0)).count() == 0
 
 
-def test_broken_chain():
-    record = b"WARC/1.1\r\nContent-Length: 2\r\n\r\nab\r\n\r\n"
-    data = record + record[:-3]
-    at, to, _ = candidates(data)
-    assert reachable(at, to, len(data))[1] is False and reachable(*candidates(record * 9)[:2], len(record) * 9)[1]
+def _record(payload: bytes, kind: str = "response", length: int | None = None) -> bytes:
+    return b"WARC/1.1\r\nWARC-Type: %s\r\nWARC-Record-ID: <x:%d>\r\nContent-Length: %d\r\n\r\n" % (kind.encode(), len(payload), len(payload) if length is None else length) + payload + b"\r\n\r\n"
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_archives_of_many_ranges(spark, tmp_path, packed):
+    """Chains over byte ranges, with traps, long payloads and payloads that end in blank lines at range borders."""
+    rng = random.Random(9)
+    trap = _record(b"trap")
+    deep = b"WARC/1.1\r\nContent-Length: 5\r\nA: b\r\n"
+    payloads = [b"", b"\r\n", b"\r\n\r\n", b"a\r", b"x" * 9000, trap * 70, deep * 90, b"A: b\r\n" * 700, b"WARC/1.1\r\n" * 300, _record(b"", length=10**9), b"no header" + trap[:-1], bytes(range(256)) * 20]
+    payloads += [b"line\n" * rng.randrange(200) + rng.choice([b"", b"\r\n", trap, deep]) for _ in range(150)]
+    (tmp_path / "w").mkdir()
+    want = []
+    for k in range(3):
+        rng.shuffle(payloads)
+        data, at = b"", []
+        for p in payloads:
+            at.append(len(data))
+            data += _record(p)
+        name = f"{k}.warc" + ".gz" * packed
+        (tmp_path / "w" / name).write_bytes(b"".join(gzip.compress(data[x:y]) for x, y in zip(at, [*at[1:], None])) if packed else data)
+        want += [(name, x, len(p), base64.b32encode(hashlib.sha1(p).digest()).decode()) for x, p in zip(at, payloads)]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        got = read_warc(spark, f"{tmp_path}/w", payloads=True, at_once=40).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted((r.archive.rsplit("/", 1)[-1], r.offset, r.payload_bytes, r.payload_digest) for r in got) == sorted(want)
+    assert all(hashlib.sha1(bytes(r.payload)).digest() == base64.b32decode(r.payload_digest) for r in got)
+
+
+def test_broken_chain(spark, tmp_path):
+    record = _record(b"ab")
+    for name, data, whole in (("a", record * 9, 9), ("b", record + record[:-3], 1), ("c", record + record[:-1], 1), ("d", b"x" + record, 0), ("e", record + _record(b"abc", length=2) + record, 1)):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "x.warc").write_bytes(data)
+        if whole == 9:
+            assert read_warc(spark, f"{tmp_path}/{name}").count() == 9
+        else:
+            with pytest.raises(ValueError, match="breaks off"):
+                read_warc(spark, f"{tmp_path}/{name}")
+        assert read_warc(spark, f"{tmp_path}/{name}", strict=False).count() == whole
 
 
 def test_classifiers(spark, empty):
