@@ -38,6 +38,12 @@ def partitions(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def shards_of(docs: DataFrame, text: str, bytes_each: int) -> int:
+    """Shards for work that holds a slice of all of a text column's content: as many as its counted bytes need, or the session's partitions."""
+    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return partitions(docs.sparkSession, -(-int(total) // bytes_each))
+
+
 def row_key(*columns: str):
     """A 64-bit key of a row's identity and content; null columns count too."""
     return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\u0000null")) for c in columns])
