@@ -18,19 +18,27 @@ by block of columns and only where it can matter:
    with the leader of most of those columns, the class whose columns are the
    most common, which is the middle of its group; verified links make first
    components.
-4. *Size-derived bounds.*  Columns that still hold different components give
-   the remaining pairs.  Two rows of a and b columns need an overlap of
-   o = ceil(t/(1+t) * (a+b)), so their first shared column stands among the
-   first a - o + 1 of one and b - o + 1 of the other; entries of the product
-   that stand later are discarded before they are formed.
-5. What is left is verified: whole rows are multiplied and their overlap is
-   counted.  Pairs inside one component are never formed, so a group of
-   thousands of near copies costs a few comparisons for each, not all pairs;
-   no link between components is lost.
+4. *Leading columns.*  Columns that still hold different components give the
+   remaining pairs: the product of the leading columns alone counts what two
+   rows share there.  Two rows of a and b columns need an overlap of
+   o = ceil(t/(1+t) * (a+b)).  The smaller row's entries count only among its
+   first a - ceil(2t/(1+t)*a) + 1 columns, the larger one's among its first
+   b - ceil(t*b) + 1, and a pair is discarded when what it shares so far and
+   what is left behind its last shared column cannot reach o.
+5. *Whole rows.*  The product of whole rows is formed for the pairs that are
+   left: rows are cut by column into ``blocks`` parts, each part's product
+   is one partial overlap, and the partial overlaps of a pair are added up and
+   held against o.  Pairs inside one component are never formed, so
+   a group of thousands of near copies costs a few comparisons for each, not
+   all pairs; no link between components is lost.
+
+The number of column blocks grows with the counted bytes of text.
 
 Defined results: a null or wordless text has no n-grams and no links; fewer
 than n words count as one n-gram; repeated rows share a class; a null id is
-never a component's id unless all are null.  Extra columns are not read.
+never a component's id unless all are null; a text longer than a block is a
+block of its own; an empty table gives an empty result.  Extra columns are
+not read, and ``one_of_each`` carries them whatever their names.
 Hashes have 52 bits within a pair of documents.
 """
 
@@ -45,12 +53,10 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .replies import ANSWERS_DDL, PACKED_DDL, home_of, packed, unpacked
-from .session import checkpointed, partitions, row_key
-from .textnp import U64, Words, binary_slices, blocks, grouped, mix, shingles, string_buffer
+from .session import checkpointed, fresh, row_key, shards_of
+from .textnp import U64, Words, binary_slices, blocks, cut, grouped, mix, shingles, string_buffer, wide
 
 LOCAL_BYTES = 4 << 20
-#: Bytes of a column's hash that are sent to its block, beside the block's number.
-SENT = 5
 
 
 def _block_of(h: np.ndarray, shards: int) -> np.ndarray:
@@ -64,10 +70,6 @@ def _class_of(h: np.ndarray, own: np.ndarray) -> np.ndarray:
     return mix(total[own[1:]] - total[own[:-1]] + mix(np.diff(own).astype(U64), 13), 17).view(np.int64)
 
 
-def _cut(sent: np.ndarray) -> bytes:
-    return np.ascontiguousarray(sent.view(np.uint8).reshape(-1, 8)[:, :SENT]).tobytes()
-
-
 def _columns(n: int, shards: int):
     schema = pa.schema([("shard", pa.int32()), ("rid", pa.int64()), ("n", pa.int64()), ("shared", pa.int64()), ("cls", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary())])
 
@@ -86,27 +88,21 @@ def _columns(n: int, shards: int):
                 yield pa.RecordBatch.from_arrays([pa.array(_block_of(rids[i:j].view(U64), shards)), pa.array(rids[i:j]), pa.array(size), pa.array(shared), pa.array(_class_of(h, own)), none, none, none], schema=schema)
                 doc = np.repeat(np.arange(j - i), size)[~local]
                 mine = h[~local]
-                shard, wide = _block_of(mine, shards), _block_of(twice, shards)
+                shard, shared_by = _block_of(mine, shards), _block_of(twice, shards)
                 order = np.argsort(shard, kind="stable")
                 doc, mine, shard = doc[order], mine[order], shard[order]
-                cut = np.searchsorted(shard, np.arange(shards + 1))
+                edge = np.searchsorted(shard, np.arange(shards + 1))
                 rows = []
-                for k in np.unique(np.concatenate([shard, wide])):
-                    d, c = np.unique(doc[cut[k] : cut[k + 1]], return_counts=True)
-                    sent = np.concatenate([mine[cut[k] : cut[k + 1]], twice[wide == k]])
-                    rows.append((int(k), None, None, None, None, rids[i:j][d].tobytes(), c.astype(np.uint32).tobytes(), _cut(sent)))
+                for k in np.unique(np.concatenate([shard, shared_by])):
+                    d, c = np.unique(doc[edge[k] : edge[k + 1]], return_counts=True)
+                    sent = np.concatenate([mine[edge[k] : edge[k + 1]], twice[shared_by == k]])
+                    rows.append((int(k), None, None, None, None, rids[i:j][d].tobytes(), c.astype(np.uint32).tobytes(), cut(sent)))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
     return run
 
 
-def _wide(sent: bytes) -> np.ndarray:
-    out = np.zeros((len(sent) // SENT, 8), dtype=np.uint8)
-    out[:, :SENT] = np.frombuffer(sent, dtype=np.uint8).reshape(-1, SENT)
-    return out.reshape(-1).view(U64)
-
-
 _COUNTS = pa.schema([("home", pa.int32()), ("rids", pa.binary()), ("counts", pa.binary())])
 
 
@@ -131,7 +127,7 @@ def _count_shared(homes: int):
             for r in batch.filter(pa.compute.invert(own)).select(["shard", "ids", "counts", "hashes"]).to_pylist():
                 sent.setdefault(r["shard"], []).append((r["ids"], r["counts"], r["hashes"]))
         for parts in sent.values():
-            s = np.concatenate([_wide(x[2]) for x in parts])
+            s = np.concatenate([wide(x[2]) for x in parts])
             s.sort()
             twice = np.unique(s[1:][s[1:] == s[:-1]])
             del s
@@ -140,7 +136,7 @@ def _count_shared(homes: int):
             rids, counts = [], []
             for ids, sizes, hashes in parts:
                 own = grouped(np.frombuffer(sizes, dtype=np.uint32))
-                h = _wide(hashes)[: own[-1]]
+                h = wide(hashes)[: own[-1]]
                 hit = twice[np.minimum(np.searchsorted(twice, h), len(twice) - 1)] == h
                 shared = np.diff(grouped(hit)[own])
                 found = np.flatnonzero(shared)
@@ -201,7 +197,7 @@ def _send_columns(shards: int):
             for r in batch.to_pylist():
                 u, c = np.unique(_unpack(r)[2], return_counts=True)
                 shard = _block_of(u, shards)
-                rows = [(int(k), r["block"], _cut(u[shard == k]), c[shard == k].astype(np.uint32).tobytes()) for k in np.unique(shard)]
+                rows = [(int(k), r["block"], cut(u[shard == k]), c[shard == k].astype(np.uint32).tobytes()) for k in np.unique(shard)]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names)
 
     return run
@@ -216,7 +212,7 @@ def _count_columns(homes: int):
             for r in batch.to_pylist():
                 sent.setdefault(r["shard"], []).append(r)
         for shard, rows in sent.items():
-            u, at = np.unique(np.concatenate([_wide(r["hashes"]) for r in rows]), return_inverse=True)
+            u, at = np.unique(np.concatenate([wide(r["hashes"]) for r in rows]), return_inverse=True)
             df = np.bincount(at, weights=np.concatenate([np.frombuffer(r["counts"], dtype=np.uint32) for r in rows]), minlength=len(u))
             rank = np.where(df > 1, np.minimum(1 + np.floor(4 * np.log2(np.maximum(df, 1))), 255), 0).astype(np.uint8)[at]
             own = grouped(np.array([len(r["counts"]) // 4 for r in rows]))
@@ -263,27 +259,52 @@ def _rare_first(shards: int, num: int, den: int):
     return run
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose whole rows are similar enough."""
-    right = reps.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("grams").alias("gb"))
-    left = reps.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("grams").alias("ga"))
-    both = pairs.join(right, "b").join(left, "a").withColumn("both", F.size(F.array_intersect("ga", "gb")))
-    return both.where(F.lit(den) * F.col("both") >= F.lit(num) * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
-
-
 def _least_overlap(num: int, den: int):
     """ceil(t / (1 + t) * (na + nb)) in whole numbers."""
     return F.ceil((F.lit(num) * (F.col("na") + F.col("nb"))) / F.lit(num + den))
 
 
-def ngram_components(docs: DataFrame, n: int = 5, num: int = 75, den: int = 100) -> DataFrame:
+def _parts(sets: DataFrame, blocks_: int) -> DataFrame:
+    """(cls, part, n, cols): each row's columns of each column block."""
+    of_part = lambda k: F.filter("grams", lambda g: F.pmod(g, F.lit(blocks_)) == k)
+    each = F.array(*[F.struct(F.lit(k).alias("part"), of_part(k).alias("cols")) for k in range(blocks_)])
+    return sets.select("cls", "n", F.explode(each).alias("x")).select("cls", "n", "x.part", "x.cols").where("size(cols) > 0")
+
+
+def _verified(pairs: DataFrame, parts: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose overlap, added up over column blocks, is large enough."""
+    left = pairs.join(parts.select(F.col("cls").alias("a"), F.col("n").alias("na"), "part", F.col("cols").alias("x")), "a")
+    right = parts.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("part").alias("of"), F.col("cols").alias("y"))
+    both = left.join(right, (left["b"] == right["b"]) & (left["part"] == right["of"])).select("a", left["b"], "na", "nb", F.size(F.array_intersect("x", "y")).alias("partial"))
+    total = both.groupBy("a", "b", "na", "nb").agg(F.sum("partial").alias("overlap"))
+    return total.where(F.col("overlap") >= _least_overlap(num, den)).select("a", "b")
+
+
+def _leading(named: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of different components that the product of their leading columns does not discard.
+
+    ``named(h, cls, n, pos, label)``; a is the smaller row.
+    """
+    x, y = (named.select("h", *[F.col(c).alias(f"{c}{s}") for c in ("cls", "n", "pos", "label")]) for s in "ab")
+    x = x.where(F.col("posa") <= F.col("na") - F.ceil(F.lit(2 * num) * F.col("na") / F.lit(num + den)))
+    smaller = (F.col("na") < F.col("nb")) | (F.col("na") == F.col("nb")) & (F.col("clsa") < F.col("clsb"))
+    least = _least_overlap(num, den)
+    early = (F.col("posa") <= F.col("na") - least) & (F.col("posb") <= F.col("nb") - least)
+    pairs = x.join(y, "h").where(smaller & (F.col("labela") != F.col("labelb")) & early & (F.lit(den) * F.col("na") >= F.lit(num) * F.col("nb")))
+    counted = pairs.groupBy(F.col("clsa").alias("a"), F.col("clsb").alias("b"), "na", "nb").agg(F.count("*").alias("shared"), F.max("posa").alias("lasta"), F.max("posb").alias("lastb"))
+    # columns before the last shared one that both lead with are all counted, later ones may be shared too
+    rest = F.least(F.col("na") - F.col("lasta"), F.col("nb") - F.col("lastb")) - 1
+    return counted.where(F.col("shared") + rest >= least).select("a", "b")
+
+
+def ngram_components(docs: DataFrame, n: int = 5, num: int = 75, den: int = 100, blocks_: int = 4, shard_bytes: int = 256 << 20) -> DataFrame:
     """Links of ``docs(doc_id, text)`` with den*|A∩B| >= num*|A∪B|, as components.
 
     Returns one row for each input row: doc_id, rid (its row key), n_shingles,
     component_id, component_size, and first, which is true for the row key of
     least doc_id in its component.
     """
-    shards = partitions(docs.sparkSession)
+    shards = shards_of(docs, "text", shard_bytes)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("rid", row_key("doc_id", "text"))
     sent = rows.select("rid", "text").mapInArrow(_columns(n, shards), "shard int, rid long, n long, shared long, cls long, ids binary, counts binary, hashes binary")
     told = sent.repartitionById(shards, "shard").mapInArrow(_count_shared(shards), "home int, rids binary, counts binary")
@@ -297,7 +318,7 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 75, den: int = 100)
     ranks = counted.repartitionById(shards, "shard").mapInArrow(_count_columns(shards), PACKED_DDL).repartitionById(shards, "home").mapInArrow(unpacked, ANSWERS_DDL)
     sets = packs.join(ranks.withColumnRenamed("rid", "block"), "block", "left").mapInArrow(_rare_first(shards, num, den), _SETS)
     sets = checkpointed(sets.dropDuplicates(["cls"]))
-    reps = sets.select("cls", "n", "grams")
+    parts = _parts(sets.select("cls", "n", "grams"), blocks_)
     postings = sets.select("cls", "n", "middle", "single", F.posexplode("prefix").alias("pos", "h")).withColumn("pos", F.col("single") + F.col("pos")).drop("single")
     shared = postings.groupBy("h").count().where("count > 1").select("h")
     postings = checkpointed(postings.join(shared, "h"))
@@ -305,17 +326,12 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 75, den: int = 100)
     lead = postings.groupBy("h").agg(F.max_by("cls", F.struct("middle", "cls")).alias("a"))
     votes = postings.join(lead, "h").where("cls <> a").groupBy(F.col("cls").alias("b"), "a").count()
     best = votes.groupBy("b").agg(F.max(F.struct("count", "a")).alias("x")).select("b", F.col("x.a").alias("a"))
-    labels = connected_components(_verified(best, reps, num, den))
+    labels = connected_components(_verified(best, parts, num, den))
 
     named = postings.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("h", "cls", "n", "pos", F.coalesce("label", "cls").alias("label"))
     several = named.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("h")
     named = checkpointed(named.join(several, "h", "left_semi"))
-    x, y = (named.select("h", *[F.col(c).alias(f"{c}{s}") for c in ("cls", "n", "pos", "label")]) for s in "ab")
-    least = _least_overlap(num, den)
-    early = (F.col("posa") <= F.col("na") - least) & (F.col("posb") <= F.col("nb") - least)
-    pairs = x.join(y, "h").where((F.col("labela") != F.col("labelb")) & (F.col("clsa") < F.col("clsb")) & early)
-    pairs = pairs.select(F.col("clsa").alias("a"), F.col("clsb").alias("b")).distinct()
-    labels = connected_components(_verified(pairs, reps, num, den), labels)
+    labels = connected_components(_verified(_leading(named, num, den), parts, num, den), labels)
 
     out = rows.select("rid", "doc_id").join(sizes, "rid")
     grouped_ = out.where("n > 0 and may").select("cls", "doc_id", "rid").join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "doc_id", "rid", F.coalesce("label", "cls").alias("label"))
@@ -330,7 +346,8 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 75, den: int = 100)
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one row of each component, that of least doc_id; all columns stay."""
-    rows = docs.withColumn("__rid", row_key("doc_id", "text"))
-    first = ngram_components(docs, **options).where("first").select(F.col("rid").alias("__rid")).distinct()
-    nth = F.row_number().over(Window.partitionBy("__rid").orderBy("__rid"))
-    return rows.join(first, "__rid", "left_semi").withColumn("__nth", nth).where("__nth = 1").drop("__rid", "__nth")
+    rid, nth = fresh(docs, "rid"), fresh(docs, "nth")
+    rows = docs.withColumn(rid, row_key("doc_id", "text"))
+    first = ngram_components(docs, **options).where("first").select(F.col("rid").alias(rid)).distinct()
+    place = F.row_number().over(Window.partitionBy(rid).orderBy(rid))
+    return rows.join(first, rid, "left_semi").withColumn(nth, place).where(F.col(nth) == 1).drop(rid, nth)

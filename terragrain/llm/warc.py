@@ -18,10 +18,12 @@ range start from the sum of the ranges before it.
 1. Each task lists every line that starts like a record as a candidate, with
    the offset of its successor from the candidate's Content-Length.  A header
    or block that goes on past the range is completed from the next ranges.
-2. Pointer jumping: the candidate at offset 0 of each file is marked; each
+2. Pointer jumping, in two levels.  A task doubles the pointers inside its
+   range until each candidate points to where its chain leaves the range.
+   Across ranges, the candidate at offset 0 of each file is marked, and each
    round marks what the marked point to and doubles all pointers, as joins over
-   all files, until no more are marked.  A record's start inside a payload is
-   never on the chain.
+   all files, until no chain has links left.  Ranges then mark their
+   own part of the chain.  A record's start inside a payload is never on it.
 3. Payloads of marked candidates are digested.  Those that lie in one range are
    digested as they stream by; of those that cross ranges the pieces are
    read again, for at most ``at_once`` ranges at a time, and joined.
@@ -48,6 +50,7 @@ import re
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -185,6 +188,7 @@ class Range:
         self.keep, self.base, self.rest, self.size = keep, 0, b"", 0
         self.open: list[Candidate] = []
         self.lead, self.leading = b"", True
+        self.links: list[tuple[int, int]] = []
 
     def add(self, data: bytes) -> list[tuple]:
         """The candidates that ``data``, whole lines, completes."""
@@ -199,13 +203,12 @@ class Range:
                 break
             if end > 0:
                 c = Candidate(self.base + m.start(), data[m.end() : end], self.base + end, self.keep)
-                if c.end < 0:
-                    done.append(c.row(False))
-                else:
+                if c.end >= 0:
                     self.open.append(c)
         for c in self.open:
             c.read(data, self.base)
-        done += [c.row(True) for c in self.open if c.read_whole]
+        done += [c.row(True) for c in self.open if c.read_whole and c.after == END]
+        self.links += [row[:2] for row in done]
         self.open = [c for c in self.open if not c.read_whole]
         self.base, self.rest = self.base + stop, data[stop:]
         return done
@@ -224,8 +227,8 @@ class Range:
 
 
 _CANDIDATE = [("at", pa.int64()), ("to", pa.int64()), ("block", pa.int64()), ("kind", pa.string()), ("record_id", pa.string()), ("refers", pa.string()), ("uri", pa.string()), ("said", pa.string()), ("http", pa.bool_()), ("digest", pa.string()), ("size", pa.int64()), ("payload", pa.binary())]
-_SCHEMA = pa.schema([("path", pa.string()), ("start", pa.int64()), *_CANDIDATE, ("bytes", pa.int64()), ("length", pa.int64()), ("lead", pa.binary()), ("rest", pa.binary())])
-_DDL = "path string, start long, at long, to long, block long, kind string, record_id string, refers string, uri string, said string, http boolean, digest string, size long, payload binary, bytes long, length long, lead binary, rest binary"
+_SCHEMA = pa.schema([("path", pa.string()), ("start", pa.int64()), *_CANDIDATE, ("bytes", pa.int64()), ("length", pa.int64()), ("lead", pa.binary()), ("rest", pa.binary()), ("links", pa.binary()), ("exits", pa.binary())])
+_DDL = "path string, start long, at long, to long, block long, kind string, record_id string, refers string, uri string, said string, http boolean, digest string, size long, payload binary, bytes long, length long, lead binary, rest binary, links binary, exits binary"
 
 
 def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, int, bytes]]:
@@ -242,6 +245,30 @@ def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, int,
             a = b
 
 
+def exits(links: np.ndarray) -> np.ndarray:
+    """Where the chain from each of the ascending ``links(at, to)`` leaves them, by pointer jumping."""
+    at, far = links[:, 0], links[:, 1].copy()
+    while len(at):
+        where = np.minimum(np.searchsorted(at, far), len(at) - 1)
+        inside = at[where] == far
+        if not inside.any():
+            break
+        far[inside] = far[where[inside]]
+    return far
+
+
+def chain(links: np.ndarray, start: int) -> np.ndarray:
+    """The ``at`` of all links that the chain from ``start`` passes."""
+    at, n = links[:, 0], len(links)
+    jump = np.append(np.where(np.isin(links[:, 1], at), np.searchsorted(at, links[:, 1]), n), n)
+    mark = np.zeros(n + 1, dtype=bool)
+    mark[:n] = at == start
+    while not (jump == n).all():
+        mark[jump[mark]] = True
+        mark[n], jump = False, jump[jump]
+    return at[mark[:n]]
+
+
 def _scan(keep: bool):
     """Candidates of each range, and one row with its bytes, its lead and the header that it breaks off."""
 
@@ -253,8 +280,10 @@ def _scan(keep: bool):
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _SCHEMA.types, strict=True)], schema=_SCHEMA)
 
         def close():
-            rows = [(*now, *c.row(False), None, None, None, None) for c in part.open]
-            return told([*rows, (*now, *none, part.size, length, part.lead, part.rest or None)])
+            rows = [(*now, *c.row(False), *(None,) * 6) for c in part.open]
+            links = np.array(sorted(part.links + [c.row(False)[:2] for c in part.open]), dtype=np.int64).reshape(-1, 2)
+            ends = np.unique(exits(links))
+            return told([*rows, (*now, *none, part.size, length, part.lead, part.rest or None, links.tobytes(), ends.tobytes())])
 
         for p, s, n, data in _ranges(batches):
             if (p, s) != now:
@@ -263,41 +292,65 @@ def _scan(keep: bool):
                 now, part, length = (p, s), Range(keep), n
             done = part.add(data)
             if done:
-                yield told([(p, s, *c, None, None, None, None) for c in done])
+                yield told([(p, s, *c, *(None,) * 6) for c in done])
         if now is not None:
             yield close()
 
     return run
 
 
-_RANGE = "path string, start long, base long, bytes long, at long, to long, block long, kind string, record_id string, refers string, uri string, said string, http boolean"
+_RANGE = "path string, start long, base long, bytes long, links binary, entries binary, at long, to long, block long, kind string, record_id string, refers string, uri string, said string, http boolean"
 
 
 def _stitch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ranges of whole files in order → where each begins, and the candidates whose header crosses ranges."""
-    fields = [("path", pa.string()), ("start", pa.int64()), ("base", pa.int64()), ("bytes", pa.int64()), *_CANDIDATE[:9]]
-    schema = pa.schema(fields)
-    path, base, pending, at = None, 0, b"", 0
+    """Ranges of whole files in order → where each begins and which chains enter it, and the candidates whose header crosses ranges."""
+    schema = pa.schema([("path", pa.string()), ("start", pa.int64()), ("base", pa.int64()), ("bytes", pa.int64()), ("links", pa.binary()), ("entries", pa.binary()), *_CANDIDATE[:9]])
+    path, base, pending, at, targets = None, 0, b"", 0, {0}
     for batch in batches:
         rows = []
         for r in batch.to_pylist():
             if r["path"] != path:
-                path, base, pending = r["path"], 0, b""
-            rows.append((path, r["start"], base, r["bytes"], *(None,) * 9))
+                path, base, pending, targets = r["path"], 0, b"", {0}
             if pending:
                 pending += r["lead"] or b""
                 end = _head_end(pending, pending.find(b"\n") + 1)
                 if end > 0:
                     c = Candidate(at, pending[pending.find(b"\n") + 1 : end], at + end, False)
-                    rows.append((path, r["start"], base, None, *c.row(False)[:9]))
+                    if c.end >= 0:
+                        rows.append((path, r["start"], base, None, None, None, *c.row(False)[:9]))
+                        targets.add(c.end + 4)
                 if end != -2:
                     pending = b""
+            stop = base + r["bytes"]
+            enter = sorted(t for t in targets if base <= t < stop)
+            targets = {t for t in targets if t >= stop} | {t for t in (np.frombuffer(r["exits"], dtype=np.int64) + base).tolist() if t >= stop}
+            rows.append((path, r["start"], base, r["bytes"], r["links"], np.array(enter, dtype=np.int64).tobytes(), *(None,) * 9))
             if r["rest"]:
-                at, pending = base + r["bytes"] - len(r["rest"]), r["rest"]
-            base += r["bytes"]
+                at, pending = stop - len(r["rest"]), r["rest"]
+            base = stop
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
 
+def _entered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, start, at, to): candidates at which a chain may enter a range, with where it leaves."""
+    for batch in batches:
+        rows = []
+        for r in batch.to_pylist():
+            links = np.frombuffer(r["links"], dtype=np.int64).reshape(-1, 2) + r["base"]
+            enter = np.frombuffer(r["entries"], dtype=np.int64)
+            known = np.isin(links[:, 0], enter)
+            rows += [(r["path"], r["start"], a, b) for a, b in zip(links[known, 0].tolist(), exits(links)[known].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in rows], t) for c, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["path", "start", "at", "to"])
+
+
+def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, at): the part of the chain that lies in each range that it enters at ``entry``."""
+    for batch in batches:
+        for r in batch.to_pylist():
+            got = chain(np.frombuffer(r["links"], dtype=np.int64).reshape(-1, 2) + r["base"], r["entry"])
+            yield pa.RecordBatch.from_arrays([pa.array([r["path"]] * len(got), pa.string()), pa.array(got, pa.int64())], ["path", "at"])
+
+
 def reachable(links: DataFrame) -> DataFrame:
     """(path, at) of the candidates of ``links(path, at, to)`` that the chain from offset 0 of their file reaches.
 
@@ -386,7 +439,7 @@ def _crossing(spark: SparkSession, blocks: DataFrame, payloads: bool, at_once: i
 def read_warc(spark: SparkSession, path: str, strict: bool = True, payloads: bool = False, at_once: int = 100_000) -> DataFrame:
     """The records of all archives under ``path``, with payloads if asked for."""
     scanned = checkpointed(_lines(spark, path).mapInArrow(_scan(payloads), _DDL))
-    ranges = scanned.where("bytes is not null").select("path", "start", "bytes", "lead", "rest")
+    ranges = scanned.where("bytes is not null").select("path", "start", "bytes", "lead", "rest", "links", "exits")
     ranges = checkpointed(ranges.repartition("path").sortWithinPartitions("path", "start").mapInArrow(_stitch, _RANGE))
     bases = ranges.where("bytes is not null").select("path", "start", "base")
     crossed = ranges.where("at is not null").select("path", "at", "to", "block", "kind", "record_id", "refers", "uri", "said", "http")
@@ -394,7 +447,12 @@ def read_warc(spark: SparkSession, path: str, strict: bool = True, payloads: boo
     moved = [(F.col(c) + F.col("base")).alias(c) for c in ("at", "block")] + [F.when(F.col("to") >= 0, F.col("to") + F.col("base")).otherwise(F.col("to")).alias("to")]
     found = inside.select("path", *moved, "kind", "record_id", "refers", "uri", "said", "http", "digest", "size", "payload")
     found = found.unionByName(crossed, allowMissingColumns=True)
-    marked = checkpointed(found.join(reachable(found.select("path", "at", "to")), ["path", "at"]).where("to >= 0"))
+    whole = ranges.where("bytes is not null").select("path", "start", "base", "links", "entries")
+    enter = checkpointed(whole.mapInArrow(_entered, "path string, start long, at long, to long").union(crossed.select("path", F.lit(-1).cast("long"), "at", "to")))
+    entry = checkpointed(reachable(enter.select("path", "at", "to")).join(enter, ["path", "at"]).select("path", "start", F.col("at").alias("entry")))
+    walked = whole.join(entry, ["path", "start"]).select("path", "base", "links", "entry").mapInArrow(_walked, "path string, at long")
+    walked = walked.union(entry.where("start = -1").select("path", "entry"))
+    marked = checkpointed(found.join(walked, ["path", "at"]))
 
     open_ = marked.where("digest is null").select("path", "at", "block", "to", "http")
     late = _crossing(spark, open_, payloads, at_once)
