@@ -6,9 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .session import checkpointed
 from .textnp import SPACE, blocks, string_buffer
 
 #: Letters A-Z in lower case, all spacing as one blank.
@@ -71,19 +72,25 @@ def fold_of(doc_id: Column, parts: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts
 
 
-def bounded_sample(rows: DataFrame, label: str, per_label: int, max_labels: int) -> DataFrame:
-    """Rows of the ``max_labels`` most frequent labels, about ``per_label`` of each.
+def bounded_sample(rows: DataFrame, label: str, per_label: int) -> DataFrame:
+    """At most ``per_label`` rows of each label.
 
     Chosen by the hash of the text, so reruns agree; equal texts of one label
-    count once.  The result never exceeds ``per_label * max_labels`` rows.
+    count once.  One pass counts labels and one draws, however many labels
+    there are: each label's share of hash values is set for half as many rows
+    again as are wanted, so only those are ranked.
     """
-    sizes = rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(max_labels).collect()
-    out = None
-    for r in sizes:
-        part = rows.where(F.col(label) == F.lit(r[label])).where(F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, 1.5 * per_label / r["count"] + 1e-9) + 1)))
-        part = part.dropDuplicates([label, "text"]).orderBy(F.xxhash64("text", F.lit(11)), "text").limit(per_label)
-        out = part if out is None else out.union(part)
-    return rows.limit(0) if out is None else out
+    share = F.least(F.lit(float(1 << 30)), F.lit(1.5 * per_label * (1 << 30)) / F.col("count") + 1).cast("long")
+    sizes = checkpointed(rows.groupBy(label).count().select(F.col(label).alias("__label"), share.alias("__share")))
+    drawn = rows.join(_small(sizes), rows[label] == F.col("__label"))
+    drawn = drawn.where(F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 30)) < F.col("__share")).drop("__label", "__share").dropDuplicates([label, "text"])
+    nth = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64("text", F.lit(11)), "text"))
+    return drawn.withColumn("__nth", nth).where(F.col("__nth") <= per_label).drop("__nth")
+
+
+def _small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """A written table, broadcast only if its counted rows stay within the bound."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def bounded_keys(labels: DataFrame, key: str, label: str, per_label: int, max_labels: int) -> DataFrame:

@@ -9,13 +9,17 @@ whole, in blocks, by two matrix products: with the landmarks' n-gram rows
 and with the regression's weights.
 
 The classifier is fitted on a bounded sample: at most ``per_language`` rows
-of each of the ``max_languages`` most frequent languages, as packed bits.
-Its arrays are bounded by landmarks * 2**bits.
+of every language that has a labelled row, as packed bits.  Landmarks grow
+with the languages: ``landmarks`` in all, or ``least_landmarks`` of each
+language where that is more.  Sample rows are unpacked block by block, so
+what the driver holds is landmarks * 2**bits numbers and the packed rows.
 
 Defined results: ``und`` with score 0 for a null text, a text without any
 letter, or where there is nothing to learn from; ties go to the language
 that sorts first; a null doc_id falls in the fold of the empty text; rows
-without a language are scored but not learned from.
+without a language are scored but not learned from; repeated rows are learned
+from once and scored each; a very long text is read whole, in a block of its
+own; an empty table gives an empty result.  Kept columns may have any names.
 """
 
 from __future__ import annotations
@@ -29,6 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .features import bounded_sample, column_blocks, presence
+from .session import carried
+from .session import restored as named
 
 _LETTER = re.compile(r"[^\W\d_]")
 DOCS = 256
@@ -59,35 +65,47 @@ class LanguageModel:
         return self.kernel(x) @ self.weights
 
 
-def fit(train: DataFrame, per_language: int = 300, max_languages: int = 100, landmarks: int = 128, orders: tuple[int, ...] = (1, 2, 3), bits: int = 13, ridge: float = 0.01) -> LanguageModel | None:
+def _unpacked(rows: list, bits: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(b"".join(bytes(r["bits"]) for r in rows), dtype=np.uint8).reshape(len(rows), -1), axis=1, count=1 << bits).astype(np.float32)
+
+
+def fit(train: DataFrame, per_language: int = 300, landmarks: int = 128, least_landmarks: int = 8, orders: tuple[int, ...] = (1, 2, 3), bits: int = 13, ridge: float = 0.01) -> LanguageModel | None:
     """A model from ``train(lang, text)``; None if it has no usable row."""
-    some = bounded_sample(train.where("lang is not null and text is not null").select("lang", "text"), "lang", per_language, max_languages)
-    rows = some.mapInArrow(_packed(orders, bits), "lang string, bits binary").collect()
+    some = bounded_sample(train.where("lang is not null and text is not null").select("lang", "text"), "lang", per_language)
+    rows = some.mapInArrow(_packed(orders, bits), "lang string, bits binary").collect()  # per_language rows a language
     if not rows:
         return None
     rows.sort(key=lambda r: (bytes(r["bits"]), r["lang"]))
-    x = np.unpackbits(np.frombuffer(b"".join(bytes(r["bits"]) for r in rows), dtype=np.uint8).reshape(len(rows), -1), axis=1).astype(np.float32)
     languages = sorted({r["lang"] for r in rows})
-    y = np.array([[1.0 if r["lang"] == k else -1.0 for k in languages] for r in rows])
     pick = np.random.default_rng(1).permutation(len(rows))
-    by = {k: [i for i in pick if rows[i]["lang"] == k] for k in languages}
-    turn = sorted((n, k, i) for k in languages for n, i in enumerate(by[k]))[:landmarks]
-    model = LanguageModel(languages, x[[i for _, _, i in turn]], np.zeros(0), orders, bits)
+    by: dict[str, list[int]] = {k: [] for k in languages}
+    for i in pick.tolist():
+        by[rows[i]["lang"]].append(i)
+    turn = sorted((n, k, i) for k in languages for n, i in enumerate(by[k]))[: max(landmarks, least_landmarks * len(languages))]
+    model = LanguageModel(languages, _unpacked([rows[i] for _, _, i in turn], bits), np.zeros(0), orders, bits)
     values, vectors = np.linalg.eigh(model.kernel(model.landmarks).astype(np.float64))
     keep = values > 1e-6 * values.max()
     whiten = vectors[:, keep] / np.sqrt(values[keep])
-    z = np.hstack([model.kernel(x) @ whiten, np.ones((len(x), 1))])
-    balance = 1 / np.maximum((y > 0).sum(axis=0), 1)[y.argmax(axis=1)]
+    at = {k: c for c, k in enumerate(languages)}
+    y = np.array([at[r["lang"]] for r in rows])
+    balance = (1 / np.bincount(y))[y]
     balance *= len(y) / balance.sum()
-    w = np.linalg.solve((z * balance[:, None]).T @ z + ridge * len(y) * 0.01 * np.eye(z.shape[1]), (z * balance[:, None]).T @ y)
+    width = whiten.shape[1] + 1
+    left, right = np.zeros((width, width)), np.zeros((width, len(languages)))
+    for a in range(0, len(rows), DOCS):
+        z = np.hstack([model.kernel(_unpacked(rows[a : a + DOCS], bits)) @ whiten, np.ones((len(y[a : a + DOCS]), 1))])
+        weighed = z * balance[a : a + DOCS, None]
+        left += weighed.T @ z
+        right += weighed.T @ np.where(y[a : a + DOCS, None] == np.arange(len(languages)), 1.0, -1.0)
+    w = np.linalg.solve(left + ridge * len(y) * 0.01 * np.eye(width), right)
     model.weights = np.vstack([whiten @ w[:-1], w[-1:]]).astype(np.float32)
     return model
 
 
-def _score(model: LanguageModel | None, carried: int):
+def _score(model: LanguageModel | None, n_kept: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, buf, offsets in column_blocks(batch, carried, DOCS):
+            for i, j, buf, offsets in column_blocks(batch, n_kept, DOCS):
                 known = np.array([bool(_LETTER.search(buf[a:b].tobytes().decode("utf-8", "replace"))) for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
                 lang, score = np.full(j - i, "und", dtype=object), np.zeros(j - i)
                 if model is not None:
@@ -95,13 +113,12 @@ def _score(model: LanguageModel | None, carried: int):
                     best = s.argmax(axis=1)
                     lang[known] = np.array(model.languages, dtype=object)[best][known]
                     score[known] = np.clip((s[np.arange(len(s)), best] + 1) / 2, 0, 1)[known]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in range(carried)), pa.array(lang, pa.string()), pa.array(score.astype(np.float64))], [*batch.schema.names[:carried], "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in range(n_kept)), pa.array(lang, pa.string()), pa.array(score.astype(np.float64))], [*batch.schema.names[:n_kept], "lang_pred", "score"])
 
     return run
 
 
 def identify(docs: DataFrame, model: LanguageModel | None, keep: list[str]) -> DataFrame:
     """The ``keep`` columns, lang_pred and score of each row of ``docs``."""
-    rows = docs.select(*keep, F.col("text").alias("__text"))
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(_score(model, len(keep)), f"{ddl}, lang_pred string, score double")
+    rows, ddl = carried(docs, keep)
+    return named(rows.mapInArrow(_score(model, len(keep)), f"{ddl}, lang_pred string, score double"), keep)

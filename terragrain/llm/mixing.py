@@ -18,8 +18,9 @@ them, and the remaining blocks are the first of that line.
 
 Defined results: a null text has size 0 and nothing is taken of it; null
 sources form one source; rows that repeat count each for themselves; an
-empty table gives an empty result.  Extra columns are not read.  Reruns agree
-because order depends on seed, doc_id and size only.
+empty table gives an empty result; a very long text is one document that the mix
+may take in part.  Extra columns are not read.  Reruns agree because order
+depends on seed, doc_id (the text where that is null) and size only.
 """
 
 from __future__ import annotations
@@ -89,8 +90,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, blo
     blocks, ``taken`` the words that the mix takes of the document, repeats
     counted: never over ``cap`` times its size.
     """
-    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
-    sized = checkpointed(sized.withColumn("draw", F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("size").cast("string")))))
+    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), "text")
+    sized = checkpointed(sized.withColumn("draw", F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null "), F.xxhash64("text").cast("string"))), F.col("size").cast("string")))).drop("text"))
     targets = source_targets(sized, weights, cap).withColumn("blocks", F.floor(F.sum("source_size").over(Window.partitionBy(F.lit(0))) / F.lit(block_words)).cast("long"))
     targets = checkpointed(apportioned(targets, [], "target", "blocks", "no", "source_blocks"))
 

@@ -9,7 +9,11 @@ matrix product, and the ``neighbours`` nearest vote with their similarity.
 
 Defined results: null and empty texts are scored like any other, as vectors
 without features, whose score is the labelled sample's mean; so is every
-text where there is nothing to learn from (0.5 if no label at all).
+text where there is nothing to learn from (0.5 if no label at all).  Repeated
+rows are learned from once and scored each; of neighbours at equal distance any
+may vote, as their similarity is the same; a very long text is read whole, in a
+block of its own; an empty table gives an empty result.  Kept columns may have
+any names.
 """
 
 from __future__ import annotations
@@ -23,6 +27,8 @@ from pyspark.sql import functions as F
 
 from .features import FOLD, bounded_sample, column_blocks, counts
 from .quality_rules import statistics
+from .session import carried
+from .session import restored as named
 
 BITS, ORDERS, DOCS = 12, (2, 3), 256
 
@@ -78,7 +84,7 @@ class QualityModel:
 
 def fit(train: DataFrame, per_label: int = 800, rank: int = 64, neighbours: int = 15) -> QualityModel | None:
     """A model from ``train(label, text)`` of labels 0 and 1."""
-    some = bounded_sample(train.where("label is not null").select("label", F.coalesce("text", F.lit("")).alias("text")), "label", per_label, 2)
+    some = bounded_sample(train.where("label is not null").select("label", F.coalesce("text", F.lit("")).alias("text")), "label", per_label)
     rows = some.mapInArrow(_features_of, "label int, x binary").collect()
     if not rows:
         return None
@@ -99,18 +105,17 @@ def fit(train: DataFrame, per_label: int = 800, rank: int = 64, neighbours: int
     return model
 
 
-def _score(model: QualityModel | None, carried: int):
+def _score(model: QualityModel | None, n_kept: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, buf, offsets in column_blocks(batch, carried, DOCS):
+            for i, j, buf, offsets in column_blocks(batch, n_kept, DOCS):
                 score = np.full(j - i, 0.5) if model is None else model.scores(features(buf, offsets))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in range(carried)), pa.array(np.round(score.astype(np.float64), 6))], [*batch.schema.names[:carried], "score"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in range(n_kept)), pa.array(np.round(score.astype(np.float64), 6))], [*batch.schema.names[:n_kept], "score"])
 
     return run
 
 
 def score_quality(docs: DataFrame, model: QualityModel | None, keep: list[str]) -> DataFrame:
     """The ``keep`` columns and the score of each row of ``docs``."""
-    rows = docs.select(*keep, F.col("text").alias("__text"))
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(_score(model, len(keep)), f"{ddl}, score double")
+    rows, ddl = carried(docs, keep)
+    return named(rows.mapInArrow(_score(model, len(keep)), f"{ddl}, score double"), keep)

@@ -247,22 +247,22 @@ def _middles(rows: DataFrame, floor: np.ndarray) -> DataFrame:
     return q.select("g", F.transform("all", lambda x: x["mid"]).alias("mid"), F.transform("all", lambda x: x["dev"]).alias("dev"))
 
 
-def _counted(df: DataFrame, rows: int) -> DataFrame:
-    """A written table, broadcast only if its counted rows stay within the bound."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _near(df: DataFrame, small: bool) -> DataFrame:
+    """``df``, for a join with rows: broadcast if it was counted to be small."""
+    return F.broadcast(df) if small else df
 
 
-def _first_models(rows: DataFrame, floor: np.ndarray, broadcast_models: int) -> DataFrame:
+def _first_models(rows: DataFrame, floor: np.ndarray, small: bool) -> DataFrame:
     p = len(floor)
     middles = checkpointed(_middles(rows, floor))
-    z = rows.join(_counted(middles, broadcast_models), "g")
+    z = rows.join(_near(middles, small), "g")
     z = z.select("g", "mid", "dev", *[((F.col(VECTOR[i]) - F.get("mid", F.lit(i))) / F.get("dev", F.lit(i))).alias(f"z{i}") for i in range(p)])
     size = F.sqrt(reduce(lambda a, b: a + b, [F.col(f"z{i}") * F.col(f"z{i}") for i in range(p)]))
     z = z.withColumn("size", F.greatest(size, F.lit(1e-9)))
     z = z.select("g", "mid", "dev", *[F.tanh(f"z{i}").alias(f"t{i}") for i in range(p)], *[(F.col(f"z{i}") / F.col("size")).alias(f"u{i}") for i in range(p)])
     t, u = ([F.col(f"{c}{i}") for i in range(p)] for c in "tu")
     sums = z.groupBy("g").agg(F.first("mid").alias("mid"), F.first("dev").alias("dev"), F.count("*").alias("n"), *[F.sum(f"t{i}").alias(f"t{i}") for i in range(p)], *_products(t, "tt"), *_products(u, "uu"))
-    return checkpointed(sums.mapInArrow(_from_scores(floor), _MODEL))
+    return checkpointed(sums.mapInArrow(_from_scores(floor), _MODEL).withColumn("core", F.lit(False)))
 
 
 def _distance(p: int):
@@ -271,28 +271,37 @@ def _distance(p: int):
     return F.greatest(F.lit(0.0), reduce(lambda a, b: a + b, terms))
 
 
-def covariance_determinants(rows: DataFrame, support: float = 0.75, floor: np.ndarray = FLOOR, steps: int = 50, broadcast_models: int = 50_000) -> DataFrame:
+def covariance_determinants(rows: DataFrame, support: float = 0.75, floor: np.ndarray = FLOOR, broadcast_models: int = 50_000) -> DataFrame:
     """(g, mean, inv, logdet): the estimate of each group of ``rows(g, the vector)`` with the least determinant.
 
-    Concentration goes on until no determinant falls by a ten-thousandth;
-    ``steps`` only ends a loop that rounding would keep alive.
+    A start is done when its determinant falls by no more than a
+    ten-thousandth; each step works on the starts that are not.
     """
     p = len(VECTOR)
-    model, scale = _first_models(rows, floor, broadcast_models), consistency(support, p)
-    for _ in range(steps):
-        near = rows.join(_counted(model, broadcast_models), "g").withColumn("d2", _distance(p)).withColumn("b", F.floor(F.log2(F.col("d2") + 1e-9) * 64).cast("long"))
+    small = rows.select("g").distinct().limit(broadcast_models + 1).count() <= broadcast_models
+    scale, done = consistency(support, p), None
+    model = _first_models(rows, floor, small)
+    while True:
+        near = rows.join(_near(model, small), "g").withColumn("d2", _distance(p)).withColumn("b", F.floor(F.log2(F.col("d2") + 1e-9) * 64).cast("long"))
         bins = near.groupBy("g", "start", "b").count()
         line = Window.partitionBy("g", "start")
         bins = bins.withColumn("below", F.sum("count").over(line.orderBy("b"))).withColumn("n", F.sum("count").over(line))
-        cut = checkpointed(bins.groupBy("g", "start").agg(F.min(F.when(F.col("below") >= support * F.col("n"), F.col("b"))).alias("inner")))
-        core = near.join(_counted(cut, broadcast_models), ["g", "start"]).where(F.col("b") <= F.col("inner"))
+        cut = bins.groupBy("g", "start").agg(F.min(F.when(F.col("below") >= support * F.col("n"), F.col("b"))).alias("inner"))
+        core = near.join(_near(cut, small), ["g", "start"]).where(F.col("b") <= F.col("inner"))
         moments = core.groupBy("g", "start").agg(F.count("*").alias("n"), *[F.sum(VECTOR[i]).alias(f"s{i}") for i in range(p)], *_products([F.col(v) for v in VECTOR], "c"))
-        fresh_ = checkpointed(moments.mapInArrow(_from_moments(floor, scale), _MODEL))
-        fell = fresh_.join(model.select("g", "start", F.col("logdet").alias("before")), ["g", "start"]).agg(F.max(F.col("before") - F.col("logdet"))).first()[0]
-        model = fresh_
-        if fell is None or fell < 1e-4:
-            break
-    return model.groupBy("g").agg(F.min_by(F.struct("mean", "inv", "logdet"), F.struct("logdet", "start")).alias("m")).select("g", "m.*")
+        step = moments.mapInArrow(_from_moments(floor, scale), _MODEL)
+        before = model.select("g", "start", F.col("mean").alias("m"), F.col("inv").alias("v"), F.col("logdet").alias("before"), F.col("core").alias("again"))
+        step = step.join(before, ["g", "start"])
+        # a first model is of no core, so its determinant is not compared
+        fell = ~F.col("again") | (F.col("before") - F.col("logdet") > 1e-4)
+        worse = F.col("again") & (F.col("logdet") > F.col("before"))
+        kept = [F.when(worse, F.col(o)).otherwise(F.col(c)).alias(c) for c, o in (("mean", "m"), ("inv", "v"), ("logdet", "before"))]
+        step = checkpointed(step.select("g", "start", *kept, F.lit(True).alias("core"), fell.alias("active")))
+        ended = step.where("not active").drop("active")
+        done = ended if done is None else done.union(ended)
+        model = step.where("active").drop("active")
+        if model.isEmpty():
+            return done.groupBy("g").agg(F.min_by(F.struct("mean", "inv", "logdet"), F.struct("logdet", "start")).alias("m")).select("g", "m.*")
 
 
 def outliers(rows: DataFrame, tail: float = 1e-3, min_rows: int = 5 * len(VECTOR) + 1, broadcast_models: int = 50_000, **options) -> DataFrame:
@@ -305,12 +314,13 @@ def outliers(rows: DataFrame, tail: float = 1e-3, min_rows: int = 5 * len(VECTOR
     pooled = F.max((F.col("level") == 1).cast("int")).over(Window.partitionBy("g1"))
     groups = checkpointed(size.withColumn("level", level).select("g0", "level", g.alias("g"), pooled.alias("pooled")))
     whole = not groups.where("level = 2").isEmpty()
-    placed = rows.join(_counted(groups, broadcast_models), "g0")
+    small = groups.limit(broadcast_models + 1).count() <= broadcast_models
+    placed = rows.join(_near(groups, small), "g0")
     # a row is learned from in its own group, and in the pools that smaller groups take their estimate from
     pools = F.array_compact(F.array(F.when(F.col("level") == 0, F.col("g0")), F.when(F.col("pooled") == 1, F.col("g1")), F.when(F.lit(whole), F.lit(0).cast("long"))))
     learned = checkpointed(placed.select(F.explode(pools).alias("g"), *VECTOR))
     model = checkpointed(covariance_determinants(learned, broadcast_models=broadcast_models, **options))
-    judged = placed.join(_counted(model.select("g", "mean", "inv"), broadcast_models), "g").withColumn("d2", _distance(p))
+    judged = placed.join(_near(model.select("g", "mean", "inv"), small), "g").withColumn("d2", _distance(p))
     return judged.withColumn("rejected", F.col("d2") > chi_square_quantile(1 - tail, p)).drop("g", "level", "pooled", "mean", "inv")
 
 

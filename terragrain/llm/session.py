@@ -55,3 +55,14 @@ def fresh(df: DataFrame, name: str) -> str:
     while out.lower() in {c.lower() for c in df.columns}:
         out += "_"
     return out
+
+
+def carried(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, str]:
+    """``docs`` as c0, c1, .. for the ``keep`` columns and the text, and the DDL of the former: no name clashes."""
+    rows = docs.select(*[F.col(c).alias(f"c{k}") for k, c in enumerate(keep)], F.col("text").alias("text"))
+    return rows, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+
+
+def restored(df: DataFrame, keep: list[str]) -> DataFrame:
+    """The ``keep`` columns by their names again, and the columns after them."""
+    return df.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(keep)], *df.columns[len(keep) :])

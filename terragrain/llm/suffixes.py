@@ -8,9 +8,11 @@ and that of the suffix 2^k lines on, and ranks them anew inside their old
 rank.  Rounds go on until every suffix has a rank of its own or has nothing
 left to tell it apart: its sequence ends.
 
-Each sort is by range over (rank, next rank, rid, i), so a rank that a third of
-all suffixes share is dealt over many tasks.  A task ranks its slice from the
-few numbers that describe the slices before it: one row for each task.
+Each sort is by range over (rank, next rank, rid, i), in slices of about
+``SLICE_ROWS`` rows, so a rank that a third of all suffixes share is dealt over
+many tasks.  A task ranks its slice by itself; what the first and the last run
+of a slice have in the slices beside it follows from a few numbers of
+each slice, one row for each task.
 
 Neighbours in the final order give longest common prefixes (LCP).  Where the
 pair of a suffix and its neighbour is the pair of the suffix before, one line
@@ -53,10 +55,13 @@ def _starts(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _sliced(df: DataFrame, *keys: str) -> DataFrame:
-    """``df`` sorted by ``keys`` over many tasks and written, with the number of its slice."""
-    n = partitions(df.sparkSession)
-    return checkpointed(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)).withColumn("slice", F.spark_partition_id())
+#: Rows of a slice, about.
+SLICE_ROWS = 500_000
+
+
+def _sorted(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` sorted by ``keys`` in slices, as many as ``rows`` need, with the slice's number."""
+    return df.repartitionByRange(max(1, -(-rows // SLICE_ROWS)), *keys).sortWithinPartitions(*keys).withColumn("slice", F.spark_partition_id())
 
 
 def _told(slices: DataFrame) -> list:
@@ -64,27 +69,47 @@ def _told(slices: DataFrame) -> list:
     return sorted(slices.collect(), key=lambda s: s["slice"])
 
 
-_SLICE = "slice int, a0 long, b0 long, a1 long, b1 long, tail long, place long, open boolean"
-
-
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A sorted slice: its ends, the rows of its last a, and the place of its last (a, b) among them."""
-    no, a, b = _columns(batches, ["slice", "a", "b"])
-    if len(a):
-        of_a, of_ab = _starts(a), _starts(a, b)
-        open_ = (np.diff(np.append(of_ab, len(a))) > 1) & _open(b[of_ab])
-        row = (no[0], a[0], b[0], a[-1], b[-1], len(a) - of_a[-1], of_ab[-1] - of_a[-1], bool(open_.any()))
-        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], [c.split()[0] for c in _SLICE.split(", ")])
-
-
 def _open(b):
     """Whether suffixes of one pair may differ further on: next ranks are doubled, odd ones are final."""
     return (b >= 0) & (b % 2 == 0)
 
 
-def _carries(slices: list) -> tuple[dict[int, tuple], bool]:
-    """For each slice: rows before it with its first a, the place of its first pair if that began earlier, the next slice's first pair; and whether any pair is open."""
-    out: dict[int, tuple] = {}
+_CARRIED = ["rid", "i", "size", "line"]
+_SAID = ["rows", "a0", "b0", "a1", "b1", "tail", "place", "open"]
+_LOCAL = "slice int, rid long, i int, size int, line long, a long, b long, off long, shared boolean, begins int, " + ", ".join(f"{c} long" for c in _SAID)
+#: Bits of ``begins``: the row is of its slice's first a, first pair, last pair.
+FIRST_A, FIRST_PAIR, LAST_PAIR = 1, 2, 4
+
+
+def _rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ranks inside a sorted slice, and one row that describes the slice.
+
+    ``off`` counts the slice's rows of the same a with a smaller b.
+    """
+    names = [c.split()[0] for c in _LOCAL.split(", ")]
+    no, a, b, *carried = _columns(batches, ["slice", "a", "b", *_CARRIED])
+    if not len(a):
+        return
+    of_a, of_ab = _starts(a), _starts(a, b)
+    count = np.diff(np.append(of_ab, len(a)))
+    first = of_a[np.searchsorted(of_a, of_ab, side="right") - 1]
+    begins = np.where(first == 0, FIRST_A, 0) + np.where(of_ab == 0, FIRST_PAIR, 0) + np.where(of_ab == of_ab[-1], LAST_PAIR, 0)
+    off, shared, begins = (np.repeat(x, count) for x in (of_ab - first, count > 1, begins.astype(np.int32)))
+    types = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), *[pa.int64()] * len(_SAID)]
+    for x in range(0, len(a), 100_000):
+        part = [c[x : x + 100_000] for c in (no, *carried, a, b, off, shared, begins)]
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(part, types, strict=False)), *[pa.nulls(len(part[0]), pa.int64())] * len(_SAID)], names)
+    said = (len(a), a[0], b[0], a[-1], b[-1], len(a) - of_a[-1], of_ab[-1] - of_a[-1], int(((count > 1) & _open(b[of_ab])).any()))
+    row = [no[0], *[None] * 9, *said]
+    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names)
+
+
+_CARRY = "slice int, before long, goes_on boolean, pair long, follows boolean"
+
+
+def _carries(slices: list) -> tuple[list[tuple], bool]:
+    """For each slice: rows before it with its first a; whether its first pair began earlier, and at which place; whether its last pair goes on; and whether any pair at all is open."""
+    out: list[tuple] = []
     more = any(s["open"] for s in slices)
     last = (None, None)
     rows = place = 0
@@ -93,7 +118,8 @@ def _carries(slices: list) -> tuple[dict[int, tuple], bool]:
         before = rows if first[0] == last[0] else 0
         goes_on = first == last
         more |= goes_on and bool(_open(first[1]))
-        out[s["slice"]] = (before, place if goes_on else None, (slices[k + 1]["a0"], slices[k + 1]["b0"]) if k + 1 < len(slices) else None)
+        follows = k + 1 < len(slices) and (slices[k + 1]["a0"], slices[k + 1]["b0"]) == end
+        out.append((s["slice"], before, goes_on, place if goes_on else 0, follows))
         before = before if end[0] == first[0] else 0
         if not (goes_on and end == first):
             place = s["place"] + before
@@ -102,35 +128,17 @@ def _carries(slices: list) -> tuple[dict[int, tuple], bool]:
     return out, more
 
 
-_CARRIED = ["rid", "i", "size", "line"]
-
-
-def _rank(carries: dict[int, tuple]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        no, a, b, *carried = _columns(batches, ["slice", "a", "b", *_CARRIED])
-        if not len(a):
-            return
-        before, place, after = carries[int(no[0])]
-        of_a, of_ab = _starts(a), _starts(a, b)
-        count = np.diff(np.append(of_ab, len(a)))
-        first = of_a[np.searchsorted(of_a, of_ab, side="right") - 1]
-        at = of_ab - first + np.where(first == 0, before, 0)
-        shared = count > 1
-        if place is not None:
-            at[0], shared[0] = place, True
-        if after == (a[-1], b[-1]):
-            shared[-1] = True
-        rank, shared = np.repeat(a[of_ab] + at, count), np.repeat(shared, count)
-        yield from _pieces([*_CARRIED, "rank", "shared", "open"], [*carried, rank, shared, shared & _open(b)])
-
-    return run
-
-
-def _refined(pairs: DataFrame) -> tuple[DataFrame, bool]:
-    """Ranks of ``pairs(a, b, rid, i, size, line)``, and whether some suffixes may still be told apart."""
-    ordered = _sliced(pairs, "a", "b", "rid", "i")
-    carries, more = _carries(_told(ordered.select("slice", "a", "b").mapInArrow(_describe, _SLICE)))
-    return ordered.mapInArrow(_rank(carries), "rid long, i int, size int, line long, rank long, shared boolean, open boolean"), more
+def _refined(pairs: DataFrame, rows: int) -> tuple[DataFrame, bool]:
+    """(carried, rank, shared, open) of ``pairs(a, b, rid, i, size, line)``, and whether some suffixes may still be told apart."""
+    spark = pairs.sparkSession
+    local = checkpointed(_sorted(pairs, rows, "a", "b", "rid", "i").mapInArrow(_rank, _LOCAL))
+    carries, more = _carries(_told(local.where("rows is not null").select("slice", *_SAID)))
+    found = local.where("rid is not null").join(F.broadcast(spark.createDataFrame(carries, _CARRY)), "slice")  # one row a task
+    of = lambda bit: F.col("begins").bitwiseAND(F.lit(bit)) > 0
+    earlier = of(FIRST_PAIR) & F.col("goes_on")
+    off = F.when(earlier, F.col("pair")).otherwise(F.col("off") + F.when(of(FIRST_A), F.col("before")).otherwise(F.lit(0)))
+    shared = F.col("shared") | earlier | (of(LAST_PAIR) & F.col("follows"))
+    return found.select(*_CARRIED, (F.col("a") + off).alias("rank"), shared.alias("shared"), (shared & _open(F.col("b"))).alias("open")), more
 
 
 def suffix_ranks(sequences: DataFrame) -> DataFrame:
@@ -143,44 +151,41 @@ def suffix_ranks(sequences: DataFrame) -> DataFrame:
     lines = sequences.select("rid", F.size("ids").alias("size"), F.posexplode("ids").alias("i", "id"))
     # 62 bits of the ID, doubled, as next ranks are: every shared pair of round 0 is open
     pairs = lines.select(F.lit(0).cast("long").alias("a"), F.expr("(id & 4611686018427387903) * 2").alias("b"), "rid", "i", "size", F.lit(0).cast("long").alias("line"))
-    found, more = _refined(pairs)
+    rows = sequences.agg(F.sum(F.size("ids"))).first()[0] or 0
+    found, more = _refined(pairs, rows)
     state = found.where("shared").select("rid", "i", "size", F.col("rank").alias("line"), "rank", F.lit(False).alias("final"), F.lit(1).alias("depth"))
-    depth = 1
+    state, depth = checkpointed(state), 1
+    done, open_ = state.where("final"), state
     while more:
-        after = state.select("rid", (F.col("i") - depth).alias("i"), (F.col("rank") * 2 + F.col("final").cast("long")).alias("next"))
+        rows = open_.count()
+        after = done.union(open_).select("rid", (F.col("i") - depth).alias("i"), (F.col("rank") * 2 + F.col("final").cast("long")).alias("next"))
         b = F.when(F.col("i") + depth >= F.col("size"), F.lit(ENDED)).otherwise(F.coalesce("next", F.lit(ALONE))).cast("long")
-        pairs = state.where("not final").join(after, ["rid", "i"], "left").select(F.col("rank").alias("a"), b.alias("b"), *_CARRIED)
-        found, more = _refined(pairs)
-        fresh = found.select(*_CARRIED, "rank", (~F.col("open")).alias("final"), F.when(F.col("open"), F.lit(2 * depth)).otherwise(F.lit(depth)).alias("depth"))
-        state = state.where("final").union(fresh)
+        pairs = open_.join(after, ["rid", "i"], "left").select(F.col("rank").alias("a"), b.alias("b"), *_CARRIED)
+        found, more = _refined(pairs, rows)
+        found = found.select(*_CARRIED, "rank", (~F.col("open")).alias("final"), F.when(F.col("open"), F.lit(2 * depth)).otherwise(F.lit(depth)).alias("depth"))
+        done, open_ = done.union(found.where("final")).coalesce(partitions(sequences.sparkSession)), found.where("not final")
         depth *= 2
-    return state.drop("final")
-
+    return done.union(open_).drop("final")
 
-_ENDS = "slice int, rows long, rid long, i int, line long, depth int"
 
+_PAIRED = "slice int, at long, rid long, i int, line long, depth int, prid long, pi int, pline long, pdepth int, rows long"
 
-def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["slice", "rid", "i", "line", "depth"]
-    no, *rest = _columns(batches, names)
-    if len(no):
-        yield pa.RecordBatch.from_arrays([pa.array([no[0]]), pa.array([len(no)], pa.int64()), *(pa.array(x[-1:]) for x in rest)], [c.split()[0] for c in _ENDS.split(", ")])
 
-
-def _beside(carries: dict[int, tuple]):
-    """Each suffix with the one before it, if their first lines are equal."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        no, rid, i, line, depth = _columns(batches, ["slice", "rid", "i", "line", "depth"])
-        if not len(no):
-            return
-        base, (r0, i0, l0, d0) = carries[int(no[0])]
-        prior = lambda x, x0: np.concatenate([np.array([x0], dtype=x.dtype), x[:-1]])
-        same = prior(line, l0) == line
-        most = np.where(same, 2 * np.minimum(depth, prior(depth, d0)), 0)
-        yield from _pieces(["place", "rid", "i", "prid", "pi", "most"], [base + np.arange(len(no)), rid, i, prior(rid, r0), prior(i, i0), most.astype(np.int32)])
-
-    return run
+def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each suffix with the one before it in its slice; and the last one of the slice, with the slice's rows."""
+    names = [c.split()[0] for c in _PAIRED.split(", ")]
+    no, rid, i, line, depth = _columns(batches, ["slice", "rid", "i", "line", "depth"])
+    n = len(no)
+    if not n:
+        return
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()]
+    none = np.arange(n) == 0
+    for x in range(0, n, 100_000):
+        y = min(n, x + 100_000)
+        before = [pa.array(np.concatenate([c[:1], c[:-1]])[x:y], t, mask=none[x:y]) for c, t in zip((rid, i, line, depth), types[6:10], strict=True)]
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip((no[x:y], np.arange(x, y), rid[x:y], i[x:y], line[x:y], depth[x:y]), types, strict=False)), *before, pa.nulls(y - x, pa.int64())], names)
+    last = [no[0], None, rid[-1], i[-1], line[-1], depth[-1], None, None, None, None, n]
+    yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(last, types, strict=True)], names)
 
 
 def suffix_array(sequences: DataFrame) -> DataFrame:
@@ -189,12 +194,18 @@ def suffix_array(sequences: DataFrame) -> DataFrame:
     Suffixes whose first line stands nowhere else are left out, as they share
     nothing.
     """
-    ordered = _sliced(suffix_ranks(sequences).drop("size"), "rank", "rid", "i")
-    carries, base, last = {}, 0, (0, 0, -1, 0)
-    for s in _told(ordered.mapInArrow(_ends, _ENDS)):
-        carries[s["slice"]] = (base, last)
+    spark = sequences.sparkSession
+    ranks = suffix_ranks(sequences).drop("size")
+    paired = checkpointed(_sorted(ranks, ranks.count(), "rank", "rid", "i").mapInArrow(_beside, _PAIRED))
+    carries, base, last = [], 0, (None,) * 4
+    for s in _told(paired.where("rows is not null")):
+        carries.append((s["slice"], base, *last))
         base, last = base + s["rows"], (s["rid"], s["i"], s["line"], s["depth"])
-    pairs = ordered.mapInArrow(_beside(carries), "place long, rid long, i int, prid long, pi int, most int")
+    carried = spark.createDataFrame(carries, "slice int, base long, qrid long, qi int, qline long, qdepth int")  # one row a task
+    pairs = paired.where("rows is null").join(F.broadcast(carried), "slice")
+    prior = {c: F.coalesce(f"p{c}", f"q{c}") for c in ("rid", "i", "line", "depth")}
+    most = F.when(prior["line"] == F.col("line"), 2 * F.least("depth", prior["depth"])).otherwise(F.lit(0))
+    pairs = pairs.select((F.col("base") + F.col("at")).alias("place"), "rid", "i", prior["rid"].alias("prid"), prior["i"].alias("pi"), most.alias("most"))
     along = Window.partitionBy("rid").orderBy("i")
     before = F.lag(F.struct("i", "prid", "pi", "most")).over(along)
     follows = F.coalesce((before["most"] > 0) & (before["i"] == F.col("i") - 1) & (before["prid"] == F.col("prid")) & (before["pi"] == F.col("pi") - 1), F.lit(False))
@@ -290,6 +301,7 @@ def later_copies(sequences: DataFrame, depths: list[int]) -> DataFrame:
     suffix is the original, all others are later copies.
     """
     array = suffix_array(sequences).join(sequences.select("rid", "ord"), "rid")
-    ordered = _sliced(array.select("place", "rid", "i", "ord", "lcp"), "place")
+    array = checkpointed(array.select("place", "rid", "i", "ord", "lcp"))
+    ordered = checkpointed(_sorted(array, array.count(), "place"))
     slices = _told(ordered.mapInArrow(_intervals(depths), _RUNS))
     return ordered.mapInArrow(_later(depths, _ends_of_intervals(slices, depths)), "rid long, i int, n int").where("n > 0")

@@ -28,7 +28,9 @@
 Defined results: null and empty texts hold no term; they get the share of
 toxic texts among sample texts without a term, like any clean text; with
 nothing to learn from every score is 0.  A null doc_id falls in the fold of
-the empty text.
+the empty text.  Repeated rows are learned from once and scored each; equal
+gains go to the term that sorts first; very long texts are read whole; an empty
+table gives an empty result.  Kept columns may have any names.
 """
 
 from __future__ import annotations
@@ -47,7 +49,8 @@ from pyspark.sql import functions as F
 
 from .features import bounded_sample
 from .ngram_join import one_of_each
-from .session import checkpointed
+from .session import carried, checkpointed
+from .session import restored as named
 from .textnp import blocks, string_buffer
 
 #: Letters, and marks that belong to them, in lower case; 0: no letter.  All scripts lie below the table's end.
@@ -138,28 +141,35 @@ def suspect_ranges(points: np.ndarray) -> list[tuple[int, int]]:
 
 
 class CharModel:
-    """Costs of letters after the two before, from trigram counts with back-off."""
-
-    def __init__(self, counts: dict[int, int]):
-        self.tri, self.bi, self.uni = counts, Counter(), Counter()
-        for code, c in counts.items():
-            self.bi[code & 0xFFFF] += c
-            self.uni[code & 0xFF] += c
-        self.left = Counter()
-        self.left1 = Counter()
-        for code, c in counts.items():
-            self.left[code >> 8] += c
-            self.left1[(code >> 8) & 0xFF] += c
-        self.total = sum(self.uni.values())
+    """Costs of letters after the two before, from trigram counts with back-off.
+
+    Counts are sorted arrays of codes, so the model takes 12 bytes for each
+    trigram seen, of at most 2^24.
+    """
+
+    def __init__(self, codes: np.ndarray, counts: np.ndarray):
+        self.codes, self.counts = codes.astype(np.uint32), counts.astype(np.int64)
+        sums = lambda key, size: np.bincount(key, weights=self.counts, minlength=size)
+        self.uni, self.bi = sums(self.codes & 0xFF, 1 << 8), sums(self.codes & 0xFFFF, 1 << 16)
+        self.left, self.left1 = sums(self.codes >> 8, 1 << 16), sums((self.codes >> 8) & 0xFF, 1 << 8)
+        self.total = float(self.counts.sum())
         self.cost = lru_cache(1 << 16)(self._cost)
 
+    @classmethod
+    def of(cls, counts: dict[int, int]) -> CharModel:
+        codes = sorted(counts)
+        return cls(np.array(codes, dtype=np.uint32), np.array([counts[c] for c in codes], dtype=np.int64))
+
     def __reduce__(self):
-        return CharModel, (dict(self.tri),)
+        return CharModel, (self.codes, self.counts)
 
     def _cost(self, a: int, b: int, c: int) -> float:
+        code = a << 16 | b << 8 | c
+        at = int(np.searchsorted(self.codes, np.uint32(code)))
+        seen = float(self.counts[at]) if at < len(self.codes) and self.codes[at] == code else 0.0
         p1 = (self.uni[c] + 0.5) / (self.total + 128)
         p2 = (self.bi[b << 8 | c] + 20 * p1) / (self.left1[b] + 20)
-        p3 = (self.tri.get(a << 16 | b << 8 | c, 0) + 20 * p2) / (self.left[a << 8 | b] + 20)
+        p3 = (seen + 20 * p2) / (self.left[a << 8 | b] + 20)
         return -float(np.log(p3))
 
 
@@ -183,7 +193,8 @@ def lattice(suspect: str, parted: bool = False) -> list[list[tuple[str, float]]]
 def decode(suspect: str, model: CharModel, parted: bool = False) -> str:
     """The most likely letters behind a suspect, by Viterbi search."""
     # A path is its last letter and the path before, so a step costs the same at any length.
-    states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
+    # A state is the symbols of the last two letters: all that the model looks at, so the search is exact.
+    states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}  # of the symbols
     for ways in lattice(suspect, parted):
         fresh: dict[tuple[int, int], tuple[float, tuple]] = {}
         for (a, b), (cost, path) in states.items():
@@ -197,7 +208,7 @@ def decode(suspect: str, model: CharModel, parted: bool = False) -> str:
                     key, value = (a, b), (cost + extra, path)
                 if key not in fresh or value[0] < fresh[key][0]:
                     fresh[key] = value
-        states = dict(sorted(fresh.items(), key=lambda x: (x[1][0], x[0]))[:64])
+        states = fresh
     path, out = min((cost + model.cost(a, b, 0), (a, b), path) for (a, b), (cost, path) in states.items())[2], []
     while path:
         letter, path = path
@@ -271,15 +282,14 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def char_model(docs: DataFrame, fan_in: int = 16) -> CharModel:
-    """Trigram counts over all texts of ``docs(text)``."""
+    """Trigram counts over all texts of ``docs(text)``, added up in two steps to one pack of at most 2^24 codes."""
     ddl = "part int, codes binary, counts binary"
     packs = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_trigrams, ddl)
-    some = packs.withColumn("part", (F.spark_partition_id() % fan_in).cast("int")).repartitionById(fan_in, "part").mapInArrow(_add, ddl).collect()
-    total: Counter[int] = Counter()
-    for r in some:  # fan_in packs at most
-        for code, n in zip(np.frombuffer(bytes(r["codes"]), dtype=np.uint32).tolist(), np.frombuffer(bytes(r["counts"]), dtype=np.int64).tolist(), strict=True):
-            total[code] += n
-    return CharModel(dict(total))
+    some = packs.withColumn("part", (F.spark_partition_id() % fan_in).cast("int")).repartitionById(fan_in, "part").mapInArrow(_add, ddl)
+    r = some.repartitionById(1, F.lit(0)).mapInArrow(_add, ddl).first()  # fan_in packs in one task
+    if r is None:
+        return CharModel.of({})
+    return CharModel(np.frombuffer(bytes(r["codes"]), dtype=np.uint32), np.frombuffer(bytes(r["counts"]), dtype=np.int64))
 
 
 PREFIXES = (4, 5, 6, 7, 8)
@@ -338,9 +348,29 @@ def _without_near_copies(sample: DataFrame) -> DataFrame:
     return checkpointed(one[0].union(one[1]))
 
 
-def fit(train: DataFrame, chars: CharModel, per_label: int = 5000, candidates: int = 3000, least_gain: float = 0.002, least_score: float = 0.75, often: float = 0.05) -> ToxicModel | None:
+def _most_telling(rows: list[np.ndarray], n: int, usable: np.ndarray, extra: np.ndarray, least: float) -> tuple[list[int], np.ndarray]:
+    """Terms, each the one that explains most of the toxic texts that no term before it is found in; and which texts stay open.
+
+    ``rows`` has the terms of each toxic text.
+    """
+    open_, picked = np.ones(len(rows), dtype=bool), []
+    more = np.bincount(np.concatenate(rows), minlength=n) if rows else np.zeros(n, dtype=np.int64)
+    while n and open_.any():
+        gain = np.where(usable, more + extra, -1.0)
+        best = int(gain.argmax())
+        if more[best] < least or gain[best] <= 0:
+            break
+        picked.append(best)
+        for k in np.flatnonzero(open_):
+            if best in rows[k]:
+                open_[k] = False
+                more = more - np.bincount(rows[k], minlength=n)
+    return picked, open_
+
+
+def fit(train: DataFrame, chars: CharModel, per_label: int = 5000, least_gain: float = 0.002, least_score: float = 0.75, often: float = 0.05) -> ToxicModel | None:
     """A model from ``train(label, text)`` of labels 0 and 1."""
-    some = bounded_sample(train.where("label is not null and text is not null"), "label", per_label, 2)
+    some = bounded_sample(train.where("label in (0, 1) and text is not null"), "label", per_label)
     some = _without_near_copies(checkpointed(some.select("label", "text")))
     sizes = {r["label"]: r["count"] for r in some.groupBy("label").count().collect()}
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
@@ -348,40 +378,29 @@ def fit(train: DataFrame, chars: CharModel, per_label: int = 5000, candidates: i
         return None
     counted = some.select("label", "text").mapInArrow(_term_counts(chars), "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
     lift = F.log((F.col("t") + 0.5) / (bad + 1)) - F.log((F.col("c") + 0.5) / (good + 1))
-    counted = counted.where((F.col("t") >= 2) & (lift > 2.0)).withColumn("v", F.sqrt("t") * lift)
-    ranked = [r["term"] for r in counted.orderBy(F.desc("v"), "term").limit(candidates).collect()]
+    ranked = sorted(r["term"] for r in counted.where((F.col("t") >= 2) & (lift > 2.0)).select("term").collect())  # terms of 2 * per_label texts
     rows = some.select("label", "text").mapInArrow(_found_terms(chars, ranked), "label int, terms array<int>").collect()
-    hit = {0: np.zeros((good, len(ranked)), dtype=bool), 1: np.zeros((bad, len(ranked)), dtype=bool)}
-    for label in (0, 1):
-        for k, r in enumerate([r for r in rows if r["label"] == label]):
-            hit[label][k, r["terms"]] = True
-    clean, toxic = hit[0].sum(axis=0), hit[1].sum(axis=0)
+    hit = {label: [np.array(r["terms"], dtype=np.int64) for r in rows if r["label"] == label] for label in (0, 1)}
+    n = len(ranked)
+    clean, toxic = (np.bincount(np.concatenate(hit[k]), minlength=n) if hit[k] else np.zeros(n, dtype=np.int64) for k in (0, 1))
     scores = (toxic + 0.5) / (toxic + clean + 1)
     whole = np.array([t.endswith(" ") for t in ranked], dtype=bool)
-    usable = scores >= least_score
-    open_, picked = np.ones(bad, dtype=bool), []
-    while len(ranked) and open_.any():
-        more = hit[1][open_].sum(axis=0)
-        gain = np.where(usable, more - 10.0 * clean * bad / max(good, 1) + 0.1 * whole + 0.01 * np.array([len(t) for t in ranked]), -1)
-        best = int(gain.argmax())
-        if more[best] < max(3, least_gain * bad) or gain[best] <= 0:
-            break
-        picked.append(best)
-        open_ &= ~hit[1][:, best]
+    extra = -10.0 * clean * bad / max(good, 1) + 0.1 * whole + 0.01 * np.array([len(t) for t in ranked])
+    picked, open_ = _most_telling(hit[1], n, scores >= least_score, extra, max(3, least_gain * bad))
     common = whole & (clean == 0) & (toxic >= max(5, often * bad))
     picked += [int(i) for i in np.flatnonzero(common) if i not in picked]
-    rest = ~hit[0][:, picked].any(axis=1)
-    base = float(open_.sum() + 0.5) / (open_.sum() + rest.sum() + 1)
+    rest = sum(not np.isin(picked, x).any() for x in hit[0])
+    base = float(open_.sum() + 0.5) / (open_.sum() + rest + 1)
     return ToxicModel(chars, [ranked[i] for i in picked], [float(scores[i]) for i in picked], base)
 
 
-def _score(model: ToxicModel | None, carried: int):
+def _score(model: ToxicModel | None, n_kept: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, str] = {}
         machine = _machine(model.terms) if model is not None and model.terms else None
         for batch in batches:
             score = []
-            for text in batch.column(carried):
+            for text in batch.column(n_kept):
                 best = 0.0 if model is None else model.base
                 if machine is not None:
                     if len(known) > 200_000:
@@ -389,13 +408,12 @@ def _score(model: ToxicModel | None, carried: int):
                     for _, i in machine.iter(restored(text.as_py() or "", model.chars, known)):
                         best = max(best, model.scores[i])
                 score.append(round(best, 6))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(carried)), pa.array(score, pa.float64())], [*batch.schema.names[:carried], "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(n_kept)), pa.array(score, pa.float64())], [*batch.schema.names[:n_kept], "score"])
 
     return run
 
 
 def score_toxicity(docs: DataFrame, model: ToxicModel | None, keep: list[str]) -> DataFrame:
     """The ``keep`` columns and the score of each row of ``docs``."""
-    rows = docs.select(*keep, F.col("text").alias("__text"))
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(_score(model, len(keep)), f"{ddl}, score double")
+    rows, ddl = carried(docs, keep)
+    return named(rows.mapInArrow(_score(model, len(keep)), f"{ddl}, score double"), keep)

@@ -370,7 +370,7 @@ def test_toxic_sample_keeps_texts_that_share_words(spark):
 def test_long_suspects():
     prose = "you are a complete idiot and the moron of them all said so you are not the one that we all like and they are not here " * 40
     codes = [int(toxicity._LOWER[ord(c)]) for c in prose]
-    model = toxicity.CharModel(Counter((0 if not b else int(a)) << 16 | int(b) << 8 | int(c) for a, b, c in zip(codes, codes[1:], codes[2:])))
+    model = toxicity.CharModel.of(Counter((0 if not b else int(a)) << 16 | int(b) << 8 | int(c) for a, b, c in zip(codes, codes[1:], codes[2:])))
     plain = [f"{a}{b}" for a in ("stone", "water", "green", "light") for b in ("wood", "field", "house", "side")]
     cases = [
         " ".join("you are a complete idiot and".replace(" ", "")),
@@ -387,7 +387,7 @@ def test_long_suspects():
 
 
 def test_letters_beyond_latin1(spark):
-    model = toxicity.CharModel(Counter())
+    model = toxicity.CharModel.of(Counter())
     assert " idiot " in toxicity.restored("you \u201cidiot\u201d\u2026", model, {}) and " idiot " in toxicity.restored("idiot\U0001f600", model, {})
     got = toxicity.restored("Дурак ΛΌΓΟΣ 中文 हिन्दी 𠀀", model, {})
     assert " дурак " in got and " λόγοσ " in got and " 中文 " in got and " हिन्दी " in got and " 𠀀 " in got
