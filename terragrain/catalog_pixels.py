@@ -256,25 +256,69 @@ def a05(spark, d):
     return g.select(*[F.round(c, 6).alias(c) for c in g.columns])
 
 
-@register("a16_normal_equations", _MASKED + " SELECT 'b1' AS i, 'b2' AS j, CAST(sum(b1 * b2) AS DOUBLE) AS v FROM v UNION ALL SELECT 'b1', 'pan16', CAST(sum(b1 * pan16) AS DOUBLE) FROM v UNION ALL SELECT '1', 'b3', CAST(sum(b3) AS DOUBLE) FROM v UNION ALL SELECT '1', '1', CAST(count(*) AS DOUBLE) FROM v")
-def a16(spark, d):
-    m = pansharpen.mutual_mask(px(spark, d), "pan16", BANDS)
-    n = pansharpen.normal_equations(m, BANDS, "pan16")
-    return n.where("(i = 'b1' and j in ('b2', 'pan16')) or (i = '1' and j in ('b3', '1'))")
+_COLUMNS = ["1", *BANDS, "pan16"]
+_PRODUCTS = " UNION ALL ".join(f"SELECT '{x}' AS i, '{y}' AS j, CAST(sum({x} * {y}) AS DOUBLE) AS v FROM v" for k, x in enumerate(_COLUMNS) for y in _COLUMNS[k:])
 
 
-@register("a16_least_squares_weights")
+@register("a16_normal_equations", _MASKED + f" {_PRODUCTS}")
+def a16(spark, d):
+    m = pansharpen.mutual_mask(px(spark, d), "pan16", BANDS)
+    return pansharpen.normal_equations(m, BANDS, "pan16")
+
+
+def _minor(i: int, j: int) -> str:
+    """Cofactor of the 3 x 3 covariance matrix of the bands."""
+    r, c = [k for k in range(3) if k != i], [k for k in range(3) if k != j]
+    m = lambda a, b: f"m{min(a, b)}{max(a, b)}"
+    return f"{'-' if (i + j) % 2 else ''}({m(r[0], c[0])} * {m(r[1], c[1])} - {m(r[0], c[1])} * {m(r[1], c[0])})"
+
+
+#: Least-squares weights by Cramer's rule on covariances.
+_WEIGHTS = (
+    ", q AS (SELECT "
+    + ", ".join(f"covar_pop({x}, {y}) AS m{i}{j}" for i, x in enumerate(BANDS) for j, y in enumerate(BANDS) if i <= j)
+    + ", "
+    + ", ".join(f"covar_pop({x}, pan16) AS t{i}, avg({x}) AS a{i}" for i, x in enumerate(BANDS))
+    + ", avg(pan16) AS ap FROM v), det AS (SELECT *, m00 * "
+    + _minor(0, 0)
+    + " + m01 * "
+    + _minor(0, 1)
+    + " + m02 * "
+    + _minor(0, 2)
+    + " AS det FROM q), w0 AS (SELECT *, "
+    + ", ".join("(" + " + ".join(f"t{j} * {_minor(i, j)}" for j in range(3)) + f") / det AS w{i + 1}" for i in range(3))
+    + " FROM det), w AS (SELECT w1, w2, w3, ap - w1 * a0 - w2 * a1 - w3 * a2 AS c FROM w0)"
+)
+
+
+@register("a16_least_squares_weights", _MASKED + _WEIGHTS + " SELECT round(w1, 6) AS w1, round(w2, 6) AS w2, round(w3, 6) AS w3, round(c, 4) AS c FROM w")
 def a16w(spark, d):
     w, c = pansharpen.least_squares(pansharpen.mutual_mask(px(spark, d), "pan16", BANDS), BANDS, "pan16")
     return spark.createDataFrame([(*[round(x, 6) for x in w], round(c, 4))], "w1 double, w2 double, w3 double, c double")
 
 
-@register("c04_gram_schmidt")
+#: PAN matched to the histogram of ``y(pid, pan16, bands, s)``, and injection by regression gains.
+_SHARPENED = (
+    """, sh AS (SELECT pan16 AS dn, count(*) AS cnt FROM y GROUP BY 1), th0 AS (SELECT CAST(greatest(0, least(65535, round_even(s, 0))) AS BIGINT) AS dn, count(*) AS cnt FROM y GROUP BY 1), th AS (SELECT * FROM th0 WHERE dn > 0),
+n AS (SELECT (SELECT sum(cnt) FROM sh) AS ns, (SELECT sum(cnt) FROM th) AS nt),
+sv AS (SELECT dn, CAST(sum(cnt) OVER (ORDER BY dn) * nt AS BIGINT) AS v FROM sh, n), tv AS (SELECT dn, CAST(sum(cnt) OVER (ORDER BY dn) * ns AS BIGINT) AS v FROM th, n UNION ALL SELECT 0, 0),
+near AS (SELECT sv.dn, sv.v, b.dn AS bdn, b.v AS bv, a.dn AS adn, a.v AS av FROM sv ASOF LEFT JOIN tv b ON sv.v > b.v ASOF LEFT JOIN tv a ON sv.v <= a.v),
+lut AS (SELECT dn, CASE WHEN av IS NOT NULL AND av - v < v - bv THEN adn ELSE bdn END AS out FROM near),
+g AS (SELECT """
+    + ", ".join(f"regr_slope({b}, s) AS g_{b}" for b in BANDS)
+    + """ FROM y)
+SELECT px.pid, px.row_i, px.col_i, """
+    + ", ".join(f"CAST(CASE WHEN y.pid IS NULL THEN 0 ELSE greatest(0, least(65535, round_even(y.{b} + g_{b} * (out - s), 0))) END AS BIGINT) AS {b}" for b in BANDS)
+    + " FROM px CROSS JOIN g LEFT JOIN y ON y.pid = px.pid LEFT JOIN lut ON lut.dn = y.pan16"
+)
+
+
+@register("c04_gram_schmidt", _MASKED + ", y AS (SELECT * FROM v)" + _SHARPENED)
 def c04(spark, d):
     return pansharpen.pansharpen(px(spark, d), "pan16", BANDS, KEYS)
 
 
-@register("c05_adaptive_gram_schmidt")
+@register("c05_adaptive_gram_schmidt", _MASKED + _WEIGHTS + ", y AS (SELECT pid, pan16, b1, b2, b3, w1 * b1 + w2 * b2 + w3 * b3 + c AS s FROM v, w)" + _SHARPENED)
 def c05(spark, d):
     return pansharpen.pansharpen(px(spark, d), "pan16", BANDS, KEYS, adaptive=True)
 

@@ -18,7 +18,7 @@ def info(spark: SparkSession, d: str) -> DataFrame:
     return view(spark, d, "raster_info")
 
 
-@register("f11_date_in_name", _I + " SELECT rid, coalesce(CAST(nullif(regexp_extract(path, '" + r.DATE + "', 1), '') AS INTEGER), 0) AS date FROM raster_info")
+@register("f11_date_in_name", _I + " SELECT rid, CAST(strftime(CAST(o_orderdate AS DATE), '%Y%m%d') AS INTEGER) * CAST(year(o_orderdate) >= 2000 AS INTEGER) AS date FROM raster_info JOIN orders ON o_orderkey = rid")
 def f11(spark, d):
     return info(spark, d).select("rid", r.date_of(F.col("path")).alias("date"))
 
@@ -118,21 +118,19 @@ def j21(spark, d):
     return r.later_wins(i.where("rid % 2 = 0").select(F.col("rid").alias("k"), F.col("reso_cm").alias("reso")), i.where("rid % 2 = 1").select(F.col("rid").alias("k"), "path"), ["k"])
 
 
-@register("o01_raster_order")
+_CLASS = "CAST(floor(round(ln(reso_cm / CAST(100.0 AS DOUBLE)) / ln(1 / CAST(0.9 AS DOUBLE)), 9)) AS BIGINT)"
+
+
+@register("o01_raster_order", _I + f", k AS (SELECT path, reso_cm, {_CLASS} AS cls, year(o_orderdate) * 10000 + month(o_orderdate) * 100 + day(o_orderdate) AS date FROM raster_info JOIN orders ON o_orderkey = rid), z AS (SELECT path, reso_cm, cls, CASE WHEN date >= 20000000 THEN date ELSE 0 END AS date FROM k) SELECT CAST(row_number() OVER (ORDER BY cls, date = 0, -date, reso_cm, path) - 1 AS BIGINT) AS ord, path FROM z")
 def o01(spark, d):
     i = info(spark, d).select("path", (F.col("reso_cm") / 100).alias("reso"), r.date_of(F.col("path")).alias("date"))
-    return r.sorted_rasters(i)
+    return r.numbered(i, r.processing_order(F.col("reso"), F.col("date"), F.col("path"))).select("ord", "path")
 
 
-@register("o02_custom_order", _I + " SELECT CAST(row_number() OVER (ORDER BY reso_cm, path) - 1 AS INTEGER) AS ord, path FROM raster_info")
+@register("o02_custom_order", _I + " SELECT CAST(row_number() OVER (ORDER BY reso_cm, path) - 1 AS BIGINT) AS ord, path FROM raster_info")
 def o02(spark, d):
-    """A comparator of the caller's: by resolution, then path."""
-    i = info(spark, d).select("path", F.col("reso_cm").alias("reso"), F.lit(0).alias("date"))
-
-    def by_resolution(a, b):
-        return ((a.reso, a.path) > (b.reso, b.path)) - ((a.reso, a.path) < (b.reso, b.path))
-
-    return r.sorted_rasters(i, by_resolution)
+    """An order of the caller's: by resolution, then path."""
+    return r.numbered(info(spark, d).select("path", "reso_cm"), [F.col("reso_cm"), F.col("path")]).select("ord", "path")
 
 
 @register("p17_truncation", _I + ", t AS (SELECT rid, 1 + rid % 5 AS n, rid % 4 AS lo, rid % 3 AS hi FROM raster_info) SELECT rid, CASE WHEN lo + hi >= n THEN n - 1 - least(hi, n - 1) ELSE lo END AS low, CASE WHEN lo + hi >= n THEN least(hi, n - 1) ELSE hi END AS high FROM t")
@@ -147,7 +145,7 @@ def p16(spark, d):
     return info(spark, d).select("rid", (r.raster_driver(F.col("path")).isNotNull() & (F.col("reso_cm") > 85)).alias("ok"))
 
 
-@register("p12_empty_holes")
+@register("p12_empty_holes", ctes("rects") + " SELECT geom_id, 2 AS rings FROM rects")
 def p12(spark, d):
     """Rings of boxes with one real and one empty hole; the empty one goes."""
     from .operators.cells import box_ring, drop_empty_holes
@@ -190,15 +188,37 @@ def s01(spark, d):
     return read_geotiff(spark, path).select("row_i", "col_i", "b1", "b2")
 
 
-@register("s08_rpb_parser")
+def _rpb_sql() -> tuple[str, str]:
+    """The example model's fields, and its projection of the query's points, spelled out."""
+    from .sources.rpb import SCALARS, VECTORS, example_rpb
+
+    fields: dict[str, list[str]] = {}
+    for entry in example_rpb(3).split(";"):
+        if "=" in entry:
+            key, value = entry.rsplit("\n    ", 1)[-1].split(" = ") if "(" not in entry else entry.strip().split(" = ", 1)
+            fields[key.split()[-1]] = value.strip().strip("()").replace(",", " ").split()
+    names = {**SCALARS, **VECTORS}
+    rows = " UNION ALL ".join(f"SELECT 'a.rpb' AS path, '{names[k]}' AS name, '{' '.join(v)}' AS value" for k, v in fields.items() if k in names)
+    num = lambda k: f"CAST({fields[k][0]} AS DOUBLE)"
+    terms = ["1", "x", "y", "z", "x * y", "x * z", "y * z", "x * x", "y * y", "z * z", "x * y * z", "x * x * x", "x * y * y", "x * z * z", "x * x * y", "y * y * y", "y * z * z", "x * x * z", "y * y * z", "z * z * z"]
+    cubic = lambda k: "(" + " + ".join(f"CAST({c} AS DOUBLE) * {t}" for c, t in zip(fields[k], terms, strict=True)) + ")"
+    point = f"SELECT lon, lat, (lon - {num('longOffset')}) / {num('longScale')} AS x, (lat - {num('latOffset')}) / {num('latScale')} AS y, (50.0 - {num('heightOffset')}) / {num('heightScale')} AS z FROM (SELECT i / CAST(100 AS DOUBLE) + 113 AS lon, i / CAST(200 AS DOUBLE) + 23 AS lat FROM range(20) t(i))"
+    project = f"SELECT round(lon, 6) AS lon, round({cubic('lineNumCoef')} / {cubic('lineDenCoef')} * {num('lineScale')} + {num('lineOffset')}, 4) AS line, round({cubic('sampNumCoef')} / {cubic('sampDenCoef')} * {num('sampScale')} + {num('sampOffset')}, 4) AS sample FROM ({point})"
+    return rows, project
+
+
+_RPB = _rpb_sql()
+
+
+@register("s08_rpb_parser", _RPB[0])
 def s08(spark, d):
     from .sources.rpb import example_rpb, parse_rpb
 
     text = spark.createDataFrame([("a.rpb", example_rpb(3))], "path string, value string")
-    return parse_rpb(text).select("path", F.map_keys("rpc").alias("names"), F.size(F.split(F.element_at("rpc", "LINE_NUM_COEFF"), " ")).alias("n"))
+    return parse_rpb(text).select("path", F.explode("rpc").alias("name", "value"))
 
 
-@register("f10_rpc_transform")
+@register("f10_rpc_transform", _RPB[1])
 def f10(spark, d):
     from .sources.rpb import example_rpb, parse_rpb, rpc_project
 

@@ -9,6 +9,7 @@ from .catalog import register
 from .fixtures import ctes, view
 from .operators import cells as g
 from .operators import mosaic, roads, seam
+from .operators.stencils import GRADIENT_X, GRADIENT_Y
 
 _CELLS = ctes("cells")
 _R = ctes("rasters")
@@ -208,6 +209,16 @@ def _sparse(spark, d):
     return view(spark, d, "px").where("b1 % 3 = 1").select(F.lit(1).alias("geom_id"), *CELL, "pid")
 
 
+def _parts(view: str, same: str = "") -> str:
+    """CTEs that name the 4-connected parts of ``view(pid, row_i, col_i)``, of equal ``same`` columns, by their least cell: lab(pid, part)."""
+    alike = "".join(f" AND a.{c} = b.{c}" for c in same.split())
+    return f""", e1 AS (SELECT a.pid AS a, b.pid AS b FROM {view} a JOIN {view} b ON b.row_i = a.row_i AND b.col_i = a.col_i + 1{alike} UNION ALL SELECT a.pid, b.pid FROM {view} a JOIN {view} b ON b.row_i = a.row_i + 1 AND b.col_i = a.col_i{alike}),
+e AS (SELECT a, b FROM e1 UNION ALL SELECT b, a FROM e1),
+lab(pid, part) USING KEY (pid) AS (SELECT pid, pid FROM {view} UNION SELECT e.b, min(lab.part) FROM lab JOIN e ON e.a = lab.pid JOIN recurring.lab AS old ON old.pid = e.b WHERE lab.part < old.part GROUP BY e.b)"""
+
+
+_RPX = _PX.replace("WITH ", "WITH RECURSIVE ", 1)
+_RCELLS = _CELLS.replace("WITH ", "WITH RECURSIVE ", 1)
 _SPARSE = _PX.replace("WITH ", "WITH RECURSIVE ", 1) + ", v AS (SELECT pid, row_i, col_i FROM px WHERE b1 % 3 = 1)" + _PARTS
 
 
@@ -226,41 +237,54 @@ def p11(spark, d):
     return parts.join(small, "part", "left_anti").select((F.col("row_i") * 100 + F.col("col_i")).alias("pid"))
 
 
-@register("a15_regions_by_value")
+@register("a15_regions_by_value", _RPX + ", v AS (SELECT pid, row_i, col_i, b2 % 2 AS value FROM px)" + _parts("v", "value") + " SELECT value, CAST(count(*) AS BIGINT) AS area, min(row_i) AS r0, max(row_i) AS r1, min(col_i) AS c0, max(col_i) AS c1 FROM v JOIN lab USING (pid) GROUP BY value, part")
 def a15(spark, d):
     """Parts of equal value, as envelopes and areas."""
     p = view(spark, d, "px").select((F.col("b2") % 2).alias("value"), *CELL)
     return g.components(p, ["value"]).groupBy("value", "part").agg(F.count("*").alias("area"), F.min("row_i").alias("r0"), F.max("row_i").alias("r1"), F.min("col_i").alias("c0"), F.max("col_i").alias("c1")).drop("part")
 
 
-@register("o03_biggest_part")
+@register("o03_biggest_part", _SPARSE + ", n AS (SELECT part, count(*) AS n FROM c GROUP BY part) SELECT row_i, col_i FROM v JOIN c USING (pid) WHERE part = (SELECT part FROM n ORDER BY n DESC, part LIMIT 1)")
 def o03(spark, d):
     return g.biggest_part(_sparse(spark, d)).select(*CELL)
 
 
-@register("o04_border_region")
+@register("o04_border_region", _RPX + ", v AS (SELECT pid, row_i, col_i FROM px WHERE b1 > 0)" + _parts("v") + ", n AS (SELECT part, count(*) AS n FROM lab GROUP BY part), k AS (SELECT row_i, col_i FROM v JOIN lab USING (pid) WHERE part = (SELECT part FROM n ORDER BY n DESC, part LIMIT 1)), d AS (SELECT * FROM range(-2, 3) t(dr), range(-2, 3) u(dc)) SELECT k.row_i + dr AS row_i, k.col_i + dc AS col_i FROM k, d GROUP BY 1, 2 HAVING count(*) = 25")
 def o04(spark, d):
     """The biggest valid region, drawn in by two pixels."""
     valid = view(spark, d, "px").where("b1 > 0").select(F.lit(1).alias("geom_id"), *CELL)
     return g.erode(g.biggest_part(valid), 2).select(*CELL)
 
 
-@register("p07_holes")
+_HOLES = (
+    _RCELLS
+    + """, k AS (SELECT * FROM cells WHERE NOT (row_i % 4 = 2 AND col_i % 5 = 2)), box AS (SELECT geom_id, min(row_i) - 1 AS r0, max(row_i) + 1 AS r1, min(col_i) - 1 AS c0, max(col_i) + 1 AS c1 FROM k GROUP BY 1),
+grid AS (SELECT geom_id, r0, r1, c0, c1, unnest(range(r0, r1 + 1)) AS row_i FROM box), f AS (SELECT geom_id, row_i, unnest(range(c0, c1 + 1)) AS col_i FROM grid),
+v AS (SELECT geom_id, row_i, col_i, geom_id * 1000000 + (row_i + 1) * 1000 + col_i + 1 AS pid FROM f ANTI JOIN k USING (geom_id, row_i, col_i))"""
+    + _parts("v", "geom_id")
+    + " SELECT geom_id, CAST(count(DISTINCT part) - 1 AS BIGINT) AS holes FROM v JOIN lab USING (pid) GROUP BY geom_id"
+)
+
+
+@register("p07_holes", _HOLES)
 def p07(spark, d):
     return g.holes(cells(spark, d).where("not (row_i % 4 = 2 and col_i % 5 = 2)"))
 
 
-@register("a13_merge_touching")
+@register("a13_merge_touching", _RCELLS + ", v AS (SELECT DISTINCT row_i * 1000 + col_i AS pid, row_i, col_i FROM cells)" + _parts("v") + " SELECT CAST(count(*) AS BIGINT) AS area FROM lab GROUP BY part")
 def a13(spark, d):
     return g.merge_touching(cells(spark, d)).select("area")
 
 
+_SITES = _CELLS + ", s AS (SELECT geom_id, avg(row_i) AS r, avg(col_i) AS c FROM cells GROUP BY 1), o AS (SELECT row_i, col_i, arg_min(geom_id, [(row_i - r) * (row_i - r) + (col_i - c) * (col_i - c), CAST(geom_id AS DOUBLE)]) AS site FROM px, s GROUP BY 1, 2), p AS (SELECT x.site AS a, y.site AS b FROM o x JOIN o y ON x.row_i = y.row_i AND y.col_i = x.col_i + 1 UNION ALL SELECT x.site, y.site FROM o x JOIN o y ON x.col_i = y.col_i AND y.row_i = x.row_i + 1)"
+
+
 @register("g04_voronoi_facets", _CELLS + ", s AS (SELECT geom_id, avg(row_i) AS r, avg(col_i) AS c FROM cells GROUP BY 1) SELECT row_i, col_i, arg_min(geom_id, [(row_i - r) * (row_i - r) + (col_i - c) * (col_i - c), CAST(geom_id AS DOUBLE)]) AS site FROM px, s GROUP BY 1, 2")
 def g04(spark, d):
     return g.nearest_site(view(spark, d, "px"), g.centroid(cells(spark, d)))
 
 
-@register("j02_voronoi_neighbours")
+@register("j02_voronoi_neighbours", _SITES + " SELECT a, b FROM p WHERE a <> b UNION SELECT b, a FROM p WHERE a <> b")
 def j02(spark, d):
     """Symmetric pairs of sites whose facets touch."""
     site = g.nearest_site(view(spark, d, "px"), g.centroid(cells(spark, d)))
@@ -268,12 +292,12 @@ def j02(spark, d):
     return near.union(near.select("b", "a")).distinct()
 
 
-@register("j03_refinement_pairs")
+@register("j03_refinement_pairs", _SITES + " SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM p WHERE a <> b")
 def j03(spark, d):
     return j02(spark, d).where("a < b")
 
 
-@register("o05_top_regions")
+@register("o05_top_regions", _SPARSE + ", n AS (SELECT part, count(*) AS n FROM c GROUP BY part) SELECT CAST(row_number() OVER (ORDER BY n DESC, part) AS INTEGER) AS r, CAST(n AS BIGINT) AS n FROM n QUALIFY r <= 3")
 def o05(spark, d):
     parts = g.components(_sparse(spark, d).select("geom_id", *CELL), ["geom_id"]).groupBy("part").agg(F.count("*").alias("n"))
     return parts.withColumn("r", F.row_number().over(Window.orderBy(F.desc("n"), "part"))).where("r <= 3").select("r", "n")
@@ -284,14 +308,29 @@ def o06(spark, d):
     return g.components(_sparse(spark, d).select("geom_id", *CELL), ["geom_id"]).groupBy("part").agg(F.count("*").alias("n")).agg(F.max("n").alias("n"))
 
 
-@register("o07_split_fragments")
+_FRAGMENTS = (
+    _RCELLS
+    + ", v AS (SELECT row_i, col_i, row_i * 1000 + col_i AS pid, max(geom_id) AS owner FROM cells GROUP BY 1, 2)"
+    + _parts("v", "owner")
+    + ", z AS (SELECT owner, part, count(*) AS n FROM v JOIN lab USING (pid) GROUP BY 1, 2), main AS (SELECT owner, arg_max(part, [n, -part]) AS part FROM z GROUP BY 1), m AS (SELECT v.*, part, (owner, part) IN (SELECT (owner, part) FROM main) AS kept FROM v JOIN lab USING (pid))"
+)
+
+
+@register("o07_split_fragments", _FRAGMENTS + " SELECT owner, CAST(count(*) FILTER (kept) AS BIGINT) AS kept, CAST(count(*) FILTER (NOT kept) AS BIGINT) AS split FROM m GROUP BY owner")
 def o07(spark, d):
     m = g.owner_by_order(cells(spark, d)).withColumnRenamed("geom_id", "owner")
     main, rest = mosaic.split_fragments(m)
     return main.groupBy("owner").agg(F.count("*").alias("kept")).join(rest.groupBy("owner").agg(F.count("*").alias("split")), "owner", "left").select("owner", "kept", F.coalesce("split", F.lit(0)).alias("split"))
 
 
-@register("j17_reattach_fragments")
+@register(
+    "j17_reattach_fragments",
+    _FRAGMENTS
+    + """, f AS (SELECT * FROM m WHERE NOT kept), inside AS (SELECT f.owner, f.part, c.geom_id AS into_, count(*) AS n FROM f JOIN cells c USING (row_i, col_i) WHERE c.geom_id <> f.owner GROUP BY 1, 2, 3),
+near AS (SELECT DISTINCT f.owner, f.part, k.owner AS into_ FROM f JOIN m k ON k.kept AND abs(k.row_i - f.row_i) + abs(k.col_i - f.col_i) = 1),
+t AS (SELECT owner, part, min(into_) AS into_ FROM inside JOIN z USING (owner, part) JOIN near USING (owner, part, into_) WHERE inside.n = z.n GROUP BY 1, 2)
+SELECT row_i, col_i, owner FROM m WHERE kept UNION ALL SELECT row_i, col_i, coalesce(into_, f.owner) FROM f LEFT JOIN t USING (owner, part)""",
+)
 def j17(spark, d):
     m = g.owner_by_order(cells(spark, d)).withColumnRenamed("geom_id", "owner")
     main, rest = mosaic.split_fragments(m)
@@ -308,7 +347,28 @@ def p13(spark, d):
     return seam.sites(*_pair(spark, d)).select("row_i", "col_i", "cls")
 
 
-@register("w05_seam_costs")
+def _lightness(image: str) -> str:
+    lin = lambda c: f"CASE WHEN {c} / CAST(255.0 AS DOUBLE) <= 0.04045 THEN {c} / CAST(255.0 AS DOUBLE) / 12.92 ELSE pow(({c} / CAST(255.0 AS DOUBLE) + 0.055) / 1.055, 2.4) END"
+    return f"SELECT row_i, col_i, round(CASE WHEN y > CAST(216 AS DOUBLE) / 24389 THEN 116 * cbrt(y) - 16 ELSE y * 24389 / 27 END, 6) AS l FROM (SELECT row_i, col_i, CAST(0.2126 AS DOUBLE) * {lin('b1')} + CAST(0.7152 AS DOUBLE) * {lin('b2')} + CAST(0.0722 AS DOUBLE) * {lin('b3')} AS y FROM rasters WHERE raster_id = {image} AND b1 > 0)"
+
+
+def _gradient(kernel: list, side: str) -> str:
+    taps = ", ".join(f"({r}, {c}, {w})" for r, c, w in kernel)
+    return f"SELECT s.row_i - r AS row_i, s.col_i - c AS col_i, abs(sum(coalesce({side}, 0) * w)) AS g, count(*) FILTER (coalesce({side}, 0) > 0) AS n FROM s, (VALUES {taps}) t(r, c, w) GROUP BY 1, 2"
+
+
+def _seam_costs(dr: int, dc: int, kernel: str) -> str:
+    cost = lambda a, b: f"CAST(round(100 * CASE WHEN ok THEN pow(greatest(20, least(40, greatest(go, gn))), 1.5) ELSE 200 END * pow(greatest(abs({a} - {b}), 2) + CASE WHEN ok THEN greatest(abs(go - gn) / 2.8, 2) ELSE 200 END, 1.4)) AS BIGINT)"
+    return f"SELECT q.row_i - {dr} AS p_row, q.col_i - {dc} AS p_col, q.row_i AS q_row, q.col_i AS q_col, {cost('p.o', 'q.n')} AS c01, {cost('p.n', 'q.o')} AS c10 FROM (SELECT row_i, col_i, coalesce(lo, 0) AS o, coalesce(ln, 0) AS n, a.g AS go, b.g AS gn, a.n = 12 AND b.n = 12 AS ok FROM s JOIN {kernel}o a USING (row_i, col_i) JOIN {kernel}n b USING (row_i, col_i)) q JOIN (SELECT row_i, col_i, coalesce(lo, 0) AS o, coalesce(ln, 0) AS n FROM s) p ON p.row_i = q.row_i - {dr} AND p.col_i = q.col_i - {dc}"
+
+
+@register(
+    "w05_seam_costs",
+    _R
+    + f", lo AS ({_lightness('1')}), ln AS ({_lightness('2')}), s AS (SELECT coalesce(lo.row_i, ln.row_i) AS row_i, coalesce(lo.col_i, ln.col_i) AS col_i, lo.l AS lo, ln.l AS ln FROM lo FULL JOIN ln ON lo.row_i = ln.row_i AND lo.col_i = ln.col_i), "
+    + ", ".join(f"{k}{side[1]} AS ({_gradient(kernel, side)})" for k, kernel in (("x", GRADIENT_X), ("y", GRADIENT_Y)) for side in ("lo", "ln"))
+    + f" {_seam_costs(0, 1, 'y')} UNION ALL {_seam_costs(1, 0, 'x')}",
+)
 def w05(spark, d):
     return seam.pairs(seam.sites(*_pair(spark, d)))
 
@@ -349,18 +409,23 @@ def c07(spark, d):
     return lab.where("label = 0").join(near, CELL, "left_semi").select(*CELL)
 
 
-@register("c09_voronoi_mosaic")
+_VORONOI = _R + """, k AS (SELECT raster_id, row_i, col_i FROM rasters WHERE b1 > 0), s AS (SELECT raster_id, avg(row_i) AS r, avg(col_i) AS c FROM k GROUP BY 1), u AS (SELECT DISTINCT row_i, col_i FROM k),
+o AS (SELECT row_i, col_i, arg_min(raster_id, [(row_i - r) * (row_i - r) + (col_i - c) * (col_i - c), CAST(raster_id AS DOUBLE)]) AS site FROM u, s GROUP BY 1, 2),
+own AS (SELECT row_i, col_i, CAST(CASE WHEN bool_or(raster_id = site) THEN any_value(site) ELSE min(raster_id) END AS BIGINT) AS owner FROM o JOIN k USING (row_i, col_i) GROUP BY 1, 2)"""
+
+
+@register("c09_voronoi_mosaic", _VORONOI + " SELECT row_i, col_i, owner FROM own")
 def c09(spark, d):
     return mosaic.voronoi(view(spark, d, "rasters"))
 
 
-@register("c10_mosaic_raster")
+@register("c10_mosaic_raster", _VORONOI + " SELECT row_i, col_i, owner, b1, b2, b3 FROM own JOIN rasters USING (row_i, col_i) WHERE raster_id = owner")
 def c10(spark, d):
     r = view(spark, d, "rasters")
     return mosaic.mosaic_pixels(mosaic.voronoi(r), r)
 
 
-@register("c11_raster_cuts")
+@register("c11_raster_cuts", _VORONOI + " SELECT raster_id, CAST(count(*) AS BIGINT) AS pixels, CAST(sum(b1) AS BIGINT) AS b1 FROM own JOIN rasters USING (row_i, col_i) WHERE raster_id = owner GROUP BY raster_id")
 def c11(spark, d):
     r = view(spark, d, "rasters")
     own = mosaic.voronoi(r).withColumnRenamed("owner", "geom_id")
@@ -406,7 +471,16 @@ def w07(spark, d):
     return roads.segment_samples(_segments(spark, d), 1.0, 1.0).select("seg_id", "i", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
-@register("c12_road_deformation")
+_ROADS = ctes("dem") + """, s AS (SELECT s_suppkey AS seg_id, s_suppkey % 20 + CAST(0.25 AS DOUBLE) AS x0, s_suppkey % 3 + CAST(0.5 AS DOUBLE) AS y FROM supplier), p AS (SELECT seg_id, x0 + i AS x, y, i FROM (SELECT *, unnest(range(0, 13)) AS i FROM s)),
+k AS (SELECT * FROM (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS k(r, c)),
+w AS (SELECT seg_id, i, x, y, (CASE WHEN r = 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END) * (CASE WHEN c = 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END) AS w, elev FROM p JOIN k ON true JOIN dem ON dem.row_i = CAST(floor(y) AS BIGINT) + r AND dem.col_i = CAST(floor(x) AS BIGINT) + c AND elev > 0),
+z AS (SELECT seg_id, i, x, y, sum(w * elev) / sum(w) AS z FROM w GROUP BY 1, 2, 3, 4 HAVING sum(w) > 0),
+n AS (SELECT seg_id, i, x, y, abs((lead(z) OVER q - z) * 1.0 * sin(CAST(0.0 AS DOUBLE) - atan2(CAST(0.8 AS DOUBLE), CAST(0.6 AS DOUBLE))) / 12 * 12) AS nbr FROM z WINDOW q AS (PARTITION BY seg_id ORDER BY i)),
+f AS (SELECT *, i - row_number() OVER (PARTITION BY seg_id ORDER BY i) AS isle FROM n WHERE nbr > 0.05)
+SELECT seg_id, CAST(i AS INTEGER) AS i, round(x, 6) AS x, round(y, 6) AS y, round(nbr, 4) AS nbr FROM (SELECT *, count(*) OVER (PARTITION BY seg_id, isle) AS run FROM f) WHERE run >= 2"""
+
+
+@register("c12_road_deformation", _ROADS)
 def c12(spark, d):
     angle, shift = roads.light_angle(0.6, 0.8)
     return roads.deformation(_segments(spark, d), view(spark, d, "dem"), angle, shift, 0.05, 2).select("seg_id", "i", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), F.round("nbr", 4).alias("nbr"))
@@ -417,7 +491,14 @@ def f09(spark, d):
     return spark.range(1).select(F.round(F.atan2(F.lit(0.8), F.lit(0.6)), 9).alias("angle"), F.round(F.hypot(F.lit(0.6), F.lit(0.8)), 9).alias("shift"))
 
 
-@register("w11_join_pieces")
+_PIECES = """WITH p AS (SELECT user_id AS line_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k, event_id % 3 AS start, (event_id + user_id) % 3 AS stop FROM events),
+b AS (SELECT *, CASE WHEN lag(stop) OVER w IS NULL OR lag(stop) OVER w = start THEN 0 ELSE 1 END AS b, max(k) OVER (PARTITION BY line_id) AS last FROM p WINDOW w AS (PARTITION BY line_id ORDER BY k)),
+g AS (SELECT *, sum(b) OVER (PARTITION BY line_id ORDER BY k) AS g FROM b),
+h AS (SELECT *, max(g) OVER w AS top, max(CASE WHEN k = last THEN stop END) OVER w = min(CASE WHEN k = 0 THEN start END) OVER w AS closed FROM g WINDOW w AS (PARTITION BY line_id))
+SELECT line_id, CAST(k AS INTEGER) AS k, CAST(CASE WHEN closed AND g = 0 THEN top ELSE g END AS BIGINT) AS "group" FROM h"""
+
+
+@register("w11_join_pieces", _PIECES)
 def w11(spark, d):
     e = view(spark, d, "events")
     k = (F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).alias("k")

@@ -26,7 +26,7 @@ FROM {px} WHERE col_i >= 30""",
     "rects": "SELECT s_suppkey AS geom_id, CAST((s_suppkey*7) % 10 AS BIGINT) AS r0, CAST((s_suppkey*13) % 80 AS BIGINT) AS c0, CAST(3 + s_suppkey % 4 AS BIGINT) AS h, CAST(5 + s_suppkey % 11 AS BIGINT) AS w FROM {supplier}",
     "cells": "SELECT geom_id, row_i, col_i FROM {rects} JOIN {px} ON row_i >= r0 AND row_i < r0 + h AND col_i >= c0 AND col_i < c0 + w",
     "raster_info": """SELECT o_orderkey AS rid, concat('dir/GF2_', CAST(year(o_orderdate)*10000+month(o_orderdate)*100+day(o_orderdate) AS STRING), '_', CAST(o_orderkey AS STRING), '.tif') AS path,
- CAST(80 + (o_orderkey % 5) * 5 AS BIGINT) AS reso_cm FROM {orders} WHERE o_orderkey < 500""",
+ CAST(80 + (o_orderkey % 5) * 5 AS BIGINT) AS reso_cm FROM {orders}""",
     "samples": "SELECT user_id AS seg_id, CAST(ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS BIGINT) AS i, value AS elev FROM {events}",
 }
 

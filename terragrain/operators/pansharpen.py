@@ -8,6 +8,7 @@ projection; only sums and a histogram LUT reach the driver or a broadcast.
 
 from __future__ import annotations
 
+from fractions import Fraction
 from functools import reduce
 
 import numpy as np
@@ -52,15 +53,32 @@ def normal_equations(px: DataFrame, bands: list[str], target: str) -> DataFrame:
     return one.select(F.explode(F.array(*[F.struct(F.lit(names[i]).alias("i"), F.lit(names[j]).alias("j"), F.col(f"v{k}").alias("v")) for k, (i, j) in enumerate(pairs)])).alias("x")).select("x.*")
 
 
+def _solved(a: list[list[Fraction]], b: list[Fraction]) -> list[Fraction] | None:
+    """The solution of a small system by elimination in whole fractions; None if it is singular."""
+    n = len(b)
+    rows = [[*r, x] for r, x in zip(a, b, strict=True)]
+    for k in range(n):
+        at = next((i for i in range(k, n) if rows[i][k]), None)
+        if at is None:
+            return None
+        rows[k], rows[at] = rows[at], rows[k]
+        for i in range(n):
+            if i != k and rows[i][k]:
+                f = rows[i][k] / rows[k][k]
+                rows[i] = [x - f * y for x, y in zip(rows[i], rows[k], strict=True)]
+    return [rows[k][n] / rows[k][k] for k in range(n)]
+
+
 def least_squares(px: DataFrame, bands: list[str], target: str) -> tuple[list[float], float]:
-    """Weights and intercept of target ~ bands; B+1 unknowns are solved on the driver."""
-    got = {(r["i"], r["j"]): r["v"] or 0.0 for r in normal_equations(px, bands, target).collect()}
+    """Weights and intercept of target ~ bands; B+1 unknowns are solved on the driver, without rounding where the sums allow one solution."""
+    got = {(r["i"], r["j"]): Fraction(r["v"] or 0.0) for r in normal_equations(px, bands, target).collect()}
     names = [*bands, "1"]
-    value = lambda a, b: got.get((a, b), got.get((b, a), 0.0))
-    a = np.array([[value(i, j) for j in names] for i in names])
-    b = np.array([value(i, target) for i in names])
-    w = np.linalg.lstsq(a, b, rcond=None)[0]
-    return w[:-1].tolist(), float(w[-1])
+    value = lambda a, b: got.get((a, b), got.get((b, a), Fraction(0)))
+    a, b = [[value(i, j) for j in names] for i in names], [value(i, target) for i in names]
+    w = _solved(a, b)
+    if w is None:
+        w = np.linalg.lstsq(np.array(a, dtype=float), np.array(b, dtype=float), rcond=None)[0]
+    return [float(x) for x in w[:-1]], float(w[-1])
 
 
 def pansharpen(px: DataFrame, pan: str, bands: list[str], keys: list[str], adaptive: bool = False, last: int = 65535, stretch: bool = False) -> DataFrame:

@@ -7,8 +7,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType
 
-#: Year 20xx, then a month and a day that it has (February to 28).
-DATE = r"(20[0-9]{2}(((0[13578]|1[02])(0[1-9]|[12][0-9]|3[01]))|((0[469]|11)(0[1-9]|[12][0-9]|30))|(02(0[1-9]|1[0-9]|2[0-8]))))"
+from ..plans.lineage import cut
+
+#: Eight digits of a year 20xx.
+DATE = r"20[0-9]{6}"
 
 #: File extension to driver name.
 RASTER_DRIVERS = {"tif": "GTiff", "tiff": "GTiff", "TIF": "GTiff", "TIFF": "GTiff", "img": "HFA"}
@@ -29,8 +31,9 @@ def extension(path: Column) -> Column:
 
 
 def date_of(path: Column) -> Column:
-    """YYYYMMDD in a name as a number, 0 if there is none."""
-    return F.coalesce(F.nullif(F.regexp_extract(path, DATE, 1), F.lit("")).cast("int"), F.lit(0))
+    """The first YYYYMMDD in a name that the calendar has, as a number, 0 if there is none."""
+    known = F.filter(F.regexp_extract_all(path, F.lit(f"(?=({DATE}))"), F.lit(1)), lambda d: F.try_to_date(d, "yyyyMMdd").isNotNull())
+    return F.coalesce(F.get(known, F.lit(0)).cast("int"), F.lit(0))
 
 
 def raster_driver(path: Column) -> Column:
@@ -54,22 +57,28 @@ def sidecars(files: DataFrame, suffix: str = "_mask") -> DataFrame:
     return files.withColumn("__stem", F.concat(stem(F.col("path")), F.lit(suffix))).join(other, "__stem", "left").select("path", "sidecar")
 
 
+#: Fixed value: resolutions whose gap is less than this share of the coarser one count as near.
+NEAR = 0.1
+
+
 def preferred(a, b) -> int:
     """Order of two images (path, reso, date): the newer of near resolutions, else the finer.
 
     The rule is no strict order over three images; lists are sorted by
     insertion from path order, so a cycle is resolved the same way each time.
     """
-    near = abs(a.reso - b.reso) / max(a.reso, b.reso) < 0.1
+    near = abs(a.reso - b.reso) / max(a.reso, b.reso) < NEAR
     if a.date and b.date and a.date != b.date and near:
         return -1 if a.date > b.date else 1
     return (a.reso > b.reso) - (a.reso < b.reso)
 
 
-def sorted_rasters(images: DataFrame, comparator=preferred) -> DataFrame:
-    """(ord, path): ``images(path, reso, date)`` of one mosaic in processing order.
+def sorted_rasters(images: DataFrame, comparator=preferred, mosaic: str | None = None) -> DataFrame:
+    """(mosaic, ord, path): ``images(path, reso, date)`` of each mosaic in the order of a comparator.
 
-    The images of a mosaic are a bounded list, sorted as one group.
+    The images of one mosaic are a bounded list, sorted as one group; a
+    comparator that is no strict order has no other meaning than this list.
+    Archives of any size have ``processing_order``.
     """
 
     def order(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -79,9 +88,38 @@ def sorted_rasters(images: DataFrame, comparator=preferred) -> DataFrame:
             while at and comparator(x, done[at - 1]) < 0:
                 at -= 1
             done.insert(at, x)
-        return pd.DataFrame({"ord": range(len(done)), "path": [x.path for x in done]})
+        return pd.DataFrame({"mosaic": [str(pdf.mosaic.iloc[0])] * len(done), "ord": range(len(done)), "path": [x.path for x in done]})
+
+    of = F.lit("") if mosaic is None else F.col(mosaic).cast("string")
+    out = images.select(of.alias("mosaic"), "path", "reso", "date").groupBy("mosaic").applyInPandas(order, "mosaic string, ord int, path string")
+    return out.select("ord", "path") if mosaic is None else out
+
 
-    return images.select("path", "reso", "date", F.lit(0).alias("one")).groupBy("one").applyInPandas(order, "ord int, path string")
+def reso_class(reso: Column) -> Column:
+    """A class of resolutions of which any two are near: powers of 1 / (1 - NEAR), from 1."""
+    return F.floor(F.round(F.log(reso) / F.log(F.lit(1 / (1 - NEAR))), 9)).cast("long")
+
+
+def processing_order(reso: Column, date: Column, path: Column) -> list[Column]:
+    """Sort keys of images: finer classes of resolution first, then dated before undated, newer, finer, and by path.
+
+    Inside a class and between images that are not near this is the pairwise
+    rule; near images of two classes go by class, which makes the order strict.
+    """
+    return [reso_class(reso), date == 0, -date, reso, path]
+
+
+def numbered(rows: DataFrame, keys: list[Column], name: str = "ord") -> DataFrame:
+    """``rows`` with their place in the order of ``keys`` from 0: a range sort, and one count for each slice."""
+    named = rows.select("*", *[k.alias(f"__k{i}") for i, k in enumerate(keys)])
+    by = [f"__k{i}" for i in range(len(keys))]
+    slices = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = cut(named.repartitionByRange(slices, *by).sortWithinPartitions(*by)).withColumn("__slice", F.spark_partition_id())
+    counts = ordered.groupBy("__slice").count()
+    before = Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)  # one row a slice
+    counts = counts.select("__slice", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"))
+    place = F.row_number().over(Window.partitionBy("__slice").orderBy(*by)) - 1
+    return ordered.join(F.broadcast(counts), "__slice").withColumn(name, F.col("__before") + place).drop(*by, "__slice", "__before")
 
 
 @F.pandas_udf(BinaryType())

@@ -125,7 +125,9 @@ def match_histograms(source: DataFrame, target: DataFrame) -> DataFrame:
     both = s.union(t).union(zero)
     order = Window.orderBy("v", F.desc("src"), "dn")  # equal values: source first, so that T < S holds strictly
     before = F.last(F.when(F.col("src") == 0, F.struct("v", "dn")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first(F.when(F.col("src") == 0, F.struct("v", "dn")), ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    # the same order backwards, so that what follows is a running value too
+    back = Window.orderBy(F.desc("v"), "src", F.desc("dn"))
+    after = F.last(F.when(F.col("src") == 0, F.struct("v", "dn")), ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))
     near = both.withColumn("b", before).withColumn("a", after).where("src = 1")
     pick = F.when(F.col("a").isNotNull() & (F.col("a.v") - F.col("v") < F.col("v") - F.col("b.v")), F.col("a.dn")).otherwise(F.col("b.dn"))
     return near.select("dn", F.when(F.col("v") <= 0, F.lit(0)).otherwise(F.coalesce(pick, F.lit(0))).cast("long").alias("out"))
