@@ -57,6 +57,8 @@ from .session import checkpointed, fresh, row_key, shards_of
 from .textnp import U64, Words, binary_slices, blocks, cut, grouped, mix, shingles, string_buffer, wide
 
 LOCAL_BYTES = 4 << 20
+#: Bytes of a column's hash that are sent to its block, beside the block's number.
+SENT = 5
 
 
 def _block_of(h: np.ndarray, shards: int) -> np.ndarray:
@@ -96,7 +98,7 @@ def _columns(n: int, shards: int):
                 for k in np.unique(np.concatenate([shard, shared_by])):
                     d, c = np.unique(doc[edge[k] : edge[k + 1]], return_counts=True)
                     sent = np.concatenate([mine[edge[k] : edge[k + 1]], twice[shared_by == k]])
-                    rows.append((int(k), None, None, None, None, rids[i:j][d].tobytes(), c.astype(np.uint32).tobytes(), cut(sent)))
+                    rows.append((int(k), None, None, None, None, rids[i:j][d].tobytes(), c.astype(np.uint32).tobytes(), cut(sent, SENT)))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
@@ -127,7 +129,7 @@ def _count_shared(homes: int):
             for r in batch.filter(pa.compute.invert(own)).select(["shard", "ids", "counts", "hashes"]).to_pylist():
                 sent.setdefault(r["shard"], []).append((r["ids"], r["counts"], r["hashes"]))
         for parts in sent.values():
-            s = np.concatenate([wide(x[2]) for x in parts])
+            s = np.concatenate([wide(x[2], SENT) for x in parts])
             s.sort()
             twice = np.unique(s[1:][s[1:] == s[:-1]])
             del s
@@ -136,7 +138,7 @@ def _count_shared(homes: int):
             rids, counts = [], []
             for ids, sizes, hashes in parts:
                 own = grouped(np.frombuffer(sizes, dtype=np.uint32))
-                h = wide(hashes)[: own[-1]]
+                h = wide(hashes, SENT)[: own[-1]]
                 hit = twice[np.minimum(np.searchsorted(twice, h), len(twice) - 1)] == h
                 shared = np.diff(grouped(hit)[own])
                 found = np.flatnonzero(shared)
@@ -197,7 +199,7 @@ def _send_columns(shards: int):
             for r in batch.to_pylist():
                 u, c = np.unique(_unpack(r)[2], return_counts=True)
                 shard = _block_of(u, shards)
-                rows = [(int(k), r["block"], cut(u[shard == k]), c[shard == k].astype(np.uint32).tobytes()) for k in np.unique(shard)]
+                rows = [(int(k), r["block"], cut(u[shard == k], SENT), c[shard == k].astype(np.uint32).tobytes()) for k in np.unique(shard)]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names)
 
     return run
@@ -212,7 +214,7 @@ def _count_columns(homes: int):
             for r in batch.to_pylist():
                 sent.setdefault(r["shard"], []).append(r)
         for shard, rows in sent.items():
-            u, at = np.unique(np.concatenate([wide(r["hashes"]) for r in rows]), return_inverse=True)
+            u, at = np.unique(np.concatenate([wide(r["hashes"], SENT) for r in rows]), return_inverse=True)
             df = np.bincount(at, weights=np.concatenate([np.frombuffer(r["counts"], dtype=np.uint32) for r in rows]), minlength=len(u))
             rank = np.where(df > 1, np.minimum(1 + np.floor(4 * np.log2(np.maximum(df, 1))), 255), 0).astype(np.uint8)[at]
             own = grouped(np.array([len(r["counts"]) // 4 for r in rows]))

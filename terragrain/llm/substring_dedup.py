@@ -6,7 +6,7 @@ document included), is removed; windows are judged on the input.
 
 How it runs, for texts of any total size:
 
-1. *Proposals.*  Each task hashes all windows of its documents and deals 40
+1. *Proposals.*  Each task hashes all windows of its documents and deals 32
    bits of each hash to shards by hash range.  A hash that recurs within one
    block of documents is settled there and sent once for the whole block, so
    a passage that stands in a third of all documents never fills a shard.  A
@@ -24,7 +24,7 @@ How it runs, for texts of any total size:
    The occurrences they locate, and nothing else, are the words to
    remove; they travel back to the documents by row key.
 
-Shuffled are 5 bytes a word, each text once (its exchange is used twice), and
+Shuffled are 4 bytes a word, each text once (its exchange is used twice), and
 proposed words about three times.  The number of shards grows with the counted
 bytes of text.  Nothing is collected or broadcast.
 
@@ -38,7 +38,9 @@ are not read.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import ahocorasick
 import numpy as np
@@ -52,7 +54,9 @@ from .textnp import Words, binary_slices, blocks, cut, grams, grouped, mix, pack
 
 #: Bytes of text in which recurring windows are settled on the spot.
 LOCAL_BYTES = 4 << 20
-#: Symbols of an automaton: code points less the surrogates and 0.
+#: Bytes of a window's hash that are sent to its shard, beside the shard's number; words are compared later.
+SENT = 4
+#: Symbols for words: code points less the surrogates and 0.
 SYMBOLS = 0x110000 - 0x800 - 1
 
 
@@ -100,7 +104,7 @@ def _send(window: int, shards: int):
                 for k in np.unique(np.concatenate([shard, shared])):
                     a, b = np.searchsorted(shard, [k, k + 1])
                     d, c = np.unique(doc[a:b], return_counts=True)
-                    rows.append((int(k), None, rids[i:j][d].astype(np.int64).tobytes(), c.astype(np.uint32).tobytes(), cut(np.concatenate([mine[a:b], twice[shared == k]])), None))
+                    rows.append((int(k), None, rids[i:j][d].astype(np.int64).tobytes(), c.astype(np.uint32).tobytes(), cut(np.concatenate([mine[a:b], twice[shared == k]]), SENT), None))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
@@ -118,7 +122,7 @@ def _propose(homes: int):
             for r in batch.filter(pa.compute.invert(local)).select(["shard", "ids", "counts", "hashes"]).to_pylist():
                 sent.setdefault(r["shard"], []).append((r["ids"], r["counts"], r["hashes"]))
         for shard, parts in sent.items():
-            s = np.concatenate([wide(x[2]) for x in parts])
+            s = np.concatenate([wide(x[2], SENT) for x in parts])
             s.sort()
             again = np.zeros(len(s), dtype=bool)
             again[1:] = s[1:] == s[:-1]
@@ -129,7 +133,7 @@ def _propose(homes: int):
             rids, replies = [], []
             for ids, counts, hashes in parts:
                 own = grouped(np.frombuffer(counts, dtype=np.uint32))
-                h = wide(hashes)[: own[-1]]
+                h = wide(hashes, SENT)[: own[-1]]
                 hit = twice[np.minimum(np.searchsorted(twice, h), len(twice) - 1)] == h
                 found = np.flatnonzero(np.diff(grouped(hit)[own]))
                 bits, bounds = pack_bits(hit, own)
@@ -168,43 +172,52 @@ def runs(flags: np.ndarray, window: int) -> Iterator[tuple[int, int]]:
         yield int(a), int(b) + window - 1
 
 
+class Alphabet:
+    """Words as characters: one each, or two of two halves of the alphabet where there are more words than characters."""
+
+    def __init__(self, words: dict[bytes, int], symbols: int = SYMBOLS):
+        self.half = symbols // 2
+        self.width = 1 if len(words) <= symbols else 2
+        if len(words) > self.half**2:
+            raise ValueError("a shard has too many distinct words; use smaller shards")
+
+    def spell(self, codes: list[int]) -> str:
+        code = np.array(codes, dtype=np.uint32)
+        if self.width == 2:
+            code = np.stack([code % self.half, self.half + code // self.half], axis=1).ravel()
+        code += 1
+        code[code >= 0xD800] += 0x800
+        return code.astype("<u4").tobytes().decode("utf-32-le")
+
+
 class Automata:
-    """Passages compiled into Aho-Corasick automata over word symbols."""
+    """Passages, spelled, compiled into Aho-Corasick automata of at most ``shard_words`` words (or of one passage)."""
 
-    def __init__(self, passages: set[tuple[bytes, ...]], shard_words: int):
-        self.shards: list[tuple[ahocorasick.Automaton, dict[bytes, int]]] = []
-        machine, symbols, size = None, {}, 0
+    def __init__(self, passages: set[str], shard_words: int, width: int = 1):
+        self.machines: list[ahocorasick.Automaton] = []
+        self.width = width
+        machine, size = None, 0
         for p in sorted(passages):
-            if machine is None or size + len(p) > shard_words and size or len(symbols) + len(p) > SYMBOLS:
-                self._close(machine, symbols)
-                machine, symbols, size = ahocorasick.Automaton(), {}, 0
-            for w in p:
-                symbols.setdefault(w, len(symbols) + 1)
-            machine.add_word(self.spell(p, symbols), len(p))
+            if machine is None or size + len(p) > shard_words * width and size:
+                self._close(machine)
+                machine, size = ahocorasick.Automaton(), 0
+            machine.add_word(p, len(p))
             size += len(p)
-        self._close(machine, symbols)
+        self._close(machine)
 
-    def _close(self, machine, symbols) -> None:
+    def _close(self, machine) -> None:
         if machine is not None:
             machine.make_automaton()
-            self.shards.append((machine, symbols))
-
-    @staticmethod
-    def spell(words, symbols: dict[bytes, int]) -> str:
-        """One character for each word; words of no passage share one."""
-        get = symbols.get
-        code = np.array([get(w, 0) for w in words], dtype=np.uint32)
-        code[code >= 0xD800] += 0x800
-        return code.tobytes().decode("utf-32-le")
+            self.machines.append(machine)
 
-    def covered(self, texts: list[list[bytes]]) -> list[np.ndarray]:
+    def covered(self, texts: list[str]) -> list[np.ndarray]:
         """Which words of each text lie in an occurrence of a passage; all texts pass one automaton after another."""
-        steps = [np.zeros(len(words) + 1, dtype=np.int32) for words in texts]
-        for machine, symbols in self.shards:
-            for words, step in zip(texts, steps, strict=True):
-                for last, size in machine.iter(self.spell(words, symbols)):
-                    step[last + 1 - size] += 1
-                    step[last + 1] -= 1
+        steps = [np.zeros(len(text) // self.width + 1, dtype=np.int32) for text in texts]
+        for machine in self.machines:
+            for text, step in zip(texts, steps, strict=True):
+                for last, size in machine.iter(text):
+                    step[(last + 1 - size) // self.width] += 1
+                    step[(last + 1) // self.width] -= 1
         return [np.cumsum(step[:-1]) > 0 for step in steps]
 
 
@@ -273,32 +286,30 @@ def _pieces(window: int, phrase: int, shards: int):
 
 
 class Piece:
-    """A piece of text: its words as numbers, how often it stands, and where."""
+    """A piece of text: its words as numbers, then spelled; how often it stands, and where."""
 
-    __slots__ = ("words", "codes", "count", "spots")
+    __slots__ = ("codes", "text", "count", "spots")
 
-    def __init__(self, words: list[bytes], codes: np.ndarray):
-        self.words, self.codes, self.count, self.spots = words, codes, 0, []
+    def __init__(self, codes: list[int]):
+        self.codes, self.text, self.count, self.spots = codes, "", 0, []
 
 
-def passages_of(group: list[Piece], window: int) -> set[tuple[bytes, ...]]:
+def passages_of(group: list[Piece], window: int, width: int = 1) -> set[str]:
     """Maximal runs of windows that stand twice by their words, in the pieces of one phrase."""
     out = set()
-    size = 4 * window
-    seen: dict[bytes, int] = {}
-    if len(group) > 1:
+    size = window * width
+    seen: dict[str, int] = {}
+    if len(group) > 1 and any(p.count == 1 for p in group):
         for p in group:
-            raw = p.codes.tobytes()
-            for a in range(0, len(raw) - size + 1, 4):
-                key = raw[a : a + size]
+            for a in range(0, len(p.text) - size + 1, width):
+                key = p.text[a : a + size]
                 seen[key] = seen.get(key, 0) + p.count
     for p in group:
         if p.count > 1:
-            out.add(tuple(p.words))
+            out.add(p.text)
         elif seen:
-            raw = p.codes.tobytes()
-            flags = np.array([seen[raw[a : a + size]] > 1 for a in range(0, len(raw) - size + 1, 4)], dtype=bool)
-            out.update(tuple(p.words[a:b]) for a, b in runs(flags, window))
+            flags = np.array([seen[p.text[a : a + size]] > 1 for a in range(0, len(p.text) - size + 1, width)], dtype=bool)
+            out.update(p.text[a * width : b * width] for a, b in runs(flags, window))
     return out
 
 
@@ -306,33 +317,33 @@ def _locate(window: int, phrase: int, homes: int, shard_words: int):
     """Confirmed passages of a shard, found in all pieces it was sent, as word ranges for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers: dict[bytes, int] = {}
+        numbers: defaultdict[bytes, int] = defaultdict(count().__next__)
         groups: dict[bytes, dict[bytes, Piece]] = {}
         shard = 0
         for batch in batches:
             for r in batch.to_pylist():
                 shard, at, spot = r["shard"], 0, 0
                 rid, place = np.frombuffer(r["rids"], dtype=np.int64), np.frombuffer(r["places"], dtype=np.int32)
-                for x, count, size in zip(r["phrases"], np.frombuffer(r["counts"], dtype=np.int32).tolist(), np.frombuffer(r["sizes"], dtype=np.int32).tolist(), strict=True):
+                for x, n, size in zip(r["phrases"], np.frombuffer(r["counts"], dtype=np.int32).tolist(), np.frombuffer(r["sizes"], dtype=np.int32).tolist(), strict=True):
                     raw = r["text"][at : at + size]
                     at += size
                     words = raw.split(b" ")
                     group = groups.setdefault(b" ".join(words[x : x + phrase]), {})
                     p = group.get(raw)
                     if p is None:
-                        codes = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), dtype=np.int32, count=len(words))
-                        p = group[raw] = Piece(words, codes)
-                    p.count += count
-                    p.spots.append((rid[spot : spot + count], place[spot : spot + count]))
-                    spot += count
+                        p = group[raw] = Piece([numbers[w] for w in words])
+                    p.count += n
+                    p.spots.append((rid[spot : spot + n], place[spot : spot + n]))
+                    spot += n
+        alphabet = Alphabet(numbers)
         pieces = [p for group in groups.values() for p in group.values()]
-        if not pieces:
-            return
-        passages: set[tuple[bytes, ...]] = set()
+        for p in pieces:
+            p.text, p.codes = alphabet.spell(p.codes), []
+        passages: set[str] = set()
         for group in groups.values():
-            passages |= passages_of(list(group.values()), window)
-        del groups
-        covered = Automata(passages, shard_words).covered([p.words for p in pieces])
+            passages |= passages_of(list(group.values()), window, alphabet.width)
+        del groups, numbers
+        covered = Automata(passages, shard_words, alphabet.width).covered([p.text for p in pieces])
         for a in range(0, len(pieces), 20_000):
             rids, ranges = [], []
             for p, gone in zip(pieces[a : a + 20_000], covered[a : a + 20_000], strict=True):

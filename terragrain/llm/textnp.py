@@ -194,18 +194,14 @@ def shingles(words: Words, k: int = 5, lower: bool = True) -> tuple[np.ndarray,
     return key & U64((1 << SHINGLE_BITS) - 1), np.searchsorted(key >> U64(SHINGLE_BITS), np.arange(len(first), dtype=U64))
 
 
-#: Bytes of a hash that are sent to a shard, beside the shard's number.
-SENT = 5
+def cut(h: np.ndarray, size: int) -> bytes:
+    """The low ``size`` bytes of each hash, sent to a shard beside the shard's number."""
+    return np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, :size]).tobytes()
 
 
-def cut(h: np.ndarray) -> bytes:
-    """The low ``SENT`` bytes of each hash."""
-    return np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, :SENT]).tobytes()
-
-
-def wide(sent: bytes) -> np.ndarray:
-    out = np.zeros((len(sent) // SENT, 8), dtype=np.uint8)
-    out[:, :SENT] = np.frombuffer(sent, dtype=np.uint8).reshape(-1, SENT)
+def wide(sent: bytes, size: int) -> np.ndarray:
+    out = np.zeros((len(sent) // size, 8), dtype=np.uint8)
+    out[:, :size] = np.frombuffer(sent, dtype=np.uint8).reshape(-1, size)
     return out.reshape(-1).view(U64)
 
 
