@@ -236,7 +236,7 @@ def f01(spark, d):
 
 @register("f02_pixel_centre", _PX + " SELECT pid, round((col_i * CAST(2.0 AS DOUBLE) + 100 - 100) / 2.0 - 0.5, 6) AS cx FROM px")
 def f02(spark, d):
-    return px(spark, d).select("pid", F.round((F.col("col_i") * 2.0 + 100 - 100) / 2.0 - 0.5, 6).alias("cx"))
+    return px(spark, d).select("pid", F.round(stencils.pixel_centre(F.col("col_i") * 2.0 + 100, 100.0, 2.0), 6).alias("cx"))
 
 
 _MASKED = _PX + ", v AS (SELECT pid, pan16, b1, b2, b3, (b1 + b2 + b3) / CAST(3.0 AS DOUBLE) AS s FROM px WHERE pan16 > 0 AND b1 > 0)"
@@ -313,7 +313,11 @@ SELECT px.pid, px.row_i, px.col_i, """
 )
 
 
-@register("c04_gram_schmidt", _MASKED + ", y AS (SELECT * FROM v)" + _SHARPENED)
+#: SQL that other queries' results equal too.
+ORACLES_OF = {"c04": _MASKED + ", y AS (SELECT * FROM v)" + _SHARPENED}
+
+
+@register("c04_gram_schmidt", ORACLES_OF["c04"])
 def c04(spark, d):
     return pansharpen.pansharpen(px(spark, d), "pan16", BANDS, KEYS)
 
@@ -366,8 +370,7 @@ def a11(spark, d):
 @register("a17_gain_solution")
 def a17(spark, d):
     r = rasters(spark, d)
-    moments, overlaps = color.raster_moments(r, ["b1"]).collect(), color.overlap_moments(r, ["b1"]).collect()
-    got = color.solve_gains(moments, overlaps, "b1")
+    got = color.solve_gains(color.raster_moments(r, ["b1"]), color.overlap_moments(r, ["b1"]), "b1")
     return spark.createDataFrame([(k, round(a, 6), round(b, 4)) for k, (a, b) in got.items()], "raster_id int, gain double, off double")
 
 

@@ -229,13 +229,13 @@ def f10(spark, d):
 
 @register("s10_model_import")
 def s10(spark, d):
-    """A balancing model through JSON and back."""
+    """A balancing model written as JSON and read again."""
     from .operators import color
-    from .sources.model_json import model_from_json, model_to_json
+    from .sources.model_json import read_model, write_model
 
-    rasters = view(spark, d, "rasters")
-    model = model_from_json(model_to_json(color.fit(rasters, ["b1"], 10)))
-    return color.apply(rasters, model, ["raster_id", "row_i", "col_i"])
+    rasters, path = view(spark, d, "rasters"), _shared(spark)
+    write_model(color.fit(rasters, ["b1"], 10), path)
+    return color.apply(rasters, read_model(spark, path), ["raster_id", "row_i", "col_i"])
 
 
 @register("s11_field_mapping", ctes("rects") + " SELECT geom_id AS fid, h AS height FROM rects")

@@ -39,8 +39,22 @@ def t02(spark, d):
 
 @register("t04_snapshots", ctes("cells") + " SELECT row_i, col_i, max(geom_id) AS owner FROM cells GROUP BY row_i, col_i")
 def t04(spark, d):
-    """The state is exported every second batch."""
-    return inc.streamed_mosaic(view(spark, d, "cells"), batches=4, snapshot=2)
+    """The state is exported after every batch; the last export is the mosaic."""
+    exports: list[str] = []
+    inc.streamed_mosaic(view(spark, d, "cells"), batches=3, snapshot=1, exports=exports)
+    return inc.restored_mosaic(spark, exports[-1])
+
+
+@register("k11_periodic_export", ctes("cells") + ", q AS (SELECT quantile_disc(geom_id, 0.25) AS a, quantile_disc(geom_id, 0.75) AS b FROM cells), m AS (SELECT 0 AS version, row_i, col_i FROM cells, q WHERE geom_id <= a UNION SELECT 2, row_i, col_i FROM cells, q WHERE geom_id <= b) SELECT version, CAST(count(*) AS BIGINT) AS n FROM m GROUP BY version")
+def k11(spark, d):
+    """What each export holds when every second of four batches is exported."""
+    exports: list[str] = []
+    inc.streamed_mosaic(view(spark, d, "cells"), batches=4, snapshot=2, exports=exports)
+    out = None
+    for path in exports:
+        one = inc.restored_mosaic(spark, path).agg(F.count("*").alias("n")).select(F.lit(int(path.rsplit("/", 1)[1])).alias("version"), "n")
+        out = one if out is None else out.union(one)
+    return out
 
 
 @register("ext_tumbling_window", "SELECT CAST(epoch(time_bucket(INTERVAL 1 HOUR, CAST(ts AS TIMESTAMP))) AS BIGINT) AS hour, event_type, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1, 2")

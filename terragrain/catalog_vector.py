@@ -196,7 +196,7 @@ def u04(spark, d):
     """The mosaic lies inside the new image, which takes what is left of its border."""
     m = g.owner_by_order(cells(spark, d)).withColumnRenamed("geom_id", "owner")
     border = view(spark, d, "px").where("row_i between 0 and 8 and col_i between 0 and 60").select(*CELL)
-    return m.select(*CELL, "owner").union(border.join(m, CELL, "left_anti").select(*CELL, F.lit(999).cast("long").alias("owner")))
+    return mosaic.surrounded(m, border, 999)
 
 
 _PARTS = """, e AS (SELECT a.pid AS a, b.pid AS b FROM v a JOIN v b ON abs(a.row_i - b.row_i) + abs(a.col_i - b.col_i) = 1),
@@ -381,13 +381,16 @@ def g01(spark, d):
 
 @register("a19_seam_energy")
 def a19(spark, d):
-    """Energy of the cut, summed over edges whose ends have unequal labels."""
+    """Energy of the cut, summed over edges whose ends have unequal labels, and as the kernel's pieces and known edges have it."""
     s = seam.sites(*_pair(spark, d))
     e = seam.pairs(s)
     lab = seam.cut_overlap(s, e)
-    ends = e.join(lab.select(F.col("row_i").alias("p_row"), F.col("col_i").alias("p_col"), F.col("label").alias("lp")), ["p_row", "p_col"]).join(lab.select(F.col("row_i").alias("q_row"), F.col("col_i").alias("q_col"), F.col("label").alias("lq")), ["q_row", "q_col"])
+    end = lambda c: lab.select(F.col("row_i").alias(f"{c}_row"), F.col("col_i").alias(f"{c}_col"), F.col("label").alias(f"l{c}"), F.col("cls").alias(f"cls{c}"))
+    ends = e.join(end("p"), ["p_row", "p_col"]).join(end("q"), ["q_row", "q_col"])
     cost = F.when((F.col("lp") == 0) & (F.col("lq") == 1), F.col("c01")).when((F.col("lp") == 1) & (F.col("lq") == 0), F.col("c10")).otherwise(0)
-    return ends.agg(F.sum(cost).alias("summed")).crossJoin(lab.agg(F.max("energy").alias("kernel")))
+    pieces = lab.where("part is not null").groupBy("part").agg(F.max("energy").alias("energy")).agg(F.sum("energy").alias("pieces"))
+    known = F.sum(F.when((F.col("clsp") < 2) & (F.col("clsq") < 2), cost).otherwise(0)).alias("known")
+    return ends.agg(F.sum(cost).alias("summed"), known).crossJoin(pieces).select("summed", (F.col("pieces") + F.col("known")).alias("kernel"))
 
 
 @register("c08_coarse_to_fine_seam")
@@ -403,10 +406,14 @@ def c06(spark, d):
 
 @register("c07_pair_seamline")
 def c07(spark, d):
-    """Cells of the old side of the seam between two images."""
-    lab = seam.seam(*_pair(spark, d), levels=1)
-    near = g.shifted(lab.where("label = 1"), g.NEAR4, ["label"]).select(*CELL).distinct()
-    return lab.where("label = 0").join(near, CELL, "left_semi").select(*CELL)
+    """The two polygons on either side of the seam between two images, by area."""
+    r = view(spark, d, "rasters")
+    parts = mosaic.refined(mosaic.voronoi(r), r, 1, 2)
+    from .operators.polygons import polygons
+
+    shapes = polygons(parts.withColumnRenamed("owner", "geom_id"))
+    signed = F.aggregate("rings", F.lit(0.0), lambda s, ring: s + F.aggregate(F.sequence(F.lit(1), F.size(ring) - 1), F.lit(0.0), lambda t, i: t + (F.get(ring, i - 1)["x"] * F.get(ring, i)["y"] - F.get(ring, i)["x"] * F.get(ring, i - 1)["y"]) / 2))
+    return shapes.select("geom_id", F.size("rings").alias("rings"), signed.alias("area"))
 
 
 _VORONOI = _R + """, k AS (SELECT raster_id, row_i, col_i FROM rasters WHERE b1 > 0), s AS (SELECT raster_id, avg(row_i) AS r, avg(col_i) AS c FROM k GROUP BY 1), u AS (SELECT DISTINCT row_i, col_i FROM k),

@@ -41,3 +41,13 @@ def polygon_to_wkb(rings: pd.Series) -> pd.Series:
 @F.pandas_udf(RINGS)
 def polygon_from_wkb(wkb: pd.Series) -> pd.Series:
     return wkb.map(lambda b: None if b is None else decode_polygon(b))
+
+
+@F.pandas_udf(BinaryType())
+def point_to_wkb(x: pd.Series, y: pd.Series) -> pd.Series:
+    return pd.Series([struct.pack("<BIdd", 1, 1, a, b) for a, b in zip(x, y, strict=True)])
+
+
+@F.pandas_udf(StructType([StructField("x", DoubleType()), StructField("y", DoubleType())]))
+def point_from_wkb(wkb: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([struct.unpack(("<" if b[0] == 1 else ">") + "dd", b[5:21]) for b in wkb], columns=["x", "y"])

@@ -1,17 +1,22 @@
 """Global-to-local color balancing of overlapping rasters.
 
-Fit: moments of each raster and of each overlap's two sides, a weighted
-least-squares system of 2 unknowns for each raster, solved on the driver,
-and means of grid cells.  Apply: two broadcast tables (gains; cell means,
-bounded by the grid) and column arithmetic.
+Fit: moments of each raster and of each overlap's two sides, a sparse weighted
+least-squares system of 2 unknowns for each raster, whose normal equations
+are summed as a table and solved on the driver by elimination along the
+overlaps, and means of grid cells.  Apply: gains, one row a raster, and the
+cells' means, which stay tables and are joined by cell.
 """
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
+
+#: Cell rows up to which the table of means is broadcast; beyond, it is joined by cell.
+BROADCAST_CELLS = 200_000
+
 
 def raster_moments(px: DataFrame, bands: list[str]) -> DataFrame:
     """(raster_id, n, mean_b, dev_b) over pixels whose first band is valid."""
@@ -40,38 +45,66 @@ def overlap_moments(px: DataFrame, bands: list[str]) -> DataFrame:
     return both.groupBy("a", "b").agg(F.count("*").alias("n"), *each)
 
 
-def solve_gains(moments: list, overlaps: list, band: str) -> dict[int, tuple[float, float]]:
-    """Gain and offset of each raster: overlaps agree, rasters keep their own moments.
+def normal_equations(moments: DataFrame, overlaps: DataFrame, band: str) -> DataFrame:
+    """(i, j, v): nonzero sums of the weighted least-squares system; j is -1 for the right side.
 
-    Overlap equations weigh their area; a raster's own its mean overlap area
-    by two, or 1 without overlaps.
+    Unknown 2r is raster r's gain and 2r + 1 its offset.  Overlap equations
+    (equal means, equal deviations) weigh their area; a raster's own (keep both)
+    half its mean overlap area, or 1 without overlaps.
+    """
+    term = lambda at, v: F.struct(at.cast("long").alias("at"), v.cast("double").alias("v"))
+    gain, off = lambda r: 2 * F.col(r), lambda r: 2 * F.col(r) + 1
+    mean, dev = (lambda s: F.col(f"mean{s}_{band}")), (lambda s: F.col(f"dev{s}_{band}"))
+    one = F.lit(1.0)
+    meet = overlaps.select(F.col("n").cast("double").alias("w"), F.explode(F.array(
+        F.array(term(gain("a"), mean("_a")), term(off("a"), one), term(gain("b"), -mean("_b")), term(off("b"), -one)),
+        F.array(term(gain("a"), dev("_a")), term(gain("b"), -dev("_b"))),
+    )).alias("terms"))
+    sides = overlaps.select(F.explode(F.array("a", "b")).alias("raster_id"), "n").groupBy("raster_id").agg((F.avg("n") / 2).alias("w"))
+    own = moments.join(sides, "raster_id", "left").select(F.coalesce("w", F.lit(1.0)).alias("w"), F.explode(F.array(
+        F.array(term(gain("raster_id"), mean("")), term(off("raster_id"), one), term(F.lit(-1), mean(""))),
+        F.array(term(gain("raster_id"), dev("")), term(F.lit(-1), dev(""))),
+    )).alias("terms"))
+    each = meet.union(own).select("w", "terms", F.explode("terms").alias("x")).select("w", "x", F.explode("terms").alias("y")).where("x.at >= 0")
+    return each.groupBy(F.col("x.at").alias("i"), F.col("y.at").alias("j")).agg(F.sum(F.col("w") * F.col("x.v") * F.col("y.v")).alias("v"))
+
+
+def solve_sparse(entries: list[tuple[int, int, float]]) -> dict[int, float]:
+    """The solution of a symmetric positive system of nonzero entries (i, j, v), j = -1 the right side.
+
+    Unknowns of fewest neighbours are eliminated first, so what is filled in
+    follows the overlaps.
     """
-    ids = [r["raster_id"] for r in moments]
-    at = {k: i for i, k in enumerate(ids)}
-    rows, right, weight = [], [], []
-
-    def equation(terms: dict[int, float], value: float, w: float) -> None:
-        row = np.zeros(2 * len(ids))
-        for k, v in terms.items():
-            row[k] += v
-        rows.append(row)
-        right.append(value)
-        weight.append(w)
-
-    area = {k: [] for k in ids}
-    for o in overlaps:
-        i, j = at[o["a"]], at[o["b"]]
-        equation({2 * i: o[f"mean_a_{band}"], 2 * i + 1: 1, 2 * j: -o[f"mean_b_{band}"], 2 * j + 1: -1}, 0.0, o["n"])
-        equation({2 * i: o[f"dev_a_{band}"], 2 * j: -o[f"dev_b_{band}"]}, 0.0, o["n"])
-        area[o["a"]].append(o["n"])
-        area[o["b"]].append(o["n"])
-    for r in moments:
-        i, w = at[r["raster_id"]], sum(area[r["raster_id"]]) / (2 * len(area[r["raster_id"]])) if area[r["raster_id"]] else 1.0
-        equation({2 * i: r[f"mean_{band}"], 2 * i + 1: 1}, r[f"mean_{band}"], w)
-        equation({2 * i: r[f"dev_{band}"]}, r[f"dev_{band}"], w)
-    root = np.sqrt(np.array(weight))
-    x = np.linalg.lstsq(np.array(rows) * root[:, None], np.array(right) * root, rcond=None)[0]
-    return {k: (float(x[2 * i]), float(x[2 * i + 1])) for k, i in at.items()}
+    rows: dict[int, dict[int, float]] = {}
+    right: dict[int, float] = {}
+    for i, j, v in entries:
+        if j < 0:
+            right[i] = v
+        else:
+            rows.setdefault(i, {})[j] = v
+    order, left = [], {i: dict(r) for i, r in rows.items()}
+    while left:
+        k = min(left, key=lambda i: (len(left[i]), i))
+        row = left.pop(k)
+        pivot = row.pop(k)
+        order.append((k, pivot, row))
+        for i, v in row.items():
+            f = v / pivot
+            at = left[i]
+            del at[k]
+            for j, u in row.items():
+                at[j] = at.get(j, 0.0) - f * u
+            right[i] = right.get(i, 0.0) - f * right.get(k, 0.0)
+    out: dict[int, float] = {}
+    for k, pivot, row in reversed(order):
+        out[k] = (right.get(k, 0.0) - sum(v * out[j] for j, v in row.items())) / pivot
+    return out
+
+
+def solve_gains(moments: DataFrame, overlaps: DataFrame, band: str) -> dict[int, tuple[float, float]]:
+    """Gain and offset of each raster."""
+    got = solve_sparse([tuple(r) for r in normal_equations(moments, overlaps, band).collect()])  # a few entries for each overlap
+    return {k // 2: (got[k], got[k + 1]) for k in got if k % 2 == 0}
 
 
 def cell_means(px: DataFrame, band: str, cell: int) -> DataFrame:
@@ -85,29 +118,36 @@ def global_means(cells: DataFrame) -> DataFrame:
     return cells.groupBy("gr", "gc").agg((F.sum(F.col("mean") * F.col("n")) / F.sum("n")).alias("mean"))
 
 
+def _cells(px: DataFrame, bands: list[str], cell: int) -> DataFrame:
+    """(raster_id, gr, gc, and n and mean of each band) in one aggregation."""
+    ok = lambda b: F.when(F.col(b) > 0, F.col(b))
+    each = [a for b in bands for a in (F.count(ok(b)).alias(f"n_{b}"), F.greatest(F.lit(1.0), F.least(F.lit(255.0), F.avg(ok(b)))).alias(f"r_{b}"))]
+    return px.groupBy("raster_id", F.floor(F.col("row_i") / cell).alias("gr"), F.floor(F.col("col_i") / cell).alias("gc")).agg(*each)
+
+
 def fit(px: DataFrame, bands: list[str], cell: int) -> dict:
-    """The model as plain values: gains by band and raster, cell means, greatest cell mean."""
-    moments, overlaps = raster_moments(px, bands).collect(), overlap_moments(px, bands).collect()
-    model = {"method": "GlobalToLocal", "cell": cell, "gains": {}, "cells": {}, "global": {}, "max_mean": {}}
-    for b in bands:
-        model["gains"][b] = solve_gains(moments, overlaps, b)
-        cells = cell_means(px, b, cell)
-        model["cells"][b] = [tuple(r) for r in cells.select("raster_id", "gr", "gc", "mean").collect()]
-        model["global"][b] = [tuple(r) for r in global_means(cells).collect()]
-        model["max_mean"][b] = max((m for *_, m in model["global"][b]), default=255.0)
-    return model
+    """The model: gains by band and raster, greatest cell mean, and the table ``cells`` of each raster's and the common cell means."""
+    moments, overlaps = cut(raster_moments(px, bands)), cut(overlap_moments(px, bands))
+    local = cut(_cells(px, bands, cell))
+    of = lambda b: F.sum(F.when(F.col(f"n_{b}") > 0, F.col(f"r_{b}") * F.col(f"n_{b}"))) / F.sum(F.when(F.col(f"n_{b}") > 0, F.col(f"n_{b}")))
+    world = local.groupBy("gr", "gc").agg(*[of(b).alias(f"g_{b}") for b in bands])
+    top = world.agg(*[F.max(f"g_{b}").alias(b) for b in bands]).first()
+    means = [F.when(F.col(f"n_{b}") > 0, F.col(f"r_{b}")).alias(f"r_{b}") for b in bands]
+    cells = cut(local.join(world, ["gr", "gc"]).select("raster_id", "gr", "gc", *means, *[f"g_{b}" for b in bands]))
+    return {"method": "GlobalToLocal", "cell": cell, "gains": {b: solve_gains(moments, overlaps, b) for b in bands}, "max_mean": {b: 255.0 if top[b] is None else float(top[b]) for b in bands}, "cells": cells}
 
 
 def apply(px: DataFrame, model: dict, keys: list[str]) -> DataFrame:
     """Balanced bands: gain and offset, then a power that maps raster means to global ones."""
-    spark, cell = px.sparkSession, model["cell"]
-    out = px.withColumn("__gr", F.floor(F.col("row_i") / cell)).withColumn("__gc", F.floor(F.col("col_i") / cell))
-    bands = list(model["gains"])
-    for b in bands:
-        gain = spark.createDataFrame([(k, *v) for k, v in model["gains"][b].items()], f"raster_id int, a_{b} double, o_{b} double")
-        local = spark.createDataFrame(model["cells"][b], f"raster_id int, __gr long, __gc long, r_{b} double")
-        world = spark.createDataFrame(model["global"][b], f"__gr long, __gc long, g_{b} double")
-        out = out.join(F.broadcast(gain), "raster_id", "left").join(F.broadcast(local), ["raster_id", "__gr", "__gc"], "left").join(F.broadcast(world), ["__gr", "__gc"], "left")
+    spark, cell, bands = px.sparkSession, model["cell"], list(model["gains"])
+    out = px.withColumn("gr", F.floor(F.col("row_i") / cell)).withColumn("gc", F.floor(F.col("col_i") / cell))
+    rasters = sorted({k for b in bands for k in model["gains"][b]})
+    gains = [(k, *[v for b in bands for v in model["gains"][b].get(k, (1.0, 0.0))]) for k in rasters]
+    gain = spark.createDataFrame(gains, "raster_id int, " + ", ".join(f"a_{b} double, o_{b} double" for b in bands))  # one row a raster
+    cells = model["cells"]
+    if cells.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS:
+        cells = F.broadcast(cells)
+    out = out.join(F.broadcast(gain), "raster_id", "left").join(cells, ["raster_id", "gr", "gc"], "left")
     return out.select(*keys, *[_balanced(b, float(model["max_mean"][b])).alias(b) for b in bands])
 
 

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .stretch import match_histograms, percent_clip, saturate
+from .stretch import percent_clip
 
 
 def mutual_mask(px: DataFrame, pan: str, bands: list[str]) -> DataFrame:
@@ -88,15 +88,9 @@ def pansharpen(px: DataFrame, pan: str, bands: list[str], keys: list[str], adapt
     an intercept by least squares.  PAN is matched to the synthetic band's
     histogram of rounded numbers.  Nodata stays 0.
     """
-    masked = mutual_mask(px, pan, bands).select(*keys, pan, *bands)
-    weights, c = least_squares(masked, bands, pan) if adaptive else ([1 / len(bands)] * len(bands), 0.0)
-    synth = synthetic(bands, weights, c)
-    g = gains(statistics(masked, synth, bands), bands).first()
-    valid = masked.where(F.col(bands[0]) > 0)
-    hist = lambda x: valid.groupBy(x.alias("dn")).agg(F.count("*").alias("cnt"))
-    table = match_histograms(hist(F.col(pan).cast("long")), hist(saturate(synth, last)))
-    matched = masked.join(F.broadcast(table.select(F.col("dn").alias(pan), "out")), pan, "left")
-    delta = F.coalesce("out", F.lit(0)) - synth
-    out = [F.when(F.col(bands[0]) > 0, saturate(F.col(b) + F.lit(float(g[f"g_{b}"] or 0.0)) * delta, last)).otherwise(F.lit(0)).cast("long").alias(b) for b in bands]
-    sharp = matched.select(*keys, *out)
+    from ..extensions import AdaptiveGramSchmidt, GramSchmidt
+
+    method = AdaptiveGramSchmidt() if adaptive else GramSchmidt()
+    method.last = last
+    sharp = method.run(px, pan, bands, keys)
     return percent_clip(sharp, bands, keys, last=last) if stretch else sharp

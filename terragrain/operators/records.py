@@ -109,17 +109,42 @@ def processing_order(reso: Column, date: Column, path: Column) -> list[Column]:
     return [reso_class(reso), date == 0, -date, reso, path]
 
 
-def numbered(rows: DataFrame, keys: list[Column], name: str = "ord") -> DataFrame:
-    """``rows`` with their place in the order of ``keys`` from 0: a range sort, and one count for each slice."""
-    named = rows.select("*", *[k.alias(f"__k{i}") for i, k in enumerate(keys)])
+def running(rows: DataFrame, keys: list[Column], value: Column, name: str) -> DataFrame:
+    """``rows`` with the sum of ``value`` over all rows before each in the order of ``keys``: a range sort, and one sum for each slice."""
+    named = rows.select("*", *[k.alias(f"__k{i}") for i, k in enumerate(keys)], value.alias("__v"))
     by = [f"__k{i}" for i in range(len(keys))]
     slices = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = cut(named.repartitionByRange(slices, *by).sortWithinPartitions(*by)).withColumn("__slice", F.spark_partition_id())
-    counts = ordered.groupBy("__slice").count()
-    before = Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)  # one row a slice
-    counts = counts.select("__slice", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"))
-    place = F.row_number().over(Window.partitionBy("__slice").orderBy(*by)) - 1
-    return ordered.join(F.broadcast(counts), "__slice").withColumn(name, F.col("__before") + place).drop(*by, "__slice", "__before")
+    earlier = Window.rowsBetween(Window.unboundedPreceding, -1)
+    sums = ordered.groupBy("__slice").agg(F.sum("__v").alias("__s"))
+    sums = sums.select("__slice", F.coalesce(F.sum("__s").over(earlier.orderBy("__slice")), F.lit(0)).alias("__before"))  # one row a slice
+    inside = F.coalesce(F.sum("__v").over(earlier.partitionBy("__slice").orderBy(*by)), F.lit(0))
+    return ordered.join(F.broadcast(sums), "__slice").withColumn(name, F.col("__before") + inside).drop(*by, "__v", "__slice", "__before")
+
+
+def numbered(rows: DataFrame, keys: list[Column], name: str = "ord") -> DataFrame:
+    """``rows`` with their place in the order of ``keys`` from 0."""
+    return running(rows, keys, F.lit(1), name)
+
+
+def compacted(rows: DataFrame, deleted: DataFrame, fid: str = "fid") -> DataFrame:
+    """``rows`` without the ``deleted(fid)``; ids stay dense from 0, as the last rows move into the holes.
+
+    The highest id goes to the lowest hole, the next to the next.
+    """
+    gone = deleted.select(fid).distinct()
+    left = rows.join(gone, fid, "left_anti")
+    n = left.count()
+    holes = numbered(gone.where(F.col(fid) < n), [F.col(fid)], "__n").select(F.col(fid).alias("__to"), "__n")
+    movers = numbered(left.where(F.col(fid) >= n).select(fid), [-F.col(fid)], "__n").join(holes, "__n").select(fid, "__to")
+    return left.join(movers, fid, "left").withColumn(fid, F.coalesce("__to", fid)).drop("__to").select(*rows.columns)
+
+
+def adjacency(edges: DataFrame) -> DataFrame:
+    """(src, neighbours, first): each node's neighbours in order, and the place of its list when all lists stand one after another."""
+    both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
+    lists = both.groupBy("src").agg(F.array_sort(F.collect_list("dst")).alias("neighbours"))  # four at most on a grid
+    return running(lists, [F.col("src")], F.size("neighbours").cast("long"), "first")
 
 
 @F.pandas_udf(BinaryType())

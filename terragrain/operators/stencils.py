@@ -87,6 +87,11 @@ def affine(gt: tuple[float, ...], col: Column, row: Column) -> tuple[Column, Col
     return gt[0] + gt[1] * col + gt[2] * row, gt[3] + gt[4] * col + gt[5] * row
 
 
+def pixel_centre(x: Column, x0: float, dx: float) -> Column:
+    """Pixel coordinate of an object coordinate, whole numbers at pixel centres."""
+    return (x - x0) / dx - 0.5
+
+
 def inverse_affine(gt: tuple[float, ...]) -> tuple[float, ...]:
     det = gt[1] * gt[5] - gt[2] * gt[4]
     a, b, c, d = gt[5] / det, -gt[2] / det, -gt[4] / det, gt[1] / det

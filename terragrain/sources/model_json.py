@@ -4,23 +4,27 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def model_to_json(model: dict) -> str:
-    return json.dumps(model)
+def write_model(model: dict, path: str) -> None:
+    """A model as JSON: its plain values as one line, its cells as lines of a table."""
+    cells = model["cells"]
+    plain = json.dumps({k: v for k, v in model.items() if k != "cells"})
+    cells.sparkSession.createDataFrame([(plain,)], "value string").write.text(f"{path}/model")
+    cells.write.json(f"{path}/cells")
 
 
-def model_from_json(text: str) -> dict:
+def read_model(spark: SparkSession, path: str, methods: tuple[str, ...] = ("GlobalToLocal",)) -> dict:
     """The model, with raster ids as numbers again."""
-    model = json.loads(text)
-    if model.get("method") != "GlobalToLocal":
+    model = json.loads(spark.read.text(f"{path}/model").first()[0])
+    if model.get("method") not in methods:
         raise ValueError(f"unknown method {model.get('method')}")
     model["gains"] = {b: {int(k): tuple(v) for k, v in g.items()} for b, g in model["gains"].items()}
-    for part in ("cells", "global"):
-        model[part] = {b: [tuple(r) for r in rows] for b, rows in model[part].items()}
-    return model
+    bands = list(model["gains"])
+    ddl = "raster_id int, gr long, gc long, " + ", ".join(f"{k}_{b} double" for b in bands for k in "rg")
+    return model | {"cells": spark.read.schema(ddl).json(f"{path}/cells")}
 
 
 def renamed(df: DataFrame, mapping: str) -> DataFrame:

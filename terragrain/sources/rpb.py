@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from enum import Enum
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +18,28 @@ SCALARS = {
 VECTORS = {"lineNumCoef": "LINE_NUM_COEFF", "lineDenCoef": "LINE_DEN_COEFF", "sampNumCoef": "SAMP_NUM_COEFF", "sampDenCoef": "SAMP_DEN_COEFF"}
 
 
+class RPCSource(Enum):
+    """Where an image's camera model stands."""
+
+    INTERNAL = 0
+    RPB_FILE = 1
+
+
+def camera_models(images: DataFrame, texts: DataFrame, source: RPCSource) -> DataFrame:
+    """(path, rpc): the model of each of ``images(path, metadata)``.
+
+    INTERNAL reads the image's own metadata, a map with all sixteen names;
+    RPB_FILE the text beside it, ``texts(path, value)``, of the same name with
+    extension ``rpb``.  An image without a model is left out.
+    """
+    if source is RPCSource.INTERNAL:
+        names = [*SCALARS.values(), *VECTORS.values()]
+        whole = reduce(lambda a, b: a & b, [F.coalesce(F.map_contains_key("metadata", F.lit(n)), F.lit(False)) for n in names])
+        return images.where(whole).select("path", F.map_filter("metadata", lambda k, v: k.isin(names)).alias("rpc"))
+    beside = parse_rpb(texts).withColumnRenamed("path", "rpb")
+    return images.select("path", F.regexp_replace("path", r"\.[^./]*$", ".rpb").alias("rpb")).join(beside, "rpb").select("path", "rpc")
+
+
 def parse_rpb(text: DataFrame) -> DataFrame:
     """``text(path, value)`` of whole files → (path, rpc): a map of 16 names to number text."""
     number = lambda k: F.regexp_extract("value", rf"{k}\s*=\s*([-+0-9.eE]+)", 1)
@@ -48,3 +73,48 @@ def example_rpb(seed: int) -> str:
         lead = ["0.0", "0.0", "1.0"] if k == "lineNumCoef" else ["0.0", "1.0", "0.0"] if k == "sampNumCoef" else ["1.0", "0.0", "0.0"]
         lines.append(f"    {k} = (\n" + ",\n".join(f"        {v}" for v in lead + [value(20 * n + i) for i in range(3, 20)]) + ");")
     return "BEGIN_GROUP = IMAGE\n" + "\n".join(lines) + "\nEND_GROUP = IMAGE\nEND;\n"
+
+
+def _numbers(rpc: dict[str, str]) -> dict[str, np.ndarray]:
+    return {k: np.array([float(x) for x in v.split()]) for k, v in rpc.items()}
+
+
+def _project(m: dict[str, np.ndarray], lon: np.ndarray, lat: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    x, y, z = (lon - m["LONG_OFF"]) / m["LONG_SCALE"], (lat - m["LAT_OFF"]) / m["LAT_SCALE"], (h - m["HEIGHT_OFF"]) / m["HEIGHT_SCALE"]
+    one = np.ones_like(x)
+    terms = np.stack([one, x, y, z, x * y, x * z, y * z, x * x, y * y, z * z, x * y * z, x**3, x * y * y, x * z * z, x * x * y, y**3, y * z * z, x * x * z, y * y * z, z**3])
+    ratio = lambda n: (m[f"{n}_NUM_COEFF"] @ terms) / (m[f"{n}_DEN_COEFF"] @ terms) * m[f"{n}_SCALE"] + m[f"{n}_OFF"]
+    return ratio("LINE"), ratio("SAMP")
+
+
+def _ground(m: dict[str, np.ndarray], line: np.ndarray, sample: np.ndarray, h: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """Newton's method from the model's centre, with differences for derivatives."""
+    lon, lat = np.full_like(line, m["LONG_OFF"][0]), np.full_like(line, m["LAT_OFF"][0])
+    dx, dy = m["LONG_SCALE"][0] * 1e-5, m["LAT_SCALE"][0] * 1e-5
+    for _ in range(steps):
+        l0, s0 = _project(m, lon, lat, h)
+        lx, sx = _project(m, lon + dx, lat, h)
+        ly, sy = _project(m, lon, lat + dy, h)
+        a, b, c, d = (lx - l0) / dx, (ly - l0) / dy, (sx - s0) / dx, (sy - s0) / dy
+        det = a * d - b * c
+        u, v = line - l0, sample - s0
+        lon, lat = lon + (d * u - b * v) / det, lat + (a * v - c * u) / det
+    return lon, lat
+
+
+def rpc_coregister(grid: DataFrame, fine: dict[str, str], coarse: dict[str, str], height: float = 0.0, steps: int = 8) -> DataFrame:
+    """``grid(id, row_i, col_i)`` of a fine image with the pixel coordinates (x, y) of the same ground in a coarse one.
+
+    A pixel goes to the ground by the fine image's model at a height, and
+    from there into the coarse image by its own; ``bilinear`` then samples.
+    """
+    a, b = _numbers(fine), _numbers(coarse)
+
+    def run(batches):
+        for pdf in batches:
+            line, sample = pdf["row_i"].to_numpy(float), pdf["col_i"].to_numpy(float)
+            h = np.full_like(line, height)
+            y, x = _project(b, *_ground(a, line, sample, h, steps), h)
+            yield pd.DataFrame({"id": pdf["id"], "x": x, "y": y})
+
+    return grid.select("id", "row_i", "col_i").mapInPandas(run, f"id {grid.schema['id'].dataType.simpleString()}, x double, y double")

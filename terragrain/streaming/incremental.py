@@ -12,6 +12,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.wkb import polygon_from_wkb, polygon_to_wkb
+from ..operators.polygons import polygons, rasterized
 from ..operators.stretch import histogram
 from ..plans.lineage import shared_folder
 
@@ -54,11 +56,24 @@ def streamed_histogram(px: DataFrame, bands: list[str], files: int) -> DataFrame
     return state.read(max(done, default=-1))
 
 
-def streamed_mosaic(cells: DataFrame, batches: int, twice: bool = False, restart: bool = False, snapshot: int = 0) -> DataFrame:
+def export_mosaic(mosaic: DataFrame, path: str) -> None:
+    """``mosaic(row_i, col_i, owner)`` as one polygon for each owner, in WKB."""
+    shapes = polygons(mosaic, "owner")
+    shapes.select("owner", polygon_to_wkb("rings").alias("geom")).write.mode("overwrite").parquet(path)
+
+
+def restored_mosaic(spark: SparkSession, path: str) -> DataFrame:
+    """The ownership table of exported polygons, to be carried on from."""
+    shapes = spark.read.parquet(path).select("owner", polygon_from_wkb("geom").alias("rings"))
+    return rasterized(shapes, "owner").select("row_i", "col_i", "owner")
+
+
+def streamed_mosaic(cells: DataFrame, batches: int, twice: bool = False, restart: bool = False, snapshot: int = 0, exports: list[str] | None = None) -> DataFrame:
     """(row_i, col_i, owner): polygons added in order of id, the later takes its region.
 
     ``twice`` delivers every part again, ``restart`` ends the stream after
-    each part, ``snapshot`` exports every so many batches.
+    each part, ``snapshot`` exports every so many batches as polygons;
+    the paths of exports are added to ``exports``.
     """
     spark, folder = cells.sparkSession, f"{shared_folder(cells.sparkSession)}/{uuid.uuid4().hex}"
     cuts = cells.approxQuantile("geom_id", [k / batches for k in range(1, batches)], 0.0)
@@ -75,7 +90,9 @@ def streamed_mosaic(cells: DataFrame, batches: int, twice: bool = False, restart
         mosaic.write(version, old.select("row_i", "col_i", "owner").union(own))
         seen.write(version, known.union(fresh.select("owner").distinct()))
         if snapshot and version % snapshot == 0:
-            mosaic.read(version).write.mode("overwrite").parquet(f"{folder}/export/{version}")
+            export_mosaic(mosaic.read(version), f"{folder}/export/{version}")
+            if exports is not None:
+                exports.append(f"{folder}/export/{version}")
         done.append(version)
 
     for k in range(batches):
