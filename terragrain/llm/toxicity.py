@@ -21,7 +21,7 @@
    greedily while each explains further toxic texts, so copies of one text
    or the words around a term add nothing; words that no other text holds
    and an ``often`` share of the toxic ones do are added.  Near copies of one
-   label, as operator 3 finds them, count once in the sample.  The score is
+   label, by sketches of their five-word shingles, count once in the sample.  The score is
    the smoothed share of toxic texts among sample texts with the most telling
    term found.
 
@@ -48,10 +48,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .features import bounded_sample
-from .ngram_join import one_of_each
 from .session import carried, checkpointed
 from .session import restored as named
-from .textnp import blocks, string_buffer
+from .textnp import Words, blocks, mix, shingles, string_buffer
 
 #: Letters, and marks that belong to them, in lower case; 0: no letter.  All scripts lie below the table's end.
 _LOWER = np.zeros(0x33480, dtype=np.uint32)
@@ -341,11 +340,50 @@ class ToxicModel:
         self.chars, self.terms, self.scores, self.base = chars, terms, scores, base
 
 
+#: Least shingle hashes kept of a sample text; texts of no more shingles are compared exactly.
+SKETCH = 128
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        buf, offsets = string_buffer(batch.column(2))
+        for i, j in blocks(offsets):
+            h, own = shingles(Words(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
+            least = [np.sort(mix(h[a:b]))[:SKETCH].tobytes() for a, b in zip(own[:-1], own[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(least, pa.binary())], ["label", "key", "least"])
+
+
+def _alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether the sketches of two shingle sets agree to 0.75 or more."""
+    if not len(a) or not len(b):
+        return False
+    size = SKETCH if max(len(a), len(b)) == SKETCH else len(a) + len(b)
+    union = np.union1d(a, b)[:size]
+    return 4 * np.isin(np.intersect1d(a, b), union).sum() >= 3 * len(union)
+
+
+def _leaders(rows: list[tuple[int, int, np.ndarray]]) -> list[tuple[int, int]]:
+    """(label, key) of the rows that are no near copy of one kept before, within a label."""
+    kept, leads = [], {}
+    for label, key, least in sorted(rows, key=lambda r: r[:2]):
+        near = {id(x): x for h in least[:16].tolist() for x in leads.get((label, h), ())}
+        if any(_alike(least, x) for x in near.values()):
+            continue
+        kept.append((label, key))
+        for h in least[:16].tolist():
+            leads.setdefault((label, h), []).append(least)
+    return kept
+
+
 def _without_near_copies(sample: DataFrame) -> DataFrame:
-    """``sample(label, text)`` with one text of each group of near copies within a label."""
-    rows = sample.withColumn("doc_id", F.xxhash64("text"))
-    one = [one_of_each(rows.where(F.col("label") == label)).select("label", "text") for label in (0, 1)]
-    return checkpointed(one[0].union(one[1]))
+    """``sample(label, text)`` with one text of each group of near copies within a label.
+
+    Sketches of the sample, whose rows are bounded, are compared on the driver.
+    """
+    rows = checkpointed(sample.select("label", F.xxhash64("text").alias("key"), "text").dropDuplicates(["label", "key"]))
+    told = [(r["label"], r["key"], np.frombuffer(bytes(r["least"]), dtype=np.uint64)) for r in rows.mapInArrow(_sketches, "label int, key long, least binary").collect()]
+    kept = sample.sparkSession.createDataFrame(_leaders(told), "label int, key long")
+    return checkpointed(rows.join(F.broadcast(kept), ["label", "key"]).select("label", "text"))
 
 
 def _most_telling(rows: list[np.ndarray], n: int, usable: np.ndarray, extra: np.ndarray, least: float) -> tuple[list[int], np.ndarray]:
@@ -379,13 +417,14 @@ def fit(train: DataFrame, chars: CharModel, per_label: int = 5000, least_gain: f
     counted = some.select("label", "text").mapInArrow(_term_counts(chars), "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
     lift = F.log((F.col("t") + 0.5) / (bad + 1)) - F.log((F.col("c") + 0.5) / (good + 1))
     ranked = sorted(r["term"] for r in counted.where((F.col("t") >= 2) & (lift > 2.0)).select("term").collect())  # terms of 2 * per_label texts
-    rows = some.select("label", "text").mapInArrow(_found_terms(chars, ranked), "label int, terms array<int>").collect()
+    rows = some.select("label", "text").mapInArrow(_found_terms(chars, ranked), "label int, terms array<int>").collect() if ranked else []
     hit = {label: [np.array(r["terms"], dtype=np.int64) for r in rows if r["label"] == label] for label in (0, 1)}
     n = len(ranked)
     clean, toxic = (np.bincount(np.concatenate(hit[k]), minlength=n) if hit[k] else np.zeros(n, dtype=np.int64) for k in (0, 1))
     scores = (toxic + 0.5) / (toxic + clean + 1)
     whole = np.array([t.endswith(" ") for t in ranked], dtype=bool)
     extra = -10.0 * clean * bad / max(good, 1) + 0.1 * whole + 0.01 * np.array([len(t) for t in ranked])
+    hit = {k: hit[k] or [np.zeros(0, dtype=np.int64)] * m for k, m in ((0, good), (1, bad))}
     picked, open_ = _most_telling(hit[1], n, scores >= least_score, extra, max(3, least_gain * bad))
     common = whole & (clean == 0) & (toxic >= max(5, often * bad))
     picked += [int(i) for i in np.flatnonzero(common) if i not in picked]

@@ -357,13 +357,14 @@ def reachable(links: DataFrame) -> DataFrame:
     Each round marks what the marked point to and replaces every pointer by
     its target's, so the rounds grow with the logarithm of a file's records.
     """
-    state = checkpointed(links.select("path", "at", F.when(F.col("to") >= 0, F.col("to")).alias("next"), (F.col("at") == 0).alias("mark")))
+    few = max(1, -(-links.count() // 200_000))  # files of a written round
+    state = checkpointed(links.select("path", "at", F.when(F.col("to") >= 0, F.col("to")).alias("next"), (F.col("at") == 0).alias("mark")).coalesce(few))
     most = state.groupBy("path").count().agg(F.max("count")).first()[0] or 0
     for _ in range(most.bit_length()):  # a chain has no more links than its file has candidates
         pushed = state.where("mark and next is not null").select("path", F.col("next").alias("at"), F.lit(True).alias("hit")).distinct()
         after = state.select("path", F.col("at").alias("next"), F.col("next").alias("skip"))
         jumped = state.join(after, ["path", "next"], "left").select("path", "at", F.col("skip").alias("next"), "mark")
-        state = checkpointed(jumped.join(pushed, ["path", "at"], "left").select("path", "at", "next", (F.col("mark") | F.col("hit").isNotNull()).alias("mark")))
+        state = checkpointed(jumped.join(pushed, ["path", "at"], "left").select("path", "at", "next", (F.col("mark") | F.col("hit").isNotNull()).alias("mark")).coalesce(few))
     return state.where("mark").select("path", "at")
 
 
