@@ -9,6 +9,7 @@ from .catalog import register
 from .fixtures import ctes, view
 from .operators import cells as g
 from .operators import mosaic, roads, seam
+from .operators.records import numbered
 from .operators.stencils import GRADIENT_X, GRADIENT_Y
 
 _CELLS = ctes("cells")
@@ -94,12 +95,14 @@ def j05(spark, d):
     return g.difference(former(spark, d), later(spark, d))
 
 
-@register("j06_fill_pieces", _LF + """, piece AS (SELECT * FROM former WHERE geom_id % 3 = 0), border AS (SELECT * FROM later), mask AS (SELECT geom_id, row_i, col_i FROM later WHERE col_i % 10 = 0),
+@register("j06_fill_pieces", _LF + """, piece AS (SELECT l.geom_id * 1000 + f.geom_id AS geom_id, row_i, col_i FROM later l JOIN former f USING (row_i, col_i)), border AS (SELECT * FROM later), mask AS (SELECT geom_id, row_i, col_i FROM later WHERE col_i % 10 = 0),
 i AS (SELECT p.geom_id AS a_id, b.geom_id AS b_id, count(*) AS n FROM piece p JOIN border b USING (row_i, col_i) GROUP BY 1, 2), z AS (SELECT geom_id, count(*) AS n FROM piece GROUP BY 1),
 m AS (SELECT DISTINCT p.geom_id AS a_id, k.geom_id AS b_id FROM piece p JOIN mask k USING (row_i, col_i))
 SELECT a_id AS geom_id, min(b_id) AS source FROM i JOIN z ON z.geom_id = a_id AND z.n = i.n WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.a_id = i.a_id AND m.b_id = i.b_id) GROUP BY a_id""")
 def j06(spark, d):
-    return g.fill_pieces(former(spark, d).where("geom_id % 3 = 0"), later(spark, d), later(spark, d).where("col_i % 10 = 0"))
+    """What later and former polygons share, filled from the first later one that contains it unmasked."""
+    pieces = g.intersection(later(spark, d), former(spark, d)).select((F.col("a_id") * 1000 + F.col("b_id")).alias("geom_id"), *CELL)
+    return g.fill_pieces(pieces, later(spark, d), later(spark, d).where("col_i % 10 = 0"))
 
 
 @register("j13_overlay_raster", _R + ", poly AS (SELECT raster_id, row_i, col_i FROM rasters WHERE (raster_id = 1 AND col_i < 60) OR (raster_id = 2 AND col_i >= 40)), v AS (SELECT r.* FROM rasters r JOIN poly USING (raster_id, row_i, col_i) WHERE b1 > 0) SELECT row_i, col_i, arg_max(b1, raster_id) AS b1, arg_max(b2, raster_id) AS b2 FROM v GROUP BY row_i, col_i")
@@ -125,7 +128,7 @@ def j18(spark, d):
 @register("j19_touched_reverse", _OVER + " SELECT a_id, CAST(row_number() OVER (ORDER BY a_id DESC) AS INTEGER) AS ord FROM (SELECT DISTINCT a_id FROM o)")
 def j19(spark, d):
     touched = g.overlaps(later(spark, d), former(spark, d)).select("a_id").distinct()
-    return touched.withColumn("ord", F.row_number().over(Window.orderBy(F.desc("a_id"))))
+    return numbered(touched, [-F.col("a_id")]).withColumn("ord", (F.col("ord") + 1).cast("int"))
 
 
 @register("j20_nearest_vertex", ctes("rects") + " SELECT arg_min(geom_id, [(r0 - 5) * (r0 - 5) + (c0 - 33) * (c0 - 33), geom_id]) AS geom_id FROM rects")
@@ -300,7 +303,8 @@ def j03(spark, d):
 @register("o05_top_regions", _SPARSE + ", n AS (SELECT part, count(*) AS n FROM c GROUP BY part) SELECT CAST(row_number() OVER (ORDER BY n DESC, part) AS INTEGER) AS r, CAST(n AS BIGINT) AS n FROM n QUALIFY r <= 3")
 def o05(spark, d):
     parts = g.components(_sparse(spark, d).select("geom_id", *CELL), ["geom_id"]).groupBy("part").agg(F.count("*").alias("n"))
-    return parts.withColumn("r", F.row_number().over(Window.orderBy(F.desc("n"), "part"))).where("r <= 3").select("r", "n")
+    top = parts.orderBy(F.desc("n"), "part").limit(3)
+    return top.withColumn("r", F.row_number().over(Window.orderBy(F.desc("n"), "part"))).select("r", "n")  # three rows
 
 
 @register("o06_top_region", _SPARSE + " SELECT CAST(max(n) AS BIGINT) AS n FROM (SELECT count(*) AS n FROM c GROUP BY part)")

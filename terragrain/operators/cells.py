@@ -10,12 +10,15 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
 
 CELL = ["row_i", "col_i"]
+#: Links of runs up to which parts are found in one task.
+FEW_LINKS = 200_000
 NEAR4 = [(-1, 0), (1, 0), (0, -1), (0, 1)]
 NEAR8 = [(r, c) for r in (-1, 0, 1) for c in (-1, 0, 1) if r or c]
 
@@ -104,16 +107,49 @@ def boundary(cells: DataFrame) -> DataFrame:
 def components(cells: DataFrame, by: list[str]) -> DataFrame:
     """(by, row_i, col_i, part): 4-connected parts, named by their least cell number.
 
-    Runs along rows are joined first by a window, so the rounds link runs,
-    not cells, and each round also follows labels to their labels.  Lineage
-    is cut by checkpoints.
+    Runs along rows are joined first by a window, so runs are linked, not
+    cells.  Links counted to be at most ``FEW_LINKS`` are one task's work;
+    more are joined in rounds over all tasks, each written to the shared
+    folder.
     """
     key = F.col("row_i") * F.lit(1 << 31) + F.col("col_i")
     row = Window.partitionBy(*by, "row_i").orderBy("col_i")
     x = cells.select(*by, *CELL).distinct().withColumn("isle", F.col("col_i") - F.row_number().over(row))
     runs = cut(x.withColumn("run", F.min(key).over(Window.partitionBy(*by, "row_i", "isle"))).drop("isle"))
     below = runs.select(*by, (F.col("row_i") + 1).alias("row_i"), "col_i", F.col("run").alias("up"))
-    links = runs.join(below, [*by, *CELL]).select(*by, "run", "up").distinct()
+    links = cut(runs.join(below, [*by, *CELL]).select(*by, "run", "up").distinct())
+    if links.limit(FEW_LINKS + 1).count() <= FEW_LINKS:
+        state = _joined(links, by)
+    else:
+        state = _jumped(links, runs, by)
+    out = runs.join(state, [*by, "run"], "left")
+    return out.select(*by, *CELL, F.coalesce("part", "run").alias("part"))
+
+
+def _joined(links: DataFrame, by: list[str]) -> DataFrame:
+    """(by, run, part) of counted, few links, by union and find in one task."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        parent: dict = {}
+
+        def find(x):
+            while parent.setdefault(x, x) != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        keys = list(zip(*[pdf[c] for c in by], strict=True)) if by else [()] * len(pdf)
+        for k, a, b in zip(keys, pdf["run"], pdf["up"], strict=True):
+            low, high = sorted((find((k, a)), find((k, b))), key=lambda x: x[1])
+            parent[high] = low
+        rows = [(*k, run, find((k, run))[1]) for k, run in list(parent)]
+        return pd.DataFrame(rows, columns=[*by, "run", "part"])
+
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in links.select(*by, "run").schema.fields)
+    return links.withColumn("__one", F.lit(0)).groupBy("__one").applyInPandas(lambda pdf: one(pdf), f"{ddl}, part long")
+
+
+def _jumped(links: DataFrame, runs: DataFrame, by: list[str]) -> DataFrame:
+    """(by, run, part) by rounds of taking the least neighbour and following labels."""
     both = cut(links.union(links.select(*by, F.col("up").alias("run"), F.col("run").alias("up"))))
     state = runs.select(*by, "run").distinct().withColumn("part", F.col("run"))
     while True:
@@ -123,8 +159,7 @@ def components(cells: DataFrame, by: list[str]) -> DataFrame:
         fresh = cut(hooked.join(jump, [*by, "part"], "left").select(*by, "run", "before", F.least("part", F.coalesce("next", "part")).alias("part")))
         state = fresh.select(*by, "run", "part")
         if not fresh.where("part <> before").limit(1).count():
-            break
-    return runs.join(state, [*by, "run"]).select(*by, *CELL, "part")
+            return state
 
 
 def biggest_part(cells: DataFrame) -> DataFrame:

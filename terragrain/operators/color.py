@@ -25,10 +25,20 @@ def raster_moments(px: DataFrame, bands: list[str]) -> DataFrame:
 
 
 def overlap_pairs(boxes: DataFrame) -> DataFrame:
-    """(a, b) with a < b of boxes (raster_id, r0, r1, c0, c1) that intersect; one row a raster."""
-    a, b = boxes.alias("a"), boxes.alias("b")
+    """(a, b) with a < b of boxes (raster_id, r0, r1, c0, c1) that intersect; one row a raster.
+
+    Boxes meet in squares of about their own size; a pair counts in the
+    square of its intersection's first corner, so only.
+    """
+    mean = boxes.agg(F.avg(F.col("r1") - F.col("r0") + 1).alias("h"), F.avg(F.col("c1") - F.col("c0") + 1).alias("w")).first()
+    h, w = max(1, round(mean["h"] or 1)), max(1, round(mean["w"] or 1))
+    span = lambda a, b, size: F.sequence(F.floor(F.col(a) / size), F.floor(F.col(b) / size))
+    dealt = boxes.select("*", F.explode(span("r0", "r1", h)).alias("gr")).select("*", F.explode(span("c0", "c1", w)).alias("gc"))
+    a, b = dealt.alias("a"), dealt.alias("b")
     hit = (F.col("a.r0") <= F.col("b.r1")) & (F.col("b.r0") <= F.col("a.r1")) & (F.col("a.c0") <= F.col("b.c1")) & (F.col("b.c0") <= F.col("a.c1"))
-    return a.join(b, (F.col("a.raster_id") < F.col("b.raster_id")) & hit).select(F.col("a.raster_id").alias("a"), F.col("b.raster_id").alias("b"))
+    here = (F.floor(F.greatest("a.r0", "b.r0") / h) == F.col("a.gr")) & (F.floor(F.greatest("a.c0", "b.c0") / w) == F.col("a.gc"))
+    same = (F.col("a.gr") == F.col("b.gr")) & (F.col("a.gc") == F.col("b.gc"))
+    return a.join(b, same & (F.col("a.raster_id") < F.col("b.raster_id")) & hit & here).select(F.col("a.raster_id").alias("a"), F.col("b.raster_id").alias("b"))
 
 
 def extents(px: DataFrame) -> DataFrame:

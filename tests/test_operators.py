@@ -2,16 +2,19 @@
 
 import itertools
 import random
+from datetime import datetime
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from terragrain import logs
+from terragrain.functions import projection
 from terragrain.functions.vertices import graft, merge_lines, rotate_off_seam, simplify
 from terragrain.functions.wkb import decode_polygon, encode_polygon
 from terragrain.kernels.mincut import energy, expand, seam_labels
-from terragrain.operators import cells, pansharpen, records, roads, stencils, stretch
-from terragrain.sources.geotiff import decode, encode
+from terragrain.operators import cells, color, mosaic, pansharpen, polygons, records, roads, seam, stencils, stretch
+from terragrain.sources.geotiff import decode, encode, read_geotiff
 
 
 def pixels(spark, grid, *names):
@@ -87,7 +90,9 @@ def test_min_cut_is_optimal():
         assert energy(swept, unary, edges, c01, c10) == brute(unary, edges, c01, c10)
 
 
-def test_components_and_holes(spark):
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_components_and_holes(spark, monkeypatch, few):
+    monkeypatch.setattr(cells, "FEW_LINKS", few)
     ring = [(1, r, c) for r in range(5) for c in range(5) if (r, c) != (2, 2)]
     both = spark.createDataFrame(ring + [(1, 9, 9), (2, 0, 0), (2, 1, 1)], "geom_id long, row_i long, col_i long")
     parts = cells.components(both, ["geom_id"]).groupBy("geom_id", "part").count().collect()
@@ -128,3 +133,116 @@ def test_codecs_and_vertices():
     square = [(0, 0), (4, 0), (4, 4), (0, 4), (0, 0)]
     assert graft(square, [(4, 0), (3, 2), (4, 4)])[:3] == [(4, 0), (3, 2), (4, 4)]
     assert rotate_off_seam(square, [True, False, False, True])[0] == (0, 4)
+
+
+def test_tiff_layouts(spark, tmp_path):
+    """Strips and tiles under every packing, read whole, by window, and from files of different shapes."""
+    rng = np.random.default_rng(1)
+    images = {}
+    for k, (name, packing, tile) in enumerate(itertools.product(("uint8", "uint16", "int16", "float32"), ("", "LZW", "DEFLATE", "PACKBITS"), (0, 16))):
+        data = (rng.random((rng.integers(1, 60), rng.integers(1, 60), 2)) * 100).astype(name)
+        back, gt = decode(encode(data, (10.0, 20.0), (0.5, -0.5), packing, tile))
+        assert back.dtype == data.dtype and (back == data).all() and gt == (10.0, 0.5, 0.0, 20.0, 0.0, -0.5)
+        if name == "uint16":
+            images[f"{k}.tif"] = data
+            (tmp_path / f"{k}.tif").write_bytes(encode(data, (0.0, 0.0), (1.0, -1.0), packing, tile))
+    long_ = rng.integers(0, 256, 200_000).astype(np.uint8).reshape(400, 500, 1)
+    assert (decode(encode(long_, (0.0, 0.0), (1.0, -1.0), "LZW"))[0] == long_).all()
+    for window in (None, (5, 3, 20, 40)):
+        r0, c0, r1, c1 = window or (0, 0, 10**6, 10**6)
+        want = {(f, r, c): tuple(map(int, d[r, c])) for f, d in images.items() for r in range(d.shape[0]) for c in range(d.shape[1]) if r0 <= r < r1 and c0 <= c < c1}
+        got = {(r.path.rsplit("/", 1)[1], r.row_i, r.col_i): (r.b1, r.b2) for r in read_geotiff(spark, str(tmp_path), files=True, window=window).collect()}
+        assert got == want
+
+
+def test_traced_rings_fill_their_cells():
+    rng = random.Random(1)
+    for _ in range(150):
+        n = rng.randrange(1, 9)
+        group = {(rng.randrange(n), rng.randrange(n)) for _ in range(rng.randrange(1, n * n + 1))}
+        rings = polygons.trace(group)
+        assert sorted(polygons.fill(rings)) == sorted(group) and sum(map(polygons.area, rings)) == len(group)
+        assert all(r[0] == r[-1] and len(set(r[:-1])) == len(r) - 1 for r in rings)
+
+
+def grid(spark, values):
+    return spark.createDataFrame([(r, c, *v) for (r, c), v in values.items()], "row_i long, col_i long, b1 long, b2 long, b3 long")
+
+
+def test_cut_by_pieces_is_optimal(spark):
+    """Two open strips between known sites: each is one kernel call, and all together cost the least."""
+    rng = random.Random(4)
+    old = {(r, c): (rng.randrange(1, 255),) * 3 for r in range(3) for c in range(9) if c not in (4,)}
+    new = {(r, c): (rng.randrange(1, 255),) * 3 for r in range(3) for c in range(9) if c not in (0, 8)}
+    s = seam.sites(grid(spark, old), grid(spark, new)).withColumn("cls", F.when(F.col("col_i").isin(1, 7), 0).when(F.col("col_i") == 4, 1).otherwise(F.col("cls")))
+    edges = [tuple(r) for r in seam.pairs(s).select("p_row", "p_col", "q_row", "q_col", "c01", "c10").collect()]
+    got = seam.cut_overlap(s, seam.pairs(s)).collect()
+    label = {(r.row_i, r.col_i): r.label for r in got}
+    cls = {(r.row_i, r.col_i): r.cls for r in got}
+    assert {k: v for k, v in label.items() if cls[k] < 2} == {k: v for k, v in cls.items() if v < 2}
+    parts = {r.part for r in got if r.part is not None}
+    open_ = sorted(k for k in label if cls[k] == 2)
+    assert len(parts) == 2 and len(open_) == 12
+
+    def cost(of):
+        return sum(c01 if (of[a, b], of[c, d]) == (0, 1) else c10 if (of[a, b], of[c, d]) == (1, 0) else 0 for a, b, c, d, c01, c10 in edges)
+
+    assert cost(label) == min(cost({**label, **dict(zip(open_, x))}) for x in itertools.product((0, 1), repeat=12))
+
+
+def test_corridor_bounds_open_sites(spark):
+    labels = spark.createDataFrame([(r, c, int(c > 40)) for r in range(20) for c in range(100)], "row_i long, col_i long, label int")
+    assert {r.col_i for r in seam.corridor(labels, 3).collect()} == set(range(37, 44))
+
+
+def test_serial_cases(spark):
+    """An image apart is added, one around the mosaic takes the rim, one inside takes its core, one with a large hole is left out."""
+    rng = random.Random(5)
+    box = lambda k, r0, c0, h, w: [(k, r, c, *[rng.randrange(1, 255)] * 3) for r in range(r0, r0 + h) for c in range(c0, c0 + w)]
+    ring = [x for x in box(5, 0, 0, 12, 12) if not (3 <= x[1] < 9 and 3 <= x[2] < 9)]
+    rows = box(1, 6, 6, 12, 12) + box(2, 0, 0, 24, 24) + box(3, 9, 9, 6, 6) + box(4, 40, 40, 5, 5)
+    r = spark.createDataFrame(rows + ring, "raster_id int, row_i long, col_i long, b1 long, b2 long, b3 long")
+    got = {(x.row_i, x.col_i): x.owner for x in mosaic.serial(r, [1, 2, 3, 5, 4], core=2).collect()}
+    assert set(got) == {(x[1], x[2]) for x in rows}
+    assert got[0, 0] == 2 and got[23, 23] == 2 and got[40, 40] == 4 and got[12, 12] == 3 and 5 not in got.values()
+
+
+def test_blended_line(spark):
+    r = spark.createDataFrame([(k, 0, c, 100 * k, 1, 1) for k in (1, 2) for c in range(12)], "raster_id int, row_i long, col_i long, b1 long, b2 long, b3 long")
+    own = spark.createDataFrame([(0, c, 1 if c < 6 else 2) for c in range(12)], "row_i long, col_i long, owner long")
+    got = [x.b1 for x in mosaic.blended(own, r, ["b1"], blend=2).orderBy("col_i").collect()]
+    assert got == [100, 100, 100, 100, 117, 133, 167, 183, 200, 200, 200, 200] or (got[:3], got[-3:]) == ([100] * 3, [200] * 3) and sorted(got) == got
+
+
+def test_sparse_solution():
+    rng = np.random.default_rng(2)
+    for n in (1, 4, 12):
+        a = rng.normal(size=(n + 5, n)) * (rng.random((n + 5, n)) < 0.5) + np.vstack([np.eye(n), np.zeros((5, n))])
+        b = rng.normal(size=n + 5)
+        left, right = a.T @ a, a.T @ b
+        got = color.solve_sparse([(i, j, left[i, j]) for i in range(n) for j in range(n) if left[i, j]] + [(i, -1, right[i]) for i in range(n)])
+        assert [got[i] for i in range(n)] == pytest.approx(np.linalg.lstsq(a, b, rcond=None)[0].tolist(), rel=1e-6, abs=1e-9)
+
+
+def test_running_places(spark):
+    rows = [(i, (i * 37) % 101, i % 7) for i in range(300)]
+    got = {r.i: r.before for r in records.running(spark.createDataFrame(rows, "i long, k long, v long").repartition(5), [F.col("k"), -F.col("i")], F.col("v"), "before").collect()}
+    total = 0
+    for i, _, v in sorted(rows, key=lambda r: (r[1], -r[0])):
+        assert got[i] == total
+        total += v
+
+
+def test_log_sinks(tmp_path):
+    logger, path = logs.start_log("mosaicking", str(tmp_path), at=datetime(2020, 2, 29, 1, 2, 3))
+    logger.info("three images")
+    assert path.endswith("mosaicking_2020-02-29_01-02-03.log") and "three images" in open(path).read()
+
+
+def test_projection_against_known_points(spark):
+    """A zone's origin, and a point on the equator three degrees from the meridian."""
+    df = spark.createDataFrame([(111.0, 0.0), (114.0, 0.0), (111.0, -33.0)], "lon double, lat double")
+    e, n = projection.to_utm(F.col("lon"), F.col("lat"), F.lit(49), F.col("lat") < 0)
+    got = [tuple(r) for r in df.select(e, n).collect()]
+    assert got[0] == pytest.approx((500000.0, 0.0), abs=1e-3) and got[1][0] == pytest.approx(833978.557, abs=1e-2)
+    assert got[2] == pytest.approx((500000.0, 10000000 - 3651294.5), abs=20)

@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-FAST = ["a01_histogram", "c01_percent_clip_stretch", "c02_sigma_stretch", "j12_histogram_match", "w06_bilinear", "p14_case_classifier", "u03_mosaic_update", "w09_long_runs", "j07_attribute_lookup", "f11_date_in_name", "a14_connected_components", "t01_incremental_mosaic"]
+FAST = ["a01_histogram", "c01_percent_clip_stretch", "c02_sigma_stretch", "j12_histogram_match", "w06_bilinear", "p14_case_classifier", "u03_mosaic_update", "w09_long_runs", "j07_attribute_lookup", "f11_date_in_name", "a14_connected_components", "t01_incremental_mosaic", "c04_gram_schmidt", "c05_adaptive_gram_schmidt", "w05_seam_costs", "f03_reproject", "j11_rpc_coregistration", "o01_raster_order", "k07_export_borders", "s15_rebuild_mosaic", "o08_compact_ids", "g05_neighbour_lists"]
 
 
 def same(v):
