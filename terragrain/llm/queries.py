@@ -32,6 +32,14 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op1_substring_dedup"] = op1_substring_dedup
+ORACLES["op1_substring_dedup"] = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+g AS (SELECT doc_id, j, w[j] AS word, CASE WHEN j + 34 <= len(w) THEN md5(array_to_string(w[j : j + 34], ' ')) END AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS j FROM d)),
+c AS (SELECT doc_id, j, word, s IS NOT NULL AND count(*) OVER (PARTITION BY s) > 1 AS again FROM g),
+k AS (SELECT doc_id, j, word, bool_or(again) OVER (PARTITION BY doc_id ORDER BY j ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM c),
+t AS (SELECT doc_id, CAST(count(*) FILTER (gone) AS BIGINT) AS n_removed, string_agg(word, ' ' ORDER BY j) FILTER (NOT gone) AS kept FROM k GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN t ON t.doc_id = d.doc_id
+"""
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +85,24 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op5_mixing"] = op5_mixing
+ORACLES["op5_mixing"] = r"""
+WITH z AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+y AS (SELECT *, md5(concat('mix|', CAST(doc_id AS VARCHAR), '|', CAST(size AS VARCHAR))) AS draw FROM z),
+s AS (SELECT source, count(*) AS docs, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS no FROM z GROUP BY source),
+w AS (SELECT *, [5, 2, 1][1 + (no - 1) % 3] AS w FROM s),
+b AS (SELECT *, sum(source_size) OVER () AS every, sum(w) OVER () AS every_w, coalesce(sum(3 * source_size) OVER o, 0) AS gone, coalesce(sum(w) OVER o, 0) AS gone_w FROM w WINDOW o AS (ORDER BY CAST(3 * source_size AS DOUBLE) / w, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+r AS (SELECT *, CAST(every - gone AS DOUBLE) / CAST(every_w - gone_w AS DOUBLE) AS rate FROM b),
+t AS (SELECT source, no, docs, source_size, CAST(every // 16 AS BIGINT) AS blocks, least(CAST(3 * source_size AS DOUBLE), (SELECT arg_min(rate, gone_w) FROM r WHERE 3 * source_size >= rate * w) * w) AS target FROM r),
+q AS (SELECT no, blocks, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, no) AS nth FROM (SELECT no, blocks, target, unnest(range(0, blocks + 1)) AS k FROM t) WHERE target > 0),
+n AS (SELECT t.*, CAST(coalesce(seats, 0) AS BIGINT) AS seats, CAST(ceil(docs / 10000) AS BIGINT) AS shards FROM t LEFT JOIN (SELECT no, count(*) AS seats FROM q WHERE nth <= blocks GROUP BY no) USING (no)),
+d AS (SELECT y.*, n.no, n.source_size, n.target, n.seats, CAST(concat('0x', substr(draw, 1, 8)) AS BIGINT) % shards AS shard FROM y JOIN n ON n.source IS NOT DISTINCT FROM y.source),
+c AS (SELECT no, shard, any_value(seats) AS seats, CAST(sum(size) AS BIGINT) AS cell FROM d GROUP BY no, shard),
+p AS (SELECT no, shard, seats, row_number() OVER (PARTITION BY no ORDER BY cell / CAST(2 * k + 1 AS DOUBLE) DESC, shard) AS nth FROM (SELECT no, shard, seats, cell, unnest(range(0, seats + 1)) AS k FROM c) WHERE cell > 0),
+l AS (SELECT c.no, c.shard, cell, 16 * coalesce(got, 0) AS words FROM c LEFT JOIN (SELECT no, shard, count(*) AS got FROM p WHERE nth <= seats GROUP BY no, shard) USING (no, shard)),
+m AS (SELECT no, shard, cell, words, CASE WHEN cell > 0 THEN least(3, words // cell) ELSE 0 END AS rounds FROM l),
+a AS (SELECT d.*, rounds, CASE WHEN rounds < 3 THEN words - rounds * cell ELSE 0 END AS rest, coalesce(sum(size) OVER (PARTITION BY no, shard ORDER BY draw, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM d JOIN m USING (no, shard))
+SELECT doc_id, size, source_size, target, CAST(rounds * size + greatest(0, least(size, rest - ahead)) AS BIGINT) AS taken FROM a
+"""
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
