@@ -102,3 +102,24 @@ def streamed_mosaic(cells: DataFrame, batches: int, twice: bool = False, restart
             _stream(spark, folder, cells.schema, each)
     _stream(spark, folder, cells.schema, each)
     return mosaic.read(max(done, default=-1))
+
+
+def streamed_windows(spark: SparkSession, path: str, schema, width: str, late: str = "1 hour") -> DataFrame:
+    """(hour, event_type, n): events of each window of ``width``, counted by a stream over the files of ``path``.
+
+    State is kept by Spark, with a watermark of ``late`` behind the newest
+    event; each batch writes the whole result as a new version.
+    """
+    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    counted = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    counted = counted.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"))
+    counted = counted.select(F.unix_timestamp("w.start").alias("hour"), "event_type", "n")
+    state = StateTable(spark, f"{folder}/state", "hour long, event_type string, n long")
+    done = []
+
+    def each(batch: DataFrame, version: int) -> None:
+        state.write(version, batch)
+        done.append(version)
+
+    counted.writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).foreachBatch(each).start().awaitTermination()
+    return state.read(max(done, default=-1))
