@@ -17,7 +17,7 @@ by block of columns and only where it can matter:
    must hold one that it shares with any partner.  Each class is compared
    with the leader of most of those columns, the class whose columns are the
    most common, which is the middle of its group; verified links make first
-   components.
+   components.  Another round takes leaders of other components by chance.
 4. *Leading columns.*  Columns that still hold different components give the
    remaining pairs: the product of the leading columns alone counts what two
    rows share there.  Two rows of a and b columns need an overlap of
@@ -59,6 +59,8 @@ from .textnp import U64, Words, binary_slices, blocks, cut, grouped, mix, shingl
 LOCAL_BYTES = 4 << 20
 #: Bytes of a column's hash that are sent to its block, beside the block's number.
 SENT = 5
+#: Rows of the later products up to which their names are broadcast.
+FEW = 200_000
 
 
 def _block_of(h: np.ndarray, shards: int) -> np.ndarray:
@@ -273,8 +275,18 @@ def _parts(sets: DataFrame, blocks_: int) -> DataFrame:
     return sets.select("cls", "n", F.explode(each).alias("x")).select("cls", "n", "x.part", "x.cols").where("size(cols) > 0")
 
 
-def _verified(pairs: DataFrame, parts: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose overlap, added up over column blocks, is large enough."""
+def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, blocks_: int, few: int = 0) -> DataFrame:
+    """The pairs (a, b) whose overlap, added up over column blocks, is large enough.
+
+    Only rows of some pair are dealt if these are counted to be ``few`` or less,
+    so that their names can be broadcast.
+    """
+    if few:
+        pairs = checkpointed(pairs)
+        some = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+        if some.limit(few + 1).count() <= few:
+            sets = sets.join(F.broadcast(some), "cls", "left_semi")
+    parts = _parts(sets, blocks_)
     left = pairs.join(parts.select(F.col("cls").alias("a"), F.col("n").alias("na"), "part", F.col("cols").alias("x")), "a")
     right = parts.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("part").alias("of"), F.col("cols").alias("y"))
     both = left.join(right, (left["b"] == right["b"]) & (left["part"] == right["of"])).select("a", left["b"], "na", "nb", F.size(F.array_intersect("x", "y")).alias("partial"))
@@ -282,6 +294,16 @@ def _verified(pairs: DataFrame, parts: DataFrame, num: int, den: int) -> DataFra
     return total.where(F.col("overlap") >= _least_overlap(num, den)).select("a", "b")
 
 
+def _divided(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``postings`` with the component of each row, of the columns that hold several components."""
+    if labels is None:
+        named = postings.withColumn("label", F.col("cls"))
+    else:
+        named = postings.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    several = named.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("h")
+    return checkpointed(named.join(several, "h", "left_semi"))
+
+
 def _leading(named: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of different components that the product of their leading columns does not discard.
 
@@ -299,7 +321,7 @@ def _leading(named: DataFrame, num: int, den: int) -> DataFrame:
     return counted.where(F.col("shared") + rest >= least).select("a", "b")
 
 
-def ngram_components(docs: DataFrame, n: int = 5, num: int = 75, den: int = 100, blocks_: int = 4, shard_bytes: int = 256 << 20) -> DataFrame:
+def ngram_components(docs: DataFrame, n: int = 5, num: int = 75, den: int = 100, blocks_: int = 4, rounds: int = 2, shard_bytes: int = 256 << 20) -> DataFrame:
     """Links of ``docs(doc_id, text)`` with den*|A∩B| >= num*|A∪B|, as components.
 
     Returns one row for each input row: doc_id, rid (its row key), n_shingles,
@@ -320,20 +342,25 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 75, den: int = 100,
     ranks = counted.repartitionById(shards, "shard").mapInArrow(_count_columns(shards), PACKED_DDL).repartitionById(shards, "home").mapInArrow(unpacked, ANSWERS_DDL)
     sets = packs.join(ranks.withColumnRenamed("rid", "block"), "block", "left").mapInArrow(_rare_first(shards, num, den), _SETS)
     sets = checkpointed(sets.dropDuplicates(["cls"]))
-    parts = _parts(sets.select("cls", "n", "grams"), blocks_)
+    reps = sets.select("cls", "n", "grams")
     postings = sets.select("cls", "n", "middle", "single", F.posexplode("prefix").alias("pos", "h")).withColumn("pos", F.col("single") + F.col("pos")).drop("single")
     shared = postings.groupBy("h").count().where("count > 1").select("h")
     postings = checkpointed(postings.join(shared, "h"))
 
-    lead = postings.groupBy("h").agg(F.max_by("cls", F.struct("middle", "cls")).alias("a"))
-    votes = postings.join(lead, "h").where("cls <> a").groupBy(F.col("cls").alias("b"), "a").count()
-    best = votes.groupBy("b").agg(F.max(F.struct("count", "a")).alias("x")).select("b", F.col("x.a").alias("a"))
-    labels = connected_components(_verified(best, parts, num, den))
-
-    named = postings.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("h", "cls", "n", "pos", F.coalesce("label", "cls").alias("label"))
-    several = named.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("h")
-    named = checkpointed(named.join(several, "h", "left_semi"))
-    labels = connected_components(_verified(_leading(named, num, den), parts, num, den), labels)
+    labels, found = None, None
+    for k in range(rounds):
+        named = _divided(postings, labels)
+        # the middle of its group first; in later rounds one by chance, as those that the middle did not link may link with it
+        order = F.struct("middle", "cls") if k == 0 else F.struct(F.xxhash64("cls", F.lit(k)).alias("middle"), F.col("cls"))
+        lead = named.groupBy("h").agg(F.max_by(F.struct("cls", "label"), order).alias("lead")).select("h", F.col("lead.cls").alias("a"), F.col("lead.label").alias("of"))
+        votes = named.join(lead, "h").where("label <> of").groupBy(F.col("cls").alias("b"), "a").count()
+        best = votes.groupBy("b").agg(F.max(F.struct("count", "a")).alias("x")).select("b", F.col("x.a").alias("a"))
+        found = checkpointed(_verified(best, reps, num, den, blocks_, FEW if k else 0))
+        if k and found.isEmpty():
+            break
+        labels = connected_components(found, labels)
+    named = _divided(postings, labels)
+    labels = connected_components(_verified(_leading(named, num, den), reps, num, den, blocks_, FEW), labels)
 
     out = rows.select("rid", "doc_id").join(sizes, "rid")
     grouped_ = out.where("n > 0 and may").select("cls", "doc_id", "rid").join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "doc_id", "rid", F.coalesce("label", "cls").alias("label"))
