@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import language_id, quality_knn, toxicity
 from .decontaminate import find_leaks
 from .features import bounded_keys, fold_of
+from .importance import importance
 from .line_dedup import line_dedup
 from .mixing import mix
 from .ngram_join import ngram_components
@@ -186,3 +187,28 @@ k AS (SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.i) FILTER (WHERE NOT
 SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_runs, 0) AS n_runs, sha256(coalesce(kept, '')) AS kept_sha256
 FROM documents LEFT JOIN k USING (doc_id)
 """
+
+
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = importance(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+#: CRC-32 of an expression's UTF-8 bytes: the first of eight steps of a byte adds it.
+_CRC32 = r"""xor(4294967295, list_reduce(list_concat([4294967295], flatten(list_transform(range(0, CAST(octet_length(encode({0})) AS BIGINT)), lambda i: [CAST('0x' || substr(hex(encode({0})), CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))), lambda c, e: xor(xor(c, e) >> 1, 3988292384 * (xor(c, e) & 1))))"""
+
+QUERIES["op11_importance"] = op11_importance
+ORACLES["op11_importance"] = rf"""
+WITH t AS (SELECT 0 AS side, row_number() OVER () AS r, doc_id, text FROM documents UNION ALL SELECT 1, row_number() OVER (), NULL, text FROM benchmark),
+w AS (SELECT side, r, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM t),
+g AS (SELECT side, r, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS g FROM w),
+k AS (SELECT g, {_CRC32.format("g")} % 10000 AS b FROM (SELECT DISTINCT g FROM g)),
+f AS (SELECT side, r, b FROM g JOIN k USING (g)),
+n AS (SELECT b, CAST(count(*) FILTER (side = 0) AS DOUBLE) AS s, CAST(count(*) FILTER (side = 1) AS DOUBLE) AS t FROM f GROUP BY b),
+y AS (SELECT b, CAST(floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM n) + 10000) / ((s + 1) * ((SELECT sum(t) FROM n) + 10000)))) AS BIGINT) AS gain FROM n),
+m AS (SELECT r, CAST(count(*) AS BIGINT) AS n_features, CAST(sum(gain) AS BIGINT) AS total FROM f JOIN y USING (b) WHERE side = 0 GROUP BY r),
+h AS (SELECT doc_id, len(w) AS words, coalesce(n_features, 0) AS n_features, coalesce((total - ((total % n_features) + n_features) % n_features) // n_features, 0) AS weight, CAST('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h FROM w LEFT JOIN m USING (r) WHERE side = 0),
+x AS (SELECT doc_id, words, n_features, weight, CAST(weight + floor(-1000 * ln(-ln((h + CAST(0.5 AS DOUBLE)) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score FROM h),
+o AS (SELECT *, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features, weight) AS nth, count(*) FILTER (words >= 20) OVER () AS may FROM x)
+SELECT doc_id, n_features, weight, score, CASE WHEN words >= 20 AND nth <= 25 * may // 100 THEN nth END AS rank FROM o
+"""
