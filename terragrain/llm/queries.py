@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import language_id, quality_knn, toxicity
+from .chat import chat_digests, chat_windows, written
 from .decontaminate import find_leaks
 from .features import bounded_keys, fold_of
 from .importance import importance
@@ -15,6 +16,7 @@ from .line_dedup import line_dedup
 from .mixing import mix
 from .ngram_join import ngram_components
 from .quality_rules import quality_rules
+from .repair import damaged, repair
 from .session import checkpointed
 from .substring_dedup import substring_dedup
 from .warc import round_trip
@@ -212,3 +214,69 @@ x AS (SELECT doc_id, words, n_features, weight, CAST(weight + floor(-1000 * ln(-
 o AS (SELECT *, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features, weight) AS nth, count(*) FILTER (words >= 20) OVER () AS may FROM x)
 SELECT doc_id, n_features, weight, score, CASE WHEN words >= 20 AND nth <= 25 * may // 100 THEN nth END AS rank FROM o
 """
+
+
+def op12_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.lit("</s>[INST] ok [/INST]").alias("text")
+    own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said)
+    return chat_digests(written(chat_windows(rows.unionByName(own))))
+
+
+QUERIES["op12_chat_windows"] = op12_chat_windows
+#: Conversations of up to 1024 turns: one slice each.
+ORACLES["op12_chat_windows"] = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, regexp_replace(replace(text, '\', '\\'), '([<\[])(/?s>|/?INST\]|/?ROLE\]|</?SYS>>)', '\1\\\2', 'g') AS body, regexp_replace(replace(role, '\', '\\'), '([<\[])(/?s>|/?INST\]|/?ROLE\]|</?SYS>>)', '\1\\\2', 'g') AS name FROM t),
+p AS (SELECT conv_id, turn, role, text, CASE role WHEN 'system' THEN '<<SYS>>' || chr(10) || body || chr(10) || '<</SYS>>' || chr(10) WHEN 'user' THEN '<s>[INST] ' || body || ' [/INST]' WHEN 'assistant' THEN ' ' || body || ' </s>' ELSE '[ROLE]' || name || '[INST] ' || body || ' [/ROLE]' END AS piece FROM e),
+k AS (SELECT *, (octet_length(encode(piece)) + 3) // 4 AS tokens, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS nth FROM p),
+h AS (SELECT *, nth = 1 AND role = 'system' AND tokens <= 512 AS head, coalesce(sum(tokens) OVER (PARTITION BY conv_id ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM k),
+g AS (SELECT *, (2048 - 256 - max(CASE WHEN head THEN tokens ELSE 0 END) OVER (PARTITION BY conv_id)) // 2 AS cell FROM h),
+a AS (SELECT *, coalesce(sum(CAST(tokens > cell AS INT)) OVER (PARTITION BY conv_id ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS alone FROM g),
+s AS (SELECT *, dense_rank() OVER (PARTITION BY conv_id ORDER BY 2 * alone + CAST(tokens > cell AS INT), CASE WHEN tokens > cell THEN 0 ELSE c // cell END) - 1 AS win FROM a),
+w AS (SELECT *, max(win) OVER (PARTITION BY conv_id) AS last, max(c + tokens) OVER (PARTITION BY conv_id, win) AS over FROM s),
+f AS (SELECT conv_id, CAST(sum(length(piece) * (1 + CASE WHEN head THEN last WHEN win < last AND over - c <= 256 THEN 1 ELSE 0 END)) AS BIGINT) AS formatted_chars FROM w GROUP BY conv_id),
+d AS (SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY nth) AS turns, coalesce(string_agg(text, '' ORDER BY nth) FILTER (role = 'assistant'), '') AS loss FROM k GROUP BY conv_id)
+SELECT d.conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM d JOIN f ON d.conv_id IS NOT DISTINCT FROM f.conv_id
+"""
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations")
+    found = repair(damaged(rows)).withColumnRenamed("conv_id", "conv")
+    out = rows.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("conv")), "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def _plus(path: str, cost: str, edit: str) -> str:
+    """SQL for a path, ten digits of cost and the audit, with one edit more; '~' is no path."""
+    return f"CASE WHEN {path} < '~' THEN lpad(CAST(CAST(substr({path}, 1, 10) AS BIGINT) + {cost} AS VARCHAR), 10, '0') || substr({path}, 11) || '{edit}' ELSE '~' END"
+
+
+QUERIES["op13_conversation_repair"] = op13_conversation_repair
+ORACLES["op13_conversation_repair"] = rf"""
+WITH RECURSIVE o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+q AS (SELECT *, {_CRC32.format("name")} % 20 AS draw FROM o),
+b AS (SELECT conv_id, turn, CASE draw WHEN 4 THEN 'user' ELSE role END AS role, CASE draw WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE draw WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM q WHERE draw <> 0),
+l AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS j, row_number() OVER (PARTITION BY conv_id, role, md5(text) ORDER BY turn NULLS FIRST, copy) > 1 AS again, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS cut FROM b),
+m AS (SELECT conv_id, turn, j, role, text, substr(role, 1, 1) AS i, blank, NOT blank AND again AS duplicate, NOT blank AND NOT again AND cut AS truncated FROM l),
+n AS (SELECT conv_id, count(*) AS rows, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps FROM m GROUP BY conv_id),
+i AS (SELECT conv_id, count(*) FILTER (pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM (SELECT conv_id, lag(i) OVER (PARTITION BY conv_id ORDER BY j) || i AS pair FROM m) GROUP BY conv_id),
+x AS (
+SELECT conv_id, 0 AS j, '0000000000' AS s0, '~' AS s1, '0000000003I' AS s2, '0000000006II' AS s3 FROM n
+UNION ALL SELECT conv_id, j, t0, t1, u2, least(t3, {_plus("u2", "3", "I")}) FROM (
+SELECT conv_id, j, t0, t1, t3, least(t2, {_plus("least(t0, t1, t3)", "3", "I")}) AS u2 FROM (
+SELECT m.conv_id, m.j, {_plus("s0", "4", "D")} AS t0,
+least({_plus("s1", "4", "D")}, CASE WHEN gone OR i <> 's' THEN '~' ELSE {_plus("s0", "more", "K")} END) AS t1,
+least({_plus("s2", "4", "D")}, CASE WHEN gone THEN '~' WHEN i = 'u' THEN {_plus("least(s0, s1, s3)", "more", "K")} ELSE {_plus("least(s0, s1, s3)", "more + 3", "R")} END) AS t2,
+least({_plus("s3", "4", "D")}, CASE WHEN gone THEN '~' WHEN i = 'a' THEN {_plus("s2", "more", "K")} ELSE {_plus("s2", "more + 3", "R")} END) AS t3
+FROM x JOIN (SELECT *, blank OR duplicate AS gone, CASE WHEN truncated THEN 3 ELSE 0 END AS more FROM m) m ON m.conv_id IS NOT DISTINCT FROM x.conv_id AND m.j = x.j + 1))),
+y AS (SELECT n.*, CAST(substr(least(s0, s3), 1, 10) AS BIGINT) AS cost, substr(least(s0, s3), 11) AS audit FROM n JOIN x ON x.conv_id IS NOT DISTINCT FROM n.conv_id AND x.j = n.rows),
+c AS (SELECT conv_id, p, substr(audit, p, 1) AS edit FROM (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS p FROM y)),
+g AS (SELECT *, count(*) FILTER (edit <> 'I') OVER w AS j, count(*) FILTER (edit <> 'D') OVER w AS e FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY p)),
+h AS (SELECT g.conv_id, p, edit, e, role, CASE WHEN edit = 'I' THEN '' ELSE text END AS text, bool_or(e = 1 AND edit = 'K' AND i = 's') OVER (PARTITION BY g.conv_id) AS sys FROM g LEFT JOIN m ON m.conv_id IS NOT DISTINCT FROM g.conv_id AND m.j = g.j),
+z AS (SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (e % 2 = 1) = sys THEN 'assistant' ELSE 'user' END || ':' || text, chr(10) ORDER BY p) FILTER (edit <> 'D') AS said FROM h GROUP BY conv_id)
+SELECT a.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(said, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN y ON y.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN i ON i.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM a.conv_id
+"""

@@ -1,10 +1,11 @@
 """Importance resampling, budgeted chat windows and conversation repair against plain versions of themselves."""
 
 import hashlib
-import heapq
+import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -12,7 +13,9 @@ import numpy as np
 import pytest
 from test_corpus import SCHEMA
 
+from terragrain.llm import chat
 from terragrain.llm import importance as imp
+from terragrain.llm import repair as rep
 
 
 def brute_importance(docs, target, n=2, buckets=10_000, percent=25, least=20):
@@ -72,3 +75,180 @@ def test_crc_algebra():
         a, b = (rng.integers(0, 256, rng.integers(0, 70), dtype=np.uint8).tobytes() for _ in range(2))
         at = np.array([zlib.crc32(a)], dtype=np.uint32)
         assert (imp.shifted(at, np.array([len(b)])) ^ np.uint32(zlib.crc32(b)))[0] == zlib.crc32(a + b)
+
+
+def brute_repair(rows):
+    """Plain dynamic programming over whole audits, and a repair that follows the audit."""
+    rows = [(t, " " if r is None else r, " " if x is None else x) for t, r, x in rows]
+    rows.sort(key=lambda x: (x[0] is not None, x[0] or 0, x[1], hashlib.md5(x[2].encode()).hexdigest()))
+    seen, kinds = set(), []
+    for _, role, text in rows:
+        solid = re.findall(r"[^\x20\x09-\x0D]", text)
+        kinds.append("blank" if not solid else "duplicate" if (role, text) in seen else "truncated" if solid[-1] not in ".!?" else "")
+        seen.add((role, text))
+    follow = {0: {"s": 1, "u": 2}, 1: {"u": 2}, 2: {"a": 3}, 3: {"u": 2}}
+
+    def inserted(best):
+        for _ in range(2):
+            for q, (c, x) in list(best.items()):
+                for r, to in follow[q].items():
+                    if r != "s":
+                        best[to] = min(best.get(to, (10**9, "")), (c + 3, x + "I"))
+        return best
+
+    best = inserted({0: (0, "")})
+    for (_, role, _), kind in zip(rows, kinds, strict=True):
+        new = {}
+        for q, (c, x) in best.items():
+            moves = [(q, 4, "D")]
+            if kind not in ("blank", "duplicate"):
+                more = 3 * (kind == "truncated")
+                moves += [(to, more, "K") if r == role[:1] else (to, 3 + more, "R") for r, to in follow[q].items() if r == role[:1] or r != "s"]
+            for to, cost, edit in moves:
+                new[to] = min(new.get(to, (10**9, "")), (c + cost, x + edit))
+        best = inserted(new)
+    cost, audit = min(best[q] for q in (0, 3) if q in best)
+    out, state, left = [], 0, list(rows)
+    for edit in audit:
+        turn = None if edit == "I" else left.pop(0)
+        if edit == "D":
+            continue
+        made = "user" if state in (0, 1, 3) else "assistant"
+        role = turn[1] if edit == "K" else made
+        state = 1 if role[:1] == "s" else 2 if role[:1] == "u" else 3
+        out.append(f"{role}:{turn[2] if turn else ''}")
+    turns = {t for t, _, _ in rows if t is not None}
+    first = "".join(r[:1] if r[:1] in ("s", "u", "a") else "x" for _, r, _ in rows)
+    illegal = sum(x + y not in ("su", "ua", "au") for x, y in zip(first, first[1:], strict=False))
+    return (max(turns) - min(turns) + 1 - len(turns) if turns else 0, *[kinds.count(k) for k in ("blank", "duplicate", "truncated")], illegal, cost, audit, hashlib.sha256("\n".join(out).encode()).hexdigest())
+
+
+def make_turns(seed=5, most=14):
+    rng = random.Random(seed)
+    rows = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]"), (None, 1, "user", "Hi."), (None, 0, "assistant", None), (3, None, None, None), (3, None, "user", "What?")]
+    for conv in range(10, 70):
+        for k in range(rng.randrange(1, most)):
+            role = rng.choice(["system", "user", "user", "assistant", "assistant", "tool", "", None]) if rng.random() < 0.4 else ("user", "assistant")[k % 2]
+            text = rng.choice([None, "", " \t", "yes", "no", "Fine.", "Really?\n", "\\ <s> \\</s>", "[[INST]", "<<SYS>> <</SYS>>[ROLE]x[/ROLE] ", "é日本 [/INST", "w " * rng.randrange(1, 300) + "."])
+            rows.append((conv, None if rng.random() < 0.05 else k + rng.randrange(2), role, text))
+    rows += [(80, k, "user" if k % 3 else "assistant", rng.choice(["same", "same.", f"text {k}.", f"text {k}"])) for k in range(700)]
+    rows += [(81, k, "user", "again") for k in range(400)] + [(82, 5, "user", f"one {k}.") for k in range(300)] + [rows[9], rows[9]]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def turns(spark):
+    rows = make_turns()
+    return rows, spark.createDataFrame([(*r, 1, "x") for r in rows], "conv_id long, turn long, role string, text string, slice int, copy string").repartition(3)
+
+
+def test_repair(turns, monkeypatch):
+    """All rows against plain dynamic programming, with short and with long pieces and slices."""
+    rows, df = turns
+    by = {}
+    for c, *rest in rows:
+        by.setdefault(c, []).append(rest)
+    want = {c: brute_repair(x) for c, x in by.items()}
+    names = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"]
+    for piece in (256, 5):
+        monkeypatch.setattr(rep, "PIECE", piece)
+        got = {r.conv_id: tuple(r[n] for n in names) for r in rep.repair(df).collect()}
+        assert got == want
+    sliced = {r.conv_id: r.audit for r in rep.structure(df.na.fill(" ", ["role", "text"]), slice_turns=40).collect()}
+    assert sliced == {c: x[6] for c, x in want.items()}
+    assert rep.repair(df.limit(0)).count() == 0
+
+
+def test_pieces_of_a_search(monkeypatch):
+    """Random signs in pieces of every length, runs of one role included, give one audit."""
+    rng = random.Random(9)
+    for k in range(120):
+        signs = "".join(rng.choice("suaxtvbySUA" if k % 2 else "uuuat") for _ in range(rng.randrange(40)))
+        found = set()
+        for piece in (1, 2, 7, 256):
+            monkeypatch.setattr(rep, "PIECE", piece)
+            found.add(rep.cheapest_edits(signs))
+        assert len(found) == 1
+    began = time.time()
+    monkeypatch.setattr(rep, "PIECE", 256)
+    assert len(rep.cheapest_edits("u" * 60_000)[1]) >= 60_000 and time.time() - began < 30
+
+
+def test_order_keys():
+    rng = random.Random(2)
+    for _ in range(300):
+        base = ["".join(rng.choice("DIKR") for _ in range(rng.randrange(12))) for _ in range(3)]
+        some = list(dict.fromkeys(rng.choice(base)[: rng.randrange(13)] + "".join(rng.choice("DKR") for _ in range(3)) for _ in range(4)))
+        some += [some[0] + "I", some[0] + "II"]
+        keys = rep.order_keys(some)
+        for a, b in itertools.permutations(range(len(some)), 2):
+            for x, y in (("", ""), ("K", "D"), ("IK", "K"), ("IIK", "R")):
+                assert (some[a] + x < some[b] + y) == (keys[a] + x < keys[b] + y) or some[a] + x == some[b] + y
+
+
+def read_back(text):
+    """Turns of a formatted text by a plain reader of its own."""
+    turns, at = [], 0
+    plain = lambda s: re.sub(r"\\(\\?)", r"\1", s)
+    while at < len(text):
+        for begin, end, role in (("<<SYS>>\n", "\n<</SYS>>\n", "system"), ("<s>[INST] ", " [/INST]", "user"), (" ", " </s>", "assistant"), ("[ROLE]", " [/ROLE]", None)):
+            if text.startswith(begin, at):
+                to = text.index(end, at + len(begin))
+                body = text[at + len(begin) : to]
+                if role is None:
+                    role, body = body.split("[INST] ", 1)
+                    role = plain(role)
+                turns.append((role, plain(body)))
+                at = to + len(end)
+                break
+        else:
+            raise AssertionError(text[at : at + 40])
+    return turns
+
+
+@pytest.mark.parametrize(("budget", "history", "slice_turns"), [(2048, 256, 1024), (60, 12, 1024), (60, 12, 50), (8, 0, 7)])
+def test_chat_windows(turns, budget, history, slice_turns):
+    """Every turn is fresh once and in order; budgets, system turns, history and masks are as stated."""
+    rows, df = turns
+    by = {}
+    for c, t, role, text in rows:
+        by.setdefault(c, []).append((t, role or "", text or ""))
+    windows = {}
+    for w in chat.chat_windows(df, budget, history, slice_turns).orderBy("conv_id", "slice", "window").collect():
+        windows.setdefault(w.conv_id, []).append(w)
+    assert set(windows) == set(by)
+    for c, have in windows.items():
+        want = [x[1:] for x in sorted(by[c], key=lambda x: (x[0] is not None, x[0] or 0, x[1], hashlib.md5(x[2].encode()).hexdigest()))]
+        fresh, learned = [], []
+        for k, w in enumerate(have):
+            read = read_back(w.text)
+            assert len(read) == w.repeated + w.fresh
+            first = want[0] if want[0][0] == "system" else None
+            own = read[: w.repeated]
+            if k and first and len(first[1].encode()) + 25 <= budget // 4 * 4:
+                assert own[0] == first
+                own = own[1:]
+            assert own == fresh[len(fresh) - len(own) :] or own and own[0] == first
+            fresh += read[w.repeated :]
+            learned += [w.text[s.start : s.start + s.length] for s in w.loss]
+            assert w.tokens <= budget or w.fresh == 1
+            assert len(w.loss) == sum(r == "assistant" for r, _ in read[w.repeated :])
+        assert fresh == want
+        assert [re.sub(r"\\(\\?)", r"\1", x) for x in learned] == [x for r, x in want if r == "assistant"]
+    sizes = sorted(map(len, windows.values()))
+    assert budget > 100 or sizes[-1] > 20
+
+
+def test_chat_digests(turns):
+    rows, df = turns
+    by = {}
+    for c, t, role, text in rows:
+        by.setdefault(c, []).append((t, role or "", text or ""))
+    want = {}
+    for c, x in by.items():
+        x.sort(key=lambda x: (x[0] is not None, x[0] or 0, x[1], hashlib.md5(x[2].encode()).hexdigest()))
+        loss = "".join(t for _, r, t in x if r == "assistant")
+        want[c] = (len(x), hashlib.sha256("".join(f"{r}\n{t}\n" for _, r, t in x).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    got = {r.conv_id: tuple(r)[1:5] for r in chat.chat_digests(chat.chat_windows(df, 100, 20, 64)).collect()}
+    assert got == want
+    assert chat.chat_digests(chat.chat_windows(df.limit(0))).count() == 0
