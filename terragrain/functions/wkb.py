@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, StructField, StructType
 
@@ -33,14 +34,16 @@ def decode_polygon(wkb: bytes) -> list[list[dict]]:
     return rings
 
 
-@F.pandas_udf(BinaryType())
-def polygon_to_wkb(rings: pd.Series) -> pd.Series:
-    return rings.map(lambda r: None if r is None else encode_polygon(r))
+# Rings of one polygon differ in length, which pandas and NumPy arrays have no shape for, so they stay Arrow lists.
+@F.arrow_udf(BinaryType())
+def polygon_to_wkb(rings: pa.Array) -> pa.Array:
+    return pa.array([None if r is None else encode_polygon(r) for r in rings.to_pylist()], pa.binary())
 
 
-@F.pandas_udf(RINGS)
-def polygon_from_wkb(wkb: pd.Series) -> pd.Series:
-    return wkb.map(lambda b: None if b is None else decode_polygon(b))
+@F.arrow_udf(RINGS)
+def polygon_from_wkb(wkb: pa.Array) -> pa.Array:
+    kind = pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
+    return pa.array([None if b is None else decode_polygon(b) for b in wkb.to_pylist()], kind)
 
 
 @F.pandas_udf(BinaryType())

@@ -6,7 +6,7 @@ tracing and filling are kernels by geometry; nothing crosses geometries.
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -86,6 +86,8 @@ def fill(rings: list[list[Point]]) -> list[tuple[int, int]]:
 
 
 RINGS = "array<array<struct<x: double, y: double>>>"
+#: Rings differ in length, so they travel as Arrow lists: pandas would make ragged arrays of them.
+RINGS_ARROW = pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
 
 
 def _named(rings: list[list[Point]]) -> list[list[dict]]:
@@ -93,43 +95,45 @@ def _named(rings: list[list[Point]]) -> list[list[dict]]:
 
 
 def _points(rings) -> list[list[Point]]:
-    return [[(p["x"], p["y"]) for p in ring] for ring in rings]
+    return [[(p["x"], p["y"]) for p in ring] for ring in rings or ()]
 
 
 def polygons(cells: DataFrame, by: str = "geom_id") -> DataFrame:
     """(by, rings): each geometry's rings, outer ones first."""
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        rings = sorted(trace(set(zip(pdf.row_i.tolist(), pdf.col_i.tolist(), strict=True))), key=lambda r: -area(r))
-        return pd.DataFrame({by: [pdf[by].iloc[0]], "rings": [_named(rings)]})
+    def one(table: pa.Table) -> pa.Table:
+        at = set(zip(table["row_i"].to_pylist(), table["col_i"].to_pylist(), strict=True))
+        rings = sorted(trace(at), key=lambda r: -area(r))
+        return pa.table([table[by].slice(0, 1).combine_chunks(), pa.array([_named(rings)], RINGS_ARROW)], names=[by, "rings"])
 
-    return cells.select(by, "row_i", "col_i").groupBy(by).applyInPandas(one, f"{by} {cells.schema[by].dataType.simpleString()}, rings {RINGS}")
+    return cells.select(by, "row_i", "col_i").groupBy(by).applyInArrow(one, f"{by} {cells.schema[by].dataType.simpleString()}, rings {RINGS}")
 
 
 def rasterized(shapes: DataFrame, by: str = "geom_id") -> DataFrame:
     """(by, row_i, col_i): the cells of ``shapes(by, rings)``."""
 
     def cells(batches):
-        for pdf in batches:
-            rows = [(k, r, c) for k, rings in zip(pdf[by], pdf["rings"], strict=True) for r, c in fill(_points(rings))]
-            yield pd.DataFrame(rows, columns=[by, "row_i", "col_i"])
+        for batch in batches:
+            for k, rings in enumerate(batch.column(1).to_pylist()):
+                found = fill(_points(rings))
+                if found:
+                    key = batch.column(0).take(pa.array([k] * len(found)))
+                    yield pa.RecordBatch.from_arrays([key, pa.array([r for r, _ in found], pa.int64()), pa.array([c for _, c in found], pa.int64())], names=[by, "row_i", "col_i"])
 
-    return shapes.select(by, "rings").mapInPandas(cells, f"{by} {shapes.schema[by].dataType.simpleString()}, row_i long, col_i long")
+    return shapes.select(by, "rings").mapInArrow(cells, f"{by} {shapes.schema[by].dataType.simpleString()}, row_i long, col_i long")
 
 
 def _each_ring(shapes: DataFrame, change, extra: list[str] = ()) -> DataFrame:
-    """``shapes(.., rings)`` with every ring changed by ``change(ring, row)``."""
-    names = shapes.columns
+    """``shapes(.., rings)`` with every ring changed by ``change(ring, row)``; ``extra`` columns are read, then gone."""
+    kept = [c for c in shapes.columns if c not in extra]
 
     def run(batches):
-        for pdf in batches:
-            rows = pdf.to_dict("records")
-            pdf = pdf.copy()
-            pdf["rings"] = [_named([change(ring, row) for ring in _points(row["rings"])]) for row in rows]
-            yield pdf[[c for c in names if c not in extra]]
-
-    kept = shapes.drop(*extra)
-    return shapes.mapInPandas(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema.fields))
+        for batch in batches:
+            rows = batch.select(["rings", *extra]).to_pylist()
+            rings = [None if row["rings"] is None else _named([change(ring, row) for ring in _points(row["rings"])]) for row in rows]
+            yield pa.RecordBatch.from_arrays([pa.array(rings, RINGS_ARROW) if c == "rings" else batch.column(c) for c in kept], names=kept)
+
+    return shapes.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in shapes.select(*kept).schema.fields))
 
 
 def simplified(shapes: DataFrame, tolerance: float) -> DataFrame:
