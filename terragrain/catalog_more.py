@@ -120,17 +120,14 @@ def s15(spark, d):
     return mosaic.update(back, back.where("row_i between 2 and 5 and col_i between 20 and 50"), 999)
 
 
-_LEVELS = _R + ", k AS (SELECT unnest([0, 1, 2]) AS level) SELECT raster_id, level, CAST(count(*) AS BIGINT) AS n, CAST(sum(b1) AS BIGINT) AS b1 FROM rasters, k WHERE row_i % (1 << level) = 0 AND col_i % (1 << level) = 0 GROUP BY 1, 2"
-
-
-@register("k02_balanced_rasters", _LEVELS)
+@register("k02_balanced_rasters", ORACLES_OF["balance"] + ", k AS (SELECT unnest([0, 1, 2]) AS level) SELECT raster_id, level, CAST(count(*) AS BIGINT) AS n, CAST(sum(b1) AS BIGINT) AS b1, CAST(sum(b2) AS BIGINT) AS b2, CAST(sum(b3) AS BIGINT) AS b3 FROM even, k WHERE row_i % (1 << level) = 0 AND col_i % (1 << level) = 0 GROUP BY 1, 2")
 def k02(spark, d):
-    """Rasters through the balancing sink with two overviews; gains of one keep the numbers."""
+    """Balanced rasters, each written with two overviews, and read back."""
     from .sources.sinks import write_rasters
 
-    path = _shared(spark)
-    write_rasters(view(spark, d, "rasters"), path, BANDS, levels=2)
-    return spark.read.parquet(path).groupBy("raster_id", "level").agg(F.count("*").alias("n"), F.sum("b1").alias("b1"))
+    path, r = _shared(spark), view(spark, d, "rasters")
+    write_rasters(color.apply(r, color.fit(r, BANDS, 10), ["raster_id", "row_i", "col_i"]), path, BANDS, levels=2)
+    return spark.read.parquet(path).groupBy("raster_id", "level").agg(F.count("*").alias("n"), *[F.sum(b).alias(b) for b in BANDS])
 
 
 @register("k03_sharpened_raster", ORACLES_OF["c04"])

@@ -367,14 +367,43 @@ def a11(spark, d):
     return color.extents(rasters(spark, d))
 
 
-@register("a17_gain_solution")
+def _gains_sql(b: str) -> str:
+    """Gains of the two fixture rasters in closed form: offsets are put in terms of gains, which leaves two equations."""
+    return f"""
+v_{b} AS (SELECT avg({b}) FILTER (raster_id = 1) AS m1, stddev_pop({b}) FILTER (raster_id = 1) AS d1, avg({b}) FILTER (raster_id = 2) AS m2, stddev_pop({b}) FILTER (raster_id = 2) AS d2 FROM rasters WHERE b1 > 0),
+u_{b} AS (SELECT m1, d1, m2, d2, p1 - m1 AS p, p2 - m2 AS q, m1 - m2 AS c, e1, e2 FROM v_{b}, (SELECT avg(x.{b}) AS p1, stddev_pop(x.{b}) AS e1, avg(y.{b}) AS p2, stddev_pop(y.{b}) AS e2 FROM rasters x JOIN rasters y USING (row_i, col_i) WHERE x.raster_id = 1 AND y.raster_id = 2 AND x.b1 > 0 AND y.b1 > 0)),
+t_{b} AS (SELECT *, p * p / 5 + e1 * e1 + d1 * d1 / 2 AS aa, -p * q / 5 - e1 * e2 AS ab, q * q / 5 + e2 * e2 + d2 * d2 / 2 AS bb, d1 * d1 / 2 - p * c / 5 AS ra, d2 * d2 / 2 + q * c / 5 AS rb FROM u_{b}),
+s_{b} AS (SELECT *, (ra * bb - rb * ab) / (aa * bb - ab * ab) AS g1, (rb * aa - ra * ab) / (aa * bb - ab * ab) AS g2 FROM t_{b}),
+a_{b} AS (SELECT 1 AS raster_id, g1 AS gain, m1 - m1 * g1 - (c + p * g1 - q * g2) * 2 / 5 AS off FROM s_{b} UNION ALL SELECT 2, g2, m2 - m2 * g2 + (c + p * g1 - q * g2) * 2 / 5 FROM s_{b})"""
+
+
+def _balance_sql(bands: list[str], cell: int = 10) -> str:
+    """CTEs ending in ``even``: every fixture raster balanced, its means and the common ones interpolated at each pixel."""
+    out = _RASTERS
+    for b in bands:
+        out += f""",{_gains_sql(b)},
+l_{b} AS (SELECT raster_id, row_i // {cell} AS gr, col_i // {cell} AS gc, count(*) AS n, greatest(1, least(255, avg({b}))) AS mean FROM rasters WHERE {b} > 0 GROUP BY 1, 2, 3),
+w_{b} AS (SELECT gr, gc, sum(mean * n) / sum(n) AS mean FROM l_{b} GROUP BY gr, gc),
+k_{b} AS (SELECT x.raster_id, row_i, col_i, {b} AS v, sum(h * l.mean) / sum(CASE WHEN l.mean IS NOT NULL THEN h END) AS r, sum(h * w.mean) / sum(CASE WHEN w.mean IS NOT NULL THEN h END) AS g FROM (
+SELECT raster_id, row_i, col_i, {b}, row_i // {cell} + kr AS gr, col_i // {cell} + kc AS gc, (CASE WHEN kr = 1 THEN row_i / CAST({cell} AS DOUBLE) - row_i // {cell} ELSE 1 - (row_i / CAST({cell} AS DOUBLE) - row_i // {cell}) END) * (CASE WHEN kc = 1 THEN col_i / CAST({cell} AS DOUBLE) - col_i // {cell} ELSE 1 - (col_i / CAST({cell} AS DOUBLE) - col_i // {cell}) END) AS h
+FROM rasters, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS z(kr, kc)) x LEFT JOIN l_{b} l ON l.raster_id = x.raster_id AND l.gr = x.gr AND l.gc = x.gc LEFT JOIN w_{b} w ON w.gr = x.gr AND w.gc = x.gc WHERE h > 0 GROUP BY 1, 2, 3, 4),
+y_{b} AS (SELECT k.raster_id, row_i, col_i, v, v * gain + off AS lin, r / top AS r, g / top AS g, top FROM k_{b} k JOIN a_{b} USING (raster_id), (SELECT max(mean) AS top FROM w_{b})),
+z_{b} AS (SELECT raster_id, row_i, col_i, CAST(CASE WHEN v = 0 THEN 0 WHEN lin < 0 THEN 1 ELSE round(greatest(1, least(255, pow(greatest(lin, 0) / top, CASE WHEN r > 0 AND r <> 1 AND g > 0 THEN ln(g) / ln(r) ELSE 1 END) * top))) END AS BIGINT) AS {b} FROM y_{b})"""
+    joins = "".join(f" JOIN z_{b} USING (raster_id, row_i, col_i)" for b in bands[1:])
+    return out + f", even AS (SELECT raster_id, row_i, col_i, {', '.join(bands)} FROM z_{bands[0]}{joins})"
+
+
+ORACLES_OF["balance"], ORACLES_OF["balance_b1"] = _balance_sql(BANDS), _balance_sql(["b1"])
+
+
+@register("a17_gain_solution", _RASTERS + "," + _gains_sql("b1") + " SELECT raster_id, round(gain, 6) AS gain, round(off, 4) AS off FROM a_b1")
 def a17(spark, d):
     r = rasters(spark, d)
-    got = color.solve_gains(color.raster_moments(r, ["b1"]), color.overlap_moments(r, ["b1"]), "b1")
-    return spark.createDataFrame([(k, round(a, 6), round(b, 4)) for k, (a, b) in got.items()], "raster_id int, gain double, off double")
+    got = color.solve_gains(color.raster_moments(r, ["b1"]), color.overlap_moments(r, ["b1"]), ["b1"])
+    return got.select("raster_id", F.round("a_b1", 6).alias("gain"), F.round("o_b1", 4).alias("off"))
 
 
-@register("c03_color_balance")
+@register("c03_color_balance", ORACLES_OF["balance"] + " SELECT * FROM even")
 def c03(spark, d):
     r = rasters(spark, d)
     return color.apply(r, color.fit(r, BANDS, 10), ["raster_id", "row_i", "col_i"])
@@ -393,7 +422,7 @@ def j10(spark, d):
     return stencils.resample(px(spark, d), "b1", grid, (0.0, 0.5, 0.0, 0.0, 0.0, 0.5)).select("id", F.round("v", 6).alias("v"))
 
 
-@register("j14_balanced_overlay")
+@register("j14_balanced_overlay", ORACLES_OF["balance_b1"] + " SELECT row_i, col_i, arg_max(b1, raster_id) AS b1 FROM even WHERE b1 > 0 GROUP BY row_i, col_i")
 def j14(spark, d):
     """Rasters balanced, then laid over each other."""
     from .operators import mosaic

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog import register
+from .catalog_pixels import ORACLES_OF
 from .fixtures import ctes, view
 from .operators import records as r
 
@@ -227,7 +228,7 @@ def f10(spark, d):
     return rpc_project(points, parse_rpb(text).select("rpc")).select(F.round("lon", 6).alias("lon"), F.round("line", 4).alias("line"), F.round("sample", 4).alias("sample"))
 
 
-@register("s10_model_import")
+@register("s10_model_import", ORACLES_OF["balance_b1"] + " SELECT raster_id, row_i, col_i, b1 FROM even")
 def s10(spark, d):
     """A balancing model written as JSON and read again."""
     from .operators import color

@@ -86,16 +86,20 @@ def shifted(cells: DataFrame, offsets: list[tuple[int, int]], keep: list[str]) -
 
 
 def dilate(cells: DataFrame, radius: int) -> DataFrame:
-    """Cells within ``radius`` steps, diagonals included."""
-    square = [(r, c) for r in range(-radius, radius + 1) for c in range(-radius, radius + 1)]
-    return shifted(cells, square, ["geom_id"]).distinct()
+    """Cells within ``radius`` steps, diagonals included: along rows, then along columns."""
+    reach = range(-radius, radius + 1)
+    wide = shifted(cells, [(0, c) for c in reach], ["geom_id"]).distinct()
+    return shifted(wide, [(r, 0) for r in reach], ["geom_id"]).distinct()
 
 
 def erode(cells: DataFrame, radius: int) -> DataFrame:
-    """Cells whose whole neighbourhood of ``radius`` steps is inside."""
-    square = [(r, c) for r in range(-radius, radius + 1) for c in range(-radius, radius + 1)]
-    full = shifted(cells.distinct(), square, ["geom_id"]).groupBy("geom_id", *CELL).agg(F.count("*").alias("n"))
-    return full.where(F.col("n") == len(square)).select("geom_id", *CELL)
+    """Cells whose whole neighbourhood of ``radius`` steps is inside: along rows, then along columns."""
+    reach = range(-radius, radius + 1)
+    left = cells.select("geom_id", *CELL).distinct()
+    for steps in ([(0, c) for c in reach], [(r, 0) for r in reach]):
+        full = shifted(left, steps, ["geom_id"]).groupBy("geom_id", *CELL).agg(F.count("*").alias("n"))
+        left = full.where(F.col("n") == len(steps)).select("geom_id", *CELL)
+    return left
 
 
 def boundary(cells: DataFrame) -> DataFrame:
@@ -188,14 +192,53 @@ def merge_touching(cells: DataFrame) -> DataFrame:
     return components(cells.select(*CELL).withColumn("one", F.lit(1)), ["one"]).groupBy("part").agg(F.count("*").alias("area"))
 
 
+def site_candidates(tiles: DataFrame, sites: DataFrame, size: int, levels: int) -> DataFrame:
+    """(tr, tc, sites): for each tile the sites that may be nearest to one of its cells.
+
+    Sites stand in a pyramid of squares, tiles at its foot and sides doubling.
+    One site of a square for each level around a tile bounds the distance u
+    of the nearest from the tile's middle.  With d the tile's diagonal, only
+    sites within u + d of the middle can win a cell, and these are in the
+    nine squares around at the first level whose side is u + d or more.
+    """
+    diagonal = (size - 1) * 2**0.5
+    level = F.explode(F.sequence(F.lit(0), F.lit(levels)))
+    up = lambda x, y: (F.floor(F.col(x) / F.pow(F.lit(2.0), "level")).cast("long").alias(y))
+    put = sites.select(F.col("geom_id").alias("site"), "row_c", "col_c", F.floor(F.col("row_c") / size).cast("long").alias("sr"), F.floor(F.col("col_c") / size).cast("long").alias("sc"), level.alias("level"))
+    put = cut(put.select("site", "row_c", "col_c", "level", up("sr", "qr"), up("sc", "qc")))
+    near = F.explode(F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r in (-1, 0, 1) for c in (-1, 0, 1)]))
+    middle = tiles.select("tr", "tc", (F.col("tr") * size + (size - 1) / 2).alias("mr"), (F.col("tc") * size + (size - 1) / 2).alias("mc"))
+    away = F.hypot(F.col("row_c") - F.col("mr"), F.col("col_c") - F.col("mc"))
+
+    def around(df: DataFrame) -> DataFrame:
+        return df.withColumn("d", near).withColumn("qr", up("tr", "qr") + F.col("d.r")).withColumn("qc", up("tc", "qc") + F.col("d.c")).drop("d")
+
+    one = put.groupBy("level", "qr", "qc").agg(F.min(F.struct("site", "row_c", "col_c")).alias("x")).select("level", "qr", "qc", "x.row_c", "x.col_c")
+    bound = around(middle.withColumn("level", level)).join(one, ["level", "qr", "qc"]).groupBy("tr", "tc", "mr", "mc").agg((F.min(away) + F.lit(diagonal)).alias("reach"))
+    wide = F.greatest(F.lit(0), F.least(F.lit(levels), F.ceil(F.log2(F.greatest(F.col("reach"), F.lit(1.0)) / size)).cast("int")))
+    found = around(bound.withColumn("level", wide)).join(put, ["level", "qr", "qc"]).where(away <= F.col("reach") + F.lit(1e-6))
+    return found.groupBy("tr", "tc").agg(F.collect_list(F.struct("site", "row_c", "col_c")).alias("sites"))
+
+
 def nearest_site(px: DataFrame, sites: DataFrame) -> DataFrame:
     """(row_i, col_i, site): Voronoi owner of each cell, the least id on ties.
 
-    Sites are few (one for each image) and are broadcast.
+    Cells meet the few sites that their tile may have, whatever the number of
+    sites is.  Tiles are sized for a site each; sites that are crowded far
+    from a tile may all be candidates of it.
     """
-    line = F.array_min(F.transform("__sites", lambda s: F.struct(((F.col("row_i") - s["row_c"]) * (F.col("row_i") - s["row_c"]) + (F.col("col_i") - s["col_c"]) * (F.col("col_i") - s["col_c"])).alias("d"), s["geom_id"].alias("site"))))
-    one = sites.agg(F.collect_list(F.struct("geom_id", "row_c", "col_c")).alias("__sites"))
-    return px.select(*CELL).crossJoin(F.broadcast(one)).select(*CELL, line["site"].alias("site"))
+    n = sites.count()
+    box = px.agg(*[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in CELL]).first()
+    if not n or box[0] is None:
+        return px.select(*CELL, F.lit(None).cast("long").alias("site")).limit(0)
+    far = sites.agg(*[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("row_c", "col_c")]).first()
+    low, high = (min(box[0], far[0]), min(box[1], far[1])), (max(box[2], far[2]), max(box[3], far[3]))
+    size = max(4, round(((box[2] - box[0] + 1) * (box[3] - box[1] + 1) / n) ** 0.5))
+    levels = max(0, int(max(b - a for a, b in zip(low, high, strict=True)) / size).bit_length() + 2)
+    rows = px.select(*CELL, F.floor(F.col("row_i") / size).cast("long").alias("tr"), F.floor(F.col("col_i") / size).cast("long").alias("tc"))
+    may = site_candidates(rows.select("tr", "tc").distinct(), sites, size, levels)
+    best = F.array_min(F.transform("sites", lambda s: F.struct(((F.col("row_i") - s["row_c"]) * (F.col("row_i") - s["row_c"]) + (F.col("col_i") - s["col_c"]) * (F.col("col_i") - s["col_c"])).alias("d"), s["site"].alias("site"))))
+    return rows.join(may, ["tr", "tc"]).select(*CELL, best["site"].alias("site"))
 
 
 def fill_pieces(pieces: DataFrame, borders: DataFrame, masks: DataFrame) -> DataFrame:

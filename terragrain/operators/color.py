@@ -2,20 +2,24 @@
 
 Fit: moments of each raster and of each overlap's two sides, a sparse weighted
 least-squares system of 2 unknowns for each raster, whose normal equations
-are summed as a table and solved on the driver by elimination along the
-overlaps, and means of grid cells.  Apply: gains, one row a raster, and the
-cells' means, which stay tables and are joined by cell.
+are summed as a table and solved by conjugate gradients over that table, and
+means of grid cells.  Apply: gains, one row a raster, and the cells' means,
+both interpolated at each pixel.  A cell's mean stands at the cell's first
+corner; the four means around a pixel are gathered once for each cell, so a
+pixel meets them all in one join.  Nothing of a raster is collected.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
 
-#: Cell rows up to which the table of means is broadcast; beyond, it is joined by cell.
+#: Rows up to which the tables of means and of gains are broadcast; beyond, they are joined by cell and by raster.
 BROADCAST_CELLS = 200_000
+#: Where the four means around a pixel stand, from its own cell.
+CORNERS = ((0, 0), (0, 1), (1, 0), (1, 1))
 
 
 def raster_moments(px: DataFrame, bands: list[str]) -> DataFrame:
@@ -55,66 +59,76 @@ def overlap_moments(px: DataFrame, bands: list[str]) -> DataFrame:
     return both.groupBy("a", "b").agg(F.count("*").alias("n"), *each)
 
 
-def normal_equations(moments: DataFrame, overlaps: DataFrame, band: str) -> DataFrame:
-    """(i, j, v): nonzero sums of the weighted least-squares system; j is -1 for the right side.
+def normal_equations(moments: DataFrame, overlaps: DataFrame, bands: list[str]) -> DataFrame:
+    """(band, i, j, m00, m01, m10, m11, v0, v1): nonzero 2 x 2 blocks of the weighted least-squares system.
 
-    Unknown 2r is raster r's gain and 2r + 1 its offset.  Overlap equations
-    (equal means, equal deviations) weigh their area; a raster's own (keep both)
-    half its mean overlap area, or 1 without overlaps.
+    Unknowns 0 and 1 of raster i are its gain and offset; v is the right side,
+    in blocks of i = j.  Overlap equations (equal means, equal deviations)
+    weigh their area; a raster's own (keep both) half the mean overlap area, or
+    1 without overlaps.
     """
-    term = lambda at, v: F.struct(at.cast("long").alias("at"), v.cast("double").alias("v"))
-    gain, off = lambda r: 2 * F.col(r), lambda r: 2 * F.col(r) + 1
-    mean, dev = (lambda s: F.col(f"mean{s}_{band}")), (lambda s: F.col(f"dev{s}_{band}"))
     one = F.lit(1.0)
-    meet = overlaps.select(F.col("n").cast("double").alias("w"), F.explode(F.array(
-        F.array(term(gain("a"), mean("_a")), term(off("a"), one), term(gain("b"), -mean("_b")), term(off("b"), -one)),
-        F.array(term(gain("a"), dev("_a")), term(gain("b"), -dev("_b"))),
-    )).alias("terms"))
-    sides = overlaps.select(F.explode(F.array("a", "b")).alias("raster_id"), "n").groupBy("raster_id").agg((F.avg("n") / 2).alias("w"))
-    own = moments.join(sides, "raster_id", "left").select(F.coalesce("w", F.lit(1.0)).alias("w"), F.explode(F.array(
-        F.array(term(gain("raster_id"), mean("")), term(off("raster_id"), one), term(F.lit(-1), mean(""))),
-        F.array(term(gain("raster_id"), dev("")), term(F.lit(-1), dev(""))),
-    )).alias("terms"))
-    each = meet.union(own).select("w", "terms", F.explode("terms").alias("x")).select("w", "x", F.explode("terms").alias("y")).where("x.at >= 0")
-    return each.groupBy(F.col("x.at").alias("i"), F.col("y.at").alias("j")).agg(F.sum(F.col("w") * F.col("x.v") * F.col("y.v")).alias("v"))
-
-
-def solve_sparse(entries: list[tuple[int, int, float]]) -> dict[int, float]:
-    """The solution of a symmetric positive system of nonzero entries (i, j, v), j = -1 the right side.
-
-    Unknowns of fewest neighbours are eliminated first, so what is filled in
-    follows the overlaps.
+
+    def side(of: str, sign: int, b: str) -> Column:  # a raster's part in the equations of means and of deviations
+        return F.struct(F.col(of).cast("long").alias("at"), (sign * F.col(f"mean_{of}_{b}")).alias("mean"), (sign * one).alias("one"), (sign * F.col(f"dev_{of}_{b}")).alias("dev"))
+
+    sides = F.explode(F.array(*[F.struct(F.lit(b).alias("band"), F.array(side("a", 1, b), side("b", -1, b)).alias("terms")) for b in bands]))
+    meet = overlaps.select(F.col("n").cast("double").alias("w"), sides.alias("x")).select("w", "x.band", "x.terms", F.explode("x.terms").alias("x")).select("w", "band", "x", F.explode("terms").alias("y"))
+    product = lambda f, g: F.sum(F.col("w") * (F.col(f"x.{f}") * F.col(f"y.{g}")))
+    m00 = F.sum(F.col("w") * (F.col("x.mean") * F.col("y.mean") + F.col("x.dev") * F.col("y.dev")))
+    shared = meet.groupBy("band", F.col("x.at").alias("i"), F.col("y.at").alias("j")).agg(m00.alias("m00"), product("mean", "one").alias("m01"), product("one", "mean").alias("m10"), product("one", "one").alias("m11"))
+    mean = overlaps.agg(F.coalesce(F.avg("n") / 2, one).alias("w"))
+    own = F.explode(F.array(*[F.struct(F.lit(b).alias("band"), F.col(f"mean_{b}").alias("mean"), F.col(f"dev_{b}").alias("dev")) for b in bands]))
+    own = moments.select(F.col("raster_id").cast("long").alias("i"), own.alias("x")).select("i", "x.*").crossJoin(F.broadcast(mean))  # one row
+    square = F.col("w") * (F.col("mean") * F.col("mean") + F.col("dev") * F.col("dev"))
+    own = own.select("band", "i", F.col("i").alias("j"), square.alias("m00"), (F.col("w") * F.col("mean")).alias("m01"), (F.col("w") * F.col("mean")).alias("m10"), F.col("w").alias("m11"), square.alias("v0"), (F.col("w") * F.col("mean")).alias("v1"))
+    every = own.unionByName(shared.withColumn("v0", F.lit(0.0)).withColumn("v1", F.lit(0.0)))
+    return every.groupBy("band", "i", "j").agg(*[F.sum(c).alias(c) for c in ("m00", "m01", "m10", "m11", "v0", "v1")])
+
+
+def conjugate_gradients(blocks: DataFrame, tolerance: float = 1e-12, most: int = 2000) -> DataFrame:
+    """(band, i, x0, x1): the solution of the block systems, all bands together.
+
+    Preconditioned by the blocks of the diagonal.  An iteration is one join of
+    the blocks with the direction and one sum by row, written to the shared
+    folder; only a band's step lengths reach the driver.  A band rests once its
+    residual has fallen to ``tolerance`` of what it was.
     """
-    rows: dict[int, dict[int, float]] = {}
-    right: dict[int, float] = {}
-    for i, j, v in entries:
-        if j < 0:
-            right[i] = v
-        else:
-            rows.setdefault(i, {})[j] = v
-    order, left = [], {i: dict(r) for i, r in rows.items()}
-    while left:
-        k = min(left, key=lambda i: (len(left[i]), i))
-        row = left.pop(k)
-        pivot = row.pop(k)
-        order.append((k, pivot, row))
-        for i, v in row.items():
-            f = v / pivot
-            at = left[i]
-            del at[k]
-            for j, u in row.items():
-                at[j] = at.get(j, 0.0) - f * u
-            right[i] = right.get(i, 0.0) - f * right.get(k, 0.0)
-    out: dict[int, float] = {}
-    for k, pivot, row in reversed(order):
-        out[k] = (right.get(k, 0.0) - sum(v * out[j] for j, v in row.items())) / pivot
-    return out
-
-
-def solve_gains(moments: DataFrame, overlaps: DataFrame, band: str) -> dict[int, tuple[float, float]]:
-    """Gain and offset of each raster."""
-    got = solve_sparse([tuple(r) for r in normal_equations(moments, overlaps, band).collect()])  # a few entries for each overlap
-    return {k // 2: (got[k], got[k + 1]) for k in got if k % 2 == 0}
+    blocks = cut(blocks)
+    det = F.col("m00") * F.col("m11") - F.col("m01") * F.col("m10")
+    at = blocks.where("i = j").select("band", "i", "v0", "v1", "m00", "m01", "m10", "m11", det.alias("det"))
+    # a raster of one value has no block to invert: its gain and offset share what fits
+    whole = F.col("det") > 1e-12 * F.col("m00") * F.col("m11")
+    plain = lambda u, m: F.when(F.col(m) > 0, u / F.col(m)).otherwise(F.lit(0.0))
+    solved = lambda u, v: (F.when(whole, (F.col("m11") * u - F.col("m01") * v) / F.col("det")).otherwise(plain(u, "m00")), F.when(whole, (F.col("m00") * v - F.col("m10") * u) / F.col("det")).otherwise(plain(v, "m11")))
+    z0, z1 = solved(F.col("v0"), F.col("v1"))
+    keep = ["band", "i", "m00", "m01", "m10", "m11", "det"]
+    state = cut(at.select(*keep, F.lit(0.0).alias("x0"), F.lit(0.0).alias("x1"), F.col("v0").alias("r0"), F.col("v1").alias("r1"), z0.alias("p0"), z1.alias("p1")))
+    first = {r["band"]: r["rz"] for r in state.groupBy("band").agg(F.sum(F.col("r0") * F.col("p0") + F.col("r1") * F.col("p1")).alias("rz")).collect()}  # one row a band
+    rz = dict(first)
+    by_band = lambda values: F.coalesce(*[F.when(F.col("band") == b, F.lit(float(v))) for b, v in values.items()], F.lit(0.0))
+    for _ in range(most):
+        if not any(rz[b] > tolerance * tolerance * first[b] for b in rz):
+            break
+        direction = state.select("band", F.col("i").alias("j"), "p0", "p1")
+        q = blocks.join(direction, ["band", "j"]).groupBy("band", "i").agg(F.sum(F.col("m00") * F.col("p0") + F.col("m01") * F.col("p1")).alias("q0"), F.sum(F.col("m10") * F.col("p0") + F.col("m11") * F.col("p1")).alias("q1"))
+        state = cut(state.join(q, ["band", "i"]))
+        pq = {r["band"]: r["pq"] for r in state.groupBy("band").agg(F.sum(F.col("p0") * F.col("q0") + F.col("p1") * F.col("q1")).alias("pq")).collect()}
+        step = by_band({b: rz[b] / pq[b] if pq[b] > 0 and rz[b] > tolerance * tolerance * first[b] else 0.0 for b in rz})
+        state = state.withColumn("step", step).select(*keep, "p0", "p1", *[(F.col(f"x{k}") + F.col("step") * F.col(f"p{k}")).alias(f"x{k}") for k in (0, 1)], *[(F.col(f"r{k}") - F.col("step") * F.col(f"q{k}")).alias(f"r{k}") for k in (0, 1)])
+        z0, z1 = solved(F.col("r0"), F.col("r1"))
+        new = {r["band"]: r["rz"] for r in state.groupBy("band").agg(F.sum(F.col("r0") * z0 + F.col("r1") * z1).alias("rz")).collect()}
+        turn = by_band({b: new[b] / rz[b] if rz[b] > 0 else 0.0 for b in rz})
+        state = state.withColumn("turn", turn).select(*keep, "x0", "x1", "r0", "r1", (z0 + F.col("turn") * F.col("p0")).alias("p0"), (z1 + F.col("turn") * F.col("p1")).alias("p1"))
+        rz = {b: max(new[b], 0.0) for b in rz}
+    return cut(state.select("band", "i", "x0", "x1"))
+
+
+def solve_gains(moments: DataFrame, overlaps: DataFrame, bands: list[str]) -> DataFrame:
+    """(raster_id, a_b, o_b of every band): gain and offset of each raster."""
+    got = conjugate_gradients(normal_equations(moments, overlaps, bands))
+    each = [F.max(F.when(F.col("band") == b, F.col(x))).alias(f"{k}_{b}") for b in bands for k, x in (("a", "x0"), ("o", "x1"))]
+    return got.groupBy(F.col("i").cast("int").alias("raster_id")).agg(*each)
 
 
 def cell_means(px: DataFrame, band: str, cell: int) -> DataFrame:
@@ -135,35 +149,58 @@ def _cells(px: DataFrame, bands: list[str], cell: int) -> DataFrame:
     return px.groupBy("raster_id", F.floor(F.col("row_i") / cell).alias("gr"), F.floor(F.col("col_i") / cell).alias("gc")).agg(*each)
 
 
+def corner_means(local: DataFrame, bands: list[str]) -> DataFrame:
+    """(raster_id, gr, gc, r_b, g_b): the raster's and the common means at the four corners of each cell, null where nothing is valid.
+
+    The work is on cells, not on pixels: each is told to the four whose corner it is.
+    """
+    of = lambda b: F.sum(F.when(F.col(f"n_{b}") > 0, F.col(f"r_{b}") * F.col(f"n_{b}"))) / F.sum(F.when(F.col(f"n_{b}") > 0, F.col(f"n_{b}")))
+    world = local.groupBy("gr", "gc").agg(*[of(b).alias(f"g_{b}") for b in bands])
+    at = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(r).alias("r"), F.lit(c).alias("c")) for k, (r, c) in enumerate(CORNERS)]))
+    asked = local.select("raster_id", F.col("gr").alias("tr"), F.col("gc").alias("tc"), at.alias("x")).select("raster_id", "tr", "tc", "x.k", (F.col("tr") + F.col("x.r")).alias("gr"), (F.col("tc") + F.col("x.c")).alias("gc"))
+    own = local.select("raster_id", "gr", "gc", *[F.when(F.col(f"n_{b}") > 0, F.col(f"r_{b}")).alias(f"r_{b}") for b in bands])
+    met = asked.join(own, ["raster_id", "gr", "gc"], "left").join(world, ["gr", "gc"], "left")
+    corner = lambda c: F.array(*[F.max(F.when(F.col("k") == k, F.col(c))) for k in range(len(CORNERS))])
+    return met.groupBy("raster_id", F.col("tr").alias("gr"), F.col("tc").alias("gc")).agg(*[corner(f"{k}_{b}").alias(f"{k}_{b}") for b in bands for k in "rg"])
+
+
 def fit(px: DataFrame, bands: list[str], cell: int) -> dict:
-    """The model: gains by band and raster, greatest cell mean, and the table ``cells`` of each raster's and the common cell means."""
+    """The model: greatest cell means, and the tables ``gains`` of rasters and ``cells`` of the means at each cell's corners."""
     moments, overlaps = cut(raster_moments(px, bands)), cut(overlap_moments(px, bands))
     local = cut(_cells(px, bands, cell))
-    of = lambda b: F.sum(F.when(F.col(f"n_{b}") > 0, F.col(f"r_{b}") * F.col(f"n_{b}"))) / F.sum(F.when(F.col(f"n_{b}") > 0, F.col(f"n_{b}")))
-    world = local.groupBy("gr", "gc").agg(*[of(b).alias(f"g_{b}") for b in bands])
-    top = world.agg(*[F.max(f"g_{b}").alias(b) for b in bands]).first()
-    means = [F.when(F.col(f"n_{b}") > 0, F.col(f"r_{b}")).alias(f"r_{b}") for b in bands]
-    cells = cut(local.join(world, ["gr", "gc"]).select("raster_id", "gr", "gc", *means, *[f"g_{b}" for b in bands]))
-    return {"method": "GlobalToLocal", "cell": cell, "gains": {b: solve_gains(moments, overlaps, b) for b in bands}, "max_mean": {b: 255.0 if top[b] is None else float(top[b]) for b in bands}, "cells": cells}
+    mean = lambda b: F.sum(F.when(F.col(f"n_{b}") > 0, F.col(f"r_{b}") * F.col(f"n_{b}"))) / F.sum(F.col(f"n_{b}"))
+    top = local.groupBy("gr", "gc").agg(*[mean(b).alias(b) for b in bands]).agg(*[F.max(b).alias(b) for b in bands]).first()
+    return {"method": "GlobalToLocal", "cell": cell, "max_mean": {b: 255.0 if top[b] is None else float(top[b]) for b in bands}, "gains": solve_gains(moments, overlaps, bands), "cells": cut(corner_means(local, bands))}
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """A table, broadcast only if its counted rows stay within the bound."""
+    return F.broadcast(df) if df.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS else df
 
 
 def apply(px: DataFrame, model: dict, keys: list[str]) -> DataFrame:
-    """Balanced bands: gain and offset, then a power that maps raster means to global ones."""
-    spark, cell, bands = px.sparkSession, model["cell"], list(model["gains"])
+    """Balanced bands: gain and offset, then a power that maps interpolated raster means to global ones."""
+    cell, bands = model["cell"], list(model["max_mean"])
     out = px.withColumn("gr", F.floor(F.col("row_i") / cell)).withColumn("gc", F.floor(F.col("col_i") / cell))
-    rasters = sorted({k for b in bands for k in model["gains"][b]})
-    gains = [(k, *[v for b in bands for v in model["gains"][b].get(k, (1.0, 0.0))]) for k in rasters]
-    gain = spark.createDataFrame(gains, "raster_id int, " + ", ".join(f"a_{b} double, o_{b} double" for b in bands))  # one row a raster
-    cells = model["cells"]
-    if cells.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS:
-        cells = F.broadcast(cells)
-    out = out.join(F.broadcast(gain), "raster_id", "left").join(cells, ["raster_id", "gr", "gc"], "left")
+    out = out.join(_small(model["gains"]), "raster_id", "left").join(_small(model["cells"]), ["raster_id", "gr", "gc"], "left")
+    out = out.withColumn("__y", F.col("row_i") / F.lit(float(cell)) - F.col("gr")).withColumn("__x", F.col("col_i") / F.lit(float(cell)) - F.col("gc"))
     return out.select(*keys, *[_balanced(b, float(model["max_mean"][b])).alias(b) for b in bands])
 
 
-def _balanced(b: str, top: float):
+def _between(c: str) -> Column:
+    """The means at four corners interpolated at a pixel, weights renormalised over those that are there."""
+    y, x = F.col("__y"), F.col("__x")
+    weights = [(y if r else 1 - y) * (x if k else 1 - x) for r, k in CORNERS]
+    means = [F.get(c, F.lit(k)) for k in range(len(CORNERS))]
+    there = [F.when(m.isNotNull(), w).otherwise(F.lit(0.0)) for m, w in zip(means, weights, strict=True)]
+    value = sum((w * F.coalesce(m, F.lit(0.0)) for m, w in list(zip(means, there, strict=True))[1:]), there[0] * F.coalesce(means[0], F.lit(0.0)))
+    total = sum(there[1:], there[0])
+    return F.when(total > 0, value / total)
+
+
+def _balanced(b: str, top: float) -> Column:
     v = F.col(b) * F.coalesce(F.col(f"a_{b}"), F.lit(1.0)) + F.coalesce(F.col(f"o_{b}"), F.lit(0.0))
-    r, g = F.col(f"r_{b}") / top, F.col(f"g_{b}") / top
+    r, g = _between(f"r_{b}") / top, _between(f"g_{b}") / top
     power = F.when((r > 0) & (r != 1) & (g > 0), F.log(g) / F.log(r)).otherwise(F.lit(1.0))
     mapped = F.pow(F.greatest(v, F.lit(0.0)) / top, F.coalesce(power, F.lit(1.0))) * top
     return F.when(F.col(b) == 0, F.lit(0)).when(v < 0, F.lit(1)).otherwise(F.round(F.greatest(F.lit(1.0), F.least(F.lit(255.0), mapped)))).cast("long")

@@ -9,22 +9,22 @@ from pyspark.sql import functions as F
 
 
 def write_model(model: dict, path: str) -> None:
-    """A model as JSON: its plain values as one line, its cells as lines of a table."""
-    cells = model["cells"]
-    plain = json.dumps({k: v for k, v in model.items() if k != "cells"})
-    cells.sparkSession.createDataFrame([(plain,)], "value string").write.text(f"{path}/model")
-    cells.write.json(f"{path}/cells")
+    """A model as JSON: its plain values as one line, its gains and cells as lines of tables."""
+    tables = {k: v for k, v in model.items() if isinstance(v, DataFrame)}
+    plain = json.dumps({k: v for k, v in model.items() if k not in tables})
+    for name, table in tables.items():
+        table.write.json(f"{path}/{name}")
+    table.sparkSession.createDataFrame([(plain,)], "value string").write.text(f"{path}/model")
 
 
 def read_model(spark: SparkSession, path: str, methods: tuple[str, ...] = ("GlobalToLocal",)) -> dict:
-    """The model, with raster ids as numbers again."""
     model = json.loads(spark.read.text(f"{path}/model").first()[0])
     if model.get("method") not in methods:
         raise ValueError(f"unknown method {model.get('method')}")
-    model["gains"] = {b: {int(k): tuple(v) for k, v in g.items()} for b, g in model["gains"].items()}
-    bands = list(model["gains"])
-    ddl = "raster_id int, gr long, gc long, " + ", ".join(f"{k}_{b} double" for b in bands for k in "rg")
-    return model | {"cells": spark.read.schema(ddl).json(f"{path}/cells")}
+    bands = list(model["max_mean"])
+    gains = "raster_id int, " + ", ".join(f"{k}_{b} double" for b in bands for k in "ao")
+    cells = "raster_id int, gr long, gc long, " + ", ".join(f"{k}_{b} array<double>" for b in bands for k in "rg")
+    return model | {"gains": spark.read.schema(gains).json(f"{path}/gains"), "cells": spark.read.schema(cells).json(f"{path}/cells")}
 
 
 def renamed(df: DataFrame, mapping: str) -> DataFrame:

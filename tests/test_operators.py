@@ -214,14 +214,40 @@ def test_blended_line(spark):
     assert got == [100, 100, 100, 100, 117, 133, 167, 183, 200, 200, 200, 200] or (got[:3], got[-3:]) == ([100] * 3, [200] * 3) and sorted(got) == got
 
 
-def test_sparse_solution():
-    rng = np.random.default_rng(2)
-    for n in (1, 4, 12):
-        a = rng.normal(size=(n + 5, n)) * (rng.random((n + 5, n)) < 0.5) + np.vstack([np.eye(n), np.zeros((5, n))])
-        b = rng.normal(size=n + 5)
-        left, right = a.T @ a, a.T @ b
-        got = color.solve_sparse([(i, j, left[i, j]) for i in range(n) for j in range(n) if left[i, j]] + [(i, -1, right[i]) for i in range(n)])
-        assert [got[i] for i in range(n)] == pytest.approx(np.linalg.lstsq(a, b, rcond=None)[0].tolist(), rel=1e-6, abs=1e-9)
+def test_gain_solution(spark):
+    """Gains of a ring of rasters and of one without overlaps, by conjugate gradients, are those of a dense least-squares solution."""
+    rng, n = np.random.default_rng(2), 9
+    mean, dev = rng.uniform(60, 180, (n, 2)), rng.uniform(10, 40, (n, 2))
+    pairs = [(k, (k + 1) % 8) if k < 7 else (0, 7) for k in range(8)]
+    weight = rng.integers(50, 500, len(pairs))
+    sides = rng.uniform(40, 200, (len(pairs), 2, 2, 2))
+    moments = spark.createDataFrame([(k, *[float(x) for b in range(2) for x in (mean[k, b], dev[k, b])]) for k in range(n)], "raster_id int, mean_x double, dev_x double, mean_y double, dev_y double")
+    overlaps = spark.createDataFrame([(a, b, int(w), *[float(v) for band in range(2) for side in range(2) for v in sides[k, band, side]]) for k, ((a, b), w) in enumerate(zip(pairs, weight, strict=True))], "a int, b int, n long, mean_a_x double, dev_a_x double, mean_b_x double, dev_b_x double, mean_a_y double, dev_a_y double, mean_b_y double, dev_b_y double")
+    got = {r.raster_id: r for r in color.solve_gains(moments, overlaps, ["x", "y"]).collect()}
+    for band, name in enumerate("xy"):
+        rows, right = [], []
+        for k, ((a, b), w) in enumerate(zip(pairs, weight, strict=True)):
+            (ma, da), (mb, db) = sides[k, band]
+            for at in ({2 * a: ma, 2 * a + 1: 1, 2 * b: -mb, 2 * b + 1: -1}, {2 * a: da, 2 * b: -db}):
+                rows.append([np.sqrt(w) * at.get(c, 0) for c in range(2 * n)])
+                right.append(0)
+        own = np.sqrt(weight.mean() / 2)
+        for k in range(n):
+            for at, v in (({2 * k: mean[k, band], 2 * k + 1: 1}, mean[k, band]), ({2 * k: dev[k, band]}, dev[k, band])):
+                rows.append([own * at.get(c, 0) for c in range(2 * n)])
+                right.append(own * v)
+        want = np.linalg.lstsq(np.array(rows), np.array(right), rcond=None)[0]
+        assert [v for k in range(n) for v in (got[k][f"a_{name}"], got[k][f"o_{name}"])] == pytest.approx(want.tolist(), rel=1e-7, abs=1e-7)
+
+
+def test_interpolated_means(spark):
+    """Between two cells' corners the power changes step by step, and nodata cells have no weight."""
+    px = spark.createDataFrame([(1, r, c, 40 if c < 10 else 60) for r in range(20) for c in range(20)] + [(2, r, c, 80 + r) for r in range(20) for c in range(20)], "raster_id int, row_i long, col_i long, b long")
+    model = color.fit(px, ["b"], 10)
+    got = {(r.raster_id, r.row_i, r.col_i): r.b for r in color.apply(px, model, ["raster_id", "row_i", "col_i"]).collect()}
+    line = [got[1, 5, c] for c in range(10)]
+    assert max(abs(a - b) for a, b in itertools.pairwise(line)) <= 3  # no steps between cells' means
+    assert len(set(line)) > 2 and all(1 <= v <= 255 for v in got.values())
 
 
 def test_running_places(spark):
@@ -246,3 +272,28 @@ def test_projection_against_known_points(spark):
     got = [tuple(r) for r in df.select(e, n).collect()]
     assert got[0] == pytest.approx((500000.0, 0.0), abs=1e-3) and got[1][0] == pytest.approx(833978.557, abs=1e-2)
     assert got[2] == pytest.approx((500000.0, 10000000 - 3651294.5), abs=20)
+
+
+def test_many_sites(spark):
+    """Voronoi owners of a thousand sites, crowded in one corner, equal the plain search; few sites meet each cell."""
+    rng = np.random.default_rng(4)
+    at = np.vstack([rng.uniform(0, 60, (600, 2)), rng.uniform(0, 300, (400, 2)), [[500.0, -80.0], [10.0, 10.0], [10.0, 10.0]]])
+    sites = spark.createDataFrame([(k, float(r), float(c)) for k, (r, c) in enumerate(at)], "geom_id long, row_c double, col_c double")
+    px = spark.range(120 * 240).select(F.expr("id div 240").alias("row_i"), (F.col("id") % 240 - 20).alias("col_i"))
+    got = {(r.row_i, r.col_i): r.site for r in cells.nearest_site(px, sites).collect()}
+    assert len(got) == 120 * 240
+    for (r, c), site in got.items():
+        d = (r - at[:, 0]) * (r - at[:, 0]) + (c - at[:, 1]) * (c - at[:, 1])
+        assert d[site] == d.min() and site == int(np.flatnonzero(d == d.min())[0])
+    tiles = spark.range(20 * 40).select(F.expr("id div 40").alias("tr"), (F.col("id") % 40).alias("tc"))
+    many = spark.range(20_000).select(F.col("id").alias("geom_id"), (F.rand(1) * 1000).alias("row_c"), (F.rand(2) * 2000).alias("col_c"))
+    assert cells.site_candidates(tiles, many, 10, 10).select(F.max(F.size("sites"))).first()[0] < 60
+
+
+def test_dilate_and_erode(spark):
+    rng = np.random.default_rng(6)
+    own = {(int(g), int(r), int(c)) for g, r, c in zip(rng.integers(0, 2, 260), rng.integers(0, 14, 260), rng.integers(0, 14, 260), strict=True)}
+    df = spark.createDataFrame(sorted(own), "geom_id long, row_i long, col_i long")
+    square = [(r, c) for r in range(-1, 2) for c in range(-1, 2)]
+    assert {tuple(x) for x in cells.dilate(df, 1).collect()} == {(g, r + a, c + b) for g, r, c in own for a, b in square}
+    assert {tuple(x) for x in cells.erode(df, 1).collect()} == {(g, r, c) for g, r, c in own if all((g, r + a, c + b) in own for a, b in square)}
