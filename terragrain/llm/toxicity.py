@@ -10,11 +10,12 @@
    stand for themselves, leetspeak signs for the letters they imitate,
    separators for nothing, and a repeated letter for itself or for nothing.
    Viterbi search finds the most likely path under channel costs and the
-   language model.  Where marks or blanks part a suspect, it is read in two
-   more ways: each disguised piece between them by itself, and the whole with
-   separators that may end a word.  Places too long for the pattern are read
-   in these ways alone, so the time is linear in their length.  Decoded words
-   are read beside the text as it stands.
+   language model.  Where marks or blanks part a suspect, it is read in more
+   ways: each disguised piece between them, or between those of one kind, by
+   itself, letters by themselves as one word, and the whole with separators
+   that may end a word.  Long places are searched in windows that overlap by
+   half and are read like short ones, so the time is linear in their length.
+   Decoded words are read beside the text as it stands.
 3. *Scoring.*  From a bounded sample of labelled texts, restored like any
    other, candidate words and word beginnings are ranked by how much more of
    the toxic texts than of the others hold them.  Terms are then taken
@@ -88,8 +89,12 @@ SUSPECT = re.compile(
 )
 _PARTED = re.compile(rf"(?:\s|{_MARK})+")
 _DISGUISED = re.compile(rf"{_SIGN}[^\W\d_]|[^\W\d_]{_SIGN}|([^\W\d_])\1\1")
-#: Signs of a place up to which the pattern, whose time is not linear, searches it.
-SEARCHED = 240
+#: Letters by themselves between marks, also inside what the pattern takes as one.
+_LETTERED = re.compile(rf"(?<![^\W_])(?:[^\W\d_]|{_SIGN})(?:{_MARK}(?:[^\W\d_]|{_SIGN})(?![^\W_])){{2,}}")
+_HINT = re.compile(rf"{_SIGN}|{_MARK}|([^\W\d_])\1\1")
+_KINDS = re.compile(rf"\s|{_MARK}")
+#: Signs that the pattern, whose time is not linear, searches at once; longer places are searched in windows that overlap by half, so a suspect of up to half as many signs is seen whole.
+WINDOW = 240
 
 _TABLE = 0x2100
 _IS_SIGN, _IS_MARK = np.zeros(_TABLE, dtype=bool), np.zeros(_TABLE, dtype=bool)
@@ -220,14 +225,34 @@ def squeezed(suspect: str) -> str:
     return re.sub(r"(.)\1+", r"\1", suspect)
 
 
-def readings(suspect: str, model: CharModel, joined: bool = True) -> str:
-    """Decoded words of a suspect: as one word if ``joined``, and where it is parted, cut at its separators and with words between them."""
+def readings(suspect: str, model: CharModel) -> str:
+    """Decoded words of a suspect: as one word, and where it is parted, cut at its separators and with words between them.
+
+    A chain such as an address may hold a disguised word between separators of
+    another kind, so the pieces between those of each kind are words too, and
+    so are letters by themselves.
+    """
     pieces = [x for x in _PARTED.split(suspect) if x]
-    found = [decode(suspect, model)] if joined or len(pieces) == 1 else []
+    found = [suspect]
+    if len(pieces) > 1:
+        found += [x for x in pieces if _DISGUISED.search(x)]
+        kinds = set(_KINDS.findall(suspect))
+        if len(kinds) > 1:
+            found += [x for kind in sorted(kinds) for x in suspect.split(kind) if x != suspect and (_KINDS.search(x) or _DISGUISED.search(x))]
+        found += [m.group(0) for m in _LETTERED.finditer(suspect)]
+    words = [decode(x, model) for x in dict.fromkeys(found)]
     if len(pieces) > 1:
-        found += [decode(x, model) for x in pieces if _DISGUISED.search(x)]
-        found += decode(suspect, model, parted=True).split()
-    return " ".join(dict.fromkeys(y for x in found for y in (x, squeezed(x))))
+        words += decode(suspect, model, parted=True).split()
+    return " ".join(dict.fromkeys(y for x in words for y in (x, squeezed(x))))
+
+
+def suspects(text: str, a: int, b: int) -> list[str]:
+    """What the pattern finds in a range of a text, in windows where that is long."""
+    if b - a <= WINDOW:
+        return [m.group(0) for m in SUSPECT.finditer(text[a:b])]
+    starts = range(a, b - WINDOW // 2, WINDOW // 2)
+    windows = (text[k : min(k + WINDOW, b)] for k in starts)
+    return list(dict.fromkeys(m.group(0) for w in windows if _HINT.search(w) for m in SUSPECT.finditer(w)))
 
 
 def restored(text: str, model: CharModel, known: dict[str, str]) -> str:
@@ -235,12 +260,11 @@ def restored(text: str, model: CharModel, known: dict[str, str]) -> str:
     more = []
     points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
     for a, b in suspect_ranges(points):
-        searched = b - a <= SEARCHED
-        for s in (m.group(0) for m in SUSPECT.finditer(text[a:b])) if searched else (text[a:b],):
+        for s in suspects(text, a, b):
             got = known.get(s)
             if got is None:
-                got = readings(s, model, searched)
-                if searched:
+                got = readings(s, model)
+                if len(s) <= WINDOW // 4:
                     known[s] = got
             more.append(got)
     if more:

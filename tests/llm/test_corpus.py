@@ -7,6 +7,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,6 +49,10 @@ def make_docs():
 DOCS = make_docs()
 
 
+def open_documents(folder):
+    return [t or "" for t in pq.read_table(f"{folder}/documents.parquet", columns=["text"]).column(0).to_pylist()]
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     return spark.createDataFrame(DOCS, SCHEMA).repartition(3)
@@ -386,6 +392,36 @@ def test_long_suspects():
         assert " idiot " in toxicity.restored(f"so {case} then", model, {}), case[:80]
 
 
+def test_disguises_in_short_and_long_places():
+    """Five disguises of many words are read alike in a short token and inside an address, a list or unparted text of hundreds of signs."""
+    docs = open_documents("/root/testdata/sf0.01")
+    codes = Counter()
+    for text in docs:
+        points = toxicity._SYMBOL[toxicity.letters_of(np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32))].tolist()
+        codes.update((0 if not b else a) << 16 | b << 8 | c for a, b, c in zip(points, points[1:], points[2:]) if b or c)
+    model = toxicity.CharModel.of(codes)
+    common = Counter(w for t in docs for w in re.findall(r"[a-z]{6,9}", t))
+    chosen = [w for w, _ in common.most_common(200) if toxicity.squeezed(w) == w][:12]
+    assert len(chosen) == 12
+    filler = [w for w, _ in common.most_common(400)[200:]]
+    leet = {"a": "4", "e": "3", "o": "0", "i": "1", "s": "5", "t": "7"}
+    forms = {
+        "dots": lambda w: ".".join(w), "star": lambda w: f"{w[:2]}*{w[2:]}", "leet": lambda w: "".join(leet.get(c, c) for c in w),
+        "repeats": lambda w: "".join(c * (4 if k == 2 else 1) for k, c in enumerate(w)), "dashes": lambda w: "-".join(w),
+    }
+    places = {
+        "address": lambda x: "http://example.org/" + "/".join(filler[:20]) + f"/{x}/" + "/".join(filler[20:40]),
+        "list": lambda x: ",".join([*filler[:30], x, *filler[30:60]]),
+        "underscores": lambda x: "_".join([*filler[:25], x, *filler[25:50]]),
+    }
+    for name, form in forms.items():
+        short = [f" {w} " in toxicity.restored(f"so {form(w)} then", model, {}) for w in chosen]
+        assert sum(short) >= 8, (name, short)
+        for place, put in places.items():
+            long = [f" {w} " in toxicity.restored(f"so {put(form(w))} then", model, {}) for w in chosen]
+            assert len(put("")) > 240 and all(b for a, b in zip(short, long) if a), (name, place, short, long)
+
+
 def test_letters_beyond_latin1(spark):
     model = toxicity.CharModel.of(Counter())
     assert " idiot " in toxicity.restored("you \u201cidiot\u201d\u2026", model, {}) and " idiot " in toxicity.restored("idiot\U0001f600", model, {})
