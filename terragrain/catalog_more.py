@@ -194,14 +194,23 @@ def j11(spark, d):
     return out.select("id", (F.round("x", 4) + 0.0).alias("x"), (F.round("y", 4) + 0.0).alias("y"))
 
 
-@register("s09_rpc_source", "SELECT 'a.tif' AS path, 16 AS internal, 16 AS beside UNION ALL SELECT 'b.tif', NULL, 16")
+def _images(spark, d):
+    """Model texts, and images of which every second has a whole model in its metadata."""
+    from .catalog_records import rpb_texts
+    from .sources.rpb import parse_rpb
+
+    texts = rpb_texts(spark, d)
+    k = F.regexp_extract("path", r"(\d+)\.rpb", 1).cast("long")
+    own = F.when(k % 2 == 0, F.col("rpc")).otherwise(F.create_map(F.lit("DATE"), F.lit("x")))
+    return texts, cut(parse_rpb(texts).select(F.regexp_replace("path", "rpb$", "tif").alias("path"), own.alias("metadata")))
+
+
+@register("s09_rpc_source", ctes("rects") + " SELECT concat('GF2_', geom_id, '.tif') AS path, CASE WHEN geom_id % 2 = 0 THEN 16 END AS internal, 16 AS beside FROM rects")
 def s09(spark, d):
-    """Models from metadata and from the text beside an image; one image has the text alone."""
-    from .sources.rpb import RPCSource, camera_models, example_rpb, parse_rpb
+    """Models from metadata and from the text beside an image; every second image has the text alone."""
+    from .sources.rpb import RPCSource, camera_models
 
-    texts = spark.createDataFrame([("a.rpb", example_rpb(3)), ("b.rpb", example_rpb(4))], "path string, value string")
-    own = parse_rpb(texts.where("path = 'a.rpb'")).select(F.lit("a.tif").alias("path"), F.col("rpc").alias("metadata"))
-    images = cut(own.union(spark.createDataFrame([("b.tif", {"DATE": "x"})], own.schema)))
+    texts, images = _images(spark, d)
     size = lambda source, name: camera_models(images, texts, source).select("path", F.size("rpc").alias(name))
     return size(RPCSource.RPB_FILE, "beside").join(size(RPCSource.INTERNAL, "internal"), "path", "left").select("path", "internal", "beside")
 
@@ -252,11 +261,15 @@ def x06(spark, d):
     return Thirds().run(view(spark, d, "px"), "pan16", BANDS, KEYS)
 
 
-@register("x07_rpc_source", "SELECT 'INTERNAL' AS name, 0 AS value UNION ALL SELECT 'RPB_FILE', 1")
+@register("x07_rpc_source", ctes("rects") + " SELECT 'INTERNAL' AS source, 0 AS value, CAST(count(*) FILTER (geom_id % 2 = 0) AS BIGINT) AS images, CAST(sum(5000 + geom_id) FILTER (geom_id % 2 = 0) AS BIGINT) AS lines FROM rects UNION ALL SELECT 'RPB_FILE', 1, CAST(count(*) AS BIGINT), CAST(sum(5000 + geom_id) AS BIGINT) FROM rects")
 def x07(spark, d):
-    from .sources.rpb import RPCSource
+    """What each source of models finds over all images."""
+    from .sources.rpb import RPCSource, camera_models
 
-    return spark.createDataFrame([(s.name, s.value) for s in RPCSource], "name string, value int")
+    texts, images = _images(spark, d)
+    line = F.element_at("rpc", "LINE_OFF").cast("long")
+    each = [camera_models(images, texts, s).agg(F.count("*").alias("images"), F.sum(line).alias("lines")).select(F.lit(s.name).alias("source"), F.lit(s.value).alias("value"), "images", "lines") for s in RPCSource]
+    return each[0].union(each[1])
 
 
 @register("u04_anti_surrounded_update", _CELLS + ", m AS (SELECT row_i, col_i, max(geom_id) AS owner FROM cells GROUP BY 1, 2) SELECT row_i, col_i, CASE WHEN row_i BETWEEN 3 AND 4 AND col_i BETWEEN 30 AND 40 THEN 999 ELSE owner END AS owner FROM m")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .catalog import register
 from .fixtures import ctes, view
-from .operators import overlay
+from .operators import lines, overlay
 
 _KEY = ["a_id", "b_id"]
 #: Unit squares of boxes with a hole one unit inside, and what later and former ones share.
@@ -108,3 +108,15 @@ def f05n(spark, d):
     box = lambda r0, c0, r1, c1: F.array(at(c0, r0), at(c1, r0), at(c1, r1), at(c0, r1), at(c0, r0))
     rings = F.array(box(r0, c0, r1, c1), box(r0 + 1, c0 + 1, r1 - 1, c1 - 1))
     return _area(overlay.buffered(overlay.oriented(view(spark, d, "rects").select("geom_id", rings.alias("rings"))), -0.25), ["geom_id"])
+
+
+@register("f08_line_merge", ctes("px") + """, q AS (SELECT a.row_i, a.col_i FROM px a JOIN px b ON b.row_i = a.row_i AND b.col_i = a.col_i + 1 WHERE a.b1 > 0 AND b.b1 > 0),
+r AS (SELECT row_i, col_i, col_i - row_number() OVER (PARTITION BY row_i ORDER BY col_i) AS isle FROM q)
+SELECT row_i * 1000 + min(col_i) AS chain, CAST(count(*) AS BIGINT) AS pieces, CAST(count(*) + 1 AS BIGINT) AS vertices, CAST(max(col_i) + 1 AS DOUBLE) AS x_end FROM r GROUP BY row_i, isle""")
+def f08(spark, d):
+    """Steps between neighbouring valid pixels of a row, joined to lines."""
+    ok = view(spark, d, "px").where("b1 > 0").select("row_i", "col_i")
+    pair = ok.join(ok.select("row_i", (F.col("col_i") - 1).alias("col_i")), ["row_i", "col_i"])
+    point = lambda step: F.struct((F.col("col_i") + step).cast("double").alias("x"), F.col("row_i").cast("double").alias("y"))
+    pieces = pair.select((F.col("row_i") * 1000 + F.col("col_i")).alias("piece"), F.array(point(0), point(1)).alias("points"))
+    return lines.merged(pieces).select("chain", "pieces", F.size("points").cast("long").alias("vertices"), F.element_at("points", -1)["x"].alias("x_end"))

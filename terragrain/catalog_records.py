@@ -11,6 +11,7 @@ from .catalog import register
 from .catalog_pixels import ORACLES_OF
 from .fixtures import ctes, view
 from .operators import records as r
+from .plans.lineage import cut
 
 _I = ctes("raster_info")
 
@@ -189,23 +190,68 @@ def s01(spark, d):
     return read_geotiff(spark, path).select("row_i", "col_i", "b1", "b2")
 
 
+def rpb_texts(spark, d):
+    """(path, value): a model text for every image of the fixture, its numbers from the image's."""
+    from .sources.rpb import SCALARS, VECTORS
+
+    k = F.col("geom_id")
+    lines = [F.concat(F.lit(f"    {name} = "), F.format_string("%d", n), F.lit(";\n")) for name, n in zip(SCALARS, _rpb_scalars(k), strict=True)]
+    for v, name in enumerate(VECTORS):
+        numbers = _rpb_numbers(k, v)
+        lines.append(F.concat(F.lit(f"    {name} = (\n"), F.array_join(numbers, ",\n"), F.lit(");\n")))
+    return view(spark, d, "rects").select(F.concat(F.lit("GF2_"), k.cast("string"), F.lit(".rpb")).alias("path"), F.concat(F.lit("BEGIN_GROUP = IMAGE\n"), *lines, F.lit("END_GROUP = IMAGE\nEND;\n")).alias("value"))
+
+
+def _rpb_numbers(k, v: int):
+    """The twenty coefficients of vector v as text, by the rule of ``_rpb_coefficient``."""
+    number = lambda i: F.when(i == _LEAD[v], 10_000).when(i < 3, 0).otherwise((k * 37 + (20 * v + i) * 11) % 19 - 9)
+    return F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: F.concat(F.lit("        "), number(i).cast("string"), F.lit("e-4")))
+
+
+#: Which coefficient of each vector is one.
+_LEAD = (2, 0, 1, 0)
+
+
+def _rpb_scalars(k):
+    """Twelve whole numbers of an image, in the order of the text."""
+    return [k * 0 + 1, k * 0, 5000 + k, 6000 + k % 7, k * 0 + 23, k * 0 + 113, 40 + k % 5, k * 0 + 5000, k * 0 + 6000, k * 0 + 2, k * 0 + 3, k * 0 + 500]
+
+
+def _rpb_coefficient(k, v: int, i: int):
+    """Coefficient i of vector v in ten-thousandths: one leads, the others are small."""
+    return k * 0 + 10_000 if i == _LEAD[v] else k * 0 if i < 3 else (k * 37 + (20 * v + i) * 11) % 19 - 9
+
+
+class _Sql(str):
+    """SQL text of a whole number, put together like a column."""
+
+    def _with(self, sign, other, turned=False):
+        a, b = (other, self) if turned else (self, other)
+        return _Sql(f"({a} {sign} {b})")
+
+    __add__ = lambda self, o: self._with("+", o)
+    __radd__ = lambda self, o: self._with("+", o, True)
+    __sub__ = lambda self, o: self._with("-", o)
+    __mul__ = lambda self, o: self._with("*", o)
+    __mod__ = lambda self, o: self._with("%", o)
+
+
 def _rpb_sql() -> tuple[str, str]:
-    """The example model's fields, and its projection of the query's points, spelled out."""
-    from .sources.rpb import SCALARS, VECTORS, example_rpb
-
-    fields: dict[str, list[str]] = {}
-    for entry in example_rpb(3).split(";"):
-        if "=" in entry:
-            key, value = entry.rsplit("\n    ", 1)[-1].split(" = ") if "(" not in entry else entry.strip().split(" = ", 1)
-            fields[key.split()[-1]] = value.strip().strip("()").replace(",", " ").split()
-    names = {**SCALARS, **VECTORS}
-    rows = " UNION ALL ".join(f"SELECT 'a.rpb' AS path, '{names[k]}' AS name, '{' '.join(v)}' AS value" for k, v in fields.items() if k in names)
-    num = lambda k: f"CAST({fields[k][0]} AS DOUBLE)"
+    """What the parser finds in every text, and the projection of the query's points, spelled out."""
+    from .sources.rpb import SCALARS, VECTORS
+
+    k = _Sql("k")
+    scalars = dict(zip(SCALARS, _rpb_scalars(k), strict=True))
+    rows = [f"('{SCALARS[n]}', CAST({v} AS VARCHAR))" for n, v in scalars.items()]
+    rows += [f"('{n}', concat_ws(' ', {', '.join(f"concat({_rpb_coefficient(k, v, i)}, 'e-4')" for i in range(20))}))" for v, n in enumerate(VECTORS.values())]
+    found = ctes("rects") + ", m AS (SELECT geom_id AS k FROM rects) SELECT concat('GF2_', k, '.rpb') AS path, x.name AS name, x.value AS value FROM (SELECT k, unnest([" + ", ".join(f"{{'name': {r[1 : r.index(',')]}, 'value': {r[r.index(',') + 2 : -1]}}}" for r in rows) + "]) AS x FROM m)"
+    num = lambda n: f"CAST({scalars[n]} AS DOUBLE)"
     terms = ["1", "x", "y", "z", "x * y", "x * z", "y * z", "x * x", "y * y", "z * z", "x * y * z", "x * x * x", "x * y * y", "x * z * z", "x * x * y", "y * y * y", "y * z * z", "x * x * z", "y * y * z", "z * z * z"]
-    cubic = lambda k: "(" + " + ".join(f"CAST({c} AS DOUBLE) * {t}" for c, t in zip(fields[k], terms, strict=True)) + ")"
-    point = f"SELECT lon, lat, (lon - {num('longOffset')}) / {num('longScale')} AS x, (lat - {num('latOffset')}) / {num('latScale')} AS y, (50.0 - {num('heightOffset')}) / {num('heightScale')} AS z FROM (SELECT i / CAST(100 AS DOUBLE) + 113 AS lon, i / CAST(200 AS DOUBLE) + 23 AS lat FROM range(20) t(i))"
-    project = f"SELECT round(lon, 6) AS lon, round({cubic('lineNumCoef')} / {cubic('lineDenCoef')} * {num('lineScale')} + {num('lineOffset')}, 4) AS line, round({cubic('sampNumCoef')} / {cubic('sampDenCoef')} * {num('sampScale')} + {num('sampOffset')}, 4) AS sample FROM ({point})"
-    return rows, project
+    cubic = lambda v: "(" + " + ".join(f"{_rpb_coefficient(k, v, i)} / CAST(10000 AS DOUBLE) * {t}" for i, t in enumerate(terms)) + ")"
+    points = ctes("dem") + ", p AS (SELECT pid, pid % (SELECT count(*) FROM supplier) AS k, 112 + pid % 50 / CAST(25 AS DOUBLE) AS lon, 22 + pid // 50 % 40 / CAST(20 AS DOUBLE) AS lat, elev AS h FROM dem)"
+    placed = f"SELECT pid, k, (lon - {num('longOffset')}) / {num('longScale')} AS x, (lat - {num('latOffset')}) / {num('latScale')} AS y, (h - {num('heightOffset')}) / {num('heightScale')} AS z FROM p"
+    project = f"{points} SELECT pid, round({cubic(0)} / {cubic(1)} * {num('lineScale')} + {num('lineOffset')}, 4) AS line, round({cubic(2)} / {cubic(3)} * {num('sampScale')} + {num('sampOffset')}, 4) AS sample FROM ({placed})"
+    return found, project
 
 
 _RPB = _rpb_sql()
@@ -213,19 +259,20 @@ _RPB = _rpb_sql()
 
 @register("s08_rpb_parser", _RPB[0])
 def s08(spark, d):
-    from .sources.rpb import example_rpb, parse_rpb
+    """The sixteen fields of every image's model text."""
+    from .sources.rpb import parse_rpb
 
-    text = spark.createDataFrame([("a.rpb", example_rpb(3))], "path string, value string")
-    return parse_rpb(text).select("path", F.explode("rpc").alias("name", "value"))
+    return parse_rpb(rpb_texts(spark, d)).select("path", F.explode("rpc").alias("name", "value"))
 
 
 @register("f10_rpc_transform", _RPB[1])
 def f10(spark, d):
-    from .sources.rpb import example_rpb, parse_rpb, rpc_project
+    """Ground points with heights from the elevation grid, each in the image of its own model."""
+    from .sources.rpb import parse_rpb, rpc_project
 
-    text = spark.createDataFrame([("a.rpb", example_rpb(3))], "path string, value string")
-    points = spark.range(20).select((F.col("id") / 100 + 113).alias("lon"), (F.col("id") / 200 + 23).alias("lat"), F.lit(50.0).alias("h"))
-    return rpc_project(points, parse_rpb(text).select("rpc")).select(F.round("lon", 6).alias("lon"), F.round("line", 4).alias("line"), F.round("sample", 4).alias("sample"))
+    images = view(spark, d, "supplier").count()
+    p = view(spark, d, "dem").select("pid", F.concat(F.lit("GF2_"), (F.col("pid") % images).cast("string"), F.lit(".rpb")).alias("path"), (112 + F.col("pid") % 50 / 25).alias("lon"), (22 + F.floor(F.col("pid") / 50) % 40 / 20).alias("lat"), F.col("elev").alias("h"))
+    return rpc_project(p, cut(parse_rpb(cut(rpb_texts(spark, d)))), "path").select("pid", F.round("line", 4).alias("line"), F.round("sample", 4).alias("sample"))
 
 
 @register("s10_model_import", ORACLES_OF["balance_b1"] + " SELECT raster_id, row_i, col_i, b1 FROM even")

@@ -7,25 +7,24 @@ import tempfile
 from pyspark.sql import DataFrame
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder that the session names.
+def shared_folder(spark) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the context's own.
 
-    A folder is made only where neither ``spark.checkpoint.dir`` nor the
-    context's own is set, as in local tests.
+    One is made only for a local master where neither is set, as in tests; on
+    a cluster a folder of the driver's disk would not be shared.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="terragrain-"))
-    return df.checkpoint(eager=True)
-
-
-def shared_folder(spark) -> str:
-    """The folder that driver and executors share: the session's, or the context's own."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     have = context._jsc.sc().getCheckpointDir()
-    if not named and not have.isDefined():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="terragrain-"))
+    if not have.isDefined():
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="terragrain-"))
         have = context._jsc.sc().getCheckpointDir()
     return (named or have.get()).rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read from there."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -54,10 +54,13 @@ def _cubic(coefficients: Column, x: Column, y: Column, z: Column) -> Column:
     return reduce(lambda a, b: a + b, [F.get(coefficients, F.lit(k)) * t for k, t in enumerate(terms)])
 
 
-def rpc_project(points: DataFrame, model: DataFrame) -> DataFrame:
-    """``points(lon, lat, h)`` with line and sample; ``model(rpc)`` is one row."""
-    one = model.select(*[F.element_at("rpc", n).cast("double").alias(f"__{n}") for n in SCALARS.values()], *[F.transform(F.split(F.element_at("rpc", n), " "), lambda s: s.cast("double")).alias(f"__{n}") for n in VECTORS.values()])
-    p = points.crossJoin(F.broadcast(one))  # one row
+def rpc_project(points: DataFrame, model: DataFrame, by: str | None = None) -> DataFrame:
+    """``points(lon, lat, h)`` with line and sample; ``model(rpc)`` is one row, or one for each value of ``by``."""
+    numbers = [*[F.element_at("rpc", n).cast("double").alias(f"__{n}") for n in SCALARS.values()], *[F.transform(F.split(F.element_at("rpc", n), " "), lambda s: s.cast("double")).alias(f"__{n}") for n in VECTORS.values()]]
+    if by:
+        p = points.join(model.select(by, *numbers), by)
+    else:
+        p = points.crossJoin(F.broadcast(model.select(*numbers)))  # one row
     norm = lambda c, n: (F.col(c) - F.col(f"__{n}_OFF")) / F.col(f"__{n}_SCALE")
     x, y, z = norm("lon", "LONG"), norm("lat", "LAT"), norm("h", "HEIGHT")
     ratio = lambda n: _cubic(F.col(f"__{n}_NUM_COEFF"), x, y, z) / _cubic(F.col(f"__{n}_DEN_COEFF"), x, y, z) * F.col(f"__{n}_SCALE") + F.col(f"__{n}_OFF")

@@ -2,7 +2,9 @@
 
 Each micro-batch reads the state of the batch before, writes a new version
 beside it, and only then counts as done; a batch that runs again after a
-failure overwrites its own version with the same rows.
+failure overwrites its own version with the same rows.  A mosaic is kept by
+tile: a batch reads and writes the tiles that it touches, and what was seen is
+only added to, so a batch costs what it brings, not what there is.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.wkb import polygon_from_wkb, polygon_to_wkb
 from ..operators.polygons import polygons, rasterized
 from ..operators.stretch import histogram
-from ..plans.lineage import shared_folder
+from ..plans.lineage import cut, shared_folder
 
 
 class StateTable:
@@ -33,6 +35,59 @@ class StateTable:
         rows.write.mode("overwrite").parquet(f"{self.folder}/v{version}")
 
 
+class TileState:
+    """Cells ``(row_i, col_i, ..)`` in versions by tile: a version holds the tiles that changed with it, whole.
+
+    Below ``folder``, ``rows`` has them by version and tile, ``tiles`` what
+    each version wrote.  A tile's state at a version is its newest one up to
+    that; other files are pruned by their folder's names.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, schema: str, side: int = 64):
+        self.spark, self.folder, self.schema, self.side = spark, folder, schema, side
+
+    def tile(self):
+        place = lambda c: F.floor(F.col(c) / self.side).cast("string")
+        return F.concat_ws("_", place("row_i"), place("col_i"))
+
+    def newest(self, version: int) -> DataFrame:
+        """(tile, version) of every tile there is at a version."""
+        return self.spark.read.schema("tile string, version long").parquet(f"{self.folder}/tiles/*").where(F.col("version") <= version).groupBy("tile").agg(F.max("version").alias("version"))
+
+    def read(self, version: int, tiles: DataFrame | None = None) -> DataFrame:
+        """The state at a version, or its part in ``tiles(tile)``."""
+        if version < 0:
+            return self.spark.createDataFrame([], self.schema)
+        wanted = self.newest(version)
+        if tiles is not None:
+            wanted = wanted.join(tiles, "tile", "left_semi")
+        rows = self.spark.read.schema(f"{self.schema}, version long, tile string").parquet(f"{self.folder}/rows")
+        return rows.join(wanted, ["tile", "version"], "left_semi").drop("tile", "version")
+
+    def write(self, version: int, rows: DataFrame) -> None:
+        """``rows``, all cells of the tiles that they are in, as the version's."""
+        named = rows.withColumn("tile", self.tile())
+        named.repartition("tile").write.partitionBy("tile").mode("overwrite").parquet(f"{self.folder}/rows/version={version}")
+        done = self.spark.read.schema(f"{self.schema}, version long, tile string").parquet(f"{self.folder}/rows").where(F.col("version") == version)
+        done.select("tile", "version").distinct().write.mode("overwrite").parquet(f"{self.folder}/tiles/{version}")
+
+
+class Seen:
+    """Keys that were processed: each version adds its own."""
+
+    def __init__(self, spark: SparkSession, folder: str, schema: str):
+        self.spark, self.folder, self.schema = spark, folder, schema
+
+    def before(self, version: int) -> DataFrame:
+        if version <= 0:
+            return self.spark.createDataFrame([], self.schema)
+        rows = self.spark.read.schema(f"{self.schema}, version long").parquet(self.folder)
+        return rows.where(F.col("version") < version).drop("version")
+
+    def add(self, version: int, rows: DataFrame) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.folder}/version={version}")
+
+
 def _stream(spark: SparkSession, folder: str, schema, each) -> None:
     """Process what has arrived, one file a batch, from where the last run stopped."""
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/*")
@@ -68,7 +123,7 @@ def restored_mosaic(spark: SparkSession, path: str) -> DataFrame:
     return rasterized(shapes, "owner").select("row_i", "col_i", "owner")
 
 
-def streamed_mosaic(cells: DataFrame, batches: int, twice: bool = False, restart: bool = False, snapshot: int = 0, exports: list[str] | None = None) -> DataFrame:
+def streamed_mosaic(cells: DataFrame, batches: int, twice: bool = False, restart: bool = False, snapshot: int = 0, exports: list[str] | None = None, tile: int = 64) -> DataFrame:
     """(row_i, col_i, owner): polygons added in order of id, the later takes its region.
 
     ``twice`` delivers every part again, ``restart`` ends the stream after
@@ -78,17 +133,17 @@ def streamed_mosaic(cells: DataFrame, batches: int, twice: bool = False, restart
     spark, folder = cells.sparkSession, f"{shared_folder(cells.sparkSession)}/{uuid.uuid4().hex}"
     cuts = cells.approxQuantile("geom_id", [k / batches for k in range(1, batches)], 0.0)
     part = sum((F.col("geom_id") > c).cast("int") for c in cuts) if cuts else F.lit(0)
-    mosaic = StateTable(spark, f"{folder}/mosaic", "row_i long, col_i long, owner long")
-    seen = StateTable(spark, f"{folder}/seen", "owner long")
+    mosaic = TileState(spark, f"{folder}/mosaic", "row_i long, col_i long, owner long", tile)
+    seen = Seen(spark, f"{folder}/seen", "owner long")
     done = []
 
     def each(batch: DataFrame, version: int) -> None:
-        known = seen.read(version - 1)
-        fresh = batch.select("row_i", "col_i", F.col("geom_id").alias("owner")).join(known, "owner", "left_anti")
-        own = fresh.groupBy("row_i", "col_i").agg(F.max("owner").alias("owner"))
-        old = mosaic.read(version - 1).join(own, ["row_i", "col_i"], "left_anti")
+        fresh = batch.select("row_i", "col_i", F.col("geom_id").alias("owner")).join(seen.before(version), "owner", "left_anti")
+        own = cut(fresh.groupBy("row_i", "col_i").agg(F.max("owner").alias("owner")))
+        touched = own.select(mosaic.tile().alias("tile")).distinct()
+        old = mosaic.read(version - 1, touched).join(own, ["row_i", "col_i"], "left_anti")
         mosaic.write(version, old.select("row_i", "col_i", "owner").union(own))
-        seen.write(version, known.union(fresh.select("owner").distinct()))
+        seen.add(version, fresh.select("owner").distinct())
         if snapshot and version % snapshot == 0:
             export_mosaic(mosaic.read(version), f"{folder}/export/{version}")
             if exports is not None:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terragrain.functions.wkb import polygon_from_wkb, polygon_to_wkb
-from terragrain.operators import overlay, polygons
+from terragrain.operators import lines, overlay, polygons
 
 RINGS = "geom_id long, rings array<array<struct<x: double, y: double>>>"
 
@@ -131,3 +131,35 @@ def test_holes_of_other_vertex_counts(spark):
     none = spark.createDataFrame([(3, None)], RINGS)
     assert none.select(polygon_to_wkb("rings").alias("g")).first().g is None and polygons.rasterized(none).count() == 0
     assert overlay.edges(none, ["geom_id"]).count() == 0
+
+
+def test_line_chains(spark):
+    """Open chains, a closed one and a fork, given in any order and by group."""
+    rng = np.random.default_rng(5)
+    order = rng.permutation(40).tolist()
+    pt = lambda k: {"x": float(k), "y": 0.0}
+    rows = [(1, order[k], [pt(k), pt(k + 0.5), pt(k + 1)]) for k in range(30) if k != 11]
+    rows += [(2, 7, [pt(0), pt(1)]), (2, 3, [pt(1), pt(2)]), (2, 9, [pt(2), pt(0)])]  # closed
+    rows += [(3, 1, [pt(0), pt(1)]), (3, 2, [pt(1), pt(2)]), (3, 3, [pt(1), pt(3)])]  # a fork: nothing goes on
+    got = {(r.g, r.chain): [p.x for p in r.points] for r in lines.merged(spark.createDataFrame(rows, "g int, piece long, points array<struct<x: double, y: double>>").repartition(3), ["g"]).collect()}
+    want = {(1, order[0]): np.arange(0, 11.01, 0.5).tolist(), (1, order[12]): np.arange(12, 30.01, 0.5).tolist(), (2, 3): [1, 2, 0, 1], (3, 1): [0, 1], (3, 2): [1, 2], (3, 3): [1, 3]}
+    assert got == want
+
+
+def test_tiles_of_a_streamed_mosaic(spark, tmp_path):
+    """A version holds the tiles that its batch touched; every version can be read, and a batch that runs again changes nothing."""
+    from terragrain.streaming.incremental import TileState
+
+    state = TileState(spark, str(tmp_path / "m"), "row_i long, col_i long, owner long", 10)
+    at = lambda rows: spark.createDataFrame(rows, "row_i long, col_i long, owner long")
+    first = [(r, c, 1) for r in range(-5, 40) for c in range(40)]
+    state.write(0, at(first))
+    for _ in range(2):
+        batch = at([(3, 3, 2)])
+        touched = batch.select(state.tile().alias("tile")).distinct()
+        old = state.read(0, touched).join(batch, ["row_i", "col_i"], "left_anti")
+        state.write(1, old.union(batch))
+    assert sorted(map(tuple, state.read(0).collect())) == first
+    assert sorted(map(tuple, state.read(1).collect())) == sorted([x for x in first if x[:2] != (3, 3)] + [(3, 3, 2)])
+    files = [p.parent.name for p in (tmp_path / "m" / "rows" / "version=1").rglob("*.parquet")]
+    assert files == ["tile=0_0"] and state.read(1, touched).count() == 100
