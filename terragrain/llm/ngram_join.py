@@ -15,16 +15,19 @@ by block of columns and only where it can matter:
    each of their columns once, and the same bound prunes again.
 3. *Leaders.*  Of a row's columns, rarest first, the first n - ceil(t*n) + 1
    must hold one that it shares with any partner.  Each class is compared
-   with the leader of most of those columns, the class whose columns are the
-   most common, which is the middle of its group; verified links make first
-   components.  Another round takes leaders of other components by chance.
+   with the leader of most of those columns among the classes of about its
+   size, the one whose columns are the most common, which is the middle of its
+   group; verified links make first components.  Another round does so with
+   other bounds of the size classes.
 4. *Leading columns.*  Columns that still hold different components give the
    remaining pairs: the product of the leading columns alone counts what two
    rows share there.  Two rows of a and b columns need an overlap of
    o = ceil(t/(1+t) * (a+b)).  The smaller row's entries count only among its
    first a - ceil(2t/(1+t)*a) + 1 columns, the larger one's among its first
    b - ceil(t*b) + 1, and a pair is discarded when what it shares so far and
-   what is left behind its last shared column cannot reach o.
+   what is left behind its last shared column cannot reach o.  A row of a
+   columns, s of them in other rows, has no partner of more than
+   (1+t)/t * s - a columns.
 5. *Whole rows.*  The product of whole rows is formed for the pairs that are
    left: rows are cut by column into ``blocks`` parts, each part's product
    is one partial overlap, and the partial overlaps of a pair are added up and
@@ -59,6 +62,8 @@ from .textnp import U64, Words, binary_slices, blocks, cut, grouped, mix, shingl
 LOCAL_BYTES = 4 << 20
 #: Bytes of a column's hash that are sent to its block, beside the block's number.
 SENT = 5
+#: Logarithm of a size class's ratio, in the search for leaders.
+SIZE_STEP = 0.15
 #: Rows of the later products up to which their names are broadcast.
 FEW = 200_000
 
@@ -309,12 +314,12 @@ def _leading(named: DataFrame, num: int, den: int) -> DataFrame:
 
     ``named(h, cls, n, pos, label)``; a is the smaller row.
     """
-    x, y = (named.select("h", *[F.col(c).alias(f"{c}{s}") for c in ("cls", "n", "pos", "label")]) for s in "ab")
+    x, y = (named.select("h", *[F.col(c).alias(f"{c}{s}") for c in ("cls", "n", "pos", "label", "cap")]) for s in "ab")
     x = x.where(F.col("posa") <= F.col("na") - F.ceil(F.lit(2 * num) * F.col("na") / F.lit(num + den)))
     smaller = (F.col("na") < F.col("nb")) | (F.col("na") == F.col("nb")) & (F.col("clsa") < F.col("clsb"))
     least = _least_overlap(num, den)
     early = (F.col("posa") <= F.col("na") - least) & (F.col("posb") <= F.col("nb") - least)
-    pairs = x.join(y, "h").where(smaller & (F.col("labela") != F.col("labelb")) & early & (F.lit(den) * F.col("na") >= F.lit(num) * F.col("nb")))
+    pairs = x.join(y, "h").where(smaller & (F.col("labela") != F.col("labelb")) & early & (F.lit(den) * F.col("na") >= F.lit(num) * F.col("nb")) & (F.col("na") <= F.col("capb")) & (F.col("nb") <= F.col("capa")))
     counted = pairs.groupBy(F.col("clsa").alias("a"), F.col("clsb").alias("b"), "na", "nb").agg(F.count("*").alias("shared"), F.max("posa").alias("lasta"), F.max("posb").alias("lastb"))
     # columns before the last shared one that both lead with are all counted, later ones may be shared too
     rest = F.least(F.col("na") - F.col("lasta"), F.col("nb") - F.col("lastb")) - 1
@@ -343,17 +348,18 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 75, den: int = 100,
     sets = packs.join(ranks.withColumnRenamed("rid", "block"), "block", "left").mapInArrow(_rare_first(shards, num, den), _SETS)
     sets = checkpointed(sets.dropDuplicates(["cls"]))
     reps = sets.select("cls", "n", "grams")
-    postings = sets.select("cls", "n", "middle", "single", F.posexplode("prefix").alias("pos", "h")).withColumn("pos", F.col("single") + F.col("pos")).drop("single")
+    cap = F.floor(F.lit(num + den) * (F.col("n") - F.col("single")) / F.lit(num)) - F.col("n")
+    postings = sets.select("cls", "n", "middle", "single", cap.alias("cap"), F.posexplode("prefix").alias("pos", "h")).withColumn("pos", F.col("single") + F.col("pos")).drop("single")
     shared = postings.groupBy("h").count().where("count > 1").select("h")
     postings = checkpointed(postings.join(shared, "h"))
 
     labels, found = None, None
     for k in range(rounds):
         named = _divided(postings, labels)
-        # the middle of its group first; in later rounds one by chance, as those that the middle did not link may link with it
-        order = F.struct("middle", "cls") if k == 0 else F.struct(F.xxhash64("cls", F.lit(k)).alias("middle"), F.col("cls"))
-        lead = named.groupBy("h").agg(F.max_by(F.struct("cls", "label"), order).alias("lead")).select("h", F.col("lead.cls").alias("a"), F.col("lead.label").alias("of"))
-        votes = named.join(lead, "h").where("label <> of").groupBy(F.col("cls").alias("b"), "a").count()
+        # groups of other sizes may have the column too, and their middle is no partner; bounds of size classes move by round
+        named = named.withColumn("sizes", F.floor(F.log("n") / F.lit(SIZE_STEP) + F.lit(k / rounds)))
+        lead = named.groupBy("h", "sizes").agg(F.max_by(F.struct("cls", "label"), F.struct("middle", "cls")).alias("lead")).select("h", "sizes", F.col("lead.cls").alias("a"), F.col("lead.label").alias("of"))
+        votes = named.join(lead, ["h", "sizes"]).where("label <> of").groupBy(F.col("cls").alias("b"), "a").count()
         best = votes.groupBy("b").agg(F.max(F.struct("count", "a")).alias("x")).select("b", F.col("x.a").alias("a"))
         found = checkpointed(_verified(best, reps, num, den, blocks_, FEW if k else 0))
         if k and found.isEmpty():
