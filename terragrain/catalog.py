@@ -24,4 +24,4 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from . import catalog_more, catalog_overlay, catalog_pixels, catalog_records, catalog_streams, catalog_vector  # noqa: E402, F401
+from . import catalog_more, catalog_overlay, catalog_pixels, catalog_records, catalog_streams, catalog_vector, catalog_warp  # noqa: E402, F401
