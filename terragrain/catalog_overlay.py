@@ -42,47 +42,57 @@ def _sides(spark, d):
     return every.where("geom_id % 2 = 0"), every.where("geom_id % 2 = 1")
 
 
+def _classes(spark, d):
+    """Later and former boxes, of equal ones the first, and how results spread to all."""
+    (later, of_later), (former, of_former) = (overlay.alike(s) for s in _sides(spark, d))
+    return later, former, {"a_id": of_later, "b_id": of_former}
+
+
 def _area(found, key):
     return overlay.areas(found, key).where("area > 1e-6").withColumn("area", F.round("area", 5))
 
 
 @register("u01_polygon_intersection", _UNITS + " SELECT a_id, b_id, CAST(n AS DOUBLE) AS area FROM z")
 def u01i(spark, d):
-    return _area(overlay.pair_overlay(*_sides(spark, d), overlay.INTERSECTION), _KEY)
+    later, former, members = _classes(spark, d)
+    return overlay.spread(_area(overlay.pair_overlay(later, former, overlay.INTERSECTION), _KEY), members)
 
 
-def _shared_pairs(spark, d):
-    """Later and former boxes of which some part is shared, as rows alone."""
-    return overlay.areas(overlay.pair_overlay(*_sides(spark, d), overlay.INTERSECTION), _KEY).where("area > 1e-6").select(*_KEY)
+def _of_shared(spark, d, operation):
+    """Areas of ``operation`` on later and former boxes of which some part is shared."""
+    later, former, members = _classes(spark, d)
+    shared = overlay.areas(overlay.pair_overlay(later, former, overlay.INTERSECTION), _KEY).where("area > 1e-6").select(*_KEY)
+    return overlay.spread(_area(overlay.pair_overlay(later, former, operation, shared), _KEY), members)
 
 
 @register("u01_polygon_union", _UNITS + " SELECT a_id, b_id, CAST(na + nb - n AS DOUBLE) AS area FROM z")
 def u01u(spark, d):
-    return _area(overlay.pair_overlay(*_sides(spark, d), overlay.UNION, _shared_pairs(spark, d)), _KEY)
+    return _of_shared(spark, d, overlay.UNION)
 
 
 @register("u01_polygon_difference", _UNITS + " SELECT a_id, b_id, CAST(na - n AS DOUBLE) AS area FROM z WHERE na > n")
 def u01d(spark, d):
-    return _area(overlay.pair_overlay(*_sides(spark, d), overlay.DIFFERENCE, _shared_pairs(spark, d)), _KEY)
+    return _of_shared(spark, d, overlay.DIFFERENCE)
 
 
 @register("u01_polygon_symmetric", _UNITS + " SELECT a_id, b_id, CAST(na + nb - 2 * n AS DOUBLE) AS area FROM z WHERE na + nb > 2 * n")
 def u01s(spark, d):
-    return _area(overlay.pair_overlay(*_sides(spark, d), overlay.SYMMETRIC, _shared_pairs(spark, d)), _KEY)
+    return _of_shared(spark, d, overlay.SYMMETRIC)
 
 
 @register("j04_polygon_overlay", _UNITS + " SELECT a_id, b_id, CAST(n AS DOUBLE) AS area FROM z")
 def j04(spark, d):
     """Later and former polygons laid over each other, multipolygons exploded, the parts' areas added up again."""
-    rings = overlay.ringed(overlay.pair_overlay(*_sides(spark, d), overlay.INTERSECTION), _KEY)
-    return _area(overlay.edges(overlay.parts(rings, _KEY), _KEY), _KEY)
+    later, former, members = _classes(spark, d)
+    rings = overlay.ringed(overlay.pair_overlay(later, former, overlay.INTERSECTION), _KEY)
+    return overlay.spread(_area(overlay.edges(overlay.parts(rings, _KEY), _KEY), _KEY), members)
 
 
 @register("j05_polygon_masks", _UNITS + " SELECT geom_id, CAST(count(*) AS DOUBLE) AS area FROM f WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.r = f.r AND l.c = f.c) GROUP BY geom_id")
 def j05(spark, d):
     """Former polygons without all later ones; covered ones are dropped."""
-    later, former = _sides(spark, d)
-    return _area(overlay.minus_all(former, later), ["geom_id"])
+    later, former, members = _classes(spark, d)
+    return overlay.spread(_area(overlay.minus_all(former, later), ["geom_id"]), {"geom_id": members["b_id"]})
 
 
 @register("a13_polygon_dissolve", _UNITS + " SELECT geom_id % 7 AS part, CAST(count(DISTINCT r * 100000 + c) AS DOUBLE) AS area FROM q GROUP BY 1")

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from terragrain.fixtures import view
-from terragrain.operators import cells
+from terragrain.operators import cells, overlay
 
 SF = "/root/testdata/sf0.001"
 
@@ -41,3 +41,14 @@ def test_crowded_and_coincident_sites_are_few_candidates(spark):
     got = {(r["row_i"], r["col_i"]): r["site"] for r in cells.nearest_site(px, sites).collect()}
     assert got == {(r, c): min(((r - y) ** 2 + (c - x) ** 2, k) for k, y, x in crowd)[1] for r, c in got}
     assert len(got) == 24
+
+
+def test_equal_shapes_are_overlaid_once(spark):
+    box = lambda x, y: [[{"x": float(a), "y": float(b)} for a, b in ((x, y), (x + 4, y), (x + 4, y + 4), (x, y + 4), (x, y))]]
+    kind = "geom_id long, rings array<array<struct<x: double, y: double>>>"
+    a, of_a = overlay.alike(spark.createDataFrame([(k, box(0, 0) if k % 2 else box(2, 2)) for k in range(1, 7)], kind))
+    b, of_b = overlay.alike(spark.createDataFrame([(k, box(1, 1)) for k in (10, 11, 12)], kind))
+    assert (a.count(), b.count()) == (2, 1)
+    found = overlay.areas(overlay.pair_overlay(a, b, overlay.INTERSECTION), ["a_id", "b_id"])
+    got = overlay.spread(found, {"a_id": of_a, "b_id": of_b}).collect()
+    assert sorted((r["a_id"], r["b_id"], round(r["area"], 6)) for r in got) == [(k, j, 9.0) for k in range(1, 7) for j in (10, 11, 12)]
