@@ -52,3 +52,8 @@ def test_equal_shapes_are_overlaid_once(spark):
     found = overlay.areas(overlay.pair_overlay(a, b, overlay.INTERSECTION), ["a_id", "b_id"])
     got = overlay.spread(found, {"a_id": of_a, "b_id": of_b}).collect()
     assert sorted((r["a_id"], r["b_id"], round(r["area"], 6)) for r in got) == [(k, j, 9.0) for k in range(1, 7) for j in (10, 11, 12)]
+
+
+def test_shared_cells_make_no_pairs(spark):
+    many = spark.createDataFrame([(k, 0, c) for k in range(50) for c in range(3)], "geom_id long, row_i long, col_i long")
+    assert cells.shared(many, many.where("col_i < 2")).count() == 100
