@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from terragrain.fixtures import view
-from terragrain.operators import cells, overlay
+from terragrain.operators import cells, overlay, seam
 
 SF = "/root/testdata/sf0.001"
 
@@ -57,3 +57,24 @@ def test_equal_shapes_are_overlaid_once(spark):
 def test_shared_cells_make_no_pairs(spark):
     many = spark.createDataFrame([(k, 0, c) for k in range(50) for c in range(3)], "geom_id long, row_i long, col_i long")
     assert cells.shared(many, many.where("col_i < 2")).count() == 100
+
+
+def test_large_pieces_are_cut_by_tiles_as_whole(spark, monkeypatch):
+    rng = random.Random(11)
+    sites, edges = [], []
+    for r in range(96):
+        for c in range(8):
+            sites.append((r, c, 0 if c == 0 else 1 if c == 7 else 2))
+            for dr, dc in ((0, 1), (1, 0)):
+                if r + dr < 96 and c + dc < 8:
+                    edges.append((r, c, r + dr, c + dc, rng.choice((7, 7, rng.randint(5, 90))), rng.choice((7, rng.randint(5, 90)))))
+    site = spark.createDataFrame(sites, "row_i long, col_i long, cls int")
+    edge = spark.createDataFrame(edges, "p_row long, p_col long, q_row long, q_col long, c01 long, c10 long")
+    warm = spark.createDataFrame([(r, c, int(c > 2 + r % 4)) for r, c, _ in sites], "row_i long, col_i long, label long")
+    want = sorted((tuple(r) for r in seam.cut_overlap(site, edge, warm).collect()), key=repr)
+    monkeypatch.setattr(seam, "PIECE", 400)
+    monkeypatch.setattr(seam, "SIDE", 48)
+    calls, tiled = [], seam._cut_large
+    monkeypatch.setattr(seam, "_cut_large", lambda *a: calls.append(1) or tiled(*a))
+    assert sorted((tuple(r) for r in seam.cut_overlap(site, edge, warm).collect()), key=repr) == want
+    assert calls
