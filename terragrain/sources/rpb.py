@@ -90,18 +90,52 @@ def _project(m: dict[str, np.ndarray], lon: np.ndarray, lat: np.ndarray, h: np.n
     return ratio("LINE"), ratio("SAMP")
 
 
-def _ground(m: dict[str, np.ndarray], line: np.ndarray, sample: np.ndarray, h: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
-    """Newton's method from the model's centre, with differences for derivatives."""
-    lon, lat = np.full_like(line, m["LONG_OFF"][0]), np.full_like(line, m["LAT_OFF"][0])
+def _newton(m: dict[str, np.ndarray], line: np.ndarray, sample: np.ndarray, h: np.ndarray, lon: np.ndarray, lat: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """Newton's method from a place, with differences for derivatives."""
     dx, dy = m["LONG_SCALE"][0] * 1e-5, m["LAT_SCALE"][0] * 1e-5
-    for _ in range(steps):
+    with np.errstate(all="ignore"):  # a start may lead nowhere
+        for _ in range(steps):
+            l0, s0 = _project(m, lon, lat, h)
+            lx, sx = _project(m, lon + dx, lat, h)
+            ly, sy = _project(m, lon, lat + dy, h)
+            a, b, c, d = (lx - l0) / dx, (ly - l0) / dy, (sx - s0) / dx, (sy - s0) / dy
+            det = a * d - b * c
+            u, v = line - l0, sample - s0
+            lon, lat = lon + (d * u - b * v) / det, lat + (a * v - c * u) / det
+    return lon, lat
+
+
+def _astray(m: dict[str, np.ndarray], line: np.ndarray, sample: np.ndarray, h: np.ndarray, lon: np.ndarray, lat: np.ndarray) -> np.ndarray:
+    """Pixels whose place on the ground does not lead back to them."""
+    with np.errstate(all="ignore"):
         l0, s0 = _project(m, lon, lat, h)
-        lx, sx = _project(m, lon + dx, lat, h)
-        ly, sy = _project(m, lon, lat + dy, h)
-        a, b, c, d = (lx - l0) / dx, (ly - l0) / dy, (sx - s0) / dx, (sy - s0) / dy
-        det = a * d - b * c
-        u, v = line - l0, sample - s0
-        lon, lat = lon + (d * u - b * v) / det, lat + (a * v - c * u) / det
+        return ~((np.abs(l0 - line) <= m["LINE_SCALE"][0] * 1e-9) & (np.abs(s0 - sample) <= m["SAMP_SCALE"][0] * 1e-9))
+
+
+def _ground(m: dict[str, np.ndarray], line: np.ndarray, sample: np.ndarray, h: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """Longitude and latitude of pixels, by Newton's method from the model's centre.
+
+    Pixels that do not settle, far outside of what the model was made for,
+    are led there from the model's centre in ever smaller parts of the way,
+    then tried from starts all around.  One that no start leads to has NaN.
+    """
+    lon, lat = _newton(m, line, sample, h, np.full_like(line, m["LONG_OFF"][0]), np.full_like(line, m["LAT_OFF"][0]), steps)
+    places = [(x, y) for r in (2, 5, 10, 20, 40, 80) for x in (-r, -r / 2, 0, r / 2, r) for y in (-r, -r / 2, 0, r / 2, r) if x or y]
+    tries = [(None, parts) for parts in (8, 32)] + [(start, 0) for start in places]
+    astray = np.flatnonzero(_astray(m, line, sample, h, lon, lat))
+    for start, parts in tries:
+        if not len(astray):
+            break
+        to, across, high = line[astray], sample[astray], h[astray]
+        x, y = start or (0.0, 0.0)
+        near = np.full_like(to, m["LONG_OFF"][0] + x * m["LONG_SCALE"][0]), np.full_like(to, m["LAT_OFF"][0] + y * m["LAT_SCALE"][0])
+        for k in range(1, parts):
+            some = k / parts
+            near = _newton(m, m["LINE_OFF"][0] + some * (to - m["LINE_OFF"][0]), m["SAMP_OFF"][0] + some * (across - m["SAMP_OFF"][0]), high, *near, 3)
+        near = _newton(m, to, across, high, *near, 3 * steps)
+        lost = _astray(m, to, across, high, *near)
+        lon[astray], lat[astray] = np.where(lost, np.nan, near[0]), np.where(lost, np.nan, near[1])
+        astray = astray[lost]
     return lon, lat
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from terragrain.fixtures import view
 from terragrain.operators import cells, overlay, seam
+from terragrain.sources import rpb
 
 SF = "/root/testdata/sf0.001"
 
@@ -78,3 +79,12 @@ def test_large_pieces_are_cut_by_tiles_as_whole(spark, monkeypatch):
     monkeypatch.setattr(seam, "_cut_large", lambda *a: calls.append(1) or tiled(*a))
     assert sorted((tuple(r) for r in seam.cut_overlap(site, edge, warm).collect()), key=repr) == want
     assert calls
+
+
+def test_far_pixels_find_their_ground(spark):
+    texts = spark.createDataFrame([("pan.rpb", rpb.example_rpb(3))], "path string, value string")
+    fine = rpb.parse_rpb(texts).first()["rpc"]
+    coarse = fine | {k: str(float(fine[k]) / 4) for k in ("LINE_OFF", "LINE_SCALE", "SAMP_OFF", "SAMP_SCALE")}
+    grid = spark.createDataFrame([(k, r, c) for k, (r, c) in enumerate((r, c) for r in range(50, 90000, 4999) for c in (0, 40, 99))], "id long, row_i long, col_i long")
+    got = {r["id"]: (r["x"], r["y"]) for r in rpb.rpc_coregister(grid, fine, coarse, 50.0).collect()}
+    assert all(abs(got[r["id"]][0] - r["col_i"] / 4) < 4e-5 and abs(got[r["id"]][1] - r["row_i"] / 4) < 4e-5 for r in grid.collect())
