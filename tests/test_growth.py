@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from terragrain.fixtures import view
+from terragrain.functions import projection
 from terragrain.operators import cells, overlay, seam
 from terragrain.sources import rpb
 
@@ -88,3 +89,11 @@ def test_far_pixels_find_their_ground(spark):
     grid = spark.createDataFrame([(k, r, c) for k, (r, c) in enumerate((r, c) for r in range(50, 90000, 4999) for c in (0, 40, 99))], "id long, row_i long, col_i long")
     got = {r["id"]: (r["x"], r["y"]) for r in rpb.rpc_coregister(grid, fine, coarse, 50.0).collect()}
     assert all(abs(got[r["id"]][0] - r["col_i"] / 4) < 4e-5 and abs(got[r["id"]][1] - r["row_i"] / 4) < 4e-5 for r in grid.collect())
+
+
+def test_latitudes_come_back_to_the_eighth_digit(spark):
+    lat = F.col("id") / 2.0
+    e, n = projection.to_utm(F.lit(113.3), lat, F.lit(49))
+    there = spark.range(-178, 179).select("id", e.alias("e"), n.alias("n"))
+    back = projection.from_utm(F.col("e"), F.col("n"), F.lit(49))[1]
+    assert there.where(F.abs(back - lat) > 2e-9).count() == 0
