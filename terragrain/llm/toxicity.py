@@ -388,14 +388,45 @@ def _alike(a: np.ndarray, b: np.ndarray) -> bool:
 
 def _leaders(rows: list[tuple[int, int, np.ndarray]]) -> list[tuple[int, int]]:
     """(label, key) of the rows that are no near copy of one kept before, within a label."""
-    kept, leads = [], {}
+    kept, of = [], {}
     for label, key, least in sorted(rows, key=lambda r: r[:2]):
-        near = {id(x): x for h in least[:16].tolist() for x in leads.get((label, h), ())}
-        if any(_alike(least, x) for x in near.values()):
+        of.setdefault(label, []).append((key, least))
+    for label, some in of.items():
+        kept += [(label, some[k][0]) for k in _unlike([least for _, least in some])]
+    return kept
+
+
+def _unlike(sketches: list[np.ndarray]) -> list[int]:
+    """Places of the sketches that are not like one kept before.
+
+    Sketches that are alike share three quarters of the longer one's hashes,
+    so with the rarest first they share one before a sketch's last three
+    quarters.  Those are what brings two together; a passage of many texts
+    does not.
+    """
+    if not sketches:
+        return []
+    size = np.array([len(x) for x in sketches])
+    _, code, often = np.unique(np.concatenate(sketches), return_inverse=True, return_counts=True)
+    rank = np.empty(len(often), dtype=np.int64)
+    rank[np.argsort(often, kind="stable")] = np.arange(len(often))
+    own = np.full((len(sketches), SKETCH), len(often), dtype=np.int64)
+    own[np.arange(SKETCH) < size[:, None]] = rank[code]
+    own.sort(axis=1)
+    held, leads, kept = np.zeros(len(often) + 1, dtype=bool), {}, []
+    for k, n in enumerate(size.tolist()):
+        mine = own[k, :n]
+        rare = mine[: n - (3 * n + 3) // 4 + 1].tolist()
+        near = np.array(sorted({j for h in rare for j in leads.get(h, ())}), dtype=np.int64)
+        if len(near):
+            held[mine] = True
+            near = near[4 * held[own[near]].sum(axis=1) >= 3 * np.maximum(n, size[near])]
+            held[mine] = False
+        if any(_alike(sketches[k], sketches[j]) for j in near.tolist()):
             continue
-        kept.append((label, key))
-        for h in least[:16].tolist():
-            leads.setdefault((label, h), []).append(least)
+        kept.append(k)
+        for h in rare:
+            leads.setdefault(h, []).append(k)
     return kept
 
 

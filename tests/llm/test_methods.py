@@ -459,3 +459,27 @@ def test_pipeline_of_nothing(spark, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
     assert F is not None
+
+
+def test_a_common_passage_makes_no_candidates(monkeypatch):
+    rng = np.random.default_rng(4)
+    common = rng.integers(0, 1 << 52, 30).astype(np.uint64)
+    rows, of = [], []
+    for k in range(400):
+        if k % 10 == 9:  # near copy of an earlier row
+            body = of[k - 6].copy()
+            body[: rng.integers(1, 6)] += np.uint64(1)
+        else:
+            body = np.concatenate([common, rng.integers(1 << 30, 1 << 52, rng.integers(12, 120)).astype(np.uint64)])
+        of.append(body)
+        rows.append((k % 2, k, np.unique(body)[: toxicity.SKETCH]))
+    rows += [(0, 400, np.zeros(0, dtype=np.uint64)), (0, 401, np.zeros(0, dtype=np.uint64)), (1, 402, rows[1][2])]
+    want = []
+    for r in sorted(rows, key=lambda r: r[:2]):
+        if not any(r[0] == w[0] and toxicity._alike(r[2], w[2]) for w in want):
+            want.append(r)
+    calls, alike = [], toxicity._alike
+    monkeypatch.setattr(toxicity, "_alike", lambda a, b: calls.append(1) or alike(a, b))
+    assert toxicity._leaders(rows) == [r[:2] for r in want] and len(want) < 400
+    assert len(calls) < len(rows)
+    assert toxicity._leaders([]) == []
