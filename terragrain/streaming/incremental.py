@@ -9,6 +9,7 @@ only added to, so a batch costs what it brings, not what there is.
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -123,22 +124,53 @@ def restored_mosaic(spark: SparkSession, path: str) -> DataFrame:
     return rasterized(shapes, "owner").select("row_i", "col_i", "owner")
 
 
+def dividers(rows: DataFrame, column: str, shares: list[float], most: int = 1 << 16) -> list[int]:
+    """For each share the least value of a long column that at least so many of the rows do not exceed.
+
+    Exact: rows are counted in ever narrower ranges, at most ``most`` counts of which reach the driver at a time.
+    """
+    sized = cut(rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n")))
+    whole = sized.agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("n").alias("n")).first()
+    if whole["n"] is None:
+        return []
+    out = []
+    for share in shares:
+        low, high, left = whole["low"], whole["high"], max(1, math.ceil(share * whole["n"]))
+        while low < high:
+            width = -(-(high - low + 1) // most)
+            counts = sized.where(F.col("v").between(low, high)).groupBy(F.floor((F.col("v") - low) / width).cast("long").alias("k")).agg(F.sum("n").alias("n")).collect()
+            for r in sorted(counts):
+                if left <= r["n"]:
+                    low, high = low + r["k"] * width, min(high, low + (r["k"] + 1) * width - 1)
+                    break
+                left -= r["n"]
+        out.append(low)
+    return out
+
+
 def streamed_mosaic(cells: DataFrame, batches: int, twice: bool = False, restart: bool = False, snapshot: int = 0, exports: list[str] | None = None, tile: int = 64) -> DataFrame:
     """(row_i, col_i, owner): polygons added in order of id, the later takes its region.
 
     ``twice`` delivers every part again, ``restart`` ends the stream after
     each part, ``snapshot`` exports every so many batches as polygons;
-    the paths of exports are added to ``exports``.
+    the paths of exports are added to ``exports``.  What arrives is a note
+    that names a part; the batch reads the part's files, however many there are.
     """
     spark, folder = cells.sparkSession, f"{shared_folder(cells.sparkSession)}/{uuid.uuid4().hex}"
-    cuts = cells.approxQuantile("geom_id", [k / batches for k in range(1, batches)], 0.0)
+    cells = cut(cells)
+    cuts = dividers(cells, "geom_id", [k / batches for k in range(1, batches)])
     part = sum((F.col("geom_id") > c).cast("int") for c in cuts) if cuts else F.lit(0)
     mosaic = TileState(spark, f"{folder}/mosaic", "row_i long, col_i long, owner long", tile)
     seen = Seen(spark, f"{folder}/seen", "owner long")
     done = []
 
+    cells.withColumn("part", part).write.partitionBy("part").parquet(f"{folder}/parts")
+    delivered = spark.read.schema("row_i long, col_i long, geom_id long, part int").parquet(f"{folder}/parts")
+
     def each(batch: DataFrame, version: int) -> None:
-        fresh = batch.select("row_i", "col_i", F.col("geom_id").alias("owner")).join(seen.before(version), "owner", "left_anti")
+        named = [r["part"] for r in batch.collect()]  # one row a note
+        arrived = delivered.where(F.col("part").isin(named))
+        fresh = arrived.select("row_i", "col_i", F.col("geom_id").alias("owner")).join(seen.before(version), "owner", "left_anti")
         own = cut(fresh.groupBy("row_i", "col_i").agg(F.max("owner").alias("owner")))
         touched = own.select(mosaic.tile().alias("tile")).distinct()
         old = mosaic.read(version - 1, touched).join(own, ["row_i", "col_i"], "left_anti")
@@ -152,10 +184,10 @@ def streamed_mosaic(cells: DataFrame, batches: int, twice: bool = False, restart
 
     for k in range(batches):
         for again in range(2 if twice else 1):
-            cells.where(part == k).coalesce(1).write.parquet(f"{folder}/in/{k}-{again}")
+            spark.createDataFrame([(k,)], "part int").coalesce(1).write.parquet(f"{folder}/in/{k}-{again}")
         if restart:
-            _stream(spark, folder, cells.schema, each)
-    _stream(spark, folder, cells.schema, each)
+            _stream(spark, folder, "part int", each)
+    _stream(spark, folder, "part int", each)
     return mosaic.read(max(done, default=-1))
 
 

@@ -1,5 +1,6 @@
 """Steps that must not grow faster than their input."""
 
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from terragrain.fixtures import view
 from terragrain.functions import projection
 from terragrain.operators import cells, overlay, seam
 from terragrain.sources import rpb
+from terragrain.streaming import incremental
 
 SF = "/root/testdata/sf0.001"
 
@@ -97,3 +99,22 @@ def test_latitudes_come_back_to_the_eighth_digit(spark):
     there = spark.range(-178, 179).select("id", e.alias("e"), n.alias("n"))
     back = projection.from_utm(F.col("e"), F.col("n"), F.lit(49))[1]
     assert there.where(F.abs(back - lat) > 2e-9).count() == 0
+
+
+def test_dividers_are_exact_and_counted(spark):
+    rng = random.Random(2)
+    values = [rng.choice((-5, 3, 3, 900, rng.randint(-(10**6), 10**6))) for _ in range(997)]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v long")
+    shares = [0.0, 0.25, 1 / 3, 0.5, 0.999, 1.0]
+    least = lambda q: min(v for v in values if sum(x <= v for x in values) >= max(1, math.ceil(q * len(values))))
+    assert incremental.dividers(df, "v", shares, most=16) == [least(q) for q in shares]
+    assert incremental.dividers(df.where("v is null"), "v", shares) == []
+
+
+def test_a_mosaic_gets_its_parts_from_many_files(spark):
+    boxes = spark.range(12).select(F.col("id").alias("geom_id"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("k"))
+    boxes = boxes.select("geom_id", (F.col("geom_id") % 3).alias("row_i"), (F.col("geom_id") + F.col("k")).alias("col_i")).repartition(5)
+    want = {(r.row_i, r.col_i): r.owner for r in boxes.groupBy("row_i", "col_i").agg(F.max("geom_id").alias("owner")).collect()}
+    for more in ({}, {"twice": True}, {"restart": True}):
+        assert {(r.row_i, r.col_i): r.owner for r in incremental.streamed_mosaic(boxes, batches=3, **more).collect()} == want
+    assert incremental.streamed_mosaic(boxes.limit(0), batches=3).count() == 0
