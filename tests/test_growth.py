@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from terragrain.fixtures import view
 from terragrain.functions import projection
 from terragrain.operators import cells, overlay, seam
-from terragrain.sources import rpb
+from terragrain.sources import geotiff, rpb
 from terragrain.streaming import incremental
 
 SF = "/root/testdata/sf0.001"
@@ -101,6 +101,20 @@ def test_latitudes_come_back_to_the_eighth_digit(spark):
     assert there.where(F.abs(back - lat) > 2e-9).count() == 0
 
 
+def test_tall_rasters_are_files_of_some_rows(spark, tmp_path):
+    px = spark.range(2500 * 3).select(F.lit(7).alias("raster_id"), F.expr("id div 3").alias("row_i"), (F.col("id") % 3).alias("col_i"), (F.col("id") % 251).alias("a"), (F.col("id") % 13).alias("b"))
+    px = px.where("row_i < 900 or row_i >= 1100")
+    geotiff.write_geotiff(px, f"{tmp_path}/t", ["a", "b"], origin=(5.0, 50.0), size=(0.5, -0.5))
+    files = spark.read.parquet(f"{tmp_path}/t").collect()
+    assert len(files) == 3 and max(geotiff.Image(bytes(f["content"])).rows for f in files) <= 1024
+    assert {geotiff.decode(bytes(f["content"]))[1][3] for f in files} == {50.0, 50.0 - 512, 50.0 - 1024}
+    want = {(r.row_i, r.col_i): (r.a, r.b) for r in px.collect()}
+    got = {(r.row_i, r.col_i): (r.b1, r.b2) for r in geotiff.read_geotiff(spark, f"{tmp_path}/t").collect()}
+    assert {k: v for k, v in got.items() if v != (0, 0)} == {k: v for k, v in want.items() if v != (0, 0)} and set(want) <= set(got)
+    some = geotiff.read_geotiff(spark, f"{tmp_path}/t", window=(1020, 1, 2100, 3)).collect()
+    assert {(r.row_i, r.col_i) for r in some} == {(r, c) for r in range(1020, 2100) for c in (1, 2)}
+
+
 def test_dividers_are_exact_and_counted(spark):
     rng = random.Random(2)
     values = [rng.choice((-5, 3, 3, 900, rng.randint(-(10**6), 10**6))) for _ in range(997)]
