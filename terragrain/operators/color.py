@@ -183,24 +183,35 @@ def apply(px: DataFrame, model: dict, keys: list[str]) -> DataFrame:
     cell, bands = model["cell"], list(model["max_mean"])
     out = px.withColumn("gr", F.floor(F.col("row_i") / cell)).withColumn("gc", F.floor(F.col("col_i") / cell))
     out = out.join(_small(model["gains"]), "raster_id", "left").join(_small(model["cells"]), ["raster_id", "gr", "gc"], "left")
-    out = out.withColumn("__y", F.col("row_i") / F.lit(float(cell)) - F.col("gr")).withColumn("__x", F.col("col_i") / F.lit(float(cell)) - F.col("gc"))
+    y, x = F.col("row_i") / F.lit(float(cell)) - F.col("gr"), F.col("col_i") / F.lit(float(cell)) - F.col("gc")
+    # Each step names what the next one uses more than once: written into one expression, every use would be computed again.
+    out = out.select(*keys, *bands, *[c for b in bands for c in (f"a_{b}", f"o_{b}", f"r_{b}", f"g_{b}")], *[((y if r else 1 - y) * (x if k else 1 - x)).alias(f"__w{n}") for n, (r, k) in enumerate(CORNERS)])
+    out = out.select(*keys, *bands, *[c for b in bands for c in _levels(b, float(model["max_mean"][b]))])
+    out = out.select(*keys, *bands, *[c for b in bands for c in (F.col(f"__v_{b}"), _power(b).alias(f"__p_{b}"))])
     return out.select(*keys, *[_balanced(b, float(model["max_mean"][b])).alias(b) for b in bands])
 
 
 def _between(c: str) -> Column:
     """The means at four corners interpolated at a pixel, weights renormalised over those that are there."""
-    y, x = F.col("__y"), F.col("__x")
-    weights = [(y if r else 1 - y) * (x if k else 1 - x) for r, k in CORNERS]
     means = [F.get(c, F.lit(k)) for k in range(len(CORNERS))]
-    there = [F.when(m.isNotNull(), w).otherwise(F.lit(0.0)) for m, w in zip(means, weights, strict=True)]
-    value = sum((w * F.coalesce(m, F.lit(0.0)) for m, w in list(zip(means, there, strict=True))[1:]), there[0] * F.coalesce(means[0], F.lit(0.0)))
+    parts = [F.col(f"__w{k}") * F.coalesce(m, F.lit(0.0)) for k, m in enumerate(means)]
+    there = [F.when(m.isNotNull(), F.col(f"__w{k}")).otherwise(F.lit(0.0)) for k, m in enumerate(means)]
     total = sum(there[1:], there[0])
-    return F.when(total > 0, value / total)
+    return F.when(total > 0, sum(parts[1:], parts[0]) / total)
 
 
-def _balanced(b: str, top: float) -> Column:
+def _levels(b: str, top: float) -> list[Column]:
+    """A band under gain and offset, and the shares of its raster's and the common mean."""
     v = F.col(b) * F.coalesce(F.col(f"a_{b}"), F.lit(1.0)) + F.coalesce(F.col(f"o_{b}"), F.lit(0.0))
-    r, g = _between(f"r_{b}") / top, _between(f"g_{b}") / top
-    power = F.when((r > 0) & (r != 1) & (g > 0), F.log(g) / F.log(r)).otherwise(F.lit(1.0))
-    mapped = F.pow(F.greatest(v, F.lit(0.0)) / top, F.coalesce(power, F.lit(1.0))) * top
+    return [v.alias(f"__v_{b}"), (_between(f"r_{b}") / top).alias(f"__r_{b}"), (_between(f"g_{b}") / top).alias(f"__g_{b}")]
+
+
+def _power(b: str) -> Column:
+    r, g = F.col(f"__r_{b}"), F.col(f"__g_{b}")
+    return F.when((r > 0) & (r != 1) & (g > 0), F.log(g) / F.log(r)).otherwise(F.lit(1.0))
+
+
+def _balanced(b: str, top: float) -> Column:
+    v = F.col(f"__v_{b}")
+    mapped = F.pow(F.greatest(v, F.lit(0.0)) / top, F.coalesce(F.col(f"__p_{b}"), F.lit(1.0))) * top
     return F.when(F.col(b) == 0, F.lit(0)).when(v < 0, F.lit(1)).otherwise(F.round(F.greatest(F.lit(1.0), F.least(F.lit(255.0), mapped)))).cast("long")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from terragrain.fixtures import view
 from terragrain.functions import projection
-from terragrain.operators import cells, overlay, seam
+from terragrain.operators import cells, color, overlay, seam
 from terragrain.sources import geotiff, rpb
 from terragrain.streaming import incremental
 
@@ -132,3 +132,9 @@ def test_a_mosaic_gets_its_parts_from_many_files(spark):
     for more in ({}, {"twice": True}, {"restart": True}):
         assert {(r.row_i, r.col_i): r.owner for r in incremental.streamed_mosaic(boxes, batches=3, **more).collect()} == want
     assert incremental.streamed_mosaic(boxes.limit(0), batches=3).count() == 0
+
+
+def test_balancing_names_what_it_uses_twice(spark):
+    px = spark.range(40).select(F.lit(1).alias("raster_id"), F.expr("id div 8").alias("row_i"), (F.col("id") % 8).alias("col_i"), (F.col("id") % 50 + 1).alias("b1"))
+    out = color.apply(px, color.fit(px, ["b1"], 4), ["raster_id", "row_i", "col_i"])
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("LOG(") <= 2 and out.count() == 40
