@@ -48,6 +48,12 @@ def _classes(spark, d):
     return later, former, {"a_id": of_later, "b_id": of_former}
 
 
+def _buffer_areas(shapes, d):
+    """Areas of buffers; equal shapes are buffered once."""
+    least, members = overlay.alike(shapes)
+    return overlay.spread(_area(overlay.buffered(least, d), ["geom_id"]), {"geom_id": members})
+
+
 def _area(found, key):
     return overlay.areas(found, key).where("area > 1e-6").withColumn("area", F.round("area", 5))
 
@@ -107,7 +113,7 @@ def f05b(spark, d):
     r0, c0, r1, c1 = F.col("r0"), F.col("c0"), F.col("r0") + F.col("h"), F.col("c0") + F.col("w")
     at = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
     boxes = view(spark, d, "rects").select("geom_id", F.array(F.array(at(c0, r0), at(c1, r0), at(c1, r1), at(c0, r1), at(c0, r0))).alias("rings"))
-    return _area(overlay.buffered(boxes, 1.5), ["geom_id"])
+    return _buffer_areas(boxes, 1.5)
 
 
 @register("f05_round_inset", ctes("rects") + " SELECT geom_id, round(h * w - (h - 2) * (w - 2) - (2 * 0.25 * (h + w) - 4 * 0.25 * 0.25) - 2 * 0.25 * (h + w - 4) - 16 * 0.25 * 0.25 * sin(pi() / 16), 5) AS area FROM rects")

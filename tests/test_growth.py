@@ -138,3 +138,21 @@ def test_balancing_names_what_it_uses_twice(spark):
     px = spark.range(40).select(F.lit(1).alias("raster_id"), F.expr("id div 8").alias("row_i"), (F.col("id") % 8).alias("col_i"), (F.col("id") % 50 + 1).alias("b1"))
     out = color.apply(px, color.fit(px, ["b1"], 4), ["raster_id", "row_i", "col_i"])
     assert out._jdf.queryExecution().optimizedPlan().toString().lower().count("isnotnull(r_b1") <= 12 and out.count() == 40
+
+
+def test_buffers_broadcast_no_edges(spark):
+    ring = F.expr("array(array(struct(id * 1D as x, 0D as y), struct(id + 3D as x, 0D as y), struct(id + 3D as x, 2D as y), struct(id * 1D as x, 2D as y), struct(id * 1D as x, 0D as y)))")
+    found = overlay.areas(overlay.buffered(spark.range(8).select(F.col("id").alias("geom_id"), ring.alias("rings")), 1.0), ["geom_id"])
+    assert "Broadcast" not in _plan(found)
+    assert {round(r["area"], 4) for r in found.collect()} == {round(6 + 10 + 16 * math.sin(math.pi / 16), 4)}
+
+
+def test_equal_boxes_are_buffered_once(spark, monkeypatch):
+    from terragrain import catalog_overlay
+
+    boxes = spark.range(60).select(F.col("id").alias("geom_id"), F.expr("array(array(struct(0D as x, 0D as y), struct(3D as x, 0D as y), struct(3D as x, 2D + id % 3 as y), struct(0D as x, 2D + id % 3 as y), struct(0D as x, 0D as y)))").alias("rings"))
+    counts, whole = [], overlay.buffered
+    monkeypatch.setattr(overlay, "buffered", lambda shapes, *a: counts.append(shapes.count()) or whole(shapes, *a))
+    got = catalog_overlay._buffer_areas(boxes, 0.5).collect()
+    assert counts == [3] and len(got) == 60
+    assert {r["geom_id"] % 3: r["area"] for r in got} == {k: round(3 * (2 + k) + 5 + k + 4 * math.sin(math.pi / 16), 5) for k in range(3)}
