@@ -123,7 +123,7 @@ def f05n(spark, d):
     at = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
     box = lambda r0, c0, r1, c1: F.array(at(c0, r0), at(c1, r0), at(c1, r1), at(c0, r1), at(c0, r0))
     rings = F.array(box(r0, c0, r1, c1), box(r0 + 1, c0 + 1, r1 - 1, c1 - 1))
-    return _area(overlay.buffered(overlay.oriented(view(spark, d, "rects").select("geom_id", rings.alias("rings"))), -0.25), ["geom_id"])
+    return _buffer_areas(overlay.oriented(view(spark, d, "rects").select("geom_id", rings.alias("rings"))), -0.25)
 
 
 @register("f08_line_merge", ctes("px") + """, q AS (SELECT a.row_i, a.col_i FROM px a JOIN px b ON b.row_i = a.row_i AND b.col_i = a.col_i + 1 WHERE a.b1 > 0 AND b.b1 > 0),
