@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from terragrain.fixtures import view
 from terragrain.functions import projection
 from terragrain.operators import cells, color, overlay, seam
+from terragrain.plans.lineage import cut
 from terragrain.sources import geotiff, rpb
 from terragrain.streaming import incremental
 
@@ -156,3 +157,12 @@ def test_equal_boxes_are_buffered_once(spark, monkeypatch):
     got = catalog_overlay._buffer_areas(boxes, 0.5).collect()
     assert counts == [3] and len(got) == 60
     assert {r["geom_id"] % 3: r["area"] for r in got} == {k: round(3 * (2 + k) + 5 + k + 4 * math.sin(math.pi / 16), 5) for k in range(3)}
+
+
+def test_many_steps_keep_plans_known_in_bounds(spark):
+    df = spark.range(4).select("id", (F.col("id") + 1).alias("x"))
+    for _ in range(7):
+        df = cut(df.alias("a").join(df.alias("b"), "id").join(df.alias("c"), "id").join(df.alias("d"), "id").select("id", (F.col("a.x") + F.col("b.x") - F.col("c.x")).alias("x")))
+    plan = df._jdf.queryExecution().optimizedPlan()
+    assert int(plan.stats().sizeInBytes()) < 1 << 64 and plan.constraints().isEmpty()
+    assert sorted(map(tuple, df.collect())) == [(k, k + 1) for k in range(4)]
