@@ -166,3 +166,24 @@ def test_many_steps_keep_plans_known_in_bounds(spark):
     plan = df._jdf.queryExecution().optimizedPlan()
     assert int(plan.stats().sizeInBytes()) < 1 << 64 and plan.constraints().isEmpty()
     assert sorted(map(tuple, df.collect())) == [(k, k + 1) for k in range(4)]
+
+
+def test_equal_cell_sets_are_laid_over_once(spark):
+    box = lambda g, r, c: [(g, r + i, c + j) for i in range(2) for j in range(3)]
+    kind = "geom_id long, row_i long, col_i long"
+    a = spark.createDataFrame([x for g in range(0, 40, 2) for x in box(g, 0, g % 4)] + [(90, 0, 0), (90, 0, 0)], kind)
+    b = spark.createDataFrame([x for g in range(1, 30, 2) for x in box(g, 1, 1)], kind)
+    assert cells.alike(a)[0].select("class").distinct().count() == 3
+    left, right = a.collect(), b.collect()
+    want = sorted((x.geom_id, y.geom_id, x.row_i, x.col_i) for x in left for y in right if x[1:] == y[1:])
+    assert sorted(map(tuple, cells.intersection(a, b).collect())) == want
+    count = {}
+    for p, q, *_ in want:
+        count[p, q] = count.get((p, q), 0) + 1
+    assert {(r.a_id, r.b_id): r.area for r in cells.overlaps(a, b).collect()} == count
+    summed = {p: sum(n for (x, _), n in count.items() if x == p and n > 1) for p, _ in count}
+    assert {r.a_id: r.area for r in cells.covered(a, b, "area > 1").collect()} == {p: n for p, n in summed.items() if n}
+
+
+def test_listed_cells_are_not_broadcast(spark):
+    assert "BroadcastHashJoin" not in _plan(view(spark, SF, "cells")).split("Aggregate")[0]
